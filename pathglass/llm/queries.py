@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 
-from pathglass.llm import bpe_codec, token_counts, token_store, warc
+from pathglass.llm import bpe_codec, lang_profiles, ring_shards, token_counts, token_store, warc
 from pathglass.llm.common import table
 
 #: Where the public vocabulary files lie; a parameter, the files are never copied.
 TOKENIZERS = os.environ.get("PATHGLASS_TOKENIZERS", "/opt/tokenizers")
 
 
+def op2_ring_shards(spark, sf_dir):
+    return ring_shards.assign_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op3_token_files(spark, sf_dir):
     return token_store.token_files_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -19,6 +23,10 @@ def op4_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
 
+def op7_lang_profiles(spark, sf_dir):
+    return lang_profiles.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -27,6 +35,6 @@ def op9_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_bpe_codec, op8_token_counts, op9_warc)}
+QUERIES = {f.__name__: f for f in (op2_ring_shards, op3_token_files, op4_bpe_codec, op7_lang_profiles, op8_token_counts, op9_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
