@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pathglass.llm import bpe_codec, lang_profiles, ring_shards, token_counts, token_store, warc
+from pathglass.llm import bpe_codec, chosen_path, lang_profiles, ring_shards, token_counts, token_store, warc
 from pathglass.llm.common import table
 
 #: Where the public vocabulary files lie; a parameter, the files are never copied.
@@ -35,6 +35,10 @@ def op9_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_shards, op3_token_files, op4_bpe_codec, op7_lang_profiles, op8_token_counts, op9_warc)}
+def op10_chosen_path(spark, sf_dir):
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ring_shards, op3_token_files, op4_bpe_codec, op7_lang_profiles, op8_token_counts, op9_warc, op10_chosen_path)}
 
 ORACLE_SQL: dict[str, str] = {}
