@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, ring_shards, token_counts, token_store, warc
+from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, ring_shards, suffix_dedup, token_counts, token_store, warc
 from pathglass.llm.common import table
 
 #: Where the public vocabulary files lie; a parameter, the files are never copied.
@@ -23,6 +23,10 @@ def op4_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
 
+def op5_suffix_lpf(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_spaced_seeds(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,6 @@ def op10_chosen_path(spark, sf_dir):
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_shards, op3_token_files, op4_bpe_codec, op6_spaced_seeds, op7_lang_profiles, op8_token_counts, op9_warc, op10_chosen_path)}
+QUERIES = {f.__name__: f for f in (op2_ring_shards, op3_token_files, op4_bpe_codec, op5_suffix_lpf, op6_spaced_seeds, op7_lang_profiles, op8_token_counts, op9_warc, op10_chosen_path)}
 
 ORACLE_SQL = {"op6_spaced_seeds": decontaminate.contamination_sql()}
