@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 
-from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, ring_shards, suffix_dedup, token_counts, token_store, warc
+from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, mtree, ring_shards, suffix_dedup, token_counts, token_store, warc
 from pathglass.llm.common import table
 
 #: Where the public vocabulary files lie; a parameter, the files are never copied.
 TOKENIZERS = os.environ.get("PATHGLASS_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_mtree(spark, sf_dir):
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_ring_shards(spark, sf_dir):
     return ring_shards.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
@@ -47,6 +51,14 @@ def op10_chosen_path(spark, sf_dir):
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_shards, op3_token_files, op4_bpe_codec, op5_suffix_lpf, op6_spaced_seeds, op7_lang_profiles, op8_token_counts, op9_warc, op10_chosen_path)}
+QUERIES = {f.__name__: f for f in (op1_mtree, op2_ring_shards, op3_token_files, op4_bpe_codec, op5_suffix_lpf, op6_spaced_seeds, op7_lang_profiles, op8_token_counts, op9_warc, op10_chosen_path)}
+
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5"""
 
-ORACLE_SQL = {"op6_spaced_seeds": decontaminate.contamination_sql()}
+ORACLE_SQL = {"op1_mtree": OP1_SQL, "op6_spaced_seeds": decontaminate.contamination_sql()}
