@@ -1,12 +1,64 @@
-"""A training corpus from `documents`, as stages over the operators of pathglass.llm."""
+"""A training corpus from `documents`, as stages over the operators of pathglass.llm.
+
+Every stage reads what the one before it kept, written as Parquet in between, and
+all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, suffix_dedup
+from pathglass.llm.common import materialise, table
+from pathglass.llm.queries import TOKENIZERS
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents in no language that was learned: without text, or without any letter."""
+    profiles = lang_profiles.learn_profiles(docs.filter(~lang_profiles.held_out("doc_id")))
+    predicted = lang_profiles.predict_languages(docs, profiles, pred_col="__pred", score_col="__score")
+    return predicted.filter("__pred != 'und'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group."""
+    kept = chosen_path.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    # Null ids name no group: their rows stay.
+    return docs.filter("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that an earlier document holds; a document of which nothing is left goes."""
+    cleaned = suffix_dedup.remove_repeats(docs)
+    rest = cleaned.filter("n_removed = 0 or n_removed < n_bytes")
+    return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that overlap with a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left, and decode it again as a check."""
+    return bpe_codec.round_trip_digests(docs, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+
+
+STAGES = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark),
+    ("bpe_encode_decode", tokens),
+]
 
 #: The stages are not expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
