@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathglass.llm.common import texts_of
-
 #: N-grams in a profile.
 RANKS = 400
 #: About as many labelled rows are learned from at most, chosen by a hash of their id.
@@ -24,6 +22,9 @@ SAMPLE_ROWS = 20_000
 #: So many languages are learned at most, those with most sampled rows first.
 MAX_LANGUAGES = 256
 
+#: A learning task counts so many n-grams before it hands on their sums.
+FLUSH_CODES = 2_000_000
+
 _SPACE = 32
 
 
@@ -68,12 +69,21 @@ def learn_profiles(labelled: DataFrame, ranks: int = RANKS, sample_rows: int = S
 
     def count(batches):
         for b in batches:
-            found: dict = {}
-            for lang, text in zip(b.column("lang").to_pylist(), texts_of(b, "text"), strict=True):
-                found.setdefault(lang, []).append(ngram_codes(text))
-            for lang, parts in found.items():
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n, pa.int64()), pa.array([len(parts)] + [0] * (len(codes) - 1) if len(codes) else [], pa.int64())], ["lang", "code", "n", "rows"])
+            found, held = {}, 0
+            for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
+                found.setdefault(lang.as_py(), []).append(ngram_codes(text.as_py()))
+                held += len(found[lang.as_py()][-1])
+                if held > FLUSH_CODES:
+                    yield from partial_counts(found)
+                    found, held = {}, 0
+            yield from partial_counts(found)
+
+    def partial_counts(found):
+        for lang, parts in found.items():
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            if len(codes):
+                rows = pa.array([len(parts)] + [0] * (len(codes) - 1), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n, pa.int64()), rows], ["lang", "code", "n", "rows"])
 
     counts = rows.mapInArrow(count, "lang string, code long, n long, rows long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -119,7 +129,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], ranks: in
     def run(batches):
         model = Profiles(profiles, ranks)
         for b in batches:
-            got = [model.predict(x) for x in texts_of(b, text_col)]
+            got = [model.predict(x.as_py() or "") for x in b.column(text_col)]
             names = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *names], [*b.schema.names, pred_col, score_col])
 
