@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 from functools import lru_cache
 
 import regex
@@ -268,7 +269,7 @@ class Transducer:
 class PieceTable(dict):
     """Remembers results for pieces of text: the latest ``limit``, and those met among the ``limit`` before."""
 
-    def __init__(self, make, limit: int = 250_000, longest: int = 64):
+    def __init__(self, make, limit: int = 400_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest, self.older = make, limit, longest, {}
 
@@ -308,7 +309,7 @@ class TextEncoder:
         self.fst = Transducer(vocabulary)
         self.specials = vocabulary.specials
         self.cut = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.ids = PieceTable(lambda p: b"".join(i.to_bytes(4, "little") for i in self.fst.encode(p.encode())))
+        self.ids = PieceTable(lambda p: struct.pack(f"<{len(ids := self.fst.encode(p.encode()))}I", *ids))
         self.counts = PieceTable(lambda p: self.fst.count(p.encode()))
 
     def _parts(self, text: str):
@@ -338,14 +339,12 @@ def encoder(path: str) -> TextEncoder:
 class Utf8Decoder:
     """Turns a stream of token ids into text, however tokens cut characters.
 
-    A transducer over ids: the state is the unfinished character's bytes (three
-    at most), a step yields the text that became complete. Malformed bytes yield
-    U+FFFD as ``bytes.decode(errors="replace")`` does.
+    The state between two chunks of ids is the unfinished character's bytes (three at
+    most). Malformed bytes yield U+FFFD as ``bytes.decode(errors="replace")`` does.
     """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
-        self.tokens, self.limit = vocabulary.tokens, limit
-        self.steps: dict = {}
+    def __init__(self, vocabulary: Vocabulary):
+        self.token = [vocabulary.tokens.get(i, b"") for i in range(max(vocabulary.tokens, default=0) + 1)].__getitem__
         self.pending = b""
 
     @staticmethod
@@ -370,17 +369,8 @@ class Utf8Decoder:
         return low <= part[1] <= high
 
     def feed(self, ids) -> str:
-        out, steps, pending = [], self.steps, self.pending
-        for i in ids:
-            step = steps.get((pending, i))
-            if step is None:
-                if len(steps) >= self.limit:
-                    steps.clear()
-                step = steps[pending, i] = self.split_complete(pending + self.tokens[i])
-            out.append(step[0])
-            pending = step[1]
-        self.pending = pending
-        return "".join(out)
+        text, self.pending = self.split_complete(self.pending + b"".join(map(self.token, ids)))
+        return text
 
     def finish(self) -> str:
         rest, self.pending = self.pending.decode("utf-8", "replace"), b""
