@@ -80,7 +80,7 @@ def _library(path: str):
     t = Tokenizer.from_file(path)
     pre = t.pre_tokenizer
     by_piece = type(pre).__name__ == "ByteLevel" and t.normalizer is None
-    encode = lambda p: np.asarray(t.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+    encode = lambda p: struct.pack(f"<{len(ids := t.encode(p, add_special_tokens=False).ids)}I", *ids)
     specials = [a.content for a in t.get_added_tokens_decoder().values()]
     return encode, PieceTable(encode) if by_piece else None, specials, t.get_vocab_size(with_added_tokens=True)
 
