@@ -4,7 +4,9 @@ Documents become sets of hashed word shingles and short minwise signatures. Tree
 branch the documents by the minwise token at chosen signature places: documents
 with the same token go to the same child. Small nodes are compared exhaustively;
 larger ones branch on, along two more places at each level, so that a similar pair
-is more likely than not to stay together on some path. Independent trees repeat
+is more likely than not to stay together on some path. A group so dense that
+branching cannot part it is linked by the first trees; the others leave out what
+lies within one component. Independent trees repeat
 this until a pair at the threshold is missed with a chance of (1 - s) ** trees.
 
 Links are confirmed on full sets. A node yields a spanning forest of its links,
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.llm.bpe_fst import PieceTable
-from pathglass.llm.common import materialise, rare_gc, texts_of
+from pathglass.llm.common import materialise, task_tables, text_stream
 
 WORDS = 5
 TREES = 10
+#: Trees whose links settle components before the others are grown.
+FIRST_TREES = 2
 #: Nodes of at most so many documents are compared exhaustively.
 LEAF = 1_000
 #: Levels of a tree; nodes that are still larger are compared block by block.
@@ -78,10 +82,10 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
     def run(batches):
         hashes, zip_ = word_hashes(), zstandard.ZstdCompressor(level=1)
-        with rare_gc():
+        with task_tables("shingles"):
             for b in batches:
                 n, key, sig, packed = [], [], [], []
-                for text in texts_of(b, "__text"):
+                for text in text_stream(b, "__text"):
                     found = shingles(text, hashes, words)
                     n.append(len(found))
                     key.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
@@ -94,8 +98,10 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return rows.mapInArrow(run, "id long, n_shingles long, key binary, sig binary, packed binary")
 
 
-def _branch(rows: DataFrame, level: int, branches: int) -> DataFrame:
-    """(node, key) one level below rows of (node, key, sig): ``branches`` places chosen for each node."""
+def _branch(rows: DataFrame, level: int, roots: list[int] | None = None) -> DataFrame:
+    """(node, key) one level below rows of (node, key, sig): a place for each tree
+    at the root, BRANCHES chosen for each node below."""
+    branches = BRANCHES if roots is None else len(roots)
 
     def run(batches):
         for b in batches:
@@ -103,8 +109,7 @@ def _branch(rows: DataFrame, level: int, branches: int) -> DataFrame:
             for k, (node, s) in enumerate(zip(b.column("node").to_pylist(), b.column("sig").to_pylist(), strict=True)):
                 tokens = np.frombuffer(s, np.uint32)
                 for j in range(branches):
-                    # At the root every tree has a place of its own.
-                    place = j * PLACES // branches if level == 0 else xxhash.xxh3_64_intdigest(f"{node}:{level}:{j}") % PLACES
+                    place = roots[j] if roots else xxhash.xxh3_64_intdigest(f"{node}:{level}:{j}") % PLACES
                     nodes.append(xxhash.xxh3_64_intdigest(f"{node}:{place}:{tokens[place]}") - (1 << 63))
                     at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column("key").take(pa.array(at, pa.int32()))], ["node", "key"])
@@ -112,6 +117,25 @@ def _branch(rows: DataFrame, level: int, branches: int) -> DataFrame:
     return rows.select("node", "key", "sig").mapInArrow(run, "node long, key binary").distinct()
 
 
+def _chunks(large: DataFrame, leaf: int) -> DataFrame:
+    """Large nodes in chunks, each with the node's smallest set: a first, linear look at them."""
+    node = F.xxhash64("node", "chunk")
+    n = F.ceil(F.col("size") / leaf).cast("int")
+    rows = large.select("node", "key", F.pmod(F.xxhash64("key", "node"), n).cast("int").alias("chunk"))
+    pivots = large.groupBy("node").agg(F.min("key").alias("key"), F.max(n).alias("n")).select("node", "key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
+    return rows.unionByName(pivots).select(node.alias("node"), "key").distinct()
+
+
+def _rest_against_all(large: DataFrame, leaf: int) -> DataFrame:
+    """Nodes that one component fills but for a rest: chunks of it, each with the whole rest."""
+    most = F.col("c").eqNullSafe(F.col("most"))
+    n = F.ceil((F.col("size") - F.col("rest")) / leaf).cast("int")
+    own = F.pmod(F.xxhash64("key", "node"), n).cast("int")
+    chunk = F.explode(F.when(most, F.array(own)).otherwise(F.sequence(F.lit(0), n - 1)))
+    rows = large.select("node", "key", chunk.alias("chunk"))
+    return rows.select(F.xxhash64("node", "chunk").alias("node"), "key")
+
+
 def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     """Members of nodes that no level made small: every pair of blocks becomes a node of its own."""
     n = F.ceil(F.col("size") / max(1, leaf // 2)).cast("int")
@@ -121,24 +145,42 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     return rows.select(node.alias("node"), "key")
 
 
-def _leaves(described: DataFrame, reps: DataFrame, trees: int, leaf: int, levels: int) -> DataFrame:
-    """(node, members): the sets in each node with 2 or more; equal member lists once."""
-    level = _branch(described.withColumn("node", F.lit(0).cast("long")), 0, trees)
+def _leaves(described: DataFrame, reps: DataFrame, roots: list[int], leaf: int, levels: int, labels: DataFrame | None = None) -> DataFrame:
+    """(node, members): sets to compare exhaustively; equal member lists once.
+
+    Without ``labels`` (the first trees) large nodes are only looked at in chunks,
+    which is enough to join a dense group. With the components (id, component) that
+    this has shown, nodes within one component are finished; large ones that one
+    component nearly fills compare the rest with everything, others branch on.
+    """
+    level = _branch(described.withColumn("node", F.lit(0).cast("long")), 0, roots)
     lists = lambda rows: rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("members")).select("members")
     out = None
     for depth in range(1, levels + 1):
+        # Counts combine before the shuffle. Most nodes hold one set and go here.
         level = materialise(level, "tree-level")
-        # Counts combine before the shuffle; lists are only made of small nodes.
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        small = lists(level.join(sizes.filter(F.col("size") <= leaf), "node"))
-        out = small if out is None else out.unionByName(small)
-        large = level.join(sizes.filter(F.col("size") > leaf), "node")
+        shared = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        shared = level.join(shared, "node")
+        if labels is not None:
+            at = shared.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
+            at = at.select("node", "key", "size", "c")
+            parts = at.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("c", "m").alias("most"))
+            open_ = parts.filter("parts > 1").select("node", "most", (F.col("all") - F.col("m")).alias("rest"))
+            shared = at.join(open_, "node")
+        shared = materialise(shared, "tree-shared")
+        small, large = shared.filter(F.col("size") <= leaf), shared.filter(F.col("size") > leaf)
+        out = lists(small) if out is None else out.unionByName(lists(small))
         if large.isEmpty():
             break
+        if labels is None:
+            out = out.unionByName(lists(_chunks(large, leaf)))
+            break
+        out = out.unionByName(lists(_rest_against_all(large.filter(F.col("rest") <= leaf), leaf)))
+        large = large.filter(F.col("rest") > leaf)
         if depth == levels:
             out = out.unionByName(lists(_blocks(large, leaf)))
         else:
-            level = _branch(large.join(reps.select("key", "sig"), "key"), depth, BRANCHES)
+            level = _branch(large.join(reps.select("key", "sig"), "key"), depth)
     out = out.filter(F.size("members") > 1)
     node = F.sha2(F.array_join(F.transform("members", F.hex), ""), 256)
     return out.groupBy(node.alias("node")).agg(F.first("members").alias("members"))
@@ -221,8 +263,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, tree
     classes = materialise(with_set.groupBy("key").agg(F.min("id").alias("first")), "set-classes")
     # A row for each set, but for rows that repeat an id with its set.
     reps = with_set.join(classes, "key").filter(F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed")
-    links = _links(_leaves(with_set, reps, trees, leaf, levels), reps, percent, words)
-    labels = components(links).withColumnRenamed("id", "key")
+    places = [k * PLACES // trees for k in range(trees)]
+    # The first trees find most components; the others skip what these have settled.
+    early = materialise(_links(_leaves(with_set, reps, places[:FIRST_TREES], leaf, levels), reps, percent, words), "links")
+    late = _links(_leaves(with_set, reps, places[FIRST_TREES:], leaf, levels, components(early)), reps, percent, words)
+    labels = components(early.unionByName(late)).withColumnRenamed("id", "key")
     labelled = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_key = labelled.join(names, "component").select("key", "component_id")
