@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
 from pathglass.operators.timeline import selected, timeline, timeline_order
 from pathglass.sources import star
+from pathglass.storage import shared_dir
+from pathglass.streaming.call_stacks import run_to_end, stream_stacks
 
 #: A window and an instant inside the star tables' span of time.
 WINDOW = (50_000_000_000_000_000, 150_000_000_000_000_000)
@@ -283,13 +287,18 @@ def cache_key(spark, sf):
     return part.select("p_partkey", scalars.content_key(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("key"))
 
 
-def _symbolic(spark, sf):
-    """The record stream classified, with functions: one for each 256 bytes, every seventh unknown."""
-    rows = reconstruct.classify(star.records(spark, sf).withColumn("task_kind", F.lit(None).cast("string")).withColumn("code", F.lit(None).cast("int")).withColumn("message", F.lit(None).cast("string")))
+def _with_functions(records: DataFrame) -> DataFrame:
+    """Records classified, with functions: one for each 256 bytes, one of them unknown."""
+    nothing = {"task_kind": "string", "code": "int", "message": "string"}
+    rows = reconstruct.classify(records.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}))
     of = lambda c: F.nullif(F.shiftright(c, 8) - 15, F.lit(7).cast("long"))
     return rows.withColumn("from_fn", of(F.col("ip"))).withColumn("to_fn", of(F.col("addr")))
 
 
+def _symbolic(spark, sf):
+    return _with_functions(star.records(spark, sf))
+
+
 def reconstruct_spans(spark, sf):
     return reconstruct.reconstruct(_symbolic(spark, sf))[0]
 
@@ -298,6 +307,13 @@ def reconstruct_gaps(spark, sf):
     return reconstruct.reconstruct(_symbolic(spark, sf))[1]
 
 
+def stream_reconstruct(spark, sf):
+    """The event stream as a stream, its stacks in state; spans and gaps as they close."""
+    events = spark.readStream.schema(star.star(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")  # a pattern names a file or a folder
+    rows = _with_functions(star.records_of(events)).withColumn("cpu_first_ns", F.lit(0).cast("long"))
+    return run_to_end(stream_stacks(rows), f"{shared_dir(spark)}/pathglass/stream-{uuid.uuid4().hex}")
+
+
 def retained_events(spark, sf):
     return reconstruct.retained_events(_symbolic(spark, sf))
 
@@ -348,4 +364,5 @@ QUERIES = {
     "reconstruct_spans": reconstruct_spans,
     "reconstruct_gaps": reconstruct_gaps,
     "retained_events": retained_events,
+    "stream_reconstruct": stream_reconstruct,
 }

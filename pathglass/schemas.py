@@ -3,11 +3,26 @@ longs; a column that a producer may leave out is nullable."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
+
+_SEGMENT = StructType().add("start", LongType()).add("end", LongType())
+_TYPES = {
+    "long": LongType(),
+    "int": IntegerType(),
+    "string": StringType(),
+    "boolean": BooleanType(),
+    "strings": ArrayType(StringType()),
+    "segments": ArrayType(_SEGMENT),
+}
 
 
 def _schema(text: str) -> StructType:
-    return StructType.fromDDL(", ".join(line.strip() for line in text.strip().splitlines()))
+    """A name and a type in each line; needs no session, unlike Spark's own DDL."""
+    out = StructType()
+    for line in text.strip().splitlines():
+        name, kind = line.split()
+        out = out.add(name, _TYPES[kind])
+    return out
 
 
 RECORDS = _schema("""
@@ -90,7 +105,7 @@ span_count long
 gap_count long
 covered_ns long
 segment_count long
-segments array<struct<start: long, end: long>>
+segments segments
 """)
 
 FUNCTIONS = _schema("""
@@ -129,7 +144,7 @@ valid_to long
 INLINE_ROWS = _schema("""
 thread string
 function long
-chain array<string>
+chain strings
 instructions long
 blocks long
 elapsed_ns long

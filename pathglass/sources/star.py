@@ -85,11 +85,15 @@ EVENT_FLAGS = {"view": "call", "purchase": "return", "click": "jcc", "error": "a
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream as branch samples of RECORDS' columns, a thread for each user.
+    """The event stream as branch samples of RECORDS' columns, a thread for each user."""
+    return records_of(star(spark, sf_dir, "events"))
+
+
+def records_of(e: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as samples.
 
     Signups end and restart tracing in turn; addresses follow from ids and ``props``.
     """
-    e = star(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     flags = F.create_map(*(F.lit(x) for pair in EVENT_FLAGS.items() for x in pair))
     signup = F.when(F.col("event_id") % 2 == 0, "tr end call").otherwise("tr strt")
