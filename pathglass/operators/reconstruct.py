@@ -151,7 +151,7 @@ def prepare(records: DataFrame) -> DataFrame:
             records = records.withColumn(name, F.lit(None).cast("long"))
     rows = records.filter("record_type in ('sample', 'decoder_error') or (record_type = 'task' and task_kind = 'exit')")
     rows = generations(rows.filter("pid is not null and tid is not null"))
-    rows = rows.join(first_times(records), "cpu", "left").withColumnRenamed("first_ns", "cpu_first_ns")
+    rows = rows.drop("cpu_first_ns").join(first_times(records), "cpu", "left").withColumnRenamed("first_ns", "cpu_first_ns")
     thread = Window.partitionBy("pid", "tid", "generation").orderBy("seq")
     earlier = thread.rowsBetween(Window.unboundedPreceding, -1)
     sample = F.col("record_type") == "sample"
