@@ -9,6 +9,7 @@ from pathglass.functions.scalars import UNKNOWN, duration, shorten_path
 from pathglass.operators.call_paths import call_paths, named
 from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
+from pathglass.storage import cut
 
 #: A 99th percentile needs this many calls.
 P99_CALLS = 1_000
@@ -45,6 +46,8 @@ def hotpaths(spans: DataFrame, functions: DataFrame, group: str = "function", de
     rows = rows.join(self_times(spans), "id", "left")
     called = F.col("completeness").eqNullSafe("complete") & contained(start_ns, end_ns)
     rows = rows.select("path", called.alias("called"), F.when(called, duration(F.col("start_ns"), F.col("end_ns"))).alias("inclusive"), F.when(called, F.col("self_ns")).alias("own"))
+    # Three aggregations read these few columns.
+    rows = cut(rows, "calls")
     sums = rows.groupBy("path").agg(
         F.count(F.lit(1)).alias("observed_entries"),
         F.count_if("called").alias("complete_calls"),

@@ -170,6 +170,10 @@ def prepare(records: DataFrame) -> DataFrame:
     return rows.withColumn("segment", resets).filter(~moot)
 
 
+SEGMENT = ("pid", "tid", "generation", "segment")
+#: Groups of segments for each shuffle partition.
+GROUPS = 4
+
 _READ = ["record_type", "time_ns", "cpu", "cpu_first_ns", "code", "message", "regressed_from", "event_id", "from_fn", "to_fn", "ip", "kind", *BOUNDARIES]
 
 
@@ -179,15 +183,27 @@ def _segments(prepared: DataFrame) -> DataFrame:
     schema = pa.schema([(n, pa.string() if t == "string" else pa.bool_() if t == "boolean" else pa.int64()) for n, t in (p.split() for p in OUTPUT.split(", "))])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        stack = CallStack(table.column("thread")[0].as_py())
-        for row in table.select(_READ).to_pylist():
+        table = table.sort_by([(k, "ascending") for k in (*SEGMENT, "seq")])
+        keys = list(zip(*(table.column(k).to_pylist() for k in SEGMENT), strict=True))
+        out: list = []
+        stack, current = None, None
+        for key, thread, row in zip(keys, table.column("thread").to_pylist(), table.select(_READ).to_pylist(), strict=True):
+            if key != current:
+                if stack is not None:
+                    stack.finish()
+                    out += stack.out
+                stack, current = CallStack(thread), key
             stack.feed(row)
-        stack.finish()
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*stack.out, strict=True), schema, strict=True)] if stack.out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    columns = ["pid", "tid", "generation", "segment", "thread", "seq", *_READ]
-    return prepared.select(*columns).groupBy("pid", "tid", "generation", "segment").applyInArrow(run, OUTPUT)
+        if stack is not None:
+            stack.finish()
+            out += stack.out
+        columns = list(zip(*out, strict=True)) or [()] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    # Segments are many and small: they are dealt by a hash, whole ones to each group.
+    groups = GROUPS * int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prepared.select(*SEGMENT, "thread", "seq", *_READ).withColumn("deal", F.pmod(F.xxhash64(*SEGMENT), F.lit(groups)))
+    return dealt.groupBy("deal").applyInArrow(run, OUTPUT)
 
 
 def with_event_ids(records: DataFrame) -> DataFrame:

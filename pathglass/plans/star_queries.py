@@ -14,7 +14,7 @@ from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
 from pathglass.operators.timeline import selected, timeline, timeline_order
 from pathglass.sources import star
-from pathglass.storage import shared_dir
+from pathglass.storage import cut, shared_dir
 from pathglass.streaming.call_stacks import run_to_end, stream_stacks
 
 #: A window and an instant inside the star tables' span of time.
@@ -27,8 +27,14 @@ def _spans(spark, sf):
     return star.spans(spark, sf), star.functions(spark, sf)
 
 
+def _derived(spark, sf):
+    """The spans as a written table, as a store holds them, for plans that read them more than once."""
+    spans, functions = _spans(spark, sf)
+    return cut(spans, "spans"), functions
+
+
 def hotpaths_function(spark, sf):
-    return hotpaths.hotpaths(*_spans(spark, sf))
+    return hotpaths.hotpaths(*_derived(spark, sf))
 
 
 def _ranked(rows: DataFrame, sort: str) -> DataFrame:
@@ -37,23 +43,23 @@ def _ranked(rows: DataFrame, sort: str) -> DataFrame:
 
 
 def hotpaths_self_time(spark, sf):
-    return _ranked(hotpaths.hotpaths(*_spans(spark, sf)), "self_time")
+    return _ranked(hotpaths.hotpaths(*_derived(spark, sf)), "self_time")
 
 
 def hotpaths_calls(spark, sf):
-    return _ranked(hotpaths.hotpaths(*_spans(spark, sf)), "calls")
+    return _ranked(hotpaths.hotpaths(*_derived(spark, sf)), "calls")
 
 
 def hotpaths_path(spark, sf):
-    return hotpaths.hotpaths(*_spans(spark, sf), group="path")
+    return hotpaths.hotpaths(*_derived(spark, sf), group="path")
 
 
 def hotpaths_path_depth1(spark, sf):
-    return hotpaths.hotpaths(*_spans(spark, sf), group="path", depth=1)
+    return hotpaths.hotpaths(*_derived(spark, sf), group="path", depth=1)
 
 
 def hotpaths_window(spark, sf):
-    return hotpaths.hotpaths(*_spans(spark, sf), start_ns=WINDOW[0], end_ns=WINDOW[1], contains="part::")
+    return hotpaths.hotpaths(*_derived(spark, sf), start_ns=WINDOW[0], end_ns=WINDOW[1], contains="part::")
 
 
 def hotpaths_inline(spark, sf):
@@ -61,11 +67,11 @@ def hotpaths_inline(spark, sf):
 
 
 def hotpaths_totals(spark, sf):
-    return hotpaths.totals(hotpaths.hotpaths(*_spans(spark, sf)))
+    return hotpaths.totals(hotpaths.hotpaths(*_derived(spark, sf)))
 
 
 def self_time_per_span(spark, sf):
-    return self_times(star.spans(spark, sf))
+    return self_times(_derived(spark, sf)[0])
 
 
 def quantiles(spark, sf):
@@ -87,13 +93,13 @@ def timeline_page2(spark, sf):
 
 
 def at_instant(spark, sf):
-    rows = call_paths.at_instant(*_spans(spark, sf), INSTANT)
+    rows = call_paths.at_instant(*_derived(spark, sf), INSTANT)
     return rows.withColumn("stack", F.array_join("stack", " > "))
 
 
 def _by_year(spark, sf, low: int, high: int):
     year = F.year(F.timestamp_micros(F.floor((F.col("start_ns") + star.ORIGIN_NS) / 1000).cast("long")))
-    spans, functions = _spans(spark, sf)
+    spans, functions = _derived(spark, sf)
     return hotpaths.hotpaths(spans.filter(year.between(low, high)), functions)
 
 
