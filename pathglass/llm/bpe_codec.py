@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.llm.bpe_fst import Utf8Decoder, encoder, load_vocabulary
-from pathglass.llm.common import rare_gc, texts_of
+from pathglass.llm.common import release_with, task_tables, text_stream
 
 #: Ids decoded at a time; the decoder carries its state from chunk to chunk.
 DECODE_CHUNK = 4096
 
 
-def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", scale: float = 1) -> DataFrame:
     """(id_col, ids): each whole text as a binary of little-endian unsigned 32-bit ids.
 
     Null and empty texts give an empty binary. Rows are treated one by one, so
@@ -30,10 +30,11 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches):
-        enc = encoder(vocabulary)
-        with rare_gc():
+        with task_tables("bpe"):
+            enc = encoder(vocabulary, scale)
+            release_with("bpe", encoder.cache_clear)
             for b in batches:
-                ids = [enc.encode(x) for x in texts_of(b, "__text")]
+                ids = [enc.encode(x) for x in text_stream(b, "__text")]
                 yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(ids, pa.binary())], ["__id", "__ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -45,8 +46,8 @@ def decode_ids(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
     """(id_col, text): the texts of binaries as :func:`encode_texts` makes them; null ids give an empty text."""
 
     def run(batches):
-        decoder = Utf8Decoder(load_vocabulary(vocabulary))
-        with rare_gc():
+        with task_tables("bpe"):
+            decoder = Utf8Decoder(load_vocabulary(vocabulary))
             for b in batches:
                 texts = [decode_text(decoder, x or b"") for x in b.column("__ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(texts, pa.string())], ["__id", "__text"])
@@ -62,7 +63,7 @@ def decode_text(decoder: Utf8Decoder, ids: bytes) -> str:
     return "".join([*parts, decoder.finish()])
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", scale: float = 1) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): encode, then decode what was encoded.
 
     Both steps run in one pass over the rows. Null texts count as empty: no
@@ -70,11 +71,12 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """
 
     def run(batches):
-        enc, decoder = encoder(vocabulary), Utf8Decoder(load_vocabulary(vocabulary))
-        with rare_gc():
+        with task_tables("bpe"):
+            enc, decoder = encoder(vocabulary, scale), Utf8Decoder(load_vocabulary(vocabulary))
+            release_with("bpe", encoder.cache_clear)
             for b in batches:
                 n, ids_sha, text_sha = [], [], []
-                for x in texts_of(b, "__text"):
+                for x in text_stream(b, "__text"):
                     ids = enc.encode(x)
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())

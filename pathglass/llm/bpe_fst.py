@@ -91,7 +91,7 @@ def _from_ranks(path: str) -> Vocabulary:
     return Vocabulary(tokens, merges, True, {})
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable stand-ins for bytes that byte-level vocabulary files use."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -113,7 +113,7 @@ def _from_json(path: str) -> Vocabulary:
     )
     if not plain:
         raise ValueError(f"not a plain byte-level BPE file: {path}")
-    letters = _byte_letters()
+    letters = byte_letters()
     specials = {a["content"]: a["id"] for a in spec["added_tokens"]}
     raw = lambda s: bytes(letters[c] for c in s)
     vocab = {raw(s): i for s, i in model["vocab"].items() if s not in specials}
@@ -144,7 +144,7 @@ class _State:
 class Transducer:
     """Encodes pieces; every transition carries the tokens it emits and their number."""
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 80_000, max_pairs: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 120_000, max_pairs: int = 250_000):
         self.v = vocabulary
         self.max_states, self.max_pairs = max_states, max_pairs
         self.states: dict = {}
@@ -269,7 +269,7 @@ class Transducer:
 class PieceTable(dict):
     """Remembers results for pieces of text: the latest ``limit``, and those met among the ``limit`` before."""
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
+    def __init__(self, make, limit: int = 120_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest, self.older = make, limit, longest, {}
 
@@ -305,12 +305,12 @@ def split_pieces(text: str) -> list[str]:
 class TextEncoder:
     """Whole texts to little-endian 32-bit ids, by the vocabulary's merges."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.fst = Transducer(vocabulary)
+    def __init__(self, vocabulary: Vocabulary, scale: float = 1):
+        self.fst = Transducer(vocabulary, int(120_000 * scale), int(250_000 * scale))
         self.specials = vocabulary.specials
         self.cut = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.ids = PieceTable(lambda p: struct.pack(f"<{len(ids := self.fst.encode(p.encode()))}I", *ids))
-        self.counts = PieceTable(lambda p: self.fst.count(p.encode()))
+        self.ids = PieceTable(lambda p: struct.pack(f"<{len(ids := self.fst.encode(p.encode()))}I", *ids), int(120_000 * scale))
+        self.counts = PieceTable(lambda p: self.fst.count(p.encode()), int(120_000 * scale))
 
     def _parts(self, text: str):
         """Text between special strings, and the special ids between those."""
@@ -331,9 +331,13 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> TextEncoder:
-    """One encoder for each vocabulary file and Python worker."""
-    return TextEncoder(load_vocabulary(path))
+def encoder(path: str, scale: float = 1) -> TextEncoder:
+    """One encoder for each vocabulary file and Python worker.
+
+    ``scale`` multiplies the bounds of its tables, about 200 MB at 1: larger ones make
+    fewer states anew, smaller ones leave more memory to Spark.
+    """
+    return TextEncoder(load_vocabulary(path), scale)
 
 
 class Utf8Decoder:

@@ -15,6 +15,8 @@ not all pairs, and components are joined by label propagation on tables.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.llm.bpe_fst import PieceTable
-from pathglass.llm.common import materialise, task_tables, text_stream
+from pathglass.llm.common import Scratch, release_with, task_tables, text_stream
 
 WORDS = 5
 TREES = 10
@@ -52,8 +54,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(maxsize=1)
 def word_hashes() -> PieceTable:
-    return PieceTable(lambda w: xxhash.xxh3_64_intdigest(w))
+    """The hash of each word; one table for each Python worker."""
+    return PieceTable(xxhash.xxh3_64_intdigest)
 
 
 def shingles(text: str, hashes: PieceTable, words: int = WORDS) -> np.ndarray:
@@ -81,8 +85,9 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     """(id, n_shingles, key, sig, packed): key names the set, packed is the compressed text."""
 
     def run(batches):
-        hashes, zip_ = word_hashes(), zstandard.ZstdCompressor(level=1)
         with task_tables("shingles"):
+            release_with("shingles", word_hashes.cache_clear)
+            hashes, zip_ = word_hashes(), zstandard.ZstdCompressor(level=1)
             for b in batches:
                 n, key, sig, packed = [], [], [], []
                 for text in text_stream(b, "__text"):
@@ -145,7 +150,7 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     return rows.select(node.alias("node"), "key")
 
 
-def _leaves(described: DataFrame, reps: DataFrame, roots: list[int], leaf: int, levels: int, labels: DataFrame | None = None) -> DataFrame:
+def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list[int], leaf: int, levels: int, labels: DataFrame | None = None) -> DataFrame:
     """(node, members): sets to compare exhaustively; equal member lists once.
 
     Without ``labels`` (the first trees) large nodes are only looked at in chunks,
@@ -158,7 +163,7 @@ def _leaves(described: DataFrame, reps: DataFrame, roots: list[int], leaf: int,
     out = None
     for depth in range(1, levels + 1):
         # Counts combine before the shuffle. Most nodes hold one set and go here.
-        level = materialise(level, "tree-level")
+        level = scratch.table(level, "tree-level")
         shared = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         shared = level.join(shared, "node")
         if labels is not None:
@@ -167,7 +172,7 @@ def _leaves(described: DataFrame, reps: DataFrame, roots: list[int], leaf: int,
             parts = at.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("c", "m").alias("most"))
             open_ = parts.filter("parts > 1").select("node", "most", (F.col("all") - F.col("m")).alias("rest"))
             shared = at.join(open_, "node")
-        shared = materialise(shared, "tree-shared")
+        shared = scratch.table(shared, "tree-shared")
         small, large = shared.filter(F.col("size") <= leaf), shared.filter(F.col("size") > leaf)
         out = lists(small) if out is None else out.unionByName(lists(small))
         if large.isEmpty():
@@ -216,33 +221,34 @@ def link_node(keys: list, sets: list[np.ndarray], sigs: np.ndarray, percent: int
 
 def _links(leaves: DataFrame, reps: DataFrame, percent: int, words: int) -> DataFrame:
     """(a, b): confirmed links that connect all linked sets of each leaf."""
-    rows = reps.join(leaves.select("node", F.explode("members").alias("key")), "key").select("node", "key", "sig", "packed")
+    rows = reps.join(leaves.select("node", F.explode("members").alias("key")), "key").select("node", "key", "packed")
 
     def run(table: pa.Table) -> pa.Table:
         hashes, unzip = word_hashes(), zstandard.ZstdDecompressor()
-        packed = dict(zip(table.column("key").to_pylist(), zip(table.column("packed").to_pylist(), table.column("sig").to_pylist(), strict=True), strict=True))
+        packed = dict(zip(table.column("key").to_pylist(), table.column("packed").to_pylist(), strict=True))
         keys = sorted(packed)
-        sets = [shingles(unzip.decompress(packed[k][0]).decode(), hashes, words) for k in keys]
-        found = link_node(keys, sets, np.stack([np.frombuffer(packed[k][1], np.uint32) for k in keys]), percent)
+        sets = [shingles(unzip.decompress(packed[k]).decode(), hashes, words) for k in keys]
+        found = link_node(keys, sets, np.stack([signature(x) for x in sets]), percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
     return rows.groupBy("node").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest end of any link that is reachable from each, for links (a, b).
 
     Each round sends every end the smallest label next to it and then jumps to the
     label's own label; rounds are written to the shared folder.
     """
-    edges = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
-    labels = materialise(labels, "labels")
+    labels = scratch.table(labels, "labels")
     for _ in range(rounds):
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         joined = labels.join(near, "id").select("id", F.col("component").alias("before"), F.least("component", "m").alias("component"))
         own = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = materialise(joined.join(own, "component").select("id", "before", F.least("component", "further").alias("component")), "labels")
+        new = scratch.table(joined.join(own, "component").select("id", "before", F.least("component", "further").alias("component")), "labels")
         labels = new.select("id", "component")
         if new.filter("before != component").isEmpty():
             return labels
@@ -258,19 +264,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, tree
     every row of it is kept. Rows that repeat an id are documents of their own.
     An empty table gives no rows; other columns are not read.
     """
-    described = materialise(_describe(docs, id_col, text_col, words), "shingled")
+    scratch = Scratch(docs.sparkSession)
+    described = scratch.table(_describe(docs, id_col, text_col, words), "shingled")
     with_set = described.filter(F.col("key").isNotNull())
-    classes = materialise(with_set.groupBy("key").agg(F.min("id").alias("first")), "set-classes")
+    classes = scratch.table(with_set.groupBy("key").agg(F.min("id").alias("first")), "set-classes")
     # A row for each set, but for rows that repeat an id with its set.
     reps = with_set.join(classes, "key").filter(F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed")
     places = [k * PLACES // trees for k in range(trees)]
     # The first trees find most components; the others skip what these have settled.
-    early = materialise(_links(_leaves(with_set, reps, places[:FIRST_TREES], leaf, levels), reps, percent, words), "links")
-    late = _links(_leaves(with_set, reps, places[FIRST_TREES:], leaf, levels, components(early)), reps, percent, words)
-    labels = components(early.unionByName(late)).withColumnRenamed("id", "key")
+    early = scratch.table(_links(_leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels), reps, percent, words), "links")
+    late = _links(_leaves(scratch, with_set, reps, places[FIRST_TREES:], leaf, levels, components(early, scratch)), reps, percent, words)
+    labels = components(early.unionByName(late), scratch).withColumnRenamed("id", "key")
     labelled = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_key = labelled.join(names, "component").select("key", "component_id")
     rows = described.select("id", "n_shingles", "key").join(by_key, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))
+    out = rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))
+    return scratch.result(out, "components")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -40,6 +41,27 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are deleted once an operator's result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, new_path(spark, "scratch"), 0
+
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n:03d}-{what}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, what: str) -> DataFrame:
+        """``df`` written to a folder of its own; the scratch tables go."""
+        out = materialise(df, what)
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,17 +70,48 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Python workers outlive tasks; what an operator's tables hold is let go when another one's task starts.
+_tables: dict = {"owner": None, "release": []}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker shares its executor's limit with the JVM."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def release_with(owner: str, release) -> None:
+    """Call ``release`` before tasks of other owners run in this worker."""
+    if _tables["owner"] == owner and release not in _tables["release"]:
+        _tables["release"].append(release)
+
+
 @contextlib.contextmanager
-def rare_gc():
-    """Inside a task that fills large tables of small tuples: fewer passes of the cyclic collector over them."""
+def task_tables(owner: str):
+    """Inside a task that fills large tables of small tuples.
+
+    Frees the tables of other operators first, and lets the cyclic collector pass
+    over the own ones less often.
+    """
+    if _tables["owner"] != owner:
+        for release in _tables["release"]:
+            release()
+        _tables.update(owner=owner, release=[])
+        gc.collect()
+    give_back()
     before = gc.get_threshold()
     gc.set_threshold(100_000, 50, 1000)
     try:
         yield
     finally:
         gc.set_threshold(*before)
+        give_back()
 
 
-def texts_of(batch, name: str) -> list[str]:
-    """A string column of an Arrow batch; null becomes the empty text."""
-    return [x or "" for x in batch.column(name).to_pylist()]
+def text_stream(batch, name: str):
+    """The texts of an Arrow batch one by one; null becomes the empty text."""
+    for x in batch.column(name):
+        yield x.as_py() or ""

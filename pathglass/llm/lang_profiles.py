@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathglass.llm.common import task_tables, text_stream
+
 #: N-grams in a profile.
 RANKS = 400
 #: About as many labelled rows are learned from at most, chosen by a hash of their id.
@@ -68,15 +70,16 @@ def learn_profiles(labelled: DataFrame, ranks: int = RANKS, sample_rows: int = S
     rows = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
-        for b in batches:
-            found, held = {}, 0
-            for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
-                found.setdefault(lang.as_py(), []).append(ngram_codes(text.as_py()))
-                held += len(found[lang.as_py()][-1])
-                if held > FLUSH_CODES:
-                    yield from partial_counts(found)
-                    found, held = {}, 0
-            yield from partial_counts(found)
+        with task_tables("languages"):
+            for b in batches:
+                found, held = {}, 0
+                for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
+                    found.setdefault(lang.as_py(), []).append(ngram_codes(text.as_py()))
+                    held += len(found[lang.as_py()][-1])
+                    if held > FLUSH_CODES:
+                        yield from partial_counts(found)
+                        found, held = {}, 0
+                yield from partial_counts(found)
 
     def partial_counts(found):
         for lang, parts in found.items():
@@ -128,10 +131,11 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], ranks: in
 
     def run(batches):
         model = Profiles(profiles, ranks)
-        for b in batches:
-            got = [model.predict(x.as_py() or "") for x in b.column(text_col)]
-            names = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *names], [*b.schema.names, pred_col, score_col])
+        with task_tables("languages"):
+            for b in batches:
+                got = [model.predict(x) for x in text_stream(b, text_col)]
+                names = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *names], [*b.schema.names, pred_col, score_col])
 
     fields = [*docs.schema.fields]
     schema = type(docs.schema)(fields).add(pred_col, "string").add(score_col, "double")

@@ -24,7 +24,7 @@ def op3_token_files(spark, sf_dir):
 
 
 def op4_bpe_codec(spark, sf_dir):
-    return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", scale=1.6)
 
 
 def op5_suffix_lpf(spark, sf_dir):
@@ -40,7 +40,7 @@ def op7_lang_profiles(spark, sf_dir):
 
 
 def op8_token_counts(spark, sf_dir):
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", scale=2.5)
 
 
 def op9_warc(spark, sf_dir):

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.common import materialise
+from pathglass.llm.common import give_back, materialise, task_tables
 
 LENGTH = 50
 #: Bytes of an anchor.
@@ -142,6 +142,10 @@ def _anchor_lists(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     small = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def run(batches):
+        with task_tables("suffixes"):
+            yield from listed(batches)
+
+    def listed(batches):
         held, n = [], 0
         for b in batches:
             texts = [(x.as_py() or "").encode() for x in b.column("text")]
@@ -211,6 +215,7 @@ def _cut_stretches(rows: DataFrame, shared: DataFrame, buckets: int, length: int
         return pa.table({"bucket": pa.array(numbers, pa.int32()), "heads": pa.array(blobs, pa.binary()), "texts": pa.array(packed, pa.binary())})
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        give_back()
         known = [(np.frombuffer(t.as_py(), "<u4").astype(np.uint64) | np.uint64(k.as_py() << 32)) for k, t in zip(shared.column("bucket"), shared.column("tags"), strict=True)]
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         held, size, out = [], 0, []
@@ -297,6 +302,7 @@ def _marks(cut: DataFrame, buckets: int, length: int) -> DataFrame:
     """(batch, marks): byte ranges to remove, by row."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         unzip = zstandard.ZstdDecompressor()
         ids: dict[bytes, int] = {}  # distinct stretches of the bucket
         heads, own = [], []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.llm.bpe_fst import RUN, TextEncoder, encoder
-from pathglass.llm.common import rare_gc, texts_of
+from pathglass.llm.common import release_with, task_tables, text_stream
 
 #: Characters in a chunk.
 CHUNK = 1 << 16
@@ -83,7 +83,7 @@ def count_text(text: str, enc: TextEncoder, chunk: int = CHUNK) -> int:
     return apply_to_start(prefix_scan(maps, enc)[-1], enc)
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, scale: float = 1) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) for each row.
 
     The count is that of the vocabulary's own library without begin or end
@@ -93,12 +93,14 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     """
 
     def run(batches):
-        enc = encoder(vocabulary)
-        with rare_gc():
+        with task_tables("bpe"):
+            enc = encoder(vocabulary, scale)
+            release_with("bpe", encoder.cache_clear)
             for b in batches:
-                texts = texts_of(b, "__text")
-                n = [count_text(x, enc, chunk) for x in texts]
-                size = [len(x) if x.isascii() else len(x.encode()) for x in texts]
+                n, size = [], []
+                for x in text_stream(b, "__text"):
+                    n.append(count_text(x, enc, chunk))
+                    size.append(len(x) if x.isascii() else len(x.encode()))
                 columns = [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([b.column("__id"), *columns], ["__id", "n_bytes", "n_tokens", "over_limit"])
 

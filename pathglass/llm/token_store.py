@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathglass.llm.bpe_fst import PieceTable, split_pieces
-from pathglass.llm.common import new_path, rare_gc, texts_of
+from pathglass.llm.bpe_fst import PieceTable, byte_letters, split_pieces
+from pathglass.llm.common import new_path, release_with, task_tables, text_stream
 from pathglass.llm.elias_fano import EliasFano
 
 _HEAD = struct.Struct("<4sBBQQq")  # magic, version, bytes of an id, documents, of these without id, smallest id
@@ -75,14 +75,21 @@ class TokenFile:
 
 @lru_cache(maxsize=2)
 def _library(path: str):
+    """(whole texts, table of pieces or None, special strings, number of ids) of the tokenizer."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    pre = t.pre_tokenizer
-    by_piece = type(pre).__name__ == "ByteLevel" and t.normalizer is None
-    encode = lambda p: struct.pack(f"<{len(ids := t.encode(p, add_special_tokens=False).ids)}I", *ids)
+    whole = lambda text: _packed(t.encode(text, add_special_tokens=False).ids)
+    by_piece = type(t.pre_tokenizer).__name__ == "ByteLevel" and type(t.model).__name__ == "BPE" and t.normalizer is None
+    shown = "".join(sorted(byte_letters(), key=byte_letters().get))
+    # The model sees bytes as printable letters.
+    piece = lambda p: _packed([x.id for x in t.model.tokenize(p.encode().decode("latin-1").translate(shown))])
     specials = [a.content for a in t.get_added_tokens_decoder().values()]
-    return encode, PieceTable(encode) if by_piece else None, specials, t.get_vocab_size(with_added_tokens=True)
+    return whole, PieceTable(piece, 300_000) if by_piece else None, specials, t.get_vocab_size(with_added_tokens=True)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _encode(path: str, text: str) -> bytes:
@@ -111,9 +118,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             file = pack_file(keys, ids, width)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([file], pa.binary())], ["part", "before", "n_docs", "n_ids", "file"])
 
-        with rare_gc():
+        with task_tables("token files"):
+            release_with("token files", _library.cache_clear)
             for b in batches:
-                for key, text in zip(b.column("__id").to_pylist(), texts_of(b, "__text"), strict=True):
+                for key, text in zip(b.column("__id").to_pylist(), text_stream(b, "__text"), strict=True):
                     got = _encode(tokenizer, text) + end
                     keys.append(key)
                     ids.append(got)
