@@ -3,17 +3,26 @@
 A seed is the hash of the words at a mask's marked positions, so a substituted word
 at an unmarked one leaves it unchanged. Training seeds are joined to those of the
 benchmark items; around each hit the two word sequences are aligned and compared
-position by position. Everything is DataFrame functions.
+position by position. The masks are lossless: whatever words of a window are
+substituted, one of them hits as long as enough words agree. Everything is
+DataFrame functions.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Marked positions count, others are ignored. The first survives the loss of every
-#: fourth word, the second that of every fifth.
+#: The masks of the SQL, which finds only what one of these two hits: less than the operator.
 MASKS = ("1110111", "110101101")
+#: Marked positions count, others are ignored. Windows take the first set of which
+#: a mask hits under every substitution they allow: at 75 % the first holds for 6, 7
+#: and from 9 to 13 words, the others for 3, 5 and 8, for 4, for 2 and for 1.
+MASK_SETS = (("11101", "100111"), ("111", "1101"), ("111", "1101", "1011"), ("11",), ("1",))
 #: Aligned words looked at together (or the whole item, if it is shorter), and the
 #: share of them that must agree.
 WINDOW, SHARE_PERCENT = 13, 75
@@ -38,26 +47,45 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _seed_array(h: Column) -> Column:
-    def of_mask(number: int, mask: str) -> Column:
+def covers(masks: tuple[str, ...], n: int, lost: int) -> bool:
+    """Whether some mask hits, wherever ``lost`` of ``n`` words are substituted."""
+    places = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+    return all(any(p.isdisjoint(gone) for p in places) for gone in combinations(range(n), lost))
+
+
+@cache
+def masks_for(n: int, share_percent: int = SHARE_PERCENT) -> tuple[str, ...]:
+    """Masks of which one hits any window of ``n`` words that agrees to ``share_percent``."""
+    agree = max(1, -(-n * share_percent // 100))
+    if comb(n, n - agree) <= 5_000:
+        for masks in MASK_SETS:
+            if covers(masks, n, n - agree):
+                return masks
+    # Too many patterns to go through: the words that agree form a run at least so long.
+    return ("1" * -(-agree // (n - agree + 1)),)
+
+
+def _seed_array(h: Column, wanted: dict[str, Column | None]) -> Column:
+    def of_mask(mask: str, condition: Column | None) -> Column:
         marked = [k for k, c in enumerate(mask) if c == "1"]
 
         def seed(i: Column) -> Column:
-            return F.struct(F.xxhash64(F.lit(number), *(F.get(h, i + k) for k in marked)).alias("seed"), i.alias("pos"))
+            return F.struct(F.xxhash64(F.lit(mask), *(F.get(h, i + k) for k in marked)).alias("seed"), i.alias("pos"))
 
         made = F.transform(F.sequence(F.lit(0), F.size(h) - len(mask)), seed)
-        return F.when(F.size(h) >= len(mask), made).otherwise(F.array().cast("array<struct<seed: bigint, pos: int>>"))
+        fits = F.size(h) >= len(mask)
+        return F.when(fits if condition is None else fits & condition, made).otherwise(F.array().cast("array<struct<seed: bigint, pos: int>>"))
 
-    return F.concat(*(of_mask(number, mask) for number, mask in enumerate(MASKS)))
+    return F.concat(*(of_mask(mask, condition) for mask, condition in wanted.items()))
 
 
-def seeds(df: DataFrame, hashes: Column, *keep: str) -> DataFrame:
-    """(keep..., seed, pos) for every mask and start in the array of word hashes.
+def seeds(df: DataFrame, hashes: Column, wanted: dict[str, Column | None], *keep: str) -> DataFrame:
+    """(keep..., seed, pos) for every start in the array of word hashes and mask, where its condition holds.
 
     Null seeds stand for rows without any; the outer form keeps the optimizer from
     computing the array a second time to filter by its size.
     """
-    return df.select(*keep, F.explode_outer(_let(hashes, _seed_array)).alias("s")).select(*keep, "s.seed", "s.pos")
+    return df.select(*keep, F.explode_outer(_let(hashes, lambda h: _seed_array(h, wanted))).alias("s")).select(*keep, "s.seed", "s.pos")
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -70,23 +98,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """(id_col, item_id, doc_start, item_start, matched, compared): a row for each document and item that overlap.
 
     An overlap is a stretch of ``window`` aligned words (the whole item, if shorter)
-    of which ``share_percent`` agree, with a seed hit on its diagonal; given is
-    the one with most agreeing words, then the first in the document. Items shorter
-    than a mask have no seed of it, texts without words none at all. Rows with a
-    null id are not reported, items with a null id neither; rows that repeat an
+    of which ``share_percent`` agree, and at least one; given is the one with
+    most agreeing words, then the first in the document. Items are sought by the
+    masks of their own window, so that none is too short. Rows with a null id are not reported, items with a null id neither; rows that repeat an
     id are reported under it together. Other columns are not read; an empty table
     on either side gives no rows.
     """
     items = benchmark_items(benchmark, item_col, item_text_col).filter("item_id is not null")
-    own = seeds(items, F.col("h"), "item_id").filter("seed is not null").withColumnRenamed("pos", "item_pos")
+    width = F.least(F.size("h"), F.lit(window))
+    widths = sorted(r[0] for r in items.select(width).distinct().collect() if r[0] > 0)
+    by_mask = {m: [w for w in widths if m in masks_for(w, share_percent)] for m in sorted({m for w in widths for m in masks_for(w, share_percent)} or {"1"})}
+    own = seeds(items.withColumn("len", F.size("h")), F.col("h"), {m: width.isin(ws) for m, ws in by_mask.items()}, "item_id", "len")
+    own = own.filter("seed is not null").withColumnRenamed("pos", "item_pos")
     if own.count() <= BROADCAST_SEEDS:
         own = F.broadcast(own)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null")
-    hits = seeds(rows, _hashes("__text"), "__id").join(own, "seed")
-    # A diagonal is one alignment, however many seeds hit it.
-    diagonals = hits.select("__id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    aligned = diagonals.join(items.withColumnRenamed("h", "ih"), "item_id")
-    same = lambda h: F.transform("ih", lambda x, i: F.coalesce(F.get(h, (i + F.col("diagonal")).cast("int")) == x, F.lit(False)).cast("int"))
+    hits = seeds(rows, _hashes("__text"), dict.fromkeys(by_mask), "__id").join(own, "seed")
+    # A diagonal is one alignment, however many seeds hit it. The words of a text are
+    # found once for all of its diagonals, which take their own stretch of them.
+    diagonals = hits.groupBy("__id").agg(F.collect_set(F.struct("item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "len")).alias("places"))
+
+    def stretches(h: Column) -> Column:
+        def stretch(p: Column) -> Column:
+            start = F.greatest(p["diagonal"], F.lit(0))
+            return F.struct(p["item_id"].alias("item_id"), p["diagonal"].alias("diagonal"), F.slice(h, start + 1, p["diagonal"] + p["len"] - start).alias("part"))
+
+        return F.transform("places", stretch)
+
+    aligned = rows.join(diagonals, "__id").select("__id", F.explode(_let(_hashes("__text"), stretches)).alias("p")).select("__id", "p.*")
+    aligned = aligned.join(items.withColumnRenamed("h", "ih"), "item_id")
+    # A part starts at the text's first word where the item begins before it.
+    agree = F.transform("ih", lambda x, i: F.coalesce(F.get("part", i + F.least("diagonal", F.lit(0))) == x, F.lit(False)).cast("int"))
     n = F.least(F.size("ih"), F.lit(window))
 
     def best_window(agree: Column) -> Column:
@@ -94,8 +136,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         starts = F.sequence(F.lit(0), F.size(agree) - n)
         return F.array_max(F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(agree, i + 1, n), F.lit(0), lambda a, x: a + x).alias("matched"), (-i).alias("at"))))
 
-    best = _let(_let(_hashes("__text"), same), best_window)
-    aligned = rows.join(aligned, "__id").select("__id", "item_id", "diagonal", n.alias("n"), best.alias("best"))
+    best = _let(agree, best_window)
+    aligned = aligned.select("__id", "item_id", "diagonal", n.alias("n"), best.alias("best"))
     found = aligned.filter(100 * F.col("best.matched") >= share_percent * F.col("n"))
     found = found.select("__id", "item_id", F.struct(F.col("best.matched").alias("matched"), (F.col("best.at") - F.col("diagonal")).alias("neg_start"), F.col("best.at").alias("at"), "n").alias("b"))
     top = found.groupBy("__id", "item_id").agg(F.max("b").alias("b"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -138,6 +139,49 @@ def test_contamination_equals_brute_force(spark, frame):
     assert decontaminate.contamination(frame([]), benchmark).count() == decontaminate.contamination(frame(docs), benchmark.limit(0)).count() == 0
 
 
+def brute_overlaps(docs, items, window, percent):
+    """The rule itself, over every diagonal, without masks."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for i, item in ((i, words(x)) for i, x in items):
+            n, best = min(len(item), window), None
+            for diagonal in range(-len(item) + 1, len(w)):
+                for at in range(len(item) - n + 1):
+                    same = sum(0 <= k + diagonal < len(w) and w[k + diagonal] == item[k] for k in range(at, at + n))
+                    if same and 100 * same >= percent * n:
+                        best = max(best or (-1,), (same, -(at + diagonal), -at, n))
+            if best:
+                out.add((d, i, -best[1], -best[2], best[0], best[3]))
+    return out
+
+
+def test_contamination_misses_no_substitution(spark, frame):
+    r = random.Random(21)
+    bench = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 14)] + [(30, " ".join(f"long{k}" for k in range(30)))]
+    docs = []
+    for i, t in bench:
+        item = t.split()
+        n = min(len(item), 13)
+        lost = n - -(-n * 75 // 100)
+        for gone in itertools.combinations(range(n), lost):
+            text = [f"x{k}" if k in gone else w for k, w in enumerate(item[:n])]
+            docs.append((len(docs), " ".join(text) if i < 14 else " ".join(["before"] * r.randint(0, 3) + text)))
+    docs += [(len(docs) + k, " ".join(w if r.random() < 0.75 else "other" for w in r.choice(bench)[1].split())) for k in range(60)]
+    docs.append((-1, "i4w0 i4w1 no no i2w1 i2w0 i13w0 i13w1 i13w2"))
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    got = set(map(tuple, decontaminate.contamination(frame(docs), benchmark).collect()))
+    want = brute_overlaps(docs, bench, decontaminate.WINDOW, decontaminate.SHARE_PERCENT)
+    assert got == want
+    assert len({w[0] for w in want}) >= 1_000 and -1 not in {w[0] for w in want}
+    # Another window, whose patterns are too many to enumerate, and another share.
+    for window, percent in ((26, 70), (8, 50)):
+        few = docs[-60:]
+        got = set(map(tuple, decontaminate.contamination(frame(few), benchmark, window, percent).collect()))
+        assert got == brute_overlaps(few, bench, window, percent)
+
+
 def test_language_profiles(spark):
     r = random.Random(12)
     sounds = {"aa": "aeiou rstln", "bb": "öüäß chtzn", "cc": "яожиу рстлн"}
