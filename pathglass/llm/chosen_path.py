@@ -3,10 +3,10 @@
 Documents become sets of hashed word shingles and short minwise signatures. Trees
 branch the documents by the minwise token at chosen signature places: documents
 with the same token go to the same child. Small nodes are compared exhaustively;
-larger ones branch on, along two more places at each level, so that a similar pair
-is more likely than not to stay together on some path. A group so dense that
-branching cannot part it is linked by the first trees; the others leave out what
-lies within one component. Independent trees repeat
+larger ones branch on, along several more places at each level, so that a similar
+pair all but surely stays together on some path. A group so dense that
+branching cannot part it is linked by chunks in the first trees; all trees then
+grow on, but leave out what lies within one component. Independent trees repeat
 this until a pair at the threshold is missed with a chance of (1 - s) ** trees.
 
 Links are confirmed on full sets. A node yields a spanning forest of its links,
@@ -15,6 +15,7 @@ not all pairs, and components are joined by label propagation on tables.
 
 from __future__ import annotations
 
+import random
 from functools import lru_cache
 
 import numpy as np
@@ -35,13 +36,15 @@ FIRST_TREES = 2
 LEAF = 1_000
 #: Levels of a tree; nodes that are still larger are compared block by block.
 LEVELS = 4
-#: Places branched along at each level below the root.
-BRANCHES = 2
+#: Places branched along at each level below the root: at 0.75 a pair stays together
+#: with 1 - 0.25 ** 6 at each, so that even three levels cost a tree less than 0.1 %.
+BRANCHES = 6
 #: Signature places: the trees' choices, and the estimate that spares exact comparisons.
 PLACES = 64
 #: Pairs are compared exactly if their estimated similarity is at most this far below
-#: the threshold: over four standard deviations of the estimate.
-SLACK = 0.24
+#: the threshold: under 25 of 64 equal places at 0.75, whose chance (about 1e-10) is
+#: far below that of the trees' misses; no tree recovers it.
+SLACK = 0.36
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _DRAWN = np.random.Generator(np.random.PCG64(10)).integers(0, 1 << 64, (2, PLACES), np.uint64)
@@ -103,18 +106,20 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return rows.mapInArrow(run, "id long, n_shingles long, key binary, sig binary, packed binary")
 
 
-def _branch(rows: DataFrame, level: int, roots: list[int] | None = None) -> DataFrame:
+def places_below(node: int, level: int, free: list[int]) -> list[int]:
+    """Distinct places to branch a node along, of those that are no tree's root."""
+    return random.Random(xxhash.xxh3_64_intdigest(f"{node}:{level}")).sample(free, min(BRANCHES, len(free)))
+
+
+def _branch(rows: DataFrame, level: int, roots: list[int] | None = None, free: list[int] | None = None) -> DataFrame:
     """(node, key) one level below rows of (node, key, sig): a place for each tree
     at the root, BRANCHES chosen for each node below."""
-    branches = BRANCHES if roots is None else len(roots)
-
     def run(batches):
         for b in batches:
             nodes, at = [], []
             for k, (node, s) in enumerate(zip(b.column("node").to_pylist(), b.column("sig").to_pylist(), strict=True)):
                 tokens = np.frombuffer(s, np.uint32)
-                for j in range(branches):
-                    place = roots[j] if roots else xxhash.xxh3_64_intdigest(f"{node}:{level}:{j}") % PLACES
+                for place in roots or places_below(node, level, free):
                     nodes.append(xxhash.xxh3_64_intdigest(f"{node}:{place}:{tokens[place]}") - (1 << 63))
                     at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column("key").take(pa.array(at, pa.int32()))], ["node", "key"])
@@ -150,13 +155,14 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     return rows.select(node.alias("node"), "key")
 
 
-def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list[int], leaf: int, levels: int, labels: DataFrame | None = None) -> DataFrame:
+def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list[int], leaf: int, levels: int, labels: DataFrame | None = None, free: list[int] | None = None, seen: bool = False) -> DataFrame:
     """(node, members): sets to compare exhaustively; equal member lists once.
 
     Without ``labels`` (the first trees) large nodes are only looked at in chunks,
     which is enough to join a dense group. With the components (id, component) that
     this has shown, nodes within one component are finished; large ones that one
-    component nearly fills compare the rest with everything, others branch on.
+    component nearly fills compare the rest with everything, others branch on
+    along ``free`` places. Small roots that were ``seen`` before are left out.
     """
     level = _branch(described.withColumn("node", F.lit(0).cast("long")), 0, roots)
     lists = lambda rows: rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("members")).select("members")
@@ -173,7 +179,7 @@ def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list
             open_ = parts.filter("parts > 1").select("node", "most", (F.col("all") - F.col("m")).alias("rest"))
             shared = at.join(open_, "node")
         shared = scratch.table(shared, "tree-shared")
-        small, large = shared.filter(F.col("size") <= leaf), shared.filter(F.col("size") > leaf)
+        small, large = shared.filter((F.col("size") <= leaf) & F.lit(depth > 1 or not seen)), shared.filter(F.col("size") > leaf)
         out = lists(small) if out is None else out.unionByName(lists(small))
         if large.isEmpty():
             break
@@ -185,7 +191,7 @@ def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list
         if depth == levels:
             out = out.unionByName(lists(_blocks(large, leaf)))
         else:
-            level = _branch(large.join(reps.select("key", "sig"), "key"), depth)
+            level = _branch(large.join(reps.select("key", "sig"), "key"), depth, free=free)
     out = out.filter(F.size("members") > 1)
     node = F.sha2(F.array_join(F.transform("members", F.hex), ""), 256)
     return out.groupBy(node.alias("node")).agg(F.first("members").alias("members"))
@@ -273,7 +279,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, tree
     places = [k * PLACES // trees for k in range(trees)]
     # The first trees find most components; the others skip what these have settled.
     early = scratch.table(_links(_leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels), reps, percent, words), "links")
-    late = _links(_leaves(scratch, with_set, reps, places[FIRST_TREES:], leaf, levels, components(early, scratch)), reps, percent, words)
+    # The first ones grow on below roots that were only looked at in chunks.
+    settled = components(early, scratch)
+    free = [k for k in range(PLACES) if k not in places] or places
+    grown = _leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels, settled, free, seen=True)
+    if places[FIRST_TREES:]:
+        grown = grown.unionByName(_leaves(scratch, with_set, reps, places[FIRST_TREES:], leaf, levels, settled, free))
+    late = _links(grown, reps, percent, words)
     labels = components(early.unionByName(late), scratch).withColumnRenamed("id", "key")
     labelled = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -3,6 +3,7 @@
 import hashlib
 import importlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -253,6 +254,31 @@ def test_components_equal_brute_force(spark, frame, prose, leaf, levels):
     assert chosen_path.near_duplicates(frame([])).count() == 0
 
 
+def test_estimates_spare_no_similar_pair():
+    sets = [np.arange(20, dtype=np.uint64), np.arange(1, 21, dtype=np.uint64)]
+    sigs = np.zeros((2, chosen_path.PLACES), np.uint32)
+    sigs[1, 28:] = 1
+    assert chosen_path.link_node(["a", "b"], sets, sigs, 75) == [("a", "b")]
+    assert sum(math.comb(64, k) * 0.75**k * 0.25 ** (64 - k) for k in range(65) if k < (0.75 - chosen_path.SLACK) * 64) < 1e-9
+    level = 1 - 0.25**chosen_path.BRANCHES
+    assert (1 - 0.75 * level ** (chosen_path.LEVELS - 1)) ** chosen_path.TREES < 1e-6
+    free = list(range(1, 30))
+    assert all(len(set(chosen_path.places_below(k, 1, free)) & set(free)) == chosen_path.BRANCHES for k in range(50))
+
+
+def test_first_trees_grow_below_large_roots(spark, frame):
+    r = random.Random(31)
+    shared = [f"common{k}" for k in range(120)]
+    rows = []
+    for k in range(30):  # pairs that share half of their words with all others
+        own = [f"own{k}x{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + own[:-2] + ["last"]))]
+    r.shuffle(rows)
+    got = chosen_path.near_duplicates(frame(rows), trees=chosen_path.FIRST_TREES, leaf=4, levels=2)
+    named = {x.doc_id: x.component_id for x in got.collect()}
+    assert sum(named[2 * k] == named[2 * k + 1] == 2 * k for k in range(30)) >= 28
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 102), (101, 102)], "a long, b long")
     assert dict(map(tuple, chosen_path.components(links).collect())) == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
