@@ -17,8 +17,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The masks of the SQL, which finds only what one of these two hits: less than the operator.
-MASKS = ("1110111", "110101101")
+from pathglass.llm.common import materialise
+
 #: Marked positions count, others are ignored. Windows take the first set of which
 #: a mask hits under every substitution they allow: at 75 % the first holds for 6, 7
 #: and from 9 to 13 words, the others for 3, 5 and 8, for 4, for 2 and for 1.
@@ -27,8 +27,9 @@ MASK_SETS = (("11101", "100111"), ("111", "1101"), ("111", "1101", "1011"), ("11
 #: share of them that must agree.
 WINDOW, SHARE_PERCENT = 13, 75
 #: The benchmark's seeds are broadcast up to this many (about 50 bytes each) and
-#: shuffled beyond.
+#: shuffled beyond; so are the places where texts are to be compared.
 BROADCAST_SEEDS = 500_000
+BROADCAST_PLACES = 200_000
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -94,29 +95,27 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return rows.groupBy("h").agg(F.min("item_id").alias("item_id")).select("item_id", "h")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_percent: int = SHARE_PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id_col, item_id, doc_start, item_start, matched, compared): a row for each document and item that overlap.
+def _counted(df: DataFrame, limit: int) -> DataFrame:
+    """``df``, broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.count() <= limit else df
 
-    An overlap is a stretch of ``window`` aligned words (the whole item, if shorter)
-    of which ``share_percent`` agree, and at least one; given is the one with
-    most agreeing words, then the first in the document. Items are sought by the
-    masks of their own window, so that none is too short. Rows with a null id are not reported, items with a null id neither; rows that repeat an
-    id are reported under it together. Other columns are not read; an empty table
-    on either side gives no rows.
+
+def _overlaps(rows: DataFrame, items: DataFrame, window: int, share_percent: int) -> DataFrame:
+    """(key, item_id, b) for rows (key, __text) and items (item_id, h): the best overlap of each pair.
+
+    Texts stay where they are read unless very many of them hold a seed: what
+    travels are the places to compare, one row for each key.
     """
-    items = benchmark_items(benchmark, item_col, item_text_col).filter("item_id is not null")
     width = F.least(F.size("h"), F.lit(window))
     widths = sorted(r[0] for r in items.select(width).distinct().collect() if r[0] > 0)
     by_mask = {m: [w for w in widths if m in masks_for(w, share_percent)] for m in sorted({m for w in widths for m in masks_for(w, share_percent)} or {"1"})}
     own = seeds(items.withColumn("len", F.size("h")), F.col("h"), {m: width.isin(ws) for m, ws in by_mask.items()}, "item_id", "len")
-    own = own.filter("seed is not null").withColumnRenamed("pos", "item_pos")
-    if own.count() <= BROADCAST_SEEDS:
-        own = F.broadcast(own)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null")
-    hits = seeds(rows, _hashes("__text"), dict.fromkeys(by_mask), "__id").join(own, "seed")
+    own = _counted(own.filter("seed is not null").withColumnRenamed("pos", "item_pos"), BROADCAST_SEEDS)
+    hits = seeds(rows, _hashes("__text"), dict.fromkeys(by_mask), "key").join(own, "seed")
     # A diagonal is one alignment, however many seeds hit it. The words of a text are
     # found once for all of its diagonals, which take their own stretch of them.
-    diagonals = hits.groupBy("__id").agg(F.collect_set(F.struct("item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "len")).alias("places"))
+    places = hits.groupBy("key").agg(F.collect_set(F.struct("item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "len")).alias("places"))
+    places = _counted(materialise(places, "seed-hits"), BROADCAST_PLACES)
 
     def stretches(h: Column) -> Column:
         def stretch(p: Column) -> Column:
@@ -125,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         return F.transform("places", stretch)
 
-    aligned = rows.join(diagonals, "__id").select("__id", F.explode(_let(_hashes("__text"), stretches)).alias("p")).select("__id", "p.*")
+    aligned = rows.join(places, "key").select("key", F.explode(_let(_hashes("__text"), stretches)).alias("p")).select("key", "p.*")
     aligned = aligned.join(items.withColumnRenamed("h", "ih"), "item_id")
     # A part starts at the text's first word where the item begins before it.
     agree = F.transform("ih", lambda x, i: F.coalesce(F.get("part", i + F.least("diagonal", F.lit(0))) == x, F.lit(False)).cast("int"))
@@ -137,12 +136,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         return F.array_max(F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(agree, i + 1, n), F.lit(0), lambda a, x: a + x).alias("matched"), (-i).alias("at"))))
 
     best = _let(agree, best_window)
-    aligned = aligned.select("__id", "item_id", "diagonal", n.alias("n"), best.alias("best"))
+    aligned = aligned.select("key", "item_id", "diagonal", n.alias("n"), best.alias("best"))
     found = aligned.filter(100 * F.col("best.matched") >= share_percent * F.col("n"))
-    found = found.select("__id", "item_id", F.struct(F.col("best.matched").alias("matched"), (F.col("best.at") - F.col("diagonal")).alias("neg_start"), F.col("best.at").alias("at"), "n").alias("b"))
-    top = found.groupBy("__id", "item_id").agg(F.max("b").alias("b"))
-    return top.select(
-        F.col("__id").alias(id_col),
+    found = found.select("key", "item_id", F.struct(F.col("best.matched").alias("matched"), (F.col("best.at") - F.col("diagonal")).alias("neg_start"), F.col("best.at").alias("at"), "n").alias("b"))
+    return found.groupBy("key", "item_id").agg(F.max("b").alias("b"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share_percent: int = SHARE_PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id_col, item_id, doc_start, item_start, matched, compared): a row for each document and item that overlap.
+
+    An overlap is a stretch of ``window`` aligned words (the whole item, if shorter)
+    of which ``share_percent`` agree, and at least one; given is the one with
+    most agreeing words, then the first in the document. Items are sought by the
+    masks of their own window, so that none is too short. Rows with a null id are not reported, items with a null id neither; rows that repeat an
+    id are reported under it together. Other columns are not read; an empty table
+    on either side gives no rows.
+    """
+    items = benchmark_items(benchmark, item_col, item_text_col).filter("item_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("__text")).filter("key is not null")
+    return _overlaps(rows, items, window, share_percent).select(
+        F.col("key").alias(id_col),
         "item_id",
         (-F.col("b.neg_start")).cast("long").alias("doc_start"),
         (-F.col("b.at")).cast("long").alias("item_start"),
@@ -151,30 +164,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those that overlap with a benchmark item; null ids stay."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["__bad"], "left_anti")
+def _text_key(text: str) -> Column:
+    return F.struct(F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"))
 
 
-def contamination_sql(window: int = WINDOW, share_percent: int = SHARE_PERCENT) -> str:
-    """The result in DuckDB's SQL, on the words themselves instead of their hashes."""
-    words = f"regexp_extract_all(lower(coalesce(text, '')), '{WORD}')"
-    marked = [[k for k, c in enumerate(m) if c == "1"] for m in MASKS]
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that overlap with a benchmark item.
 
-    def seed_rows(source: str, key: str) -> str:
-        parts = []
-        for number, (mask, at) in enumerate(zip(MASKS, marked, strict=True)):
-            seed = ", ".join(f"w[i + {k + 1}]" for k in at)
-            parts.append(f"SELECT {key}, {number} AS mask, [{seed}] AS seed, i AS pos FROM (SELECT {key}, w, unnest(range(0, len(w) - {len(mask) - 1})) AS i FROM {source})")
-        return " UNION ALL ".join(parts)
+    Rows are judged by their texts and items by their words, with or without ids.
+    Rows stay where they are read, but where very many texts overlap.
+    """
+    words = benchmark.select(_hashes(item_text_col).alias("h")).distinct()
+    items = words.select(F.xxhash64("h").alias("item_id"), "h")
+    rows = docs.select(_text_key(text_col).alias("key"), F.col(text_col).alias("__text"))
+    bad = _overlaps(rows, items, WINDOW, SHARE_PERCENT).select(F.col("key.one").alias("__one"), F.col("key.two").alias("__two")).distinct()
+    bad = _counted(materialise(bad, "contaminated"), BROADCAST_PLACES)
+    key = _text_key(text_col)
+    return docs.join(bad, (key["one"] == bad["__one"]) & (key["two"] == bad["__two"]), "left_anti")
 
+
+def contamination_sql(window: int = WINDOW, share_percent: int = SHARE_PERCENT) -> str:
+    """The result in DuckDB's SQL: every diagonal with enough equal words, without masks or hashes."""
+    words = f"regexp_extract_all(lower(coalesce(text, '')), '{WORD}')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) GROUP BY w),
-ds AS ({seed_rows("d", "doc_id")}),
-bs AS ({seed_rows("b", "item_id")}),
-g AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (mask, seed)),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+bw AS (SELECT item_id, least(len(w), {window}) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM b),
+g AS (SELECT doc_id, item_id, dw.pos - bw.pos AS diagonal FROM dw JOIN bw USING (word) GROUP BY ALL HAVING 100 * count(*) >= {share_percent} * any_value(n)),
 a AS (SELECT g.*, d.w AS dw, b.w AS bw, least(len(b.w), {window}) AS n FROM g JOIN d USING (doc_id) JOIN b USING (item_id)),
 p AS (SELECT doc_id, item_id, diagonal, n, dw, bw, unnest(range(0, len(bw) - n + 1)) AS st FROM a),
 m AS (SELECT doc_id, item_id, diagonal, n, st,

@@ -86,35 +86,21 @@ def test_longest_previous_factors():
 
 
 def brute_contamination(docs, items, window, percent):
+    """The rule over every diagonal, without masks; equal items count once, under the smallest id."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     distinct = {}
     for i, t in items:
         if i is not None:
             w = tuple(words(t))
             distinct[w] = min(distinct.get(w, i), i)
-    out = set()
+    named = [(i, " ".join(w)) for w, i in distinct.items()]
+    best = {}
     for d, t in docs:
-        if d is None:
-            continue
-        w = words(t)
-        for item, i in distinct.items():
-            best = None
-            for diagonal in range(-len(item) + 1, len(w)):
-                hit = any(
-                    all(w[k + diagonal + o] == item[k + o] for o, c in enumerate(mask) if c == "1")
-                    for mask in decontaminate.MASKS
-                    for k in range(max(0, -diagonal), min(len(item), len(w) - diagonal) - len(mask) + 1)
-                )
-                if not hit:
-                    continue
-                n = min(len(item), window)
-                for at in range(len(item) - n + 1):
-                    same = sum(0 <= k + diagonal < len(w) and w[k + diagonal] == item[k] for k in range(at, at + n))
-                    if 100 * same >= percent * n:
-                        best = max(best or (-1,), (same, -(at + diagonal), -at, n))
-            if best:
-                out.add((d, i, -best[1], -best[2], best[0], best[3]))
-    return out
+        if d is not None:
+            for row in brute_overlaps([(d, t)], named, window, percent):
+                at = (row[4], -row[2], -row[3], row[5])
+                best[row[:2]] = max(best.get(row[:2], at), at)
+    return {(d, i, -b[1], -b[2], b[0], b[3]) for (d, i), b in best.items()}
 
 
 def test_contamination_equals_brute_force(spark, frame):
@@ -135,8 +121,8 @@ def test_contamination_equals_brute_force(spark, frame):
     assert {100 + k for k in range(12)} <= {w[0] for w in want} and not {k for k in range(10) if k != 7} & {w[0] for w in want}
     kept = decontaminate.drop_contaminated(frame(docs), benchmark)
     assert kept.columns == frame(docs).columns
-    bad = {w[0] for w in want}
-    assert Counter(x.doc_id for x in kept.collect()) == Counter(i for i, _ in docs if i not in bad)
+    bad = {w[0] for w in brute_contamination([(k, t) for k, (_, t) in enumerate(docs)], [(k, t) for k, (_, t) in enumerate(bench)], decontaminate.WINDOW, decontaminate.SHARE_PERCENT)}
+    assert Counter(x.doc_id for x in kept.collect()) == Counter(i for k, (i, _) in enumerate(docs) if k not in bad)
     assert decontaminate.contamination(frame([]), benchmark).count() == decontaminate.contamination(frame(docs), benchmark.limit(0)).count() == 0
 
 
