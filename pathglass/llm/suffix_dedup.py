@@ -1,10 +1,10 @@
 """Removal of repeated passages by longest-previous-factor arrays (operator 5).
 
 A byte goes if a string of ``length`` bytes around it also starts in a document
-with a smaller id. That is where the longest previous factor of a start, among
-earlier documents, reaches ``length``. In suffix order, with equal factors ordered
-by document, the previous smaller position of a start is the nearest earlier
-document before it, and no later one reaches as far, so one sort gives all answers.
+with a smaller id. That is where the longest previous factor of a start, its longest
+match with an earlier document, reaches ``length``. In suffix order that match is
+with the previous or the next start of an earlier document (the previous and next
+smaller positions), and reaches as far as the common prefixes on the way there.
 
 One suffix array over everything would not distribute, so starts are dealt to
 buckets by content: every string of ``length`` bytes has an anchor, its 16-byte
@@ -12,12 +12,19 @@ factor with the smallest hash, and equal strings have equal anchors. Neighbourin
 starts with one anchor travel together as one stretch of text.
 
 1. Each task lists its documents' anchors as short hashes; buckets tell which occur
-   in more than one document.
-2. Documents are cut into stretches around those anchors only; a bucket sorts the
-   suffixes of its distinct stretches and finds the earliest document of each.
-3. Marked stretches go back to their documents, whose bytes are removed.
-
-Tables between the steps are packed arrays in binary rows, not a row for each anchor.
+   in more than one document, and which of them are hot.
+2. Documents are cut into stretches around those anchors only. Of the copies of a
+   stretch in one group of documents the first stands for all; the others go at once,
+   so a passage that many documents hold sends one row for each group of documents.
+3. A bucket builds the suffix and longest-previous-factor arrays of its stretches.
+4. Marked stretches go back to their documents, whose bytes are removed.
+
+What surrounds a hot passage still differs from document to document, all at the
+passage's first and last anchors. Starts at hot anchors are therefore dealt by their
+whole string instead, and only those whose string occurs in more than one document.
+
+Tables between the steps are packed arrays in binary rows, not a row for each
+anchor. The number of groups follows the bytes of the input.
 """
 
 from __future__ import annotations
@@ -42,6 +49,11 @@ FLUSH_ANCHORS = 6_000_000
 #: Bytes of stretches that a task holds before it hands them on.
 FLUSH_BYTES = 64 << 20
 
+#: Bytes of text in a group of documents, and in a bucket, about.
+GROUP_BYTES = 64 << 20
+#: Stretches at one anchor from which on it is hot, at least.
+HOT_STRETCHES = 1_000_000
+
 _PLACE_BITS = np.uint64(22)
 _PLACE_MASK = np.uint64((1 << 22) - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -125,21 +137,45 @@ def _rows(groups: np.ndarray, columns: list[np.ndarray]):
             yield int(groups[a]), [c[a:b].tobytes() for c in columns]
 
 
-def _anchor_lists(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, tags, batches): the anchors of each task's documents, with each document's batch."""
+def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys stand in the sorted array."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of ranges given by their first place and their length."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _whole_strings(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each place."""
+    w, h = _words(buffer, "<"), np.full(len(at), length, np.uint64)
+    for s in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ w[at + s]) * _M1
+        h ^= h >> np.uint64(29)
+    h *= _M2
+    return h ^ h >> np.uint64(32)
+
+
+def _lists(rows: DataFrame, buckets: int, length: int, hot: np.ndarray | None = None) -> DataFrame:
+    """(bucket, tags, batches, counts): how many documents of a task's batches hold an anchor.
+
+    With ``hot`` (sorted keys of anchors) the same for the whole strings at these.
+    """
+    small = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def flush(held):
         tag, bucket, batch = (np.concatenate([x[k] for x in held]) for k in range(3))
         order = np.lexsort((batch, tag, bucket))
         tag, bucket, batch = tag[order], bucket[order], batch[order]
-        # Two of a kind say as much as a thousand.
-        third = np.zeros(len(tag), bool)
-        third[2:] = (tag[2:] == tag[:-2]) & (bucket[2:] == bucket[:-2]) & (batch[2:] == batch[:-2])
-        tag, bucket, batch = tag[~third], bucket[~third], batch[~third]
-        for number, blobs in _rows(bucket, [tag, batch]):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "tags", "batches"])
-
-    small = np.uint16 if buckets <= 1 << 16 else np.uint32
+        new = np.ones(len(tag), bool)
+        new[1:] = (tag[1:] != tag[:-1]) | (bucket[1:] != bucket[:-1]) | (batch[1:] != batch[:-1])
+        at = np.flatnonzero(new)
+        count = np.minimum(np.diff(np.append(at, len(tag))), 255).astype(np.uint8)
+        for number, blobs in _rows(bucket[at], [tag[at], batch[at], count]):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "tags", "batches", "counts"])
 
     def run(batches):
         with task_tables("suffixes"):
@@ -151,8 +187,12 @@ def _anchor_lists(rows: DataFrame, buckets: int, length: int) -> DataFrame:
             texts = [(x.as_py() or "").encode() for x in b.column("text")]
             batch_of = b.column("batch").to_numpy(zero_copy_only=False)
             for buffer, number, _, starts, ends in slices(texts, length):
-                part, _, _, h = stretches(buffer, starts, ends, length)
+                part, first, count, h = stretches(buffer, starts, ends, length)
                 bucket, tag = _keys(h, buckets)
+                if hot is not None:
+                    got = _among(hot, bucket << np.uint64(32) | tag)
+                    part = np.repeat(part[got], count[got])
+                    bucket, tag = _keys(_whole_strings(buffer, _places(first[got], count[got]), length), buckets)
                 doc = number[part]
                 # A document counts once for each of its anchors.
                 order = np.lexsort((tag, bucket, doc))
@@ -167,25 +207,30 @@ def _anchor_lists(rows: DataFrame, buckets: int, length: int) -> DataFrame:
         if n:
             yield from flush(held)
 
-    return rows.select("batch", "text").mapInArrow(run, "bucket int, tags binary, batches binary")
+    return rows.select("batch", "text").mapInArrow(run, "bucket int, tags binary, batches binary, counts binary")
+
 
+def _shared(lists: DataFrame, buckets: int, hot_from: int | None = None) -> DataFrame:
+    """(batch, bucket, tags): what of the lists occurs in more than one document, by batch.
 
-def _shared_anchors(lists: DataFrame, buckets: int) -> DataFrame:
-    """(batch, bucket, tags): anchors of the batch's documents that occur in more than one document."""
+    Tags that ``hot_from`` documents or more hold stand under batch -1 instead.
+    """
     small = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def run(table: pa.Table) -> pa.Table:
-        tag = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("tags")])
-        batch = np.concatenate([np.frombuffer(x.as_py(), small) for x in table.column("batches")])
+        tag, batch, count = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("tags", "<u4"), ("batches", small), ("counts", np.uint8)))
         order = np.lexsort((batch, tag))
-        tag, batch = tag[order], batch[order]
-        equal = tag[1:] == tag[:-1]
-        shared = np.zeros(len(tag), bool)
-        shared[1:] |= equal
-        shared[:-1] |= equal
-        shared[1:] &= ~(equal & (batch[1:] == batch[:-1]))  # each batch is told once
-        tag, batch = tag[shared], batch[shared]
-        order = np.lexsort((tag, batch))
+        tag, batch, count = tag[order], batch[order].astype(np.int64), count[order]
+        new = np.ones(len(tag), bool)
+        new[1:] = tag[1:] != tag[:-1]
+        at = np.flatnonzero(new)
+        total = np.repeat(np.add.reduceat(count, at, dtype=np.int64), np.diff(np.append(at, len(tag))))
+        if hot_from is not None:
+            batch[total >= hot_from] = -1
+        new[1:] |= batch[1:] != batch[:-1]  # each batch is told once
+        take = new & (total > 1)
+        tag, batch = tag[take], batch[take]
+        order = np.argsort(batch, kind="stable")
         got = list(_rows(batch[order], [tag[order]]))
         number = table.column("bucket")[0].as_py()
         return pa.table({"batch": pa.array([g[0] for g in got], pa.int32()), "bucket": pa.array([number] * len(got), pa.int32()), "tags": pa.array([g[1][0] for g in got], pa.binary())})
@@ -193,157 +238,192 @@ def _shared_anchors(lists: DataFrame, buckets: int) -> DataFrame:
     return lists.groupBy("bucket").applyInArrow(run, "batch int, bucket int, tags binary")
 
 
+def _full_keys(bucket: int, tags: bytes) -> np.ndarray:
+    return np.frombuffer(tags, "<u4").astype(np.uint64) | np.uint64(bucket << 32)
+
+
 _STRETCH = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("count", "<u2")])
+#: A range of bytes to remove from the rows with this document id and hash.
+_MARK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("end", "<i8")])
 
 
-def _cut_stretches(rows: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, heads, texts): the stretches at shared anchors."""
+def _whole_marks(heads: np.ndarray, length: int) -> np.ndarray:
+    out = np.empty(len(heads), _MARK)
+    out["doc"], out["row"], out["at"] = heads["doc"], heads["row"], heads["at"]
+    out["end"] = heads["at"] + heads["count"] + length - 1
+    return out
 
-    def flush(held):
+
+def _cut_stretches(rows: DataFrame, shared: DataFrame, buckets: int, length: int, hot: np.ndarray) -> DataFrame:
+    """(bucket, heads, texts, batch, marks): the stretches that a bucket is to judge, and what a batch has decided."""
+
+    def flush(batch, held):
         bucket = np.concatenate([x[0] for x in held])
         heads = np.concatenate([x[1] for x in held])
         texts = [t for x in held for t in x[2]]
-        order = np.argsort(bucket, kind="stable")
         zip_ = zstandard.ZstdCompressor(level=1)
+        own, first = _distinct(texts, heads["doc"], {})
+        later = first[own] < heads["doc"]
         numbers, blobs, packed, at = [], [], [], 0
-        for number, (blob,) in _rows(bucket[order], [heads[order]]):
+        left = np.flatnonzero(~later)
+        left = left[np.argsort(bucket[left], kind="stable")]
+        for number, (blob,) in _rows(bucket[left], [heads[left]]):
             n = len(blob) // _STRETCH.itemsize
             numbers.append(number)
             blobs.append(zip_.compress(blob))
-            packed.append(zip_.compress(b"".join(texts[k] for k in order[at : at + n])))
+            packed.append(zip_.compress(b"".join(texts[k] for k in left[at : at + n])))
             at += n
-        return pa.table({"bucket": pa.array(numbers, pa.int32()), "heads": pa.array(blobs, pa.binary()), "texts": pa.array(packed, pa.binary())})
+        n = len(numbers)
+        marks = zip_.compress(_whole_marks(heads[later], length).tobytes())
+        columns = [(numbers + [batch % buckets], pa.int32()), (blobs + [None], pa.binary()), (packed + [None], pa.binary()), ([None] * n + [batch], pa.int32()), ([None] * n + [marks], pa.binary())]
+        return pa.table({c: pa.array(x, t) for c, (x, t) in zip(["bucket", "heads", "texts", "batch", "marks"], columns, strict=True)})
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         give_back()
-        known = [(np.frombuffer(t.as_py(), "<u4").astype(np.uint64) | np.uint64(k.as_py() << 32)) for k, t in zip(shared.column("bucket"), shared.column("tags"), strict=True)]
+        known = [_full_keys(k.as_py(), t.as_py()) for k, t in zip(shared.column("bucket"), shared.column("tags"), strict=True)]
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         held, size, out = [], 0, []
+        batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
         if len(known) and docs.num_rows:
             texts = [(x.as_py() or "").encode() for x in docs.column("text")]
             ids, keys = docs.column("id").to_numpy(), docs.column("row").to_numpy()
+
+            def cut(buffer, number, places, starts, part, first, count, bucket):
+                heads = np.empty(len(part), _STRETCH)
+                heads["doc"], heads["row"] = ids[number[part]], keys[number[part]]
+                heads["at"], heads["count"] = places[part] + first - starts[part], count
+                raw = buffer.tobytes()
+                return bucket.astype(np.int32), heads, [raw[a:b] for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
+
             for buffer, number, places, starts, ends in slices(texts, length):
                 part, first, count, h = stretches(buffer, starts, ends, length)
                 bucket, tag = _keys(h, buckets)
                 full = bucket << np.uint64(32) | tag
-                k = np.minimum(np.searchsorted(known, full), len(known) - 1)
-                got = np.flatnonzero(known[k] == full)
-                heads = np.empty(len(got), _STRETCH)
-                part, first, count = part[got], first[got], count[got]
-                heads["doc"], heads["row"] = ids[number[part]], keys[number[part]]
-                heads["at"], heads["count"] = places[part] + first - starts[part], count
-                raw = buffer.tobytes()
-                cut = [raw[a:b] for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
-                held.append((bucket[got].astype(np.int32), heads, cut))
-                size += int(count.sum()) + (length - 1) * len(cut)
+                single = _among(hot, full)
+                got = np.flatnonzero(_among(known, full) & ~single)
+                held.append(cut(buffer, number, places, starts, part[got], first[got], count[got], bucket[got]))
+                size += int(count[got].sum()) + (length - 1) * len(got)
+                if single.any():
+                    at, part = _places(first[single], count[single]), np.repeat(part[single], count[single])
+                    bucket, tag = _keys(_whole_strings(buffer, at, length), buckets)
+                    got = np.flatnonzero(_among(known, bucket << np.uint64(32) | tag))
+                    held.append(cut(buffer, number, places, starts, part[got], at[got], np.ones(len(got), np.int64), bucket[got]))
+                    size += length * len(got)
                 if size >= FLUSH_BYTES:
-                    out.append(flush(held))
+                    out.append(flush(batch, held))
                     held, size = [], 0
         if held or not out:
-            out.append(flush(held or [(np.zeros(0, np.int32), np.zeros(0, _STRETCH), [])]))
+            out.append(flush(batch, held or [(np.zeros(0, np.int32), np.zeros(0, _STRETCH), [])]))
         return pa.concat_tables(out)
 
     left = rows.select("batch", "id", "row", "text").groupBy("batch")
-    return left.cogroup(shared.groupBy("batch")).applyInArrow(run, "bucket int, heads binary, texts binary")
+    return left.cogroup(shared.groupBy("batch")).applyInArrow(run, "bucket int, heads binary, texts binary, batch int, marks binary")
+
+
+def _distinct(texts: list[bytes], docs: np.ndarray, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Fills ``ids`` with the distinct texts; the number of each text, and the smallest document of each number."""
+    own = np.array([ids.setdefault(t, len(ids)) for t in texts], np.int64)
+    first = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(first, own, docs)
+    return own, first
 
 
-def earliest_in_suffix_order(data: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each start ``at`` in ``data``, the smallest document with the same ``length`` bytes.
+def _reach(docs: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """How far each suffix matches the previous smaller position, the nearest one before it of an earlier document.
 
-    The starts are sorted into suffix order, equal factors by document. Neighbours
-    with a common prefix of ``length`` form a run; the previous smaller positions of
-    a run lead back to its head, whose document is the earliest.
+    ``common[i]`` is the common prefix of suffixes i - 1 and i; matches under
+    ``least`` count as 0. All suffixes look at once: where the one looked at is not
+    earlier, its own look goes further back, and so does this one.
+    """
+    at, reach = np.arange(len(docs)) - 1, common.copy()
+    open_ = np.flatnonzero(reach >= least)
+    while len(open_):
+        seen = at[open_]
+        go = docs[seen] >= docs[open_]
+        open_, seen = open_[go], seen[go]
+        further, shorter = at[seen], np.minimum(reach[open_], reach[seen])
+        at[open_], reach[open_] = further, shorter
+        open_ = open_[shorter >= least]
+    return np.where(reach >= least, reach, 0)
+
+
+def longest_previous_factors(data: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each start ``at`` in ``data``, its longest match with a start of a smaller document.
+
+    Matches are followed up to ``length`` bytes; shorter ones remove nothing and
+    read 0. The starts are sorted into suffix order, which their first ``length``
+    bytes decide; each one's longest match is with its previous or with its next
+    smaller position there.
     """
     w = _words(data, ">")
-    steps = [*range(0, length - 8, 8), length - 8]
-    keys = [w[at + s] for s in steps]
-    order = np.lexsort((docs, *reversed(keys)))
-    reaches = np.ones(len(at), bool)  # the common prefix with the one before is long enough
-    reaches[:1] = False
+    keys = [w[at + s] for s in [*range(0, length - 8, 8), length - 8]]
+    order = np.lexsort(keys[::-1])
+    equal = np.ones(len(at), bool)
+    equal[:1] = False
     for k in keys:
         k = k[order]
-        reaches[1:] &= k[1:] == k[:-1]
-    head = np.maximum.accumulate(np.where(reaches, 0, np.arange(len(at))))
+        equal[1:] &= k[1:] == k[:-1]
+    common, docs = np.where(equal, length, 0), docs[order]
     out = np.empty(len(at), np.int64)
-    out[order] = docs[order][head]
-    return out
-
-
-def longest_previous_factors(texts: list[bytes]) -> list[list[int]]:
-    """For every start of every text, how far it matches some earlier text; the definition, for short inputs.
-
-    Suffixes are sorted; the longest match with an earlier text is with the previous
-    or the next suffix in order that belongs to one.
-    """
-    order = sorted((t[k:], d, k) for d, t in enumerate(texts) for k in range(len(t)))
-    out = [[0] * len(t) for t in texts]
-
-    def common(a: bytes, b: bytes) -> int:
-        n = 0
-        while n < min(len(a), len(b)) and a[n] == b[n]:
-            n += 1
-        return n
-
-    for step in (order, order[::-1]):
-        stack: list = []  # suffixes that may be the previous smaller of a later one
-        for suffix, d, k in step:
-            while stack and stack[-1][1] >= d:
-                stack.pop()
-            if stack:
-                out[d][k] = max(out[d][k], common(suffix, stack[-1][0]))
-            stack.append((suffix, d))
+    before = _reach(docs, common, length)
+    behind = _reach(docs[::-1], np.append(0, common[:0:-1])[: len(at)], length)[::-1]
+    out[order] = np.maximum(before, behind)
     return out
 
 
-_MARK = np.dtype([("row", "<i8"), ("at", "<i8"), ("end", "<i8")])
-
-
 def _marks(cut: DataFrame, buckets: int, length: int) -> DataFrame:
     """(batch, marks): byte ranges to remove, by row."""
 
     def run(table: pa.Table) -> pa.Table:
         give_back()
-        unzip = zstandard.ZstdDecompressor()
+        zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         ids: dict[bytes, int] = {}  # distinct stretches of the bucket
-        heads, own = [], []
-        for head, text in zip(table.column("heads"), table.column("texts"), strict=True):
+        heads, own, firsts, batches, blobs = [], [], [], [], []
+        for head, text, batch, decided in zip(*(table.column(c) for c in ("heads", "texts", "batch", "marks")), strict=True):
+            if head.as_py() is None:
+                batches.append(batch.as_py())
+                blobs.append(decided.as_py())
+                continue
             head = np.frombuffer(unzip.decompress(head.as_py()), _STRETCH)
             text = unzip.decompress(text.as_py())
-            ends = np.cumsum(head["count"].astype(np.int64) + length - 1)
-            a = 0
-            for b in ends.tolist():
-                own.append(ids.setdefault(text[a:b], len(ids)))
-                a = b
+            ends = np.cumsum(head["count"].astype(np.int64) + length - 1).tolist()
+            numbers, first = _distinct([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], head["doc"], ids)
             heads.append(head)
-        heads, own = np.concatenate(heads), np.array(own, np.int64)
-        if not len(heads):
-            return pa.table({"batch": pa.array([], pa.int32()), "marks": pa.array([], pa.binary())})
-        first = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(first, own, heads["doc"])
-        data = np.frombuffer(b"".join(ids), np.uint8)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin, n = np.cumsum(n) - n, n - length + 1
-        # Every start of every distinct stretch, with the first document that has the stretch.
-        offset = np.cumsum(n) - n
-        at = np.repeat(begin - offset, n) + np.arange(int(n.sum()))
-        early = earliest_in_suffix_order(data, at, np.repeat(first, n), length)
-        least, most = np.minimum.reduceat(early, offset), np.maximum.reduceat(early, offset)
-        whole = most[own] < heads["doc"]
-        marks = [np.stack([heads["row"], heads["at"], heads["at"] + n[own] + length - 1], 1)[whole]]
-        for k in np.flatnonzero(~whole & (least[own] < heads["doc"])).tolist():
-            hit = np.flatnonzero(early[offset[own[k]] : offset[own[k]] + n[own[k]]] < heads["doc"][k])
-            cuts = np.flatnonzero(np.diff(hit) > 1)
-            a, b = hit[np.append(0, cuts + 1)], hit[np.append(cuts, len(hit) - 1)]
-            place = heads["at"][k]
-            marks.append(np.stack([np.full(len(a), heads["row"][k]), place + a, place + b + length], 1))
-        marks = np.concatenate(marks)
-        batch = marks[:, 0] % buckets
-        order = np.lexsort((marks[:, 1], marks[:, 0], batch))
-        got = list(_rows(batch[order], [np.ascontiguousarray(marks[order])]))
-        zip_ = zstandard.ZstdCompressor(level=1)
-        return pa.table({"batch": pa.array([g[0] for g in got], pa.int32()), "marks": pa.array([zip_.compress(g[1][0]) for g in got], pa.binary())})
-
-    return cut.groupBy("bucket").applyInArrow(run, "batch int, marks binary")
+            own.append(numbers)
+            firsts.append(first)
+        if heads:
+            heads, own = np.concatenate(heads), np.concatenate(own)
+            first = np.full(len(ids), np.iinfo(np.int64).max)
+            for part in firsts:
+                np.minimum(first[: len(part)], part, out=first[: len(part)])
+            data = np.frombuffer(b"".join(ids), np.uint8)
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            begin, n = np.cumsum(n) - n, n - length + 1
+            # Every start of every distinct stretch, for the first document that has the stretch.
+            hit = longest_previous_factors(data, _places(begin, n), np.repeat(first, n), length) >= length
+            offset = np.cumsum(n) - n
+            stretch = np.repeat(np.arange(len(n)), n)
+            opens, closes = hit.copy(), hit.copy()
+            opens[1:] &= ~hit[:-1] | (stretch[1:] != stretch[:-1])
+            closes[:-1] &= ~hit[1:] | (stretch[1:] != stretch[:-1])
+            opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+            later = first[own] < heads["doc"]
+            rest = np.flatnonzero(~later)
+            low, high = (np.searchsorted(stretch[opens], own[rest], side) for side in ("left", "right"))
+            run_at, of = _places(low, high - low), np.repeat(rest, high - low)
+            part = np.empty(len(of), _MARK)
+            part["doc"], part["row"] = heads["doc"][of], heads["row"][of]
+            part["at"] = heads["at"][of] + opens[run_at] - offset[own[of]]
+            part["end"] = heads["at"][of] + closes[run_at] - offset[own[of]] + length
+            marks = np.concatenate([_whole_marks(heads[later], length), part])
+            group = marks["row"] % buckets
+            order = np.lexsort((marks["at"], marks["row"], group))
+            for number, (blob,) in _rows(group[order], [marks[order]]):
+                batches.append(number)
+                blobs.append(zip_.compress(blob))
+        return pa.table({"batch": pa.array(batches, pa.int32()), "marks": pa.array(blobs, pa.binary())})
+
+    return cut.select("bucket", "heads", "texts", "batch", "marks").groupBy("bucket").applyInArrow(run, "batch int, marks binary")
 
 
 def merged(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +435,7 @@ def merged(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.append(0, cuts + 1)], reach[np.append(cuts, len(at) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot: int = HOT_STRETCHES) -> DataFrame:
     """``docs`` without its repeated bytes, and n_bytes, n_removed, n_spans, kept_sha256 behind its columns.
 
     With ``keep_text`` the text column holds what is left, half characters at the
@@ -363,31 +443,44 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     and short texts stay as they are (0 bytes if null). A null id is neither earlier
     nor later than any, so such rows lose nothing. Rows with one id are no earlier
     than each other; repeated rows get the same result. Extra columns pass through,
-    whatever their names. ``length`` must be 24 at least.
+    whatever their names. ``length`` must be 24 at least. Anchors that ``hot``
+    documents hold (more in very large inputs, so that they stay under 2 million)
+    are split by whole strings.
     """
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
     row = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(id_col).cast("long"), text_col), 1)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
     rows = rows.withColumn("batch", (F.col("row") % buckets).cast("int"))
     takes_part = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    shared = materialise(_shared_anchors(_anchor_lists(takes_part, buckets, length), buckets), "shared-anchors")
-    marks = materialise(_marks(_cut_stretches(takes_part, shared, buckets, length), buckets, length), "marks")
+    # An anchor spans 18 bytes on average, so the driver takes a bounded number of hot ones.
+    shared = materialise(_shared(_lists(takes_part, buckets, length), buckets, max(hot, size >> 25)), "shared-anchors")
+    found = [_full_keys(r["bucket"], r["tags"]) for r in shared.filter("batch = -1").collect()]
+    found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    shared = shared.filter("batch >= 0")
+    if len(found):
+        shared = shared.unionByName(materialise(_shared(_lists(takes_part, buckets, length, found), buckets), "shared-strings"))
+    marks = materialise(_marks(_cut_stretches(takes_part, shared, buckets, length, found), buckets, length), "marks")
 
     figures = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept_sha256", pa.string())]
     carried = docs.columns if keep_text else [id_col]
     fields = [docs.schema[c] for c in carried]
-    left = docs.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)), F.col(text_col).alias("__text"), row.alias("__row"), (row % buckets).cast("int").alias("__batch"))
+    left = docs.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)), F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__doc"), row.alias("__row"), (row % buckets).cast("int").alias("__batch"))
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
         got = [np.frombuffer(unzip.decompress(x.as_py()), _MARK) for x in marks.column("marks")]
         got = np.concatenate(got) if got else np.zeros(0, _MARK)
-        got = got[np.lexsort((got["at"], got["row"]))]
-        keys = docs.column("__row").to_numpy()
-        low, high = np.searchsorted(got["row"], keys), np.searchsorted(got["row"], keys, "right")
+        got = got[np.lexsort((got["at"], got["row"], got["doc"]))]
+        # A mark belongs to an id and a hash, so rows of different ids never share one.
+        new = np.ones(len(got), bool)
+        new[1:] = (got["doc"][1:] != got["doc"][:-1]) | (got["row"][1:] != got["row"][:-1])
+        cuts = np.flatnonzero(new)
+        own = dict(zip(zip(got["doc"][cuts].tolist(), got["row"][cuts].tolist(), strict=True), zip(cuts.tolist(), [*cuts[1:].tolist(), len(got)], strict=True), strict=True))
+        places = [own.get(key, (0, 0)) for key in zip(docs.column("__doc").to_pylist(), docs.column("__row").to_pylist(), strict=True)]
         size, removed, spans, sha, texts = [], [], [], [], []
-        for text, a, b in zip(docs.column("__text"), low.tolist(), high.tolist(), strict=True):
+        for text, (a, b) in zip(docs.column("__text"), places, strict=True):
             text = text.as_py()
             data = (text or "").encode()
             starts, ends = merged(got["at"][a:b], got["end"][a:b])

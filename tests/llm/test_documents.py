@@ -69,20 +69,38 @@ def test_cleaned_text_and_extra_columns(spark, frame):
     assert got[2].row == "x" and got[2].batch == "x" and got[2].lang == "en"
 
 
-def test_longest_previous_factors():
-    got = suffix_dedup.longest_previous_factors([b"banana", b"ananas", b"bandana"])
-    assert got[0] == [0] * 6
-    assert got[1] == [5, 4, 3, 2, 1, 0]
-    texts = [bytes(random.Random(k).choices(b"ab", k=12)) for k in range(4)]
-    for d, row in enumerate(suffix_dedup.longest_previous_factors(texts)):
-        for k, n in enumerate(row):
-            best = max((m for e in range(d) for m in range(13 - k) if texts[d][k : k + m] in texts[e]), default=0)
-            assert n == best
-    data = np.frombuffer(b"".join(t * 5 for t in texts), np.uint8)
-    at = np.arange(0, len(data) - 24)
-    docs = at // 60
-    want = [min(docs[j] for j in at if bytes(data[j : j + 24]) == bytes(data[i : i + 24])) for i in at]
-    assert suffix_dedup.earliest_in_suffix_order(data, at, docs, 24).tolist() == want
+@pytest.mark.parametrize("length", [50, 24])
+def test_longest_previous_factors(length):
+    r = random.Random(14)
+    texts = [bytes(r.choices(b"ab", k=3)) * 36 for _ in range(6)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([np.arange(108 - length + 1) + 108 * k for k in range(6)])
+    docs = np.array([4, 1, 3, 3, 0, 9])[at // 108]
+    whole = [bytes(data[i : i + length]) for i in at]
+    want = [length * any(w == v and e < d for v, e in zip(whole, docs, strict=True)) for w, d in zip(whole, docs, strict=True)]
+    assert suffix_dedup.longest_previous_factors(data, at, docs, length).tolist() == want and 0 < sum(want) < length * len(want)
+    assert not len(suffix_dedup.longest_previous_factors(data[:0], at[:0], docs[:0], length))
+
+
+def test_smaller_positions_equal_a_scan():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 50, 400):
+        docs, common = r.integers(0, 9, n), r.integers(20, 60, n)
+        common[0] = 0
+        want = []
+        for i in range(n):
+            k, least = i - 1, int(common[i])
+            while k >= 0 and docs[k] >= docs[i]:
+                least, k = min(least, int(common[k])), k - 1
+            want.append(least if k >= 0 and least >= 25 else 0)
+        assert suffix_dedup._reach(docs, common, 25).tolist() == want
+
+
+@pytest.mark.parametrize("hot", [2, 9])
+def test_hot_anchors_are_split_by_whole_strings(spark, frame, prose, hot):
+    r = random.Random(18)
+    shared = "".join(r.choice("abcdefg ") for _ in range(300))
+    rows = [*prose, *((400 + k, f"{r.random()} before " + shared + f" behind {r.random()}") for k in range(30)), (399, shared[20:150])]
+    assert figures(suffix_dedup.remove_repeats(frame(rows), hot=hot)) == brute_removed(rows, 50)
 
 
 def brute_contamination(docs, items, window, percent):
