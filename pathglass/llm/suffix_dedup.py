@@ -30,6 +30,7 @@ anchor. The number of groups follows the bytes of the input.
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -435,8 +436,8 @@ def merged(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.append(0, cuts + 1)], reach[np.append(cuts, len(at) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot: int = HOT_STRETCHES) -> DataFrame:
-    """``docs`` without its repeated bytes, and n_bytes, n_removed, n_spans, kept_sha256 behind its columns.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot: int = HOT_STRETCHES, figures_as: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept_sha256")) -> DataFrame:
+    """``docs`` without its repeated bytes, and n_bytes, n_removed, n_spans, kept_sha256 (or ``figures_as``) behind its columns.
 
     With ``keep_text`` the text column holds what is left, half characters at the
     cuts dropped; without it only the id column and the four figures return. Null
@@ -477,7 +478,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         new = np.ones(len(got), bool)
         new[1:] = (got["doc"][1:] != got["doc"][:-1]) | (got["row"][1:] != got["row"][:-1])
         cuts = np.flatnonzero(new)
-        own = dict(zip(zip(got["doc"][cuts].tolist(), got["row"][cuts].tolist(), strict=True), zip(cuts.tolist(), [*cuts[1:].tolist(), len(got)], strict=True), strict=True))
+        own = dict(zip(zip(got["doc"][cuts].tolist(), got["row"][cuts].tolist(), strict=True), pairwise([*cuts.tolist(), len(got)]), strict=True))
         places = [own.get(key, (0, 0)) for key in zip(docs.column("__doc").to_pylist(), docs.column("__row").to_pylist(), strict=True)]
         size, removed, spans, sha, texts = [], [], [], [], []
         for text, (a, b) in zip(docs.column("__text"), places, strict=True):
@@ -495,4 +496,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     schema = ", ".join([*(f"__c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
     out = left.groupBy("__batch").cogroup(marks.withColumnRenamed("batch", "__batch").groupBy("__batch")).applyInArrow(run, schema)
-    return out.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(carried)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(carried)), *(F.col(f.name).alias(c) for f, c in zip(figures, figures_as, strict=True)))
