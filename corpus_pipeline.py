@@ -10,29 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, suffix_dedup
-from pathglass.llm.common import materialise, table
+from pathglass.llm.common import materialise, table, unused
 from pathglass.llm.queries import TOKENIZERS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents in no language that was learned: without text, or without any letter."""
     profiles = lang_profiles.learn_profiles(docs.filter(~lang_profiles.held_out("doc_id")))
-    predicted = lang_profiles.predict_languages(docs, profiles, pred_col="__pred", score_col="__score")
-    return predicted.filter("__pred != 'und'").select(*docs.columns)
+    pred = unused(docs, "pred")
+    predicted = lang_profiles.predict_languages(docs, profiles, pred_col=pred, score_col=unused(docs, "pred_score"))
+    return predicted.filter(F.col(pred) != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group."""
-    kept = chosen_path.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    # Null ids name no group: their rows stay.
-    return docs.filter("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi"))
+    """Keep the document with the smallest id of each group.
+
+    Rows that repeat an id are documents of their own, unless their texts agree too:
+    then they stay or go together. Rows without id go if their group has an id, and
+    stay otherwise.
+    """
+    kept = chosen_path.near_duplicates(docs.select("doc_id", "text"), text_hash=True).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"]), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document holds; a document of which nothing is left goes."""
-    cleaned = suffix_dedup.remove_repeats(docs)
-    rest = cleaned.filter("n_removed = 0 or n_removed < n_bytes")
-    return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cleaned = suffix_dedup.remove_repeats(docs, figures_as=(size := unused(docs, "n_bytes"), gone := unused(docs, "n_removed"), unused(docs, "n_spans"), unused(docs, "kept_sha256")))
+    rest = cleaned.filter((F.col(gone) == 0) | (F.col(gone) < F.col(size)))
+    return rest.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.llm.bpe_fst import PieceTable
-from pathglass.llm.common import Scratch, release_with, task_tables, text_stream
+from pathglass.llm.common import Scratch, join_spread, release_with, task_tables, text_stream
 
 WORDS = 5
 TREES = 10
@@ -85,7 +85,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, key, sig, packed): key names the set, packed is the compressed text."""
+    """(id, text_hash, n_shingles, key, sig, packed): key names the set, packed is the compressed text."""
 
     def run(batches):
         with task_tables("shingles"):
@@ -100,10 +100,10 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                     sig.append(signature(found).tobytes() if len(found) else None)
                     packed.append(zip_.compress(text.encode()) if len(found) else None)
                 columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, sig, packed))]
-                yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "n_shingles", "key", "sig", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), *columns], ["id", "text_hash", "n_shingles", "key", "sig", "packed"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, key binary, sig binary, packed binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, key binary, sig binary, packed binary")
 
 
 def places_below(node: int, level: int, free: list[int]) -> list[int]:
@@ -170,14 +170,16 @@ def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list
     for depth in range(1, levels + 1):
         # Counts combine before the shuffle. Most nodes hold one set and go here.
         level = scratch.table(level, "tree-level")
-        shared = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        shared = level.join(shared, "node")
+        rows = level.count()
+        counts = scratch.table(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "tree-counts")
+        shared = join_spread(level, counts, "node", "size", rows)
         if labels is not None:
             at = shared.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
             at = at.select("node", "key", "size", "c")
+            at = scratch.table(at, "tree-at")
             parts = at.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("c", "m").alias("most"))
-            open_ = parts.filter("parts > 1").select("node", "most", (F.col("all") - F.col("m")).alias("rest"))
-            shared = at.join(open_, "node")
+            open_ = parts.filter("parts > 1").select("node", "most", "all", (F.col("all") - F.col("m")).alias("rest"))
+            shared = join_spread(at, scratch.table(open_, "tree-open"), "node", "all", rows).drop("all")
         shared = scratch.table(shared, "tree-shared")
         small, large = shared.filter((F.col("size") <= leaf) & F.lit(depth > 1 or not seen)), shared.filter(F.col("size") > leaf)
         out = lists(small) if out is None else out.unionByName(lists(small))
@@ -240,17 +242,18 @@ def _links(leaves: DataFrame, reps: DataFrame, percent: int, words: int) -> Data
     return rows.groupBy("node").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def components(links: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component): the smallest end of any link that is reachable from each, for links (a, b).
 
     Each round sends every end the smallest label next to it and then jumps to the
-    label's own label; rounds are written to the shared folder.
+    label's own label; rounds are written to the shared folder. They go on until no
+    label changes, however many that takes.
     """
     scratch = scratch or Scratch(links.sparkSession)
     edges = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
     labels = scratch.table(labels, "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         joined = labels.join(near, "id").select("id", F.col("component").alias("before"), F.least("component", "m").alias("component"))
         own = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
@@ -258,11 +261,10 @@ def components(links: DataFrame, scratch: Scratch | None = None, rounds: int = 6
         labels = new.select("id", "component")
         if new.filter("before != component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row.
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row, and xxhash64 of its text with ``text_hash``.
 
     Null, empty and blank texts have no shingles and stand alone. Rows with equal
     sets are one class from the start, so copies are never paired. Null ids take
@@ -273,9 +275,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, tree
     scratch = Scratch(docs.sparkSession)
     described = scratch.table(_describe(docs, id_col, text_col, words), "shingled")
     with_set = described.filter(F.col("key").isNotNull())
-    classes = scratch.table(with_set.groupBy("key").agg(F.min("id").alias("first")), "set-classes")
-    # A row for each set, but for rows that repeat an id with its set.
-    reps = with_set.join(classes, "key").filter(F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed")
+    classes = scratch.table(with_set.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "set-classes")
+    # A row for each set, but for rows that repeat an id with its set. The id is part
+    # of the join, so the copies of a set do not meet in one task.
+    first = classes.select(F.col("key").alias("set"), "first")
+    reps = with_set.join(first, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed")
     places = [k * PLACES // trees for k in range(trees)]
     # The first trees find most components; the others skip what these have settled.
     early = scratch.table(_links(_leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels), reps, percent, words), "links")
@@ -289,8 +293,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, tree
     labels = components(early.unionByName(late), scratch).withColumnRenamed("id", "key")
     labelled = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_key = labelled.join(names, "component").select("key", "component_id")
-    rows = described.select("id", "n_shingles", "key").join(by_key, "key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    out = rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))
+    by_key = scratch.table(labelled.join(names, "component").select("key", "copies", "component_id"), "named")
+    keyed = join_spread(with_set.select("id", "text_hash", "n_shingles", "key"), by_key, "key", "copies", with_set.count())
+    out = keyed.select("id", "text_hash", "n_shingles", "component_id").unionByName(described.filter("key is null").select("id", "text_hash", "n_shingles", F.col("id").alias("component_id")))
+    component = F.col("component_id")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", component, F.coalesce(component == F.col("id"), component.isNull()).alias("kept"), *(["text_hash"] if text_hash else []))
     return scratch.result(out, "components")

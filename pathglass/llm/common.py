@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share.
+    """The folder that the driver and every executor share: ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only when that is unset (local
-    tests) a temporary folder of this machine takes its place.
+    Where that is unset, a session in one JVM (local tests) takes a temporary folder;
+    on a cluster this raises, as executors would not see the same one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pathglass-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -62,6 +64,25 @@ class Scratch:
         return out
 
 
+#: Keys that are broadcast at most because very many rows share them.
+HOT_KEYS = 100_000
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, how: str = "inner", least: int = 1_000) -> DataFrame:
+    """``rows`` joined with ``keyed``, a written table of one row a key, without a hot group.
+
+    ``size`` names the column of ``keyed`` that says how many of the ``total`` rows
+    a key meets. Keys of at least ``least`` rows and of at least one in HOT_KEYS of all,
+    of which there are HOT_KEYS at most, are broadcast; the other rows are shuffled.
+    """
+    hot = keyed.filter(F.col(size) >= max(least, total // HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(keyed, key, how)
+    near = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return near.unionByName(others.join(keyed.join(F.broadcast(hot.select(key)), key, "left_anti"), key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,6 +91,14 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Python workers outlive tasks; what an operator's tables hold is let go when another one's task starts.
 _tables: dict = {"owner": None, "release": []}
 

@@ -19,10 +19,10 @@ from pathglass.llm.common import task_tables, text_stream
 
 #: N-grams in a profile.
 RANKS = 400
-#: About as many labelled rows are learned from at most, chosen by a hash of their id.
+#: About as many labelled rows are learned from, an equal share for each language, and
+#: SPARE_ROWS more for each, chosen by a hash of their id and text.
 SAMPLE_ROWS = 20_000
-#: So many languages are learned at most, those with most sampled rows first.
-MAX_LANGUAGES = 256
+SPARE_ROWS = 30
 
 #: A learning task counts so many n-grams before it hands on their sums.
 FLUSH_CODES = 2_000_000
@@ -60,14 +60,19 @@ def ranked(text: str, ranks: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:ranks]]
 
 
-def learn_profiles(labelled: DataFrame, ranks: int = RANKS, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
+def learn_profiles(labelled: DataFrame, ranks: int = RANKS, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
     """A ranked list of n-gram codes for each language of the rows with a text and a language.
 
-    The sample and the profiles are bounded by the parameters, whatever the table.
+    Every language is learned, rare ones from all of their rows: each has an equal
+    share of the sample, which bounds what is learned from whatever the table.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    every = max(1, rows.count() // sample_rows)
-    rows = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sizes.count()
+    share = sample_rows // max(1, languages) + SPARE_ROWS
+    sizes = sizes.select("lang", F.greatest(F.lit(1), F.floor(F.col("n") / share)).alias("every"))
+    rows = rows.join(F.broadcast(sizes) if languages <= sample_rows else sizes, "lang").filter(F.pmod("h", "every") == 0).select("lang", "text")
 
     def count(batches):
         with task_tables("languages"):
@@ -85,16 +90,13 @@ def learn_profiles(labelled: DataFrame, ranks: int = RANKS, sample_rows: int = S
         for lang, parts in found.items():
             codes, n = np.unique(np.concatenate(parts), return_counts=True)
             if len(codes):
-                rows = pa.array([len(parts)] + [0] * (len(codes) - 1), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n, pa.int64()), rows], ["lang", "code", "n", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, code long, n long, rows long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    total = F.sum("rows").over(Window.partitionBy("lang")).alias("rows")
-    top = counts.select("lang", "code", F.row_number().over(order).alias("rank"), total).filter(F.col("rank") <= ranks)
-    top = top.orderBy(F.desc("rows"), "lang", "rank").limit(ranks * max_languages)
+    top = counts.select("lang", "code", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= ranks)
     out: dict[str, list[int]] = {}
-    for r in top.collect():
+    for r in top.orderBy("lang", "rank").collect():
         out.setdefault(r["lang"], []).append(r["code"])
     return out
 
@@ -122,13 +124,15 @@ class Profiles:
 
 
 def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the two columns behind its own.
+    """``docs`` with the two columns behind its own; columns of these names are replaced.
 
     Prediction uses the whole text and nothing else. ``und`` and score 0 for a null
     text or one without a letter, or if nothing was learned; of languages at the
     same distance the first by name. Every row stays, in place; no shuffle.
     """
 
+    docs = docs.drop(pred_col, score_col)
+
     def run(batches):
         model = Profiles(profiles, ranks)
         with task_tables("languages"):

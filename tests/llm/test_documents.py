@@ -203,7 +203,34 @@ def test_language_profiles(spark):
     assert all(0 <= g.score <= 1 for g in got)
     empty = docs.limit(0)
     assert lang_profiles.identify(empty).count() == 0
-    assert {g.lang_pred for g in lang_profiles.predict_languages(docs.drop("lang_pred", "score"), {}).collect()} == {"und"}
+    assert {g.lang_pred for g in lang_profiles.predict_languages(docs, {}).collect()} == {"und"}
+
+
+def test_every_language_is_learned_and_the_nearest_wins(spark):
+    r = random.Random(16)
+    sounds = {f"l{k:03d}": "".join(chr(0x4E00 + 20 * k + j) for j in range(12)) for k in range(300)}
+    rows = [(k, "".join(r.choice(sounds[lang]) for _ in range(60)), lang) for k, lang in enumerate([*sounds, *sounds, *["l000"] * 400])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = lang_profiles.learn_profiles(docs, sample_rows=300)
+    assert set(profiles) == set(sounds)
+    got = {g.doc_id: g for g in lang_profiles.predict_languages(docs.filter("doc_id < 40"), profiles, pred_col="best").collect()}
+
+    def grams(text):
+        found = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f" {word} "
+            found.update(word)
+            found.update(padded[k : k + 2] for k in range(len(padded) - 1))
+            found.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        return found
+
+    code = lambda g: {1: lambda: ord(g), 2: lambda: ord(g[0]) << 21 | ord(g[1]), 3: lambda: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])}[len(g)]()
+    for i, text, lang in rows[:40]:
+        own = [g for g, _ in sorted(grams(text).items(), key=lambda x: (-x[1], code(x[0])))][: lang_profiles.RANKS]
+        place = {name: {c: k for k, c in enumerate(codes)} for name, codes in profiles.items()}
+        apart = {name: sum(min(abs(p[code(g)] - k), lang_profiles.RANKS) if code(g) in p else lang_profiles.RANKS for k, g in enumerate(own)) for name, p in place.items()}
+        best = min(apart, key=lambda name: (apart[name], name))
+        assert got[i].best == best == lang and abs(got[i].score - (1 - apart[best] / (lang_profiles.RANKS * len(own)))) < 1e-12
 
 
 def test_ranked_orders_ties_by_code():
@@ -305,6 +332,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path, prose):
     assert set(got) == {i for i, _ in left} - bad
     assert all(got[i].decoded_sha256 == removed[i][4] for i in got)
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    again = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, spark.createDataFrame([(3, "one two three"), (4, "one two three"), (3, "x y z"), (1, "x y z"), (None, "x y z"), (None, "all alone"), (9, None)], "doc_id long, text string"), "").collect()]
+    assert sorted(again, key=repr) == sorted([(3, "one two three"), (1, "x y z"), (None, "all alone"), (9, None)], key=repr)
+    frame = frame.selectExpr("*", *(f"'x' as {c}" for c in ("pred", "PRED_SCORE", "n_bytes", "n_removed", "id", "text_hash", "one", "__one", "key")))
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, frame, str(tmp_path)).columns == frame.columns
     assert 4 <= len(pipeline.STAGES) <= 5
