@@ -74,10 +74,11 @@ def join_spread(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: i
     ``size`` names the column of ``keyed`` that says how many of the ``total`` rows
     a key meets. Keys of at least ``least`` rows and of at least one in HOT_KEYS of all,
     of which there are HOT_KEYS at most, are broadcast; the other rows are shuffled.
+    A table of at most HOT_KEYS keys is broadcast as it is.
     """
+    if keyed.count() <= HOT_KEYS:
+        return rows.join(F.broadcast(keyed), key, how)
     hot = keyed.filter(F.col(size) >= max(least, total // HOT_KEYS))
-    if hot.isEmpty():
-        return rows.join(keyed, key, how)
     near = rows.join(F.broadcast(hot), key)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return near.unionByName(others.join(keyed.join(F.broadcast(hot.select(key)), key, "left_anti"), key, how))

@@ -4,12 +4,14 @@ Vectors become integers, floor(256 * x). Appending sqrt(M - |x|^2), M the larges
 squared norm, to a row and 0 to a query makes the squared distance M + |q|^2 - 2 q.x,
 so the nearest rows in this metric space have the largest inner products.
 
-Rows are dealt to the root's routing objects, a bounded sample of the rows; a large
-cell is dealt on to blocks. A block is an M-tree of paged nodes with routing object,
-covering radius and distance to the parent's. A query searches its own cell first;
-the k-th score found there bounds the search, so that only cells whose ball may hold
-a better row are searched next, again best first with the bound. A node's stored
-parent distance often rules it out by the triangle inequality before its own
+Equal vectors have equal scores, so a query vector is searched once and of each
+vector only the smallest ids are candidates. Rows are dealt to the root's routing
+objects, a sample that grows with the rows up to a bound, so that a cell is about a
+block; larger cells have several. A block is an M-tree of paged nodes with routing
+object, covering radius and distance to the parent's. A query searches its own cell
+first; the last score found there bounds the search, so that only cells whose ball
+may hold a better row are searched next, again best first with the bound. A node's
+stored parent distance often rules it out by the triangle inequality before its own
 distance is computed. Bounds are widened by a small slack for rounding; scores are
 exact integers.
 """
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathglass.llm.common import materialise
+from pathglass.llm.common import join_spread, materialise
 
-#: Routing objects of the root.
-ROOT = 64
-#: Rows of a block, on average; larger cells have several.
+#: Routing objects of the root: at least so many (if there are as many rows), one for
+#: BLOCK rows, at most ROOT_MOST and what ROOT_BYTES hold.
+ROOT, ROOT_MOST, ROOT_BYTES = 64, 65_536, 64 << 20
+#: Rows of a block, on average; larger cells have several. Also the queries that a
+#: task searches a block for.
 BLOCK = 8_192
 #: Entries of a leaf page and of an inner node.
 PAGE, FANOUT = 128, 16
@@ -35,12 +39,17 @@ PAGE, FANOUT = 128, 16
 SCALE = 256
 
 
-def quantised(values: list) -> np.ndarray | None:
-    """floor(256 * x) of each component; None for a null or a vector with a null or non-finite component."""
-    if values is None or any(v is None for v in values):
-        return None
-    x = np.asarray(values, np.float64)
-    return np.floor(x * SCALE).astype(np.int64) if len(x) and np.isfinite(x).all() else None
+#: Squared norms stay below this, so that every score fits a signed 64-bit integer.
+NORM_LIMIT = 1 << 62
+
+
+def quantised(values) -> np.ndarray | None:
+    """floor(256 * x) of each component; None for an empty vector, one with a null or
+    non-finite component, or one so long that scores could leave 64 bits."""
+    x = np.asarray(values, np.float64)  # a null becomes NaN
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = np.floor(x * SCALE)
+        return x.astype(np.int64) if len(x) and float(x @ x) < NORM_LIMIT else None
 
 
 def _load(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -48,13 +57,15 @@ def _load(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            lists = b.column("v")
+            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             ids, packed, norms, sizes = [], [], [], []
-            for key, values in zip(b.column("id"), b.column("v"), strict=True):
-                x = quantised(values.as_py())
+            for k, (key, there) in enumerate(zip(b.column("id").to_pylist(), lists.is_valid().to_pylist(), strict=True)):
+                x = quantised(values[offsets[k] : offsets[k + 1]]) if there else None
                 if x is not None:
-                    ids.append(key.as_py())
+                    ids.append(key)
                     packed.append(x.tobytes())
-                    norms.append(int((x * x).sum()))
+                    norms.append(int(x @ x))
                     sizes.append(len(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(norms, pa.int64()), pa.array(sizes, pa.int32())], ["id", "v", "norm", "n"])
 
@@ -79,7 +90,9 @@ class Space:
         """Rows with at least this score lie within this distance of the query."""
         if score is None:
             return np.inf
-        return float(np.sqrt(max(0.0, self.top + float(q @ q) - 2.0 * score))) * (1 + 1e-9) + 1e-6
+        most = self.top + float(q @ q)
+        # Rounding errs by a small part of the largest numbers involved.
+        return float(np.sqrt(max(0.0, most - 2.0 * score) + 1e-14 * most)) * (1 + 1e-9) + 1e-6 + 1e-12 * float(np.sqrt(most))
 
 
 def _distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -92,6 +105,7 @@ class MTree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, space: Space):
         self.x, self.ids, self.space = vectors, ids, space
         self.points = space.rows(vectors)
+        self.computed = 0  # distances to queries
         self.routes, self.radii, self.to_parent, self.children, self.pages = [], [], [], [], []
         self.root = self._build(np.arange(len(ids)), None)
         self.routes, self.radii, self.to_parent = np.array(self.routes), np.array(self.radii), np.array(self.to_parent)
@@ -125,8 +139,8 @@ class MTree:
         self.children[node] = np.array(self.children[node])
         return node
 
-    def search(self, q: np.ndarray, own_id: int | None, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """The best (score, id) in the tree but for ``own_id``: at most k, highest first, ties to smaller ids.
+    def search(self, q: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
+        """The best (score, id) in the tree: at most k, highest first, ties to smaller ids.
 
         Rows under ``floor`` (k rows elsewhere reach it) may be left out.
         """
@@ -144,6 +158,7 @@ class MTree:
                 # |d - d(parent, child)| - radius bounds the child before its distance is known.
                 kids = kids[np.abs(d - self.to_parent[kids]) - self.radii[kids] <= radius]
                 apart = _distances(self.routes[kids], point)
+                self.computed += len(kids)
                 for kid, to, bound in zip(kids.tolist(), apart.tolist(), np.maximum(0.0, apart - self.radii[kids]).tolist(), strict=True):
                     if bound <= radius:
                         heapq.heappush(queue, (bound, kid, to))
@@ -152,9 +167,7 @@ class MTree:
             a, b = np.searchsorted(apart, d - radius), np.searchsorted(apart, d + radius, "right")
             rows = rows[a:b]
             scores, ids = self.x[rows] @ q, self.ids[rows]
-            if own_id is not None:
-                other = ids != own_id
-                scores, ids = scores[other], ids[other]
+            self.computed += len(rows)
             if len(best) == k:
                 better = scores >= best[0][0]
                 scores, ids = scores[better], ids[better]
@@ -174,87 +187,149 @@ def _stack(column, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, n)
 
 
+class Root:
+    """The root's routing objects, by vector length, in groups around some of them.
+
+    A row goes to the nearest routing object of the nearest group, so that dealing
+    costs about the square root of their number. Vectors of a length that the sample
+    lacks have a cell of their own, -length, without a routing object.
+    """
+
+    def __init__(self, sample: list[np.ndarray], space: Space):
+        self.space, self.routes, self.groups = space, {}, {}
+        number = 0
+        for n in sorted({len(x) for x in sample}):
+            at = space.rows(np.unique(np.stack([x for x in sample if len(x) == n]), axis=0))
+            centres = at[:: max(1, int(len(at) ** 0.5))]
+            own = np.argmin(np.stack([_distances(at, c) for c in centres]), 0)
+            self.routes[n] = (number, at)
+            self.groups[n] = (centres, [np.flatnonzero(own == k) for k in range(len(centres))])
+            number += len(at)
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and its distance from the routing object."""
+        n = x.shape[1]
+        if n not in self.routes:
+            return np.full(len(x), -n), np.zeros(len(x))
+        number, at = self.routes[n]
+        centres, groups = self.groups[n]
+        points = self.space.rows(x)
+        group = np.argmin(np.stack([_distances(points, c) for c in centres]), 0)
+        cell, apart = np.empty(len(x), np.int64), np.empty(len(x))
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            far = np.stack([_distances(points[rows], at[k]) for k in groups[g]])
+            near = np.argmin(far, 0)
+            cell[rows], apart[rows] = number + groups[g][near], far[near, np.arange(len(rows))]
+        return cell, apart
+
+
+def _stack(packed: list[bytes], n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.int64).reshape(-1, n)
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, root: int = ROOT, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the k best other rows.
 
     Vectors that are null, empty or hold a null or non-finite component take no
-    part, nor do rows with a null id. Vectors are only compared with those of their
+    part, nor do rows with a null id, nor vectors so long (squared norm from 2**62)
+    that a score could leave 64 bits. Vectors are only compared with those of their
     own length. Rows that repeat an id are no candidates for each other; as
-    candidates of others each counts, and as queries they share one list. A query without candidates gives no rows; an
-    empty table gives none.
+    candidates of others each counts, and as queries they have a list for each
+    distinct vector, of which the k best are given. A query without candidates gives
+    no rows; an empty table gives none.
     """
     spark = vectors.sparkSession
     rows = materialise(_load(vectors, id_col, vec_col), "vectors")
-    sizes = {r["n"]: r for r in rows.groupBy("n").agg(F.max("norm").alias("top"), F.count(F.lit(1)).alias("rows")).collect()}
-    found = [_top_k_of(rows.filter(F.col("n") == n).drop("n"), n, sizes[n]["top"], sizes[n]["rows"], every, k, root, block) for n in sorted(sizes)]
-    if not found:
+    total, top, longest = rows.agg(F.count(F.lit(1)), F.max("norm"), F.max("n")).first()
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _top_k_of(rows: DataFrame, n: int, top: int, total: int, every: int, k: int, root: int, block: int) -> DataFrame:
     space = Space(top)
-    # The root's routing objects: rows with the smallest hashes, a bounded number.
-    sample = rows.orderBy(F.xxhash64("v"), "id").limit(root).collect()
-    routes = space.rows(np.unique(np.stack([np.frombuffer(r["v"], np.int64) for r in sample]), axis=0))
+    wanted = min(max(root, total // block), ROOT_MOST, max(root, ROOT_BYTES // (8 * longest)))
+    # Routing objects: rows with the smallest hashes, a bounded number.
+    sample = [np.frombuffer(r["v"], np.int64) for r in rows.orderBy(F.xxhash64("v"), "id").select("v").limit(wanted).collect()]
+    tops = Root(sample, space)
+
+    # Of equal vectors the smallest ids, k for each that a query may have itself, say all.
+    of_id = Window.partitionBy("v", "id").orderBy("id")
+    few = rows.withColumn("r", F.row_number().over(of_id)).filter(F.col("r") <= k)
+    few = few.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
 
     def cell_of(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            points = space.rows(_stack(b.column("v"), n))
-            apart = np.stack([_distances(points, r) for r in routes])
-            at = np.argmin(apart, 0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(at, pa.int32()), pa.array(apart[at, np.arange(len(at))])], ["id", "v", "cell", "apart"])
-
-    dealt = materialise(rows.select("id", "v").mapInArrow(cell_of, "id long, v binary, cell int, apart double"), "cells")
-    cells = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.max("apart").alias("radius"), F.count(F.lit(1)).alias("rows")).collect()}
-    blocks = {c: max(1, -(-r["rows"] // block)) for c, r in cells.items()}
-    table = F.create_map(*(F.lit(x) for pair in sorted(blocks.items()) for x in pair))
-    own_block = F.pmod(F.xxhash64("id", "v"), F.element_at(table, F.col("cell"))).cast("int")
-    trees = dealt.select("id", "v", "cell", own_block.alias("block"))
-    queries = dealt.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    names = [("query_id", pa.int64()), ("v", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())]
+            packed, n = b.column("v").to_pylist(), b.column("n").to_numpy()
+            cell, apart = np.zeros(len(n), np.int64), np.zeros(len(n))
+            for size in np.unique(n).tolist():
+                at = np.flatnonzero(n == size)
+                cell[at], apart[at] = tops.cells(_stack([packed[i] for i in at], size))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell), pa.array(apart)], ["id", "v", "cell", "apart"])
+
+    dealt = materialise(few.select("id", "v", "n").mapInArrow(cell_of, "id long, v binary, cell long, apart double"), "cells")
+    cells = dealt.groupBy("cell").agg(F.max("apart").alias("radius"), F.count(F.lit(1)).alias("rows"))
+    cells = materialise(cells.withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")), "cell-sizes")
+    blocked = join_spread(dealt, cells, "cell", "rows", total).withColumn("block", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int"))
+    radii = {r["cell"]: r["radius"] for r in cells.filter("cell >= 0").collect()}  # one for each routing object
+
+    asked = rows.filter(F.col("id") % every == 0).select("id", "v", "n").distinct()
+    queries = materialise(asked.groupBy("v").agg(F.count(F.lit(1)).alias("asked"), F.first("n").alias("n"), F.min("id").alias("id")).mapInArrow(lambda x: _with_cell(x, tops), "v binary, asked long, n int, cell long"), "queries")
+    most = 2 * k  # a query's own rows take up to k places
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list = []
         if left.num_rows and right.num_rows:
-            tree = MTree(_stack(left.column("v"), n), left.column("id").to_numpy(), space)
-            for key, v, floor in zip(right.column("id").to_pylist(), right.column("v").to_pylist(), right.column("floor").to_pylist(), strict=True):
-                out += [(key, v, i, s) for s, i in tree.search(np.frombuffer(v, np.int64), key, k, floor)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({name: pa.array(c, t) for (name, t), c in zip(names, columns, strict=True)})
+            packed = left.column("v").to_pylist()
+            tree = MTree(_stack(packed, len(packed[0]) // 8), left.column("id").to_numpy(), space)
+            for v, floor in zip(right.column("v").to_pylist(), right.column("floor").to_pylist(), strict=True):
+                out += [(v, i, s) for s, i in tree.search(np.frombuffer(v, np.int64), most, floor)]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("v", "vec_id", "score"), columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)})
 
     def searched(targets: DataFrame) -> DataFrame:
-        return trees.groupBy("cell", "block").cogroup(targets.groupBy("cell", "block")).applyInArrow(search, "query_id long, v binary, vec_id long, score long")
-
-    every_block = F.explode(F.sequence(F.lit(0), F.element_at(table, F.col("cell")) - 1))
-    home = queries.select("id", "v", "cell", F.lit(None).cast("long").alias("floor"), every_block.alias("block"))
-    near = materialise(searched(home), "near")
-    order = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
-    floors = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), "v", F.col("score").alias("floor"))
-    bounded = queries.select("id", "v", F.col("cell").alias("home")).join(floors, ["id", "v"], "left")
-    radii = {c: r["radius"] for c, r in cells.items()}
+        """Targets (v, cell, floor) against every block of their cell, a bounded number of both in a group."""
+        targets = materialise(targets, "targets")
+        sizes = targets.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")).join(cells.select("cell", "blocks", "rows"), "cell")
+        sizes = materialise(sizes.withColumn("parts", F.ceil(F.col("asked") / block).cast("int")), "target-sizes")
+        trees = join_spread(blocked.select("id", "v", "cell", "block"), sizes.select("cell", "parts", "rows"), "cell", "rows", total)
+        trees = trees.select("id", "v", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        ask = join_spread(targets, sizes.select("cell", "blocks", "parts", "asked"), "cell", "asked", total)
+        ask = ask.select("v", "floor", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"))
+        keys = ("cell", "block", "part")
+        return trees.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(search, "v binary, vec_id long, score long")
+
+    near = materialise(searched(queries.select("v", "cell", F.lit(None).cast("long").alias("floor"))), "near")
+    best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")
+    floors = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") == most).select("v", F.col("score").alias("floor"))
 
     def further(batches):
         """The other cells whose ball reaches into the query's."""
-        numbers = np.array(sorted(radii))
-        reach, at = np.array([radii[c] for c in numbers.tolist()]), routes[numbers]
         for b in batches:
             take, cell = [], []
             for i, (v, home, floor) in enumerate(zip(*(b.column(c).to_pylist() for c in ("v", "home", "floor")), strict=True)):
-                q = space.query(np.frombuffer(v, np.int64))
-                hit = numbers[_distances(at, q) - reach <= space.radius(q, floor)]
+                q = np.frombuffer(v, np.int64)
+                if len(q) not in tops.routes:
+                    continue
+                number, at = tops.routes[len(q)]
+                reach = np.array([radii.get(c, -np.inf) for c in range(number, number + len(at))])
+                point = space.query(q)
+                hit = number + np.flatnonzero(_distances(at, point) - reach <= space.radius(point, floor))
                 for c in hit[hit != home].tolist():
                     take.append(i)
                     cell.append(c)
             take = pa.array(take, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), pa.array(cell, pa.int32()), b.column("floor").take(take)], ["id", "v", "cell", "floor"])
+            yield pa.RecordBatch.from_arrays([b.column("v").take(take), pa.array(cell, pa.int64()), b.column("floor").take(take)], ["v", "cell", "floor"])
+
+    bounded = queries.select("v", F.col("cell").alias("home")).join(floors, "v", "left")
+    both = near.unionByName(searched(bounded.mapInArrow(further, "v binary, cell long, floor long")))
+    found = both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most)
+    found = materialise(found.groupBy("v").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")).join(queries.select("v", "asked"), "v"), "found")
+    lists = join_spread(asked.select(F.col("id").alias("query_id"), "v"), found, "v", "asked", total)
+    pairs = lists.select("query_id", F.explode("found").alias("f")).select("query_id", "f.*").filter("vec_id <> query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
-    other = bounded.mapInArrow(further, "id long, v binary, cell int, floor long").withColumn("block", every_block)
-    both = near.unionByName(searched(other))
-    return both.select("query_id", "vec_id", "score")
+def _with_cell(batches, tops: Root):
+    for b in batches:
+        packed = b.column("v").to_pylist()
+        cell = [int(tops.cells(np.frombuffer(v, np.int64)[None, :])[0][0]) for v in packed]
+        yield pa.RecordBatch.from_arrays([b.column("v"), b.column("asked"), b.column("n"), pa.array(cell, pa.int64())], ["v", "asked", "n", "cell"])

@@ -1,16 +1,19 @@
 """WARC archives: a writer with one gzip member per record, and a sequential reader (operator 9).
 
 Archives are byte strings in rows of a Parquet folder, so that Spark's commit
-protocol and stores apply. The reader inflates an archive member by member from
-small slices, takes each record's block by its Content-Length, and checks the
-digests that it finds.
+protocol and stores apply; :func:`export_archives` puts them out as ``.warc.gz``
+files. The reader inflates an archive member by member from small slices, takes
+each record's block by its Content-Length, and checks the digests that it finds.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import posixpath
+import uuid
 import zlib
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathglass.llm.common import new_path
+from pathglass.llm.common import join_spread, materialise, new_path
 
 #: An archive is closed when its compressed size reaches this.
 ARCHIVE_BYTES = 8 << 20
@@ -41,12 +44,18 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_bytes(kind: str, page_id, url: str | None, payload: bytes, refers_to=None, level: int = 4) -> bytes:
-    """One record as one gzip member."""
+def now() -> str:
+    """The time as WARC-Date writes it."""
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record_bytes(kind: str, page_id, url: str | None, payload: bytes, refers_to=None, level: int = 4, name: str = "", date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One record as one gzip member; ``name`` (its place) makes its record id, so ids are unique."""
     block = _HTTP + (payload if kind == "response" else b"")
     lines = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:page:{page_id}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {page_id} {date}')}>",
+        "WARC-Date": date,
         "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "Content-Type": "application/http; msgtype=response",
         "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}",
@@ -54,8 +63,10 @@ def record_bytes(kind: str, page_id, url: str | None, payload: bytes, refers_to=
         "X-Payload-Length": str(len(payload)),
         "Content-Length": str(len(block)),
     }
+    if page_id is not None:
+        lines["X-Page-ID"] = str(page_id)
     if kind == "revisit":
-        lines |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        lines |= {"WARC-Profile": REVISIT_PROFILE, "X-Refers-To-Page": str(refers_to)}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()) + "\r\n"
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
@@ -106,16 +117,18 @@ def plan_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("__sha", F.sha1(F.col("html").cast("binary")))
-    # Partial sums of the aggregation shrink a hot payload to one row a task; the join
-    # back has one row for each payload, so adaptive execution can split a hot one.
-    first = rows.filter(F.octet_length("html") >= min_bytes).groupBy("__sha").agg(F.max("page_id").alias("__first"))
-    joined = rows.join(first, "__sha", "left")
+    # Digests alone are grouped; pages meet only the digests that occur more than once,
+    # and without a shuffle unless there are very many of them.
+    digests = rows.filter(F.octet_length("html") >= min_bytes).groupBy("__sha").agg(F.max("page_id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    digests = materialise(digests.filter("__n > 1"), "digests")
+    joined = join_spread(rows, digests, "__sha", "__n", digests.agg(F.sum("__n")).first()[0] or 0, "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("__first")), F.col("__first"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write the rows of :func:`plan_records` as archives; every row becomes a record."""
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> None:
+    """Write the rows of :func:`plan_records` as archives; every row becomes a record of ``date``, now if not given."""
+    date = date or now()
 
     def run(batches):
         part, n, members, size = TaskContext.get().partitionId(), 0, [], 0
@@ -127,7 +140,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
             for page, url, html, refers in zip(*(b.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 refers = refers.as_py()
                 kind = "response" if refers is None else "revisit"
-                members.append(record_bytes(kind, page.as_py(), url.as_py(), html.as_py().encode(), refers))
+                members.append(record_bytes(kind, page.as_py(), url.as_py(), html.as_py().encode(), refers, name=f"{path}/{part}/{n}/{len(members)}", date=date))
                 size += len(members[-1])
                 if size >= archive_bytes:
                     yield flush()
@@ -145,7 +158,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     digest are those of the full payload in both kinds.
     """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
-    number = lambda urn: None if urn is None or urn == "<urn:page:None>" else int(urn[10:-1])
+    number = lambda value: None if value is None else int(value)
 
     def run(batches):
         for b in batches:
@@ -154,7 +167,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 for kind, h, payload in read_archive(archive.as_py()):
                     size = len(payload) if kind == "response" else int(h["X-Payload-Length"])
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    rows.append((number(h["WARC-Record-ID"]), h["WARC-Target-URI"], size, digest, kind, number(h.get("WARC-Refers-To")), payload if kind == "response" else None))
+                    rows.append((number(h.get("X-Page-ID")), h["WARC-Target-URI"], size, digest, kind, number(h.get("X-Refers-To-Page")), payload if kind == "response" else None))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in enumerate(kinds)], names)
@@ -164,6 +177,31 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return archives.mapInArrow(run, schema + ", payload binary" * payloads)
 
 
+def export_archives(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Put the archives at ``path`` out as ``.warc.gz`` files below ``folder``: (name, n_records, size) of each.
+
+    ``folder`` is a URI that pyarrow's file systems and all executors reach. Tasks
+    write under names of their own and rename when a file is whole, so a repeated
+    task leaves the same files.
+    """
+
+    def run(batches):
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for name, archive in zip(b.column("name").to_pylist(), b.column("archive"), strict=True):
+                part = posixpath.join(root, f".{name}.{uuid.uuid4().hex}")
+                with fs.open_output_stream(part) as out:
+                    out.write(archive.as_buffer())
+                fs.move(part, posixpath.join(root, name))
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("n_records"), pa.array([len(x.as_buffer()) for x in b.column("archive")], pa.int64())], ["name", "n_records", "size"])
+
+    archives = spark.read.schema("name string, n_records long, archive binary").parquet(path)
+    return materialise(archives.mapInArrow(run, "name string, n_records long, size long"), "exported")
+
+
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write all pages as archives into the shared folder and read them back; no payloads in the result."""
     spark = pages.sparkSession

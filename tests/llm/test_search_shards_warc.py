@@ -4,7 +4,9 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from pathglass.llm import mtree, ring_shards, warc
 
 def brute_top_k(rows, every, k):
     usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, v) for i, v in usable if sum(x * x for x in v) < 1 << 62]
     out = []
     for q, x in dict((i, v) for i, v in usable if i % every == 0).items():
         scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in usable if i != q and len(x) == len(y))
@@ -26,7 +29,8 @@ def test_top_k_equals_brute_force(spark, root, block):
     r = random.Random(4)
     rows = [(i, [float(np.float32(r.gauss(i % 3, 1))) for _ in range(6)]) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(60)]  # ties: one very common vector
-    rows += [(2000, None), (2050, []), (2100, [None] * 6), (2150, [math.nan] * 6), (2200, [math.inf] * 6), (2250, [0.0] * 6), (None, [1.0] * 6), (2300, [1.0, 2.0]), (2301, [2.0, 1.0])]
+    rows += [(2000, None), (2050, []), (2100, [None] * 6), (2150, [math.nan] * 6), (2200, [math.inf] * 6), (2250, [0.0] * 6), (None, [1.0] * 6), (2300, [1.0, 2.0]), (2301, [2.0, 1.0]), (2350, [1e300, 1.0]), (2400, [3e7] * 6)]
+    rows += [(2500, [0.5] * 6)] * 4 + [(2501, [0.5] * 6)] * 9  # repeated ids
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, id string, cell string")
     got = mtree.top_k(df, every=50, k=5, root=root, block=block)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top_k(rows, 50, 5)
@@ -44,9 +48,17 @@ def test_tree_prunes_and_stays_exact():
     x = np.floor(256 * (r.normal(size=(4000, 8)) * 0.05 + r.integers(0, 6, (4000, 1)))).astype(np.int64)
     space = mtree.Space(int((x * x).sum(1).max()))
     tree = mtree.MTree(x, np.arange(4000), space)
+    computed = []
     for q in range(0, 4000, 500):
         want = sorted(((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q))[:5]
-        assert tree.search(x[q], q, 5, None) == [(-s, i) for s, i in want]
+        before = tree.computed
+        assert [t for t in tree.search(x[q], 6, None) if t[1] != q][:5] == [(-s, i) for s, i in want]
+        computed.append(tree.computed - before)
+    # Of 4000 rows and the nodes above them; a query near the origin tells no row from another.
+    assert sorted(computed)[4] < 2_000
+    routes, rows = mtree.Root(list(x[:200]), space), x[200:]
+    cell, apart = routes.cells(rows)
+    assert np.allclose(apart, [np.sqrt(((space.rows(v[None])[0] - routes.routes[8][1][c]) ** 2).sum()) for v, c in zip(rows, cell, strict=True)])
 
 
 def test_ring_shards_follow_the_law(spark, frame, prose):
@@ -66,6 +78,38 @@ def test_ring_shards_follow_the_law(spark, frame, prose):
     assert ring_shards.assign_shards(frame([])).count() == 0
 
 
+def test_shards_equal_a_walk_around_the_ring(spark, frame, prose):
+    """Row by row: the home shard, or the next ones clockwise with room, within the bounds."""
+    rows = [*prose, *((500 + k, f"text {k % 7}") for k in range(200))]
+    shards, replicas = 5, 4
+    got = ring_shards.assign_shards(frame(rows), shards=shards, replicas=replicas).collect()
+    arcs = {}
+    for x in ring_shards.ring(spark, shards, replicas).collect():
+        arcs[x.cell] = (x.arc, x.shard)
+    order = sorted({a for a in arcs.values()})
+    cell = {(x.doc_id, x.text): (x.cell, x.h) for x in frame(rows).selectExpr("doc_id", "text", "cast(pmod(xxhash64(doc_id, text), 65536) as int) as cell", "xxhash64(doc_id, text) as h").collect()}
+    bounds = [len(rows) // shards + (k < len(rows) % shards) for k in range(shards)]
+    # All take what fits at home first, arc by arc; then the rest walks on, arc by arc.
+    by_arc = {a: [] for a, _ in order}
+    for row in sorted(rows, key=lambda r: (cell[r], r[0] is not None, r[0])):
+        by_arc[arcs[cell[row][0]][0]].append(row)
+    first, wrap = order[0][0], [r for r in by_arc[order[0][0]] if cell[r][0] > order[0][0]]
+    by_arc[first] = [r for r in by_arc[first] if r not in wrap] + wrap
+    want, loads, left = {}, [0] * shards, []
+    for k, (arc, shard) in enumerate(order):
+        for row in by_arc[arc]:
+            if loads[shard] < bounds[shard]:
+                loads[shard] += 1
+                want[row] = shard
+            else:
+                left.append((k, row))
+    for k, row in left:
+        shard = next(s for _, s in order[k + 1 :] + order[: k + 1] if loads[s] < bounds[s])
+        loads[shard] += 1
+        want[row] = shard
+    assert {(g.doc_id, g.text_crc32): g.shard for g in got} == {(i, zlib.crc32((t or "").encode())): s for (i, t), s in want.items()}
+
+
 def test_most_rows_stay_at_their_home_on_the_ring(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
     got = ring_shards.assign_shards(docs, shards=6, replicas=64)
@@ -92,6 +136,17 @@ def test_warc_round_trip(spark):
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", top if revisit else None))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert warc.warc_round_trip(df.limit(0)).count() == 0
+    path, out = warc.new_path(spark, "warc-test"), warc.new_path(spark, "warc-files")
+    warc.write_archives(warc.plan_records(df), path, archive_bytes=2_000)
+    files = warc.export_archives(spark, path, out).collect()
+    assert len(files) > 3 and sum(f.n_records for f in files) == len(pages)
+    seen = []
+    for f in files:
+        data = Path(out.removeprefix("file://"), f.name).read_bytes()
+        assert len(data) == f["size"]
+        seen += list(warc.read_archive(data))
+    assert len({r.headers["WARC-Record-ID"] for r in seen}) == len(pages)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.headers["WARC-Date"]) for r in seen)
     small = {tuple(x) for x in warc.warc_round_trip(df, min_bytes=10).select("payload_bytes", "record_type").collect()}
     assert all(size >= 10 or kind == "response" for size, kind in small)
 
