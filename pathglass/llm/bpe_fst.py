@@ -30,9 +30,12 @@ SPLIT_PATTERN = (
 #: Unicode White_Space, spelled out: Python's own \s holds four more characters.
 _WS = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 
-#: Runs that end where white space follows another character. No match of
-#: SPLIT_PATTERN and no special string without white space spans such a place.
-RUN = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: Places where white space follows another character. No match of SPLIT_PATTERN and
+#: no special string without white space spans such a place.
+BREAK = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
+
+#: Characters of a text split at a time, and tokens packed at a time.
+SEGMENT, TOKENS = 1 << 16, 1 << 16
 
 
 class Vocabulary:
@@ -206,6 +209,8 @@ class Transducer:
         return got
 
     def _expand(self, state: _State, byte: int):
+        if len(self.states) >= self.max_states:
+            self.reset()  # the state at hand lives on, without its transitions
         trie, token_at, inner, pairs = self.v.trie, self.v.token_at, self.v.inner, self.pairs
         found, ended = [], False
         for out, last, node in state.hypotheses:
@@ -238,27 +243,33 @@ class Transducer:
         step = state.next[byte] = (to, agreed, k)
         return step
 
-    def _begin(self) -> _State:
-        if len(self.states) > self.max_states:
-            self.reset()
-        return self.start
-
     def encode(self, piece: bytes) -> list[int]:
+        return [t for part in self._emitted(piece) for t in part]
+
+    def pack(self, piece: bytes) -> bytes:
+        """The ids as little-endian 32-bit integers; long pieces are packed part by part."""
+        return b"".join(struct.pack(f"<{len(part)}I", *part) for part in self._emitted(piece))
+
+    def _emitted(self, piece: bytes):
         if self.v.whole_first and (t := self.v.ids.get(piece)) is not None:
-            return [t]
-        state, out = self._begin(), []
+            yield [t]
+            return
+        state, out = self.start, []
         for byte in piece:
             step = state.next.get(byte) or self._expand(state, byte)
             if step[2]:
                 out += step[1]
+                if len(out) >= TOKENS:
+                    yield out
+                    out = []
             state = step[0]
         out += state.tail
-        return out
+        yield out
 
     def count(self, piece: bytes) -> int:
         if self.v.whole_first and piece in self.v.ids:
             return 1
-        state, n = self._begin(), 0
+        state, n = self.start, 0
         for byte in piece:
             step = state.next.get(byte) or self._expand(state, byte)
             n += step[2]
@@ -285,7 +296,7 @@ class PieceTable(dict):
         return got
 
 
-#: Fixed value: SPLIT_PATTERN for texts without a character above U+017F, for the faster standard library.
+#: SPLIT_PATTERN, spelled out here for texts without a character above U+017F, for the faster standard library.
 _SPLIT_LATIN = re.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d"""
     r"""| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+"""
@@ -297,20 +308,62 @@ _BEYOND_LATIN = re.compile("[^\x00-\u017f]")
 _SPLIT = regex.compile(SPLIT_PATTERN)
 
 
-def split_pieces(text: str) -> list[str]:
-    """The matches of SPLIT_PATTERN, which cover the whole text."""
-    return (_SPLIT if _BEYOND_LATIN.search(text) else _SPLIT_LATIN).findall(text)
+def _splitter(text: str):
+    return _SPLIT if _BEYOND_LATIN.search(text) else _SPLIT_LATIN
+
+
+def split_pieces(text: str):
+    """The matches of SPLIT_PATTERN, which cover the whole text; one by one if it is long."""
+    if len(text) <= 4 * SEGMENT:
+        return _splitter(text).findall(text)
+    return (m.group() for m in _splitter(text).finditer(text))
+
+
+class _Alphabet(dict):
+    """Whether the tokenizers library and ``regex`` class a character alike; their Unicode tables differ."""
+
+    def __missing__(self, c: str) -> bool:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        pre, probe = ByteLevel(add_prefix_space=False), f"a{c}a 1{c}1 .{c}. {c}"
+        got = self[c] = [probe[a:b] for _, (a, b) in pre.pre_tokenize_str(probe)] == _SPLIT.findall(probe)
+        return got
+
+
+_alike = _Alphabet()
+
+
+def split_as_library(text: str):
+    """The pieces of the tokenizers library's byte-level splitter."""
+    if not _BEYOND_LATIN.search(text) or all(map(_alike.__getitem__, set(_BEYOND_LATIN.findall(text)))):
+        return split_pieces(text)
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
+
+
+def segments(text: str):
+    """The text in parts of about SEGMENT characters, cut at breaks; one without breaks stays whole."""
+    at = 0
+    while len(text) - at > 2 * SEGMENT and (m := BREAK.search(text, at + SEGMENT)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 class TextEncoder:
-    """Whole texts to little-endian 32-bit ids, by the vocabulary's merges."""
+    """Whole texts to little-endian 32-bit ids, by the vocabulary's merges.
+
+    Memory beyond the text and its ids is bounded, however long a text or a piece of it is.
+    """
 
     def __init__(self, vocabulary: Vocabulary, scale: float = 1):
         self.fst = Transducer(vocabulary, int(120_000 * scale), int(250_000 * scale))
         self.specials = vocabulary.specials
         self.cut = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.ids = PieceTable(lambda p: struct.pack(f"<{len(ids := self.fst.encode(p.encode()))}I", *ids), int(120_000 * scale))
+        self.ids = PieceTable(lambda p: self.fst.pack(p.encode()), int(120_000 * scale))
         self.counts = PieceTable(lambda p: self.fst.count(p.encode()), int(120_000 * scale))
+        self.split = split_pieces if vocabulary.whole_first else split_as_library
 
     def _parts(self, text: str):
         """Text between special strings, and the special ids between those."""
@@ -319,15 +372,21 @@ class TextEncoder:
         return self.cut.split(text), [self.specials[s] for s in self.cut.findall(text)]
 
     def encode(self, text: str) -> bytes:
+        if len(text) <= SEGMENT and (self.cut is None or not self.cut.search(text)):
+            return b"".join(map(self.ids.__getitem__, self.split(text)))
         plain, special = self._parts(text)
-        out = [b"".join(map(self.ids.__getitem__, split_pieces(x))) for x in plain]
-        for k, i in enumerate(special):
-            out[k] += i.to_bytes(4, "little")
-        return b"".join(out)
+        out = bytearray()
+        for k, part in enumerate(plain):
+            for x in segments(part):
+                for piece in self.split(x):
+                    out += self.ids[piece]
+            if k < len(special):
+                out += special[k].to_bytes(4, "little")
+        return bytes(out)
 
     def count(self, text: str) -> int:
         plain, special = self._parts(text)
-        return len(special) + sum(sum(map(self.counts.__getitem__, split_pieces(x))) for x in plain)
+        return len(special) + sum(sum(map(self.counts.__getitem__, self.split(x))) for part in plain for x in segments(part))
 
 
 @lru_cache(maxsize=4)

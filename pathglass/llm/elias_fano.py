@@ -14,8 +14,8 @@ import numpy as np
 
 _HEAD = struct.Struct("<QBQQ")  # count, low width, upper bytes, samples
 SAMPLE = 64
-
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
+#: Values whose low bits are laid out at a time.
+PART = 1 << 13
 
 
 class EliasFano:
@@ -24,17 +24,19 @@ class EliasFano:
 
     @classmethod
     def build(cls, values) -> EliasFano:
-        """``values``: non-decreasing integers from 0 to 2**62."""
-        x = np.asarray(values, dtype=np.int64)
-        n = len(x)
+        """``values``: non-decreasing integers from 0 to 2**64 - 1."""
+        x = np.asarray(values)
+        if len(x) and x.dtype.kind != "u" and int(x.min()) < 0 or (x[1:] < x[:-1]).any():
+            raise ValueError("values must be non-negative and non-decreasing")
+        x, n = x.astype(np.uint64), len(x)
         if n == 0:
             return cls(0, 0, b"", b"", np.zeros(0, np.uint32))
-        if x[0] < 0 or (np.diff(x) < 0).any():
-            raise ValueError("values must be non-negative and non-decreasing")
-        width = max(0, int(x[-1] // n).bit_length() - 1)
-        bits = (x[:, None] >> np.arange(width)) & 1
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        ones = (x >> width) + np.arange(n)
+        width = max(0, (int(x[-1]) // n).bit_length() - 1)
+        places = np.arange(width, dtype=np.uint64)
+        # Parts of a multiple of eight values end at a byte, and keep the table of bits small.
+        parts = [((x[k : k + PART, None] >> places) & np.uint64(1)).astype(np.uint8).ravel() for k in range(0, n, PART)] if width else []
+        low = b"".join(np.packbits(bits, bitorder="little").tobytes() for bits in parts)
+        ones = (x >> np.uint64(width)).astype(np.int64) + np.arange(n)
         upper = np.zeros(int(ones[-1]) + 1, np.uint8)
         upper[ones] = 1
         return cls(n, width, low, np.packbits(upper, bitorder="little").tobytes(), ones[::SAMPLE].astype(np.uint32))
@@ -72,15 +74,3 @@ class EliasFano:
         start = i * self.width
         chunk = int.from_bytes(self.low[start >> 3 : (start + self.width + 7) >> 3], "little") >> (start & 7)
         return (place - i) << self.width | chunk & ((1 << self.width) - 1)
-
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        upper = np.unpackbits(np.frombuffer(self.upper, np.uint8), bitorder="little")
-        high = np.flatnonzero(upper)[: self.n] - np.arange(self.n)
-        out = high.astype(np.int64) << self.width
-        if self.width:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.width]
-            out |= (bits.reshape(self.n, self.width).astype(np.int64) << np.arange(self.width)).sum(1)
-        return out

@@ -1,12 +1,13 @@
 """Token counts by a compiled finite-state tokenizer (operator 8).
 
 Transitions of the transducer carry the number of tokens they emit. A text is cut
-into chunks, each chunk becomes a state map, and the maps compose by a parallel
-prefix scan. A map is kept in symbolic form: between white space that follows
-another character and the next such place the tokenizer always returns to one
-state, so a chunk sends every entry state (the unfinished run before it) to the
-count of that run with the chunk's head, plus a fixed count, and leaves the
-chunk's tail as the unfinished run.
+into chunks, each chunk becomes a state map, and the maps compose as in the up-sweep
+of a parallel prefix scan: neighbours first, then neighbouring pairs, and so on, the
+last composition being that of the whole text. A map is kept in symbolic form:
+between white space that follows another character and the next such place the
+tokenizer always returns to one state, so a chunk sends every entry state (the
+unfinished run before it) to the count of that run with the chunk's head, plus a
+fixed count, and leaves the chunk's tail as the unfinished run.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.bpe_fst import RUN, TextEncoder, encoder
+from pathglass.llm.bpe_fst import BREAK, TextEncoder, encoder
 from pathglass.llm.common import release_with, task_tables, text_stream
 
 #: Characters in a chunk.
@@ -32,43 +33,54 @@ class StateMap(NamedTuple):
     tail: str | None
 
 
-IDENTITY = StateMap("", 0, None)
+def _last_break(chunk: str) -> int:
+    """The last place where a run ends and another begins, -1 if there is none."""
+    size = 64
+    while True:
+        at = max(0, len(chunk) - size)
+        last = None
+        for last in BREAK.finditer(chunk, at):
+            pass
+        if last is not None or not at:
+            return -1 if last is None else last.start()
+        size *= 8
 
 
 def state_map(chunk: str, enc: TextEncoder) -> StateMap:
-    runs = RUN.findall(chunk)
-    if len(runs) < 2:
+    first = BREAK.search(chunk)
+    if first is None:
         return StateMap(chunk, 0, None)
-    head, tail = runs[0], runs[-1]
-    return StateMap(head, enc.count(chunk[len(head) : len(chunk) - len(tail)]), tail)
+    last = _last_break(chunk)
+    return StateMap(chunk[: first.start()], enc.count(chunk[first.start() : last]), chunk[last:])
 
 
 def compose(a: StateMap, b: StateMap, enc: TextEncoder) -> StateMap:
     """First ``a``, then ``b``; associative."""
+    left = a.head if a.tail is None else a.tail
+    ends = BREAK.search(left[-1:] + b.head[:1]) is not None  # a run ends between the two
+    done = 0 if a.tail is None else a.count
+    if a.tail is None and b.tail is None:
+        return StateMap(left, 0, b.head) if ends else StateMap(left + b.head, 0, None)
     if a.tail is None:
-        # Joining may end a run: "x" and " y" have none inside, "x y" has one.
-        if b.tail is None:
-            joined = a.head + b.head
-            return state_map(joined, enc)
-        left = state_map(a.head + b.head, enc)
-        if left.tail is None:
-            return StateMap(left.head, b.count, b.tail)
-        return StateMap(left.head, left.count + enc.count(left.tail) + b.count, b.tail)
+        return StateMap(left, enc.count(b.head) + b.count, b.tail) if ends else StateMap(left + b.head, b.count, b.tail)
     if b.tail is None:
-        right = state_map(a.tail + b.head, enc)
-        if right.tail is None:
-            return StateMap(a.head, a.count, right.head)
-        return StateMap(a.head, a.count + enc.count(right.head) + right.count, right.tail)
-    return StateMap(a.head, a.count + enc.count(a.tail + b.head) + b.count, b.tail)
+        return StateMap(a.head, done + enc.count(left), b.head) if ends else StateMap(a.head, done, left + b.head)
+    joined = enc.count(left) + enc.count(b.head) if ends else enc.count(left + b.head)
+    return StateMap(a.head, done + joined + b.count, b.tail)
 
 
-def prefix_scan(maps: list[StateMap], enc: TextEncoder) -> list[StateMap]:
-    """All prefix compositions in a logarithmic number of rounds of independent steps."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = out[:step] + [compose(out[k - step], out[k], enc) for k in range(step, len(out))]
-        step *= 2
-    return out
+def up_sweep(maps, enc: TextEncoder) -> StateMap | None:
+    """The composition of all maps in order, by balanced pairs; maps that a pair has joined are let go."""
+    waiting: list[tuple[int, StateMap]] = []  # composed chunks, a power of two each, falling
+    for m in maps:
+        level = 0
+        while waiting and waiting[-1][0] == level:
+            m, level = compose(waiting.pop()[1], m, enc), level + 1
+        waiting.append((level, m))
+    total = waiting.pop()[1] if waiting else None
+    while waiting:
+        total = compose(waiting.pop()[1], total, enc)
+    return total
 
 
 def apply_to_start(m: StateMap, enc: TextEncoder) -> int:
@@ -77,10 +89,8 @@ def apply_to_start(m: StateMap, enc: TextEncoder) -> int:
 
 
 def count_text(text: str, enc: TextEncoder, chunk: int = CHUNK) -> int:
-    if len(text) <= chunk:
-        return enc.count(text)
-    maps = [state_map(text[k : k + chunk], enc) for k in range(0, len(text), chunk)]
-    return apply_to_start(prefix_scan(maps, enc)[-1], enc)
+    total = up_sweep((state_map(text[k : k + chunk], enc) for k in range(0, len(text), chunk)), enc)
+    return 0 if total is None else apply_to_start(total, enc)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, scale: float = 1) -> DataFrame:
@@ -89,7 +99,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     The count is that of the vocabulary's own library without begin or end
     tokens; special strings inside a text are single tokens. Null texts count as
     empty (0 bytes, 0 tokens). Every row gives a row, whatever its id; other
-    columns are not read. No shuffle; memory is one Arrow batch and bounded tables.
+    columns are not read. No shuffle; memory is one Arrow batch, a few copies of a
+    text's longest run without white space and bounded tables.
     """
 
     def run(batches):

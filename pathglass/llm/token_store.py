@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathglass.llm.bpe_fst import PieceTable, byte_letters, split_pieces
+from pathglass.llm.bpe_fst import PieceTable, byte_letters, split_as_library
 from pathglass.llm.common import new_path, release_with, task_tables, text_stream
 from pathglass.llm.elias_fano import EliasFano
 
@@ -40,7 +40,9 @@ def pack_file(doc_ids: list, ids: list[bytes], width: int) -> bytes:
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
     head = _HEAD.pack(MAGIC, 1, width, len(doc_ids), len(doc_ids) - len(known), base)
     values = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
-    return b"".join([head, EliasFano.build(np.asarray(known, np.int64) - base).to_bytes(), EliasFano.build(ends).to_bytes(), values.tobytes()])
+    # Differences of signed 64-bit ids always fit unsigned ones, where they wrap around.
+    above = np.array(known, np.int64).view(np.uint64) - np.uint64(base % (1 << 64))
+    return b"".join([head, EliasFano.build(above).to_bytes(), EliasFano.build(ends).to_bytes(), values.tobytes()])
 
 
 class TokenFile:
@@ -65,11 +67,11 @@ class TokenFile:
         return self.values[a:b]
 
     def documents(self):
-        """(doc_id, start, ids) of every document, decoded in one go."""
-        keys = [None] * self.n_null + (self.keys.all() + self.base).tolist()
+        """(doc_id, start, ids) of every document, its place selected from the ends."""
         start = 0
-        for key, end in zip(keys, self.ends.all().tolist(), strict=True):
-            yield key, start, self.values[start:end]
+        for i in range(self.n_docs):
+            end = self.ends.select(i)
+            yield self.doc_id(i), start, self.values[start:end]
             start = end
 
 
@@ -98,7 +100,7 @@ def _encode(path: str, text: str) -> bytes:
     encode, pieces, specials, _ = _library(path)
     if pieces is None or any(s in text for s in specials):
         return encode(text)
-    return b"".join(map(pieces.__getitem__, split_pieces(text)))
+    return b"".join(map(pieces.__getitem__, split_as_library(text)))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> None:
