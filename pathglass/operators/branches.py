@@ -14,27 +14,36 @@ INDIRECT = ("indirect_jump", "indirect_call")
 MAX_BLOCK = 1 << 20
 
 
+def with_next(instructions: DataFrame) -> DataFrame:
+    """``instructions`` with ``next_ip`` (JN12): where the thread went on, null if its next row is not the next in sequence."""
+    order = Window.partitionBy("thread").orderBy("id")
+    follows = F.lead("sequence").over(order) == F.col("sequence") + 1
+    return instructions.withColumn("next_ip", F.when(follows, F.lead("virt_ip").over(order)))
+
+
 def branch_sites(instructions: DataFrame) -> DataFrame:
     """A row for each address with conditional or indirect branches (AGG5).
 
-    Counts of outcomes, the share taken of those known (null if none is), the first
-    symbol, and the distinct indirect targets in the order they were first seen.
+    Counts of the outcomes of conditionals, the share taken of those known as text
+    with six decimals (null if none is), the first symbol, and the distinct targets
+    of indirect branches in the order they were first seen. An indirect branch went
+    where the thread's next instruction is; one without a next counts nowhere.
     """
-    rows = instructions.filter(F.col("kind").isin(*CONDITIONAL, *INDIRECT))
-    jumps = F.col("kind").isin(*INDIRECT) & F.col("branch_target").isNotNull()
+    indirect = F.col("kind").isin(*INDIRECT)
+    rows = with_next(instructions).filter((F.col("kind") == "conditional") | (indirect & F.col("next_ip").isNotNull()))
     count = lambda what: F.count_if((F.col("kind") == "conditional") & F.coalesce(F.col("outcome") == what, F.lit(what == "unknown")))
     # First sightings combine before the shuffle: no list of all rows of a hot site.
-    firsts = rows.filter(jumps).groupBy("virt_ip", "branch_target").agg(F.min("id").alias("first"))
-    ordered = F.array_sort(F.collect_list(F.struct("first", "branch_target")))
-    targets = firsts.groupBy("virt_ip").agg(F.transform(ordered, lambda s: address_hex(s["branch_target"])).alias("indirect_targets"))
+    firsts = rows.filter(indirect).groupBy("virt_ip", "next_ip").agg(F.min("id").alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "next_ip")))
+    targets = firsts.groupBy("virt_ip").agg(F.transform(ordered, lambda s: address_hex(s["next_ip"])).alias("indirect_targets"))
     sites = rows.groupBy("virt_ip").agg(
         F.min_by("symbol", F.when(F.col("symbol").isNotNull(), F.col("id"))).alias("symbol"),
         count("taken").alias("taken"),
         count("not_taken").alias("not_taken"),
         count("unknown").alias("unknown"),
-        F.count(F.lit(1)).alias("executions"),
     )
     known = F.col("taken") + F.col("not_taken")
+    fraction = F.bround(F.col("taken").cast("decimal(19,0)") / known.cast("decimal(19,0)"), 6).cast("decimal(8,6)").cast("string")
     out = sites.join(targets, "virt_ip", "left")
     return out.select(
         address_hex(F.col("virt_ip")).alias("site"),
@@ -42,12 +51,16 @@ def branch_sites(instructions: DataFrame) -> DataFrame:
         "taken",
         "not_taken",
         "unknown",
-        "executions",
-        F.when(known > 0, F.col("taken").cast("double") / known).alias("taken_fraction"),
+        F.when(known > 0, fraction).alias("taken_fraction"),
         F.coalesce("indirect_targets", F.array().cast("array<string>")).alias("indirect_targets"),
     )
 
 
+def site_order() -> list[Column]:
+    """Most executed conditionals first, then the site's text (SRT4)."""
+    return [F.desc(F.col("taken") + F.col("not_taken") + F.col("unknown")), F.asc("site")]
+
+
 def inline_profile(instructions: DataFrame) -> DataFrame:
     """By symbol and innermost inlined function: instructions, share, addresses (AGG6); nulls group."""
     counts = instructions.groupBy("symbol", "inlined", "virt_ip").agg(F.count(F.lit(1)).alias("n"))

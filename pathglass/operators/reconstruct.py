@@ -2,19 +2,22 @@
 
 Only the call stack needs a state machine, and only between two places where the
 stack is known to be empty. So expressions do the rest: kinds and boundaries from
-flags, symbols by join, generations, time regressions and the first time of each
-cpu by windows, and samples that cannot matter are dropped. Threads are cut into
-segments behind every record that unwinds the stack for good; each segment is a
-group of its own, so a thread that holds most samples still spreads over tasks.
+flags, symbols by join, samples that cannot matter are dropped. What a record needs
+to know of the thread before it (generation, last time, whether tracing had ended,
+resets) is found within ranges of the stream and carried over their borders by one
+row a range and thread, so a thread that holds most records spreads over tasks.
+Threads are cut into segments behind every record that unwinds the stack for good.
+Each segment is fed in order from a sorted stream: a long one takes time, not memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathglass.functions.flags import BOUNDARIES, boundary, flag_set, flow_kind
-from pathglass.operators.records import first_times, generations
+from pathglass.functions.scalars import thread_name
+from pathglass.operators.records import first_times
 from pathglass.storage import cut
 
 UNKNOWN_THREAD = "t_unknown"
@@ -22,10 +25,23 @@ UNKNOWN_THREAD = "t_unknown"
 #: What a group of records gives: spans, then gaps; ``row`` tells which.
 OUTPUT = (
     "row string, thread string, key long, function long, parent_key long, start_ns long, end_ns long, completeness string, "
-    "start_event long, end_event long, call_site long, kind string, extent_known boolean, reason string"
+    "start_event long, end_event long, call_site long, kind string, extent_known boolean, reason string, mismatch boolean"
 )
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 
+#: What the state machine reads of a record, in this order.
+READ = ["record_type", "time_ns", "cpu", "cpu_first_ns", "code", "message", "regressed_from", "event_id", "from_fn", "to_fn", "ip", "kind", *BOUNDARIES]
+
+# The reasons that gaps state.
+REASONS = {
+    "moved": "thread moved from cpu {} to cpu {}; execution in between was overwritten in the AUX ring",
+    "no_start": "{}; no trace start before next sample",
+    "elsewhere": "{}; resumed elsewhere",
+    "async": "async or interrupt transfer",
+    "regression": "time regression",
+    "lost": "PERF_RECORD_LOST",
+}
+
 
 class CallStack:
     """The stack of one thread, fed with its records in order; plain values, so it can be stored."""
@@ -33,12 +49,12 @@ class CallStack:
     def __init__(self, thread: str, frames=None, pending=None):
         self.thread, self.frames, self.pending, self.out = thread, frames or [], pending, []
 
-    def _emit(self, frame, end, event, completeness) -> None:
+    def _emit(self, frame, end, event, completeness, mismatch=False) -> None:
         key, function, parent, start, opened, _, site = frame
-        self.out.append(("span", self.thread, key, function, parent, start, end, completeness, opened, event, site, None, None, None))
+        self.out.append(("span", self.thread, key, function, parent, start, end, completeness, opened, event, site, None, None, None, mismatch))
 
     def gap(self, kind, start, end, known, reason) -> None:
-        self.out.append(("gap", self.thread, None, None, None, start, end, None, None, None, None, kind, known, reason))
+        self.out.append(("gap", self.thread, None, None, None, start, end, None, None, None, None, kind, known, reason, None))
 
     def interrupt(self) -> None:
         while self.frames:
@@ -56,67 +72,68 @@ class CallStack:
         parent = self.frames[-1][0] if self.frames else None
         self.frames.append([2 * event + sub, function, parent, start, event, state, site])
 
-    def _resolve(self, r) -> bool:
+    def _resolve(self, now, cpu, cpu_first, event, source, target, begins) -> bool:
         """What a record says about tracing that had ended; True if it says all there is."""
         function, left, left_cpu, reason = self.pending
         self.pending = None
-        now, target = r["time_ns"], r["to_fn"] if r["to_fn"] is not None else r["from_fn"]
-        moved = r["cpu"] is not None and r["cpu"] != left_cpu
-        if moved and left is not None and (r["cpu_first_ns"] is None or r["cpu_first_ns"] > left):
-            end = r["cpu_first_ns"] if r["cpu_first_ns"] is not None else now
+        entered = target if target is not None else source
+        if cpu is not None and cpu != left_cpu and left is not None and (cpu_first is None or cpu_first > left):
+            end = cpu_first if cpu_first is not None else now
             self.interrupt()
-            self.gap("ring_truncation", left, end, end is not None, f"thread moved from cpu {'?' if left_cpu is None else left_cpu} to cpu {r['cpu']}; execution in between was overwritten")
-            if r["trace_begin"] and target is not None:
-                self._open(r["event_id"], 0, target, now, "open_start")
-            return r["trace_begin"]
-        if not r["trace_begin"]:
+            self.gap("ring_truncation", left, end, end is not None, REASONS["moved"].format("?" if left_cpu is None else left_cpu, cpu))
+            if begins and entered is not None:
+                self._open(event, 0, entered, now, "open_start")
+            return begins
+        if not begins:
             self.interrupt()
-            self.gap("unknown", left, now, False, f"{reason}; no trace start before next sample")
+            self.gap("unknown", left, now, False, REASONS["no_start"].format(reason))
             return False
-        if function is not None and r["to_fn"] == function:
+        if function is not None and target == function:
             self.gap("trace_boundary", left, now, left is not None and now is not None, reason)
             if not self.frames:
-                self._open(r["event_id"], 0, function, left if left is not None else now, "open_start")
+                self._open(event, 0, function, left if left is not None else now, "open_start")
             return True
         self.interrupt()
-        self.gap("unknown", left, now, False, f"{reason}; resumed elsewhere")
-        if target is not None:
-            self._open(r["event_id"], 0, target, now, "open_start")
+        self.gap("unknown", left, now, False, REASONS["elsewhere"].format(reason))
+        if entered is not None:
+            self._open(event, 0, entered, now, "open_start")
         return True
 
-    def feed(self, r) -> None:
-        """One record: a sample, a decoder error or the thread's exit."""
-        if r["record_type"] == "decoder_error":
+    def feed(self, record) -> None:
+        """One record, a tuple of READ: a sample, a decoder error or the thread's exit."""
+        record_type, now, cpu, cpu_first, code, message, regressed, event, source, target, ip, kind, begins, ends, async_event, transaction, interrupt, syscall = record
+        if record_type == "decoder_error":
             self.interrupt()
-            self.gap("missing_image" if r["code"] == 5 else "decoder_error", r["time_ns"], None, False, r["message"])
+            self.gap("missing_image" if code == 5 else "decoder_error", now, None, False, message)
             return
-        if r["record_type"] == "task":
-            self.finish(r["time_ns"])
+        if record_type == "task":
+            self.finish(now)
             return
-        if r["regressed_from"] is not None:
+        if regressed is not None:
             self.interrupt()
-            self.gap("time_regression", r["regressed_from"], r["time_ns"], True, "time regression")
-        if self.pending is not None and self._resolve(r):
+            self.gap("time_regression", regressed, now, True, REASONS["regression"])
+        if self.pending is not None and self._resolve(now, cpu, cpu_first, event, source, target, begins):
             return
-        event, now, source, target = r["event_id"], r["time_ns"], r["from_fn"], r["to_fn"]
-        if r["trace_end"]:
-            reason = "syscall" if r["syscall"] else "async" if r["async_event"] else "interrupt" if r["interrupt"] else "trace end"
-            self.pending = (source, now, r["cpu"], reason)
-        elif r["async_event"] or r["interrupt"] or r["transaction"]:
+        if ends:
+            reason = "syscall" if syscall else "async" if async_event else "interrupt" if interrupt else "trace end"
+            self.pending = (source, now, cpu, reason)
+        elif async_event or interrupt or transaction:
             self.interrupt()
-            self.gap("unknown", now, None, False, "async or interrupt transfer")
-        elif r["trace_begin"]:
+            self.gap("unknown", now, None, False, REASONS["async"])
+        elif begins:
             entered = target if target is not None else source
             if not self.frames and entered is not None:
                 self._open(event, 0, entered, now, "open_start")
-        elif r["syscall"]:
+        elif syscall:
             return
-        elif r["kind"] == "call":
-            self._open(event, 0, target, now, "open_end", r["ip"])
-        elif r["kind"] == "return":
+        elif kind == "call":
+            self._open(event, 0, target, now, "open_end", ip)
+        elif kind == "return":
             if self.frames:
                 frame = self.frames.pop()
-                self._emit(frame, now, event, "open_both" if frame[5] == "open_start" else "complete")
+                top = self.frames[-1][1] if self.frames else None
+                astray = top is not None and target is not None and top != target
+                self._emit(frame, now, event, "open_both" if frame[5] == "open_start" else "complete", astray)
             else:
                 self._emit([2 * event, source, None, None, event, None, None], now, event, "uncertain_unwind")
                 if target is not None:
@@ -140,41 +157,79 @@ def classify(records: DataFrame) -> DataFrame:
     return rows.withColumns(boundary(F.col("set"))).drop("set")
 
 
+THREAD = ("part", "pid", "tid")
+
+
+def _before(what: Column) -> Column:
+    """The last value of a thread's earlier records in the same range of the stream."""
+    return F.last(what, ignorenulls=True).over(Window.partitionBy(*THREAD).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _sum_before(what: Column) -> Column:
+    return F.coalesce(F.sum(what.cast("long")).over(Window.partitionBy(*THREAD).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+
+
+def _over_earlier(what: Column) -> Column:
+    """Of one row for each range and thread: over the ranges before."""
+    return what.over(Window.partitionBy("pid", "tid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+
+
 def prepare(records: DataFrame) -> DataFrame:
     """What the state machine reads, from classified records with ``from_fn`` and ``to_fn``.
 
-    Optional columns ``from_map`` and ``to_map`` name the mappings of both ends.
-    ``event_id`` is the rank of a sample in stream order, dropped ones included.
+    ``records`` is what :func:`with_event_ids` gives. Optional columns ``from_map``
+    and ``to_map`` name the mappings of both ends.
     """
     for name in ("from_map", "to_map"):
         if name not in records.columns:
             records = records.withColumn(name, F.lit(None).cast("long"))
-    rows = records.filter("record_type in ('sample', 'decoder_error') or (record_type = 'task' and task_kind = 'exit')")
-    rows = generations(rows.filter("pid is not null and tid is not null"))
-    rows = rows.drop("cpu_first_ns").join(first_times(records), "cpu", "left").withColumnRenamed("first_ns", "cpu_first_ns")
-    thread = Window.partitionBy("pid", "tid", "generation").orderBy("seq")
-    earlier = thread.rowsBetween(Window.unboundedPreceding, -1)
-    sample = F.col("record_type") == "sample"
-    rows = rows.withColumn("before_ns", F.last(F.when(sample, F.col("time_ns")), ignorenulls=True).over(earlier))
-    rows = rows.withColumn("regressed_from", F.when(sample & (F.col("time_ns") < F.col("before_ns")), F.col("before_ns")))
-    rows = rows.withColumn("after_end", F.coalesce(F.last(F.when(sample, F.col("trace_end")), ignorenulls=True).over(earlier), F.lit(False)))
+    rows = records.filter("(record_type in ('sample', 'decoder_error') or (record_type = 'task' and task_kind = 'exit')) and pid is not null and tid is not null")
+    # One row for each cpu.
+    rows = rows.drop("cpu_first_ns").join(F.broadcast(first_times(records).withColumnRenamed("first_ns", "cpu_first_ns")), "cpu", "left")
+    sample, leaves = F.col("record_type") == "sample", F.col("record_type") == "task"
+    timed = sample & F.col("time_ns").isNotNull()
+
+    # An exit ends a generation if the thread was seen since the exit before.
+    borders = rows.groupBy(*THREAD).agg(F.max(F.when(leaves, F.col("seq"))).alias("x"), F.max(F.when(sample, F.col("seq"))).alias("s"))
+    borders = borders.select(*THREAD, _over_earlier(F.max("x")).alias("exit_in"), _over_earlier(F.max("s")).alias("seen_in"))
+    rows = rows.join(borders, list(THREAD))
+    exit_before = F.coalesce(_before(F.when(leaves, F.col("seq"))), "exit_in", F.lit(-1).cast("long"))
+    rows = rows.withColumn("closes", leaves & F.coalesce(F.coalesce(_before(F.when(sample, F.col("seq"))), "seen_in") > exit_before, F.lit(False)))
+    rows = rows.withColumn("closed", _sum_before(F.col("closes")))
+    # Behind a transfer that nothing follows, or an error while tracing, no frame is open.
+    reset = sample & ~F.col("trace_end") & (F.col("async_event") | F.col("interrupt") | F.col("transaction"))
+    last = {"last_time": (timed, "time_ns"), "last_end": (sample, "trace_end")}
+    rows = rows.withColumns({name: _before(F.when(where, F.struct("closed", F.col(c).alias("value")))) for name, (where, c) in last.items()})
+    rows = cut(rows.withColumn("reset", reset).withColumn("resets", _sum_before(reset)).drop("exit_in", "seen_in"), "threads")
+
+    ends = rows.groupBy(*THREAD).agg(
+        F.sum(F.col("closes").cast("long")).alias("closes"),
+        F.sum(F.coalesce("reset", F.lit(False)).cast("long")).alias("resets"),
+        *(F.max_by(F.struct("closed", F.col(c).alias("value")), F.when(where, F.col("seq"))).alias(name) for name, (where, c) in last.items()),
+    )
+    ends = ends.withColumns({"closed_in": F.coalesce(_over_earlier(F.sum("closes")), F.lit(0).cast("long")), "resets_in": F.coalesce(_over_earlier(F.sum("resets")), F.lit(0).cast("long"))})
+    whole = lambda name: F.when(F.col(name).isNotNull(), F.struct((F.col("closed_in") + F.col(name)["closed"]).alias("closed"), F.col(name)["value"].alias("value")))
+    ends = ends.select(*THREAD, "closed_in", "resets_in", *(_over_earlier(F.last(whole(name), ignorenulls=True)).alias(f"{name}_in") for name in last))
+    rows = rows.join(ends, list(THREAD)).withColumn("generation", (F.col("closed_in") + F.col("closed")).cast("int"))
+
+    def known(name: str) -> Column:
+        """The value, if it is of the record's own generation."""
+        own = F.when(F.col(name)["closed"] == F.col("closed"), F.col(name)["value"])
+        carried = F.when(F.col(f"{name}_in")["closed"] == F.col("generation"), F.col(f"{name}_in")["value"])
+        return F.when(F.col(name).isNotNull(), own).otherwise(carried)
+
+    rows = rows.withColumn("thread", thread_name(F.col("tid"), F.col("generation")))
+    rows = rows.withColumn("regressed_from", F.when(sample & (F.col("time_ns") < known("last_time")), known("last_time")))
     unbound = ~F.greatest(*(F.coalesce(b, F.lit(False)) for b in BOUNDARIES))
     same = F.col("from_fn").eqNullSafe(F.col("to_fn"))
     inside = F.col("from_fn").isNotNull() | (F.col("from_map").eqNullSafe(F.col("to_map")) & ((F.col("kind") == "conditional") | F.col("from_map").isNull()))
     plain = sample & F.col("kind").isin("jump", "conditional") & unbound & same & inside
-    rows = rows.withColumn("retained", sample & ~plain)
-    moot = plain & F.col("regressed_from").isNull() & ~F.col("after_end")
-    # Behind a transfer that nothing follows, or an error while tracing, no frame is open.
-    reset = sample & ~F.col("trace_end") & (F.col("async_event") | F.col("interrupt") | F.col("transaction"))
-    resets = F.coalesce(F.sum(F.when(reset, 1).otherwise(0)).over(earlier), F.lit(0))
-    return rows.withColumn("segment", resets).filter(~moot)
+    moot = plain & F.col("regressed_from").isNull() & ~F.coalesce(known("last_end"), F.lit(False))
+    rows = rows.withColumn("retained", sample & ~plain).withColumn("segment", F.col("resets_in") + F.col("resets")).filter(~moot)
+    return rows.drop("closes", "closed", "closed_in", "reset", "resets", "resets_in", *last, *(f"{name}_in" for name in last))
 
 
 SEGMENT = ("pid", "tid", "generation", "segment")
-#: Groups of segments for each shuffle partition.
-GROUPS = 4
-
-_READ = ["record_type", "time_ns", "cpu", "cpu_first_ns", "code", "message", "regressed_from", "event_id", "from_fn", "to_fn", "ip", "kind", *BOUNDARIES]
 
 
 def _segments(prepared: DataFrame) -> DataFrame:
@@ -182,65 +237,69 @@ def _segments(prepared: DataFrame) -> DataFrame:
 
     schema = pa.schema([(n, pa.string() if t == "string" else pa.bool_() if t == "boolean" else pa.int64()) for n, t in (p.split() for p in OUTPUT.split(", "))])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(k, "ascending") for k in (*SEGMENT, "seq")])
-        keys = list(zip(*(table.column(k).to_pylist() for k in SEGMENT), strict=True))
-        out: list = []
+    def given(out) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(schema)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches):
         stack, current = None, None
-        for key, thread, row in zip(keys, table.column("thread").to_pylist(), table.select(_READ).to_pylist(), strict=True):
-            if key != current:
-                if stack is not None:
-                    stack.finish()
-                    out += stack.out
-                stack, current = CallStack(thread), key
-            stack.feed(row)
+        for b in batches:
+            out: list = []
+            columns = [b.column(c).to_pylist() for c in (*SEGMENT, "thread", *READ)]
+            for row in zip(*columns, strict=True):
+                if row[:4] != current:
+                    if stack is not None:
+                        stack.finish()
+                        out += stack.out
+                    stack, current = CallStack(row[4]), row[:4]
+                stack.feed(row[5:])
+            if stack is not None:
+                out += stack.out
+                stack.out = []
+            yield given(out)
         if stack is not None:
             stack.finish()
-            out += stack.out
-        columns = list(zip(*out, strict=True)) or [()] * len(schema)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield given(stack.out)
 
-    # Segments are many and small: they are dealt by a hash, whole ones to each group.
-    groups = GROUPS * int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prepared.select(*SEGMENT, "thread", "seq", *_READ).withColumn("deal", F.pmod(F.xxhash64(*SEGMENT), F.lit(groups)))
-    return dealt.groupBy("deal").applyInArrow(run, OUTPUT)
+    rows = prepared.select(*SEGMENT, "thread", "seq", *READ).repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "seq")
+    return rows.select(*SEGMENT, "thread", *READ).mapInArrow(run, OUTPUT)
 
 
 def with_event_ids(records: DataFrame) -> DataFrame:
-    """``records`` with ``event_id``: 0-based ranks of the samples in stream order.
+    """``records`` with ``part``, their range of the stream, and ``event_id``, the 0-based rank of a sample in it.
 
-    A sorted range for each partition, and one number for each partition to start
-    from; no global window.
+    Records are written once, sorted into ranges; each range numbers its own samples
+    from one number for each range on. No global window.
     """
-    spark = records.sparkSession
-    samples = records.filter("record_type = 'sample'")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = samples.select("seq").repartitionByRange(n, "seq").sortWithinPartitions("seq")
-    ranged = cut(ranged.select("seq", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "event-ids")
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(records.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id()), "stream-order")
+    sample = F.col("record_type") == "sample"
+    sizes = ranged.groupBy("part").agg(F.count_if(sample).alias("n"))
     base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ids = ranged.join(F.broadcast(base), "part").select("seq", (F.col("base") + F.col("k")).alias("event_id"))
-    return records.join(ids, "seq", "left")
+    rank = F.sum(sample.cast("long")).over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    numbered = ranged.join(F.broadcast(base), "part").withColumn("event_id", F.when(sample, F.col("base") + rank))
+    return numbered.drop("base")
 
 
-def reconstruct(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reconstruct(records: DataFrame, counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(spans, gaps) of classified records with functions; seq must be unique.
 
     Spans carry ``key``, twice the opening event plus which of two it opened, in
     place of a number: keys sort as spans open, and ``parent`` is a key too. Records
-    without a task stand for losses on an unknown thread.
+    without a task stand for losses on an unknown thread. With ``counted`` spans
+    say whether their return landed outside of the function open below (``mismatch``).
     """
-    found = cut(_segments(prepare(with_event_ids(records))), "reconstructed")
-    spans = found.filter("row = 'span'").select(F.col("key").alias("id"), "thread", "function", F.col("parent_key").alias("parent"), "start_ns", "end_ns", "completeness", "start_event", "end_event", "call_site")
+    found = cut(_segments(prepare(records if "event_id" in records.columns else with_event_ids(records))), "reconstructed")
+    spans = found.filter("row = 'span'").select(F.col("key").alias("id"), "thread", "function", F.col("parent_key").alias("parent"), "start_ns", "end_ns", "completeness", "start_event", "end_event", "call_site", *(["mismatch"] if counted else []))
     lost = records.filter("record_type = 'lost' or (record_type = 'decoder_error' and (pid is null or tid is null))")
     is_lost = F.col("record_type") == "lost"
     kind = F.when(is_lost, "pt_loss").when(F.col("code") == 5, "missing_image").otherwise("decoder_error")
-    nowhere = lost.select(F.lit(UNKNOWN_THREAD).alias("thread"), kind.alias("kind"), F.when(~is_lost, F.col("time_ns")).alias("start_ns"), F.lit(None).cast("long").alias("end_ns"), F.lit(False).alias("extent_known"), F.when(is_lost, "records lost").otherwise(F.col("message")).alias("reason"))
+    nowhere = lost.select(F.lit(UNKNOWN_THREAD).alias("thread"), kind.alias("kind"), F.when(~is_lost, F.col("time_ns")).alias("start_ns"), F.lit(None).cast("long").alias("end_ns"), F.lit(False).alias("extent_known"), F.when(is_lost, REASONS["lost"]).otherwise(F.col("message")).alias("reason"))
     gaps = found.filter("row = 'gap'").select("thread", "kind", "start_ns", "end_ns", "extent_known", "reason")
     return spans, gaps.unionByName(nowhere)
 
 
 def retained_events(records: DataFrame) -> DataFrame:
     """The samples worth keeping: all but plain jumps within a function (FLT9)."""
-    rows = prepare(with_event_ids(records)).filter("retained")
+    rows = prepare(records if "event_id" in records.columns else with_event_ids(records)).filter("retained")
     return rows.select(F.col("event_id").alias("id"), "thread", F.col("seq").alias("sequence"), "time_ns", F.col("ip").alias("from_ip"), F.col("addr").alias("to_ip"), "kind", *BOUNDARIES)

@@ -73,9 +73,9 @@ lifetimes AS (SELECT c.thread, c.tid, c.branch_count, s.start_ns, s.end_ns, s.co
 """
 
 INSTRUCTIONS = """
-raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+raw AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   CASE event_type WHEN 'click' THEN 'conditional' WHEN 'view' THEN 'sequential' WHEN 'purchase' THEN 'indirect_call' WHEN 'signup' THEN 'return' ELSE 'other' END AS kind FROM events),
-ins AS (SELECT event_id AS id, epoch_us(ts) * 1000 AS time_ns, 4194304 + k * 16 AS virt_ip, 'f' || (k % 5) AS symbol, CASE WHEN k % 3 <> 0 THEN 'g' || (k % 3) END AS inlined, kind,
+ins AS (SELECT event_id AS id, epoch_us(ts) * 1000 AS time_ns, 4194304 + k * 16 AS virt_ip, 'f' || (k % 5) AS symbol, CASE WHEN k % 3 <> 0 THEN 'g' || (k % 3) END AS inlined, kind, user_id, sequence,
   CASE WHEN kind IN ('conditional', 'indirect_call') THEN 5242880 + (event_id % 11) * 16 END AS branch_target,
   CASE WHEN kind = 'conditional' THEN CASE WHEN value >= 30 THEN 'taken' WHEN value >= 5 THEN 'not_taken' ELSE 'unknown' END END AS outcome FROM raw)
 """
@@ -86,6 +86,17 @@ probe AS (SELECT event_id AS id, 4194304 + (event_id * 37) % 100000 AS address F
 """
 
 
+def _sites(where: str) -> str:
+    """An indirect branch goes to the instruction that its thread ran next, if that is known."""
+    return f"""WITH {INSTRUCTIONS}, kept AS (SELECT * FROM ins WHERE {where}),
+f AS (SELECT a.*, b.virt_ip AS target FROM kept a LEFT JOIN kept b ON b.user_id = a.user_id AND b.sequence = a.sequence + 1),
+s AS (SELECT * FROM f WHERE kind = 'conditional' OR (kind = 'indirect_call' AND target IS NOT NULL)),
+t AS (SELECT virt_ip, string_agg('0x' || lower(to_hex(target)), ' ' ORDER BY first) AS targets FROM (SELECT virt_ip, target, min(id) AS first FROM s WHERE kind = 'indirect_call' GROUP BY ALL) GROUP BY virt_ip),
+g AS (SELECT virt_ip, arg_min(symbol, id) AS symbol, count(*) FILTER (outcome = 'taken') AS taken, count(*) FILTER (outcome = 'not_taken') AS not_taken, count(*) FILTER (outcome = 'unknown') AS unknown FROM s GROUP BY virt_ip),
+sites AS (SELECT '0x' || lower(to_hex(virt_ip)) AS site, symbol, taken, not_taken, unknown, CASE WHEN taken + not_taken > 0 THEN printf('%.6f', CAST(taken AS DOUBLE) / (taken + not_taken)) END AS taken_fraction, coalesce(targets, '') AS indirect_targets FROM g LEFT JOIN t USING (virt_ip))
+"""
+
+
 def _year_rows(name: str, low: int, high: int) -> str:
     """Hot paths of the spans of some years, as (path, inclusive_sum_ns, complete_calls, excluded_incomplete)."""
     return f"""
@@ -148,10 +159,8 @@ SELECT thread, id AS span, name AS function, CAST(depth AS BIGINT) AS depth, sta
 FROM o QUALIFY row_number() OVER (PARTITION BY thread ORDER BY depth DESC, start_ns DESC, id) = 1""",
     "compare_function": _compare("path", "path", "(0, 'order::1-URGENT', 'order::2-HIGH'), (1, 'Brand#7', 'no such function')"),
     "compare_ambiguous": _compare(_renamed("ab"), _renamed("cd"), "(0, NULL, NULL)"),
-    "branches": f"""WITH {INSTRUCTIONS}, s AS (SELECT * FROM ins WHERE kind IN ('conditional', 'indirect_call')),
-t AS (SELECT virt_ip, string_agg('0x' || lower(to_hex(branch_target)), ' ' ORDER BY first) AS targets FROM (SELECT virt_ip, branch_target, min(id) AS first FROM s WHERE kind = 'indirect_call' GROUP BY ALL) GROUP BY virt_ip),
-g AS (SELECT virt_ip, arg_min(symbol, id) AS symbol, count(*) FILTER (outcome = 'taken') AS taken, count(*) FILTER (outcome = 'not_taken') AS not_taken, count(*) FILTER (outcome = 'unknown') AS unknown, count(*) AS executions FROM s GROUP BY virt_ip)
-SELECT '0x' || lower(to_hex(virt_ip)) AS site, symbol, taken, not_taken, unknown, executions, CASE WHEN taken + not_taken > 0 THEN CAST(taken AS DOUBLE) / (taken + not_taken) END AS taken_fraction, coalesce(targets, '') AS indirect_targets FROM g LEFT JOIN t USING (virt_ip)""",
+    "branches": _sites("id % 7 <> 3") + "SELECT * FROM sites",
+    "branches_order": _sites("true") + "SELECT row_number() OVER (ORDER BY taken + not_taken + unknown DESC, site) AS ord, site, taken_fraction FROM sites",
     "inline_profile": f"""WITH {INSTRUCTIONS}, s AS (SELECT * FROM ins WHERE time_ns >= 1704500000000000000 AND time_ns < 1706000000000000000)
 SELECT symbol, inlined, count(*) AS instructions, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM s) AS fraction, count(DISTINCT virt_ip) AS distinct_addresses, '0x' || lower(to_hex(min(virt_ip))) AS first_address FROM s GROUP BY symbol, inlined""",
     "instruction_outcome": f"""WITH {RECORDS}, s AS (SELECT seq, tid, flags = 'async' AS bad, ip - ip % 256 AS pl, CASE WHEN flags = 'jcc' THEN 'conditional' ELSE 'other' END AS kind, addr AS target, ip + 512 AS fall FROM rec),

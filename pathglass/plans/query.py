@@ -107,7 +107,7 @@ def run_query(store: Store, query: Query, analysis: str | None = None, snapshot:
         if query.kind == "instructions":
             rows, order = kept.withColumns({c: address_hex(F.col(c)) for c in ("virt_ip", "branch_target", "fallthrough")}), [F.asc("id")]
         elif query.kind == "branches":
-            rows, order = branches.branch_sites(kept), [F.desc("executions"), F.asc("site")]
+            rows, order = branches.branch_sites(kept), branches.site_order()
         else:
             rows, order = branches.inline_profile(kept), [F.desc("instructions"), F.asc("first_address")]
     elif query.kind == "images":

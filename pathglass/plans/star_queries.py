@@ -115,10 +115,16 @@ def compare_ambiguous(spark, sf):
 
 
 def branches_sites(spark, sf):
-    rows = branches.branch_sites(star.instructions(spark, sf))
+    """Every seventh instruction is missing, so that some indirect branches have no next one."""
+    rows = branches.branch_sites(star.instructions(spark, sf).filter("id % 7 <> 3"))
     return rows.withColumn("indirect_targets", F.array_join("indirect_targets", " "))
 
 
+def branches_order(spark, sf):
+    """The order of the branches page, as a rank: a row for each site."""
+    return call_paths.row_rank(branches.branch_sites(star.instructions(spark, sf)), *branches.site_order()).select("ord", "site", "taken_fraction")
+
+
 def inline_profile(spark, sf):
     return branches.inline_profile(selected(star.instructions(spark, sf), start_ns=1_704_500_000_000_000_000, end_ns=1_706_000_000_000_000_000))
 
@@ -342,6 +348,7 @@ QUERIES = {
     "compare_function": compare_function,
     "compare_ambiguous": compare_ambiguous,
     "branches": branches_sites,
+    "branches_order": branches_order,
     "inline_profile": inline_profile,
     "instruction_outcome": instruction_outcome,
     "straight_blocks": straight_blocks,

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from pathglass.operators.reconstruct import NAMES, OUTPUT, CallStack
+from pathglass.operators.reconstruct import READ as FED
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,7 +51,7 @@ class StackProcessor(StatefulProcessor):
                     held["last"] = r["time_ns"]
             elif r["record_type"] == "task" and not held["seen"]:
                 continue
-            stack.feed(r)
+            stack.feed(tuple(r[c] for c in FED))
             if r["record_type"] == "task":
                 held.update(generation=held["generation"] + 1, seen=False, last=None)
                 stack.thread = name()

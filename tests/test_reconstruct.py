@@ -126,7 +126,7 @@ def test_segments_equal_one_pass_over_each_thread(records, seed):
                 row["regressed_from"] = last
             state[r.tid] = (r.time_ns, generation)
             sampled.add(r.tid)
-        stack.feed(row)
+        stack.feed(tuple(row[c] for c in reconstruct.READ))
         if r.record_type == "task" and r.tid in sampled:
             sampled.remove(r.tid)
             out += stacks.pop(r.tid).out
