@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pathglass.plans.oracle_stacks import stacks_sql
 from pathglass.plans.star_queries import INSTANT, PAGE, WINDOW
 from pathglass.sources.star import ORIGIN_NS
 
@@ -136,7 +137,16 @@ def _renamed(salt: str) -> str:
 
 _STEP = "time_ns - lag(time_ns) OVER (PARTITION BY tid ORDER BY seq)"
 
+_RECORDS_ONLY = RECORDS[: RECORDS.index("points AS")].rstrip().rstrip(",")
+_BITS = """flags = 'tr strt' AS trace_begin, flags = 'tr end call' AS trace_end, flags = 'async' AS async_event, false AS "transaction", false AS interrupt, false AS syscall"""
+
 ORACLE_SQL = {
+    "reconstruct_spans": stacks_sql(_RECORDS_ONLY) + """SELECT key AS id, thread, "function", parent_key AS parent, start_ns, end_ns, completeness, start_event, end_event, call_site FROM machine WHERE "row" = 'span'""",
+    "reconstruct_gaps": stacks_sql(_RECORDS_ONLY) + """SELECT thread, kind, start_ns, end_ns, extent_known, reason FROM machine WHERE "row" = 'gap'""",
+    "stream_reconstruct": stacks_sql(_RECORDS_ONLY, first_of_cpu=False, closed=False) + "SELECT * FROM machine",
+    "retained_events": f"""WITH {_RECORDS_ONLY}, n AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS id, nullif((ip >> 8) - 15, 7) AS src, nullif((addr >> 8) - 15, 7) AS dst FROM rec)
+SELECT id, 't_' || tid AS thread, seq AS sequence, time_ns, ip AS from_ip, addr AS to_ip, CASE flags WHEN 'tr strt' THEN 'trace_begin' WHEN 'tr end call' THEN 'trace_end' WHEN 'async' THEN 'async_boundary' WHEN 'call' THEN 'call' WHEN 'return' THEN 'return' ELSE 'conditional' END AS kind, {_BITS}
+FROM n WHERE NOT (flags = 'jcc' AND src IS NOT DISTINCT FROM dst)""",
     "hotpaths_function": f"WITH {SPANS} {SELF} {BY_FUNCTION} SELECT * FROM hot",
     "hotpaths_self_time": f"WITH {SPANS} {SELF} {BY_FUNCTION} SELECT row_number() OVER (ORDER BY self_sum_ns DESC NULLS LAST, inclusive_sum_ns DESC NULLS LAST, path) AS ord, path, observed_entries, inclusive_sum_ns, self_sum_ns FROM hot",
     "hotpaths_calls": f"WITH {SPANS} {SELF} {BY_FUNCTION} SELECT row_number() OVER (ORDER BY observed_entries DESC, path) AS ord, path, observed_entries, inclusive_sum_ns, self_sum_ns FROM hot",
