@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathglass.functions.scalars import PATH_SEPARATOR, TRUNCATED, UNKNOWN
-from pathglass.storage import cut
+from pathglass.storage import BROADCAST_ROWS, cut
 
 #: Names in a path; deeper spans show the innermost ones behind the mark.
 MAX_FRAMES = 64
+#: Levels that open spans climb between two writes.
+CLIMB = 2
 
 
 def named(spans: DataFrame, functions: DataFrame) -> DataFrame:
@@ -43,21 +45,30 @@ def at_instant(spans: DataFrame, functions: DataFrame, at_ns: int, max_frames: i
     """(thread, span, function, depth, start_ns, end_ns, elapsed_ns, stack): the deepest open span of each thread.
 
     A span is open if it has started by then and has not ended, or its end is not
-    known. Of equally deep ones the one that started later is taken, then the
-    smaller id. The stack lists all ancestors, open or not, outermost first. Only
-    the open spans climb, one parent a round.
+    known. Depth counts ancestors up to one more than ``max_frames``; spans deeper
+    than that are equally deep. Of equally deep ones the one that started later is
+    taken, then the smaller id. The stack lists the ancestors counted, open or not,
+    outermost first. Only the open spans climb; while they are few, their parents
+    are looked up by a broadcast instead of a shuffle.
     """
     is_open = "start_ns is not null and start_ns <= {0} and (end_ns is null or end_ns > {0})".format(int(at_ns))
     everyone = named(spans, functions).select("id", "parent", F.coalesce("name", F.lit(UNKNOWN)).alias("name"))
     state = named(spans.filter(is_open), functions).select("id", "thread", "start_ns", "end_ns", F.col("parent").alias("next"), F.array(F.coalesce("name", F.lit(UNKNOWN))).alias("names"))
     state = cut(state, "open-spans")
-    for _ in range(max_frames + 1):
+    # Every open span looks up one parent a level, so what is broadcast never outgrows their number.
+    few = state.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
+    for levels in range(0, max_frames + 1, CLIMB):
         if state.filter("next is not null").isEmpty():
             break
-        up = everyone.select(F.col("id").alias("next"), F.col("parent").alias("then"), F.col("name").alias("outer"))
-        joined = state.join(up, "next", "left")
-        names = F.when(F.col("outer").isNotNull(), F.concat(F.array("outer"), "names")).otherwise(F.col("names"))
-        state = cut(joined.select("id", "thread", "start_ns", "end_ns", F.col("then").alias("next"), names.alias("names")), "open-spans")
+        for _ in range(min(CLIMB, max_frames + 1 - levels)):
+            up = everyone.select(F.col("id").alias("next"), F.col("parent").alias("then"), F.col("name").alias("outer"))
+            if few:
+                up = up.join(small(state.filter("next is not null").select("next").distinct()), "next")
+            joined = state.join(small(up), "next", "left")
+            names = F.when(F.col("outer").isNotNull(), F.concat(F.array("outer"), "names")).otherwise(F.col("names"))
+            state = joined.select("id", "thread", "start_ns", "end_ns", F.col("then").alias("next"), names.alias("names"))
+        state = cut(state, "open-spans")
     best = F.max_by(F.struct("id", "start_ns", "end_ns", "names"), F.struct(F.size("names"), "start_ns", -F.col("id")))
     top = state.groupBy("thread").agg(best.alias("s"))
     return top.select(
@@ -73,5 +84,15 @@ def at_instant(spans: DataFrame, functions: DataFrame, at_ns: int, max_frames: i
 
 
 def row_rank(df: DataFrame, *order) -> DataFrame:
-    """``df`` with ``ord``, its rank in the order; for pages and small results only."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """``df`` with ``ord``, its rank in the order, from 1; rows that tie are numbered as they come.
+
+    Rows are written in sorted ranges, numbered within each, and the ranges' sizes
+    tell where each begins: no task ranks everything.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = cut(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__k")), "ranked")
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    base = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    # One row for each range.
+    return ranged.join(F.broadcast(base), "__part").withColumn("ord", (F.col("__base") + F.col("__k") + 1).cast("long")).drop("__part", "__k", "__base")

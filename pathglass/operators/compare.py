@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.functions.scalars import linkage_stem, path_leaf, relative_delta
+from pathglass.operators.call_paths import row_rank
 from pathglass.storage import cut
 
 UNIT = "ns_decoder_estimate"
@@ -74,7 +75,7 @@ def compare_hotpaths(baseline: DataFrame, candidate: DataFrame, pairs: list[tupl
     allowed = paired & F.lit(allow_performance)
     delta = F.when(allowed, F.col("c.inclusive_sum_ns") - F.col("b.inclusive_sum_ns"))
     out = first.unionByName(second).unionByName(third)
-    out = out.withColumn("ord", F.row_number().over(Window.orderBy("phase", "at")).cast("long"))
+    out = row_rank(out, F.col("phase"), F.col("at"))
     side = lambda s: (
         F.when(F.col(s).isNotNull(), F.coalesce(F.col(f"{s}.inclusive_sum_ns"), F.lit(0))),
         F.col(f"{s}.complete_calls"),

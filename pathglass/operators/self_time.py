@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Children of a span that one window group may hold, on average; a span with more is
-#: cut into as many equal ranges of time, whose covered lengths add up.
+#: cut into as many equal ranges of time, whose covered lengths add up. A child counts
+#: as a range of its own only where it begins and ends; in between it covers all.
 GROUP = 50_000
 
 
@@ -26,12 +27,22 @@ def self_times(spans: DataFrame, group: int = GROUP) -> DataFrame:
     busy = parents.filter("certain").withColumn("width", width)
     clipped = children.join(busy, "id").withColumn("s", F.greatest("cs", "ps")).withColumn("e", F.least("ce", "pe")).filter("e > s")
     place = lambda t: F.floor((t - F.col("ps")) / F.col("width"))
-    cut = clipped.withColumn("range", F.explode(F.sequence(place(F.col("s")), place(F.col("e") - 1))))
-    low = F.col("ps") + F.col("range") * F.col("width")
-    cut = cut.select("id", "range", F.greatest("s", low).alias("s"), F.least(F.col("e"), low + F.col("width")).alias("e"))
+    clipped = clipped.select("id", "ps", "width", "s", "e", place(F.col("s")).alias("first"), place(F.col("e") - 1).alias("last"))
+    border = lambda k: F.col("ps") + k * F.col("width")
+    head = F.struct(F.col("first").alias("range"), F.col("s").alias("s"), F.least(F.col("e"), border(F.col("first") + 1)).alias("e"))
+    tail = F.struct(F.col("last").alias("range"), border(F.col("last")).alias("s"), F.col("e").alias("e"))
+    pieces = clipped.select("id", F.explode(F.when(F.col("last") > F.col("first"), F.array(head, tail)).otherwise(F.array(head))).alias("p")).select("id", "p.*")
     before = Window.partitionBy("id", "range").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(before), F.col("s"))))
-    covered = cut.select("id", fresh.alias("fresh")).groupBy("id").agg(F.sum("fresh").alias("covered"))
+    zero = F.lit(0).cast("long")
+    parts = pieces.select("id", "range", fresh.alias("fresh")).groupBy("id", "range").agg(F.sum("fresh").alias("part")).withColumn("step", zero)
+    # Where whole ranges begin and cease to be covered, by how many children.
+    steps = clipped.filter("last > first + 1").select("id", F.explode(F.array(F.struct((F.col("first") + 1).alias("range"), F.lit(1).cast("long").alias("step")), F.struct(F.col("last").alias("range"), F.lit(-1).cast("long").alias("step")))).alias("p"))
+    steps = steps.select("id", "p.*").groupBy("id", "range").agg(F.sum("step").alias("step")).withColumn("part", zero)
+    along = Window.partitionBy("id").orderBy("range")
+    points = parts.unionByName(steps).groupBy("id", "range").agg(F.sum("part").alias("part"), F.sum("step").alias("step"))
+    points = points.withColumn("deep", F.sum("step").over(along)).withColumn("until", F.lead("range").over(along)).join(busy.select("id", "width"), "id")
+    covered = points.groupBy("id").agg(F.sum(F.when(F.col("deep") > 0, (F.col("until") - F.col("range")) * F.col("width")).otherwise(F.col("part"))).alias("covered"))
     rows = parents.join(covered, "id", "left")
     own = F.col("pe") - F.col("ps") - F.coalesce("covered", F.lit(0))
     return rows.select("id", F.when(F.coalesce("certain", F.lit(True)), own).alias("self_ns"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pathglass.plans.oracle_stacks import stacks_sql
-from pathglass.plans.star_queries import INSTANT, PAGE, WINDOW
+from pathglass.plans.star_queries import DEEP_INSTANT, INSTANT, PAGE, WINDOW
 from pathglass.sources.star import ORIGIN_NS
 
 SPANS = f"""
@@ -87,6 +87,20 @@ probe AS (SELECT event_id AS id, 4194304 + (event_id * 37) % 100000 AS address F
 """
 
 
+def _profile(where: str) -> str:
+    return f"""WITH {INSTRUCTIONS}, s AS (SELECT * FROM ins WHERE {where})
+SELECT symbol, inlined, count(*) AS instructions, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM s) AS fraction, count(DISTINCT virt_ip) AS distinct_addresses, '0x' || lower(to_hex(min(virt_ip))) AS first_address FROM s GROUP BY symbol, inlined"""
+
+
+def _deep(where: str) -> str:
+    """CTE r: each event with the names of up to 66 of its user's latest events, and how many there are."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id AS id, 't_' || user_id AS thread, epoch_us(ts) * 1000 AS start_ns, CASE WHEN event_id % 13 <> 0 THEN 'step' || (event_id % 5) ELSE '<unknown>' END AS name,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+walk AS (SELECT *, [name] AS names FROM e WHERE n = 1 UNION ALL SELECT e.*, list_append(w.names[-65:], e.name) FROM walk w JOIN e ON e.thread = w.thread AND e.n = w.n + 1),
+r AS (SELECT * FROM walk WHERE {where})
+"""
+
+
 def _sites(where: str) -> str:
     """An indirect branch goes to the instruction that its thread ran next, if that is known."""
     return f"""WITH {INSTRUCTIONS}, kept AS (SELECT * FROM ins WHERE {where}),
@@ -159,7 +173,9 @@ SELECT path, count(*) AS observed_entries, CAST(0 AS BIGINT) AS complete_calls,
     "hotpaths_totals": f"WITH {SPANS} {SELF} {BY_FUNCTION} SELECT CAST(sum(self_sum_ns) AS BIGINT) AS self_sum_ns, CAST(sum(inclusive_sum_ns) AS BIGINT) AS inclusive_sum_ns, CAST(sum(complete_calls) AS BIGINT) AS complete_calls, CAST(NULL AS BIGINT) AS instructions FROM hot",
     "self_time_per_span": f"WITH {SPANS} {SELF} z AS (SELECT 1) SELECT id, CAST(self_ns AS BIGINT) AS self_ns FROM own",
     "nearest_rank_quantiles": "SELECT l_returnflag, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99 FROM (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem) GROUP BY l_returnflag",
-    "timeline": _timeline("true"),
+    "timeline": f"""WITH {SPANS} z AS (SELECT 1) SELECT s.id, thread, f.name AS function, start_ns, end_ns, CASE WHEN completeness = 'complete' THEN greatest(0, end_ns - start_ns) END AS duration_ns, completeness, false AS clipped
+  FROM spans s LEFT JOIN fn f ON f.id = s.function""",
+    "timeline_window": _timeline("true"),
     "timeline_filtered": _timeline("end_ns - start_ns >= 5000000 AND contains(f.name, 'Brand#1')"),
     "timeline_page2": _timeline("true") + f" ORDER BY start_ns ASC NULLS FIRST, 'a:sp' || id LIMIT {PAGE} OFFSET {PAGE}",
     "at_instant": f"""WITH {SPANS} named AS (SELECT s.*, coalesce(f.name, '<unknown>') AS name, coalesce(pf.name, '<unknown>') AS outer_name FROM spans s
@@ -171,8 +187,11 @@ FROM o QUALIFY row_number() OVER (PARTITION BY thread ORDER BY depth DESC, start
     "compare_ambiguous": _compare(_renamed("ab"), _renamed("cd"), "(0, NULL, NULL)"),
     "branches": _sites("id % 7 <> 3") + "SELECT * FROM sites",
     "branches_order": _sites("true") + "SELECT row_number() OVER (ORDER BY taken + not_taken + unknown DESC, site) AS ord, site, taken_fraction FROM sites",
-    "inline_profile": f"""WITH {INSTRUCTIONS}, s AS (SELECT * FROM ins WHERE time_ns >= 1704500000000000000 AND time_ns < 1706000000000000000)
-SELECT symbol, inlined, count(*) AS instructions, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM s) AS fraction, count(DISTINCT virt_ip) AS distinct_addresses, '0x' || lower(to_hex(min(virt_ip))) AS first_address FROM s GROUP BY symbol, inlined""",
+    "inline_profile": _profile("true"),
+    "inline_profile_window": _profile("time_ns >= 1704500000000000000 AND time_ns < 1706000000000000000"),
+    "deep_paths": _deep("true") + """SELECT id, CAST(least(n - 1, 64) AS BIGINT) AS depth, CASE WHEN n > 64 THEN '.../' || array_to_string(names[-64:], '/') ELSE array_to_string(names, '/') END AS path FROM r""",
+    "deep_at_instant": _deep(f"start_ns <= {DEEP_INSTANT}") + f"""SELECT thread, id AS span, names[-1] AS function, CAST(least(n - 1, 65) AS BIGINT) AS depth, start_ns, CAST(NULL AS BIGINT) AS end_ns, {DEEP_INSTANT} - start_ns AS elapsed_ns, array_to_string(names, ' > ') AS stack
+  FROM r QUALIFY row_number() OVER (PARTITION BY thread ORDER BY least(n - 1, 65) DESC, start_ns DESC, id) = 1""",
     "instruction_outcome": f"""WITH {RECORDS}, s AS (SELECT seq, tid, flags = 'async' AS bad, ip - ip % 256 AS pl, CASE WHEN flags = 'jcc' THEN 'conditional' ELSE 'other' END AS kind, addr AS target, ip + 512 AS fall FROM rec),
 w AS (SELECT *, row_number() OVER p AS sequence, lead(pl) OVER p AS next_at, lead(bad) OVER p AS next_bad FROM s WINDOW p AS (PARTITION BY tid ORDER BY seq))
 SELECT seq, tid, sequence, kind, CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) OR target = fall THEN 'unknown' WHEN next_at = target THEN 'taken' WHEN next_at = fall THEN 'not_taken' ELSE 'unknown' END END AS outcome FROM w WHERE NOT bad""",

@@ -14,13 +14,15 @@ from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
 from pathglass.operators.timeline import selected, timeline, timeline_order
 from pathglass.sources import star
-from pathglass.storage import cut, shared_dir
+from pathglass.storage import shared_dir, stored
 from pathglass.streaming.call_stacks import run_to_end, stream_stacks
 
 #: A window and an instant inside the star tables' span of time.
 WINDOW = (50_000_000_000_000_000, 150_000_000_000_000_000)
 INSTANT = 100_000_000_000_000_000
 PAGE = 50
+#: An instant inside the events' span of time.
+DEEP_INSTANT = 1_706_000_000_000_000_000
 
 
 def _spans(spark, sf):
@@ -28,9 +30,8 @@ def _spans(spark, sf):
 
 
 def _derived(spark, sf):
-    """The spans as a written table, as a store holds them, for plans that read them more than once."""
-    spans, functions = _spans(spark, sf)
-    return cut(spans, "spans"), functions
+    """The spans as a written table, as a store holds them: written once, read by every plan."""
+    return stored(spark, ("spans", sf), lambda: star.spans(spark, sf)), star.functions(spark, sf)
 
 
 def hotpaths_function(spark, sf):
@@ -38,7 +39,6 @@ def hotpaths_function(spark, sf):
 
 
 def _ranked(rows: DataFrame, sort: str) -> DataFrame:
-    # One row for each function: small whatever the input.
     return call_paths.row_rank(rows, *hotpaths.sort_order(sort)).select("ord", "path", "observed_entries", "inclusive_sum_ns", "self_sum_ns")
 
 
@@ -97,6 +97,25 @@ def at_instant(spark, sf):
     return rows.withColumn("stack", F.array_join("stack", " > "))
 
 
+def deep_paths(spark, sf):
+    """Paths and depths of spans deeper than a path shows."""
+    rows = call_paths.call_paths(star.chains(spark, sf), star.chain_functions(spark))
+    return rows.select("id", "depth", "path")
+
+
+def deep_at_instant(spark, sf):
+    rows = call_paths.at_instant(star.chains(spark, sf), star.chain_functions(spark), DEEP_INSTANT)
+    return rows.withColumn("stack", F.array_join("stack", " > "))
+
+
+def timeline_whole(spark, sf):
+    return timeline(*_spans(spark, sf))
+
+
+def inline_profile_whole(spark, sf):
+    return branches.inline_profile(star.instructions(spark, sf))
+
+
 def _by_year(spark, sf, low: int, high: int):
     year = F.year(F.timestamp_micros(F.floor((F.col("start_ns") + star.ORIGIN_NS) / 1000).cast("long")))
     spans, functions = _derived(spark, sf)
@@ -341,15 +360,19 @@ QUERIES = {
     "hotpaths_totals": hotpaths_totals,
     "self_time_per_span": self_time_per_span,
     "nearest_rank_quantiles": quantiles,
-    "timeline": timeline_all,
+    "timeline": timeline_whole,
+    "timeline_window": timeline_all,
     "timeline_filtered": timeline_filtered,
     "timeline_page2": timeline_page2,
     "at_instant": at_instant,
+    "deep_paths": deep_paths,
+    "deep_at_instant": deep_at_instant,
     "compare_function": compare_function,
     "compare_ambiguous": compare_ambiguous,
     "branches": branches_sites,
     "branches_order": branches_order,
-    "inline_profile": inline_profile,
+    "inline_profile": inline_profile_whole,
+    "inline_profile_window": inline_profile,
     "instruction_outcome": instruction_outcome,
     "straight_blocks": straight_blocks,
     "coverage_segments": coverage_segments,

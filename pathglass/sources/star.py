@@ -66,6 +66,24 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.unionByName(children)
 
 
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as deep as a user's history: each event is called by the user's event before it, and stays open."""
+    e = star(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("t_"), F.col("user_id").cast("string")).alias("thread"),
+        F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 5).alias("function"),
+        F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("start_ns"),
+        F.lit(None).cast("long").alias("end_ns"),
+        F.lit("open_end").alias("completeness"),
+    )
+
+
+def chain_functions(spark: SparkSession) -> DataFrame:
+    return spark.range(5).select("id", F.concat(F.lit("step"), F.col("id").cast("string")).alias("name"))
+
+
 def inline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(thread, function, chain, instructions, blocks, elapsed_ns): a block run for each line item."""
     lines, orders, part = (star(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that is broadcast at most; they are counted first.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (local tests)."""
+    """``spark.checkpoint.dir``. Where that is unset, a session in one JVM (local
+    tests) takes a temporary folder; on a cluster this raises, as executors would
+    not see the same one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pathglass-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -23,3 +32,20 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pathglass/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict = {}
+
+
+def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` written once for each application, shared folder and key, as a store holds its tables."""
+    at = (spark.sparkContext.applicationId, shared_dir(spark), *key)
+    if at not in _STORED:
+        _STORED[at] = cut(make(), str(key[0]))
+    df = _STORED[at]
+    return spark.read.schema(df.schema).parquet(*{f.rsplit("/", 1)[0] for f in df.inputFiles()}) if df.sparkSession is not spark else df
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it has few rows; it is counted, so it should be a written table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
