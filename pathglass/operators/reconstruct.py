@@ -53,8 +53,9 @@ class CallStack:
         key, function, parent, start, opened, _, site = frame
         self.out.append(("span", self.thread, key, function, parent, start, end, completeness, opened, event, site, None, None, None, mismatch))
 
-    def gap(self, kind, start, end, known, reason) -> None:
-        self.out.append(("gap", self.thread, None, None, None, start, end, None, None, None, None, kind, known, reason, None))
+    def gap(self, kind, start, end, known, reason, event=None) -> None:
+        """A gap, shown by the event ``event``."""
+        self.out.append(("gap", self.thread, None, None, None, start, end, None, event, None, None, kind, known, reason, None))
 
     def interrupt(self) -> None:
         while self.frames:
@@ -80,21 +81,21 @@ class CallStack:
         if cpu is not None and cpu != left_cpu and left is not None and (cpu_first is None or cpu_first > left):
             end = cpu_first if cpu_first is not None else now
             self.interrupt()
-            self.gap("ring_truncation", left, end, end is not None, REASONS["moved"].format("?" if left_cpu is None else left_cpu, cpu))
+            self.gap("ring_truncation", left, end, end is not None, REASONS["moved"].format("?" if left_cpu is None else left_cpu, cpu), event)
             if begins and entered is not None:
                 self._open(event, 0, entered, now, "open_start")
             return begins
         if not begins:
             self.interrupt()
-            self.gap("unknown", left, now, False, REASONS["no_start"].format(reason))
+            self.gap("unknown", left, now, False, REASONS["no_start"].format(reason), event)
             return False
         if function is not None and target == function:
-            self.gap("trace_boundary", left, now, left is not None and now is not None, reason)
+            self.gap("trace_boundary", left, now, left is not None and now is not None, reason, event)
             if not self.frames:
                 self._open(event, 0, function, left if left is not None else now, "open_start")
             return True
         self.interrupt()
-        self.gap("unknown", left, now, False, REASONS["elsewhere"].format(reason))
+        self.gap("unknown", left, now, False, REASONS["elsewhere"].format(reason), event)
         if entered is not None:
             self._open(event, 0, entered, now, "open_start")
         return True
@@ -111,7 +112,7 @@ class CallStack:
             return
         if regressed is not None:
             self.interrupt()
-            self.gap("time_regression", regressed, now, True, REASONS["regression"])
+            self.gap("time_regression", regressed, now, True, REASONS["regression"], event)
         if self.pending is not None and self._resolve(now, cpu, cpu_first, event, source, target, begins):
             return
         if ends:
@@ -119,7 +120,7 @@ class CallStack:
             self.pending = (source, now, cpu, reason)
         elif async_event or interrupt or transaction:
             self.interrupt()
-            self.gap("unknown", now, None, False, REASONS["async"])
+            self.gap("unknown", now, None, False, REASONS["async"], event)
         elif begins:
             entered = target if target is not None else source
             if not self.frames and entered is not None:
@@ -174,18 +175,19 @@ def _over_earlier(what: Column) -> Column:
     return what.over(Window.partitionBy("pid", "tid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
 
 
-def prepare(records: DataFrame) -> DataFrame:
+def prepare(records: DataFrame, everything: DataFrame | None = None) -> DataFrame:
     """What the state machine reads, from classified records with ``from_fn`` and ``to_fn``.
 
     ``records`` is what :func:`with_event_ids` gives. Optional columns ``from_map``
-    and ``to_map`` name the mappings of both ends.
+    and ``to_map`` name the mappings of both ends. ``everything`` holds records of
+    other processes too, whose samples say when a cpu's history begins.
     """
     for name in ("from_map", "to_map"):
         if name not in records.columns:
             records = records.withColumn(name, F.lit(None).cast("long"))
     rows = records.filter("(record_type in ('sample', 'decoder_error') or (record_type = 'task' and task_kind = 'exit')) and pid is not null and tid is not null")
     # One row for each cpu.
-    rows = rows.drop("cpu_first_ns").join(F.broadcast(first_times(records).withColumnRenamed("first_ns", "cpu_first_ns")), "cpu", "left")
+    rows = rows.drop("cpu_first_ns").join(F.broadcast(first_times(records if everything is None else everything).withColumnRenamed("first_ns", "cpu_first_ns")), "cpu", "left")
     sample, leaves = F.col("record_type") == "sample", F.col("record_type") == "task"
     timed = sample & F.col("time_ns").isNotNull()
 
@@ -281,25 +283,30 @@ def with_event_ids(records: DataFrame) -> DataFrame:
     return numbered.drop("base")
 
 
-def reconstruct(records: DataFrame, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+def reconstruct(records: DataFrame, counted: bool = False, everything: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(spans, gaps) of classified records with functions; seq must be unique.
 
     Spans carry ``key``, twice the opening event plus which of two it opened, in
     place of a number: keys sort as spans open, and ``parent`` is a key too. Records
     without a task stand for losses on an unknown thread. With ``counted`` spans
-    say whether their return landed outside of the function open below (``mismatch``).
+    say whether their return landed outside of the function open below (``mismatch``),
+    and gaps which event showed them (``event``).
     """
-    found = cut(_segments(prepare(records if "event_id" in records.columns else with_event_ids(records))), "reconstructed")
+    found = cut(_segments(prepare(records if "event_id" in records.columns else with_event_ids(records), everything)), "reconstructed")
     spans = found.filter("row = 'span'").select(F.col("key").alias("id"), "thread", "function", F.col("parent_key").alias("parent"), "start_ns", "end_ns", "completeness", "start_event", "end_event", "call_site", *(["mismatch"] if counted else []))
     lost = records.filter("record_type = 'lost' or (record_type = 'decoder_error' and (pid is null or tid is null))")
     is_lost = F.col("record_type") == "lost"
     kind = F.when(is_lost, "pt_loss").when(F.col("code") == 5, "missing_image").otherwise("decoder_error")
-    nowhere = lost.select(F.lit(UNKNOWN_THREAD).alias("thread"), kind.alias("kind"), F.when(~is_lost, F.col("time_ns")).alias("start_ns"), F.lit(None).cast("long").alias("end_ns"), F.lit(False).alias("extent_known"), F.when(is_lost, REASONS["lost"]).otherwise(F.col("message")).alias("reason"))
-    gaps = found.filter("row = 'gap'").select("thread", "kind", "start_ns", "end_ns", "extent_known", "reason")
+    nowhere = lost.select(F.lit(UNKNOWN_THREAD).alias("thread"), kind.alias("kind"), F.when(~is_lost, F.col("time_ns")).alias("start_ns"), F.lit(None).cast("long").alias("end_ns"), F.lit(False).alias("extent_known"), F.when(is_lost, REASONS["lost"]).otherwise(F.col("message")).alias("reason"), *([F.lit(None).cast("long").alias("event")] if counted else []))
+    gaps = found.filter("row = 'gap'").select("thread", "kind", "start_ns", "end_ns", "extent_known", "reason", *([F.col("start_event").alias("event")] if counted else []))
     return spans, gaps.unionByName(nowhere)
 
 
+def retained_of(prepared: DataFrame) -> DataFrame:
+    rows = prepared.filter("retained")
+    return rows.select(F.col("event_id").alias("id"), "thread", F.col("seq").alias("sequence"), "time_ns", F.col("ip").alias("from_ip"), F.col("addr").alias("to_ip"), "kind", *BOUNDARIES)
+
+
 def retained_events(records: DataFrame) -> DataFrame:
     """The samples worth keeping: all but plain jumps within a function (FLT9)."""
-    rows = prepare(records if "event_id" in records.columns else with_event_ids(records)).filter("retained")
-    return rows.select(F.col("event_id").alias("id"), "thread", F.col("seq").alias("sequence"), "time_ns", F.col("ip").alias("from_ip"), F.col("addr").alias("to_ip"), "kind", *BOUNDARIES)
+    return retained_of(prepare(records if "event_id" in records.columns else with_event_ids(records)))

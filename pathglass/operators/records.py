@@ -120,14 +120,73 @@ def gaps_by_kind(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def least_step(samples: DataFrame) -> DataFrame:
+    """One row, min_time_step_ns: the least forward step between two times of a thread, null without any.
+
+    ``samples`` is (part, pid, tid, seq, time_ns) in ranges of the stream: steps
+    within a range by a window, over borders by one row a range and thread.
+    """
+    rows = samples.filter("time_ns is not null")
+    inner = rows.select((F.col("time_ns") - F.lag("time_ns").over(Window.partitionBy("part", "pid", "tid").orderBy("seq"))).alias("step"))
+    borders = rows.groupBy("part", "pid", "tid").agg(F.min_by("time_ns", "seq").alias("first"), F.max_by("time_ns", "seq").alias("last"))
+    outer = borders.select((F.col("first") - F.lag("last").over(Window.partitionBy("pid", "tid").orderBy("part"))).alias("step"))
+    return inner.unionByName(outer).agg(F.min(F.when(F.col("step") > 0, F.col("step"))).alias("min_time_step_ns"))
+
+
+def quality_counters(spans: DataFrame, gaps: DataFrame, samples: DataFrame, records: DataFrame, foreign: DataFrame | None = None) -> DataFrame:
+    """One row of counters (AGG10).
+
+    ``spans`` carry ``mismatch``; ``samples`` is what :func:`least_step` takes;
+    ``foreign`` counts samples of other processes by pid.
+    """
+    kind = lambda k: F.count_if(F.col("kind") == k)
+    parts = [
+        spans.agg(F.count_if(F.col("completeness") != "complete").alias("incomplete_spans"), F.count_if("mismatch").alias("unwind_mismatches")),
+        gaps.agg(F.count(F.lit(1)).alias("gaps"), kind("decoder_error").alias("decoder_errors"), kind("missing_image").alias("missing_images"), kind("ring_truncation").alias("ring_holes")),
+        records.agg(F.count_if(F.col("record_type") == "lost").alias("lost_records"), F.count_if(F.col("record_type") == "sample").alias("samples"), F.count_if((F.col("record_type") == "sample") & F.col("time_ns").isNull()).alias("unknown_times")),
+        least_step(samples),
+        spans.limit(0).agg(F.count(F.lit(1)).alias("foreign_samples"), F.count(F.lit(1)).alias("foreign_pids")) if foreign is None else foreign.agg(F.coalesce(F.sum("samples"), F.lit(0)).alias("foreign_samples"), F.count("pid").alias("foreign_pids")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # a row each
+    return out
+
+
+def quality(spans: DataFrame, gaps: DataFrame, samples: DataFrame, records: DataFrame, foreign: DataFrame | None = None) -> dict:
+    """The quality object of an analysis (Q2): counters, gaps by kind, and what they mean."""
+    n = quality_counters(spans, gaps, samples, records, foreign).first().asDict()
+    says = {
+        "lost_records": "records of lost data; history may be cut short",
+        "foreign_samples": "samples of other processes left out",
+        "ring_holes": "moves between cpus whose history does not reach back; threads list what is covered",
+        "unknown_times": "samples without a time",
+        "unwind_mismatches": "returns that landed outside of the caller known",
+    }
+    notes = [f"{n[k]} {text}" for k, text in says.items() if n[k]]
+    notes.append("times advance in unknown steps" if n["min_time_step_ns"] is None else f"times advance in steps of {n['min_time_step_ns']} ns at least")
+    return {
+        "timing": "decoder_estimate",
+        "gap_count": n["gaps"],
+        "incomplete_span_count": n["incomplete_spans"],
+        "missing_image_count": n["missing_images"],
+        "decoder_error_count": n["decoder_errors"],
+        "ring_truncation": n["ring_holes"] > 0,
+        "undecodable_prefix": False,
+        "notes": notes,
+        "gaps_by_kind": {r["kind"]: r["n"] for r in gaps_by_kind(gaps).collect()},
+        "counters": n,
+    }
+
+
 def trigger_location(records: DataFrame, address: int) -> DataFrame:
     """(traps, last_ns): traps that leave an address, and the time of the last (AGG16)."""
     return records.filter((F.col("from_ip") == address) & F.col("interrupt")).agg(F.count(F.lit(1)).alias("traps"), F.max_by("time_ns", F.struct("time_ns", "seq")).alias("last_ns"))
 
 
 def rebase(table: DataFrame, origin_ns: int, *columns: str) -> DataFrame:
-    """Absolute times to times since the origin, never below 0 (PRJ17)."""
-    return table.withColumns({c: F.greatest(F.lit(0).cast("long"), F.col(c) - origin_ns) for c in columns})
+    """Absolute times to times since the origin, never below 0 (PRJ17); unknown ones stay unknown."""
+    return table.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0).cast("long"), F.col(c) - origin_ns)) for c in columns})
 
 
 def tail_window(records: DataFrame, window_ns: int) -> DataFrame:

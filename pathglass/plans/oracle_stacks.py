@@ -20,7 +20,7 @@ def _span(f: str, end: str, end_event: str, completeness: str, mismatch: str = "
 
 
 def _gap(kind: str, start: str, end: str, known: str, reason: str) -> str:
-    return f"CAST({{'row': 'gap', 'key': NULL, 'function': NULL, 'parent_key': NULL, 'start_ns': {start}, 'end_ns': {end}, 'completeness': NULL, 'start_event': NULL, 'end_event': NULL, 'call_site': NULL, 'kind': '{kind}', 'extent_known': {known}, 'reason': {reason}, 'mismatch': NULL}} AS {OUT})"
+    return f"CAST({{'row': 'gap', 'key': NULL, 'function': NULL, 'parent_key': NULL, 'start_ns': {start}, 'end_ns': {end}, 'completeness': NULL, 'start_event': ev, 'end_event': NULL, 'call_site': NULL, 'kind': '{kind}', 'extent_known': {known}, 'reason': {reason}, 'mismatch': NULL}} AS {OUT})"
 
 
 def _interrupted(stack: str) -> str:

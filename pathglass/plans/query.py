@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.errors import invalid, not_found, not_ready
 from pathglass.functions.scalars import address_hex, is_missing_image
-from pathglass.operators import branches, call_paths, hotpaths, records, symbols
+from pathglass.operators import branches, call_paths, hotpaths, locate, records, symbols
 from pathglass.operators.timeline import selected, timeline, timeline_order
 from pathglass.plans.page import fit, take
 from pathglass.plans.request import NEED_INSTRUCTIONS, Query
@@ -42,36 +44,90 @@ def hints(query: Query, whole: DataFrame) -> list[str]:
     return out
 
 
-def source(query: Query, store: Store, analysis: str) -> DataFrame:
-    """Where something lies: by address, else location, function or evidence id."""
+def image_tables(store: Store, analysis: str) -> locate.Images:
+    names = store.read(analysis, "functions").select("image_id", "id", F.coalesce("demangled", "name").alias("name"), "start", "end")
+    return locate.Images(store.read(analysis, "images"), store.read(analysis, "segments"), names, store.read(analysis, "inline_ranges"))
+
+
+def by_evidence(store: Store, analysis: str, evidence: str) -> DataFrame:
+    """The locations that an evidence id leads to (JN11), the first at the top.
+
+    A range of events gives the first of them with a location; a span its function,
+    else its first event; a number that nothing else knows is tried as an instruction.
+    """
     locations = store.read(analysis, "locations")
+    m = re.fullmatch(r"(?:.*:)?(e|sp|f|l|g|i)?([0-9]+)(?:-e([0-9]+))?", evidence)
+    if m is None or (m[3] and m[1] != "e"):
+        raise invalid(f"not an evidence id: {evidence}")
+    kind, low, high = m[1] or "e", int(m[2]), int(m[3] or m[2])
+    of_function = lambda f: locations.filter(F.col("function") == f).orderBy("id")
+
+    def of_events(low: int, high: int) -> DataFrame:
+        events = store.read(analysis, "events").filter(F.col("id").between(low, high))
+        if "from_location" in events.columns:
+            at = events.withColumn("location", F.coalesce("from_location", "to_location")).filter("location is not null")
+        else:  # a table of a store that names no locations
+            at = events.join(locations.select(F.col("id").alias("location"), "virt_ip"), F.col("from_ip") == F.col("virt_ip"))
+        first = at.orderBy(events["id"]).select("location").limit(1)
+        return locations.join(F.broadcast(first), locations["id"] == first["location"]).drop("location")
+
+    rows = locations.limit(0)
+    if kind == "e":
+        rows = of_events(low, high)
+    elif kind == "f":
+        rows = of_function(low)
+    elif kind == "l":
+        rows = locations.filter(F.col("id") == low)
+    elif kind == "sp":
+        span = store.read(analysis, "spans").filter(F.col("id") == low).first()
+        if span is not None:
+            rows = of_function(span["function"])
+            if rows.isEmpty() and span["start_event"] is not None:
+                rows = of_events(span["start_event"], span["start_event"])
+    if rows.isEmpty() and kind != "g":
+        ran = store.read(analysis, "instructions").filter((F.col("id") == low) & F.col("location").isNotNull()).select("location").limit(1)
+        rows = locations.join(F.broadcast(ran), locations["id"] == ran["location"]).drop("location")
+    return rows
+
+
+def source(query: Query, store: Store, analysis: str) -> DataFrame:
+    """Where something lies (Q10): by address, else location, function or evidence id."""
     if query.address is not None:
-        maps = store.read(analysis, "mappings").withColumn("seq", F.lit(0).cast("long"))
-        probe = store.spark.createDataFrame([(0, query.address, 0)], "id long, ip long, seq long")
+        maps = store.read(analysis, "mappings").withColumn("seq", F.lit(0).cast("long")).withColumn("any", F.lit(1))
+        probe = store.spark.createDataFrame([(0, 1, query.address, 0)], "id long, any int, ip long, seq long")
         # Any task's mapping will do for an address alone.
-        hit = symbols.map_addresses(probe.withColumn("any", F.lit(1)), maps.withColumn("any", F.lit(1)).select("any", "start", "end", "generation", "seq", "pgoff", "path", "build_id"), ("any",))
+        hit = symbols.map_addresses(probe, maps.select("any", "start", "end", "generation", "seq", "pgoff", "path", "build_id"), ("any",)).filter("path is not null")
+        at = locate.locate(probe, maps.select("any", "start", "end", "generation", "seq", "pgoff", "path"), image_tables(store, analysis), ("any",))
         offset = F.col("ip") - F.col("map_start") + F.col("pgoff")
-        rows = hit.filter("path is not null").select(address_hex(F.col("ip")).alias("address"), "path", offset.alias("file_offset"), "build_id")
+        rows = hit.select("id", address_hex(F.col("ip")).alias("address"), "path", offset.alias("file_offset"), "build_id").join(at.select("id", "image_id", "image_offset", "function", "symbol", "inlined", "frames"), "id", "left").drop("id")
     else:
+        locations = store.read(analysis, "locations")
         if query.location_id is not None:
             rows = locations.filter(F.col("id") == query.location_id)
         elif query.function_id is not None:
             rows = locations.filter(F.col("function") == query.function_id)
         else:
-            low, _, high = query.evidence.rpartition(":")[2].partition("-")
-            numbers = [x.lstrip("e") for x in (low, high or low)]
-            if not all(n.isdigit() for n in numbers):
-                raise invalid(f"not an evidence id: {query.evidence}")
-            events = store.read(analysis, "events").filter(F.col("id").between(*map(int, numbers)))
-            at = events.join(locations.withColumnRenamed("id", "location"), events["from_ip"] == locations["virt_ip"])
-            first = at.orderBy("id").limit(1)
-            rows = first.withColumn("id", F.col("location"))
+            rows = by_evidence(store, analysis, query.evidence)
         rows = rows.select("id", "image_id", "image_offset", "function", "file", "line", "inlined").orderBy("id")
     if rows.isEmpty():
         raise not_found("nothing is known there")
     return rows
 
 
+def call_site_names(rows: list[dict], store: Store, analysis: str, key: str = "id") -> None:
+    """Adds to the rows of a page the innermost inlined function at their call sites (JN8); nothing beyond the page is looked up."""
+    ids = [r[key] for r in rows]
+    spans = store.read(analysis, "spans").filter(F.col("id").isin(ids) & F.col("call_site").isNotNull()) if ids else None
+    if spans is None or spans.isEmpty():
+        return
+    threads = store.read(analysis, "threads").select(F.col("id").alias("thread"), "pid")
+    maps = store.read(analysis, "mappings").withColumn("seq", F.lit(0).cast("long"))
+    probes = spans.join(threads, "thread").select("id", "pid", F.col("call_site").alias("ip"), F.lit(0).cast("long").alias("seq"))
+    found = {r["id"]: r["inlined"] for r in locate.locate(probes, maps, image_tables(store, analysis)).collect()}
+    for r in rows:
+        r["call_site_inline"] = found.get(r[key])
+
+
 def run_query(store: Store, query: Query, analysis: str | None = None, snapshot: dict | None = None, report: DataFrame | None = None) -> dict:
     """The page that answers a request."""
     if (query.kind == "comparison") != (report is not None):
@@ -118,8 +174,15 @@ def run_query(store: Store, query: Query, analysis: str | None = None, snapshot:
         counts = {f"{t}_count": store.read(name, t) for t in ("events", "spans", "gaps")}
         rows, order = records.summary(store.read(name, "threads").withColumnRenamed("id", "thread"), counts), [F.lit(1)]
     else:
-        rows, order = records.gaps_by_kind(store.read(name, "gaps")), [F.asc("kind")]
+        # The manifest's object as it stands, not a list.
+        return fit({"schema_version": SCHEMA_VERSION, "analysis": name, "kind": query.kind, "data": manifest.get("quality"), "next_cursor": None, "truncated": False}, offset=offset)
     data, following = take(rows, order, offset, limit)
+    if query.kind == "summary":
+        data[0]["analyses"] = [{k: m.get(k) for k in ("id", "detail", "decode_mode", "ir_version")} for m in store.catalog()]
+    if query.kind == "timeline":
+        call_site_names(data, store, name)
+    if query.kind == "at_instant":
+        call_site_names(data, store, name, "span")
     page = {"schema_version": SCHEMA_VERSION, "analysis": name, "kind": query.kind, "selection": {"thread": s.thread, "start_ns": s.start_ns, "end_ns": s.end_ns}, "quality": manifest.get("quality"), "data": data, "next_cursor": following, "truncated": following is not None}
     if query.kind == "hotpaths":
         page |= {"group": query.group, "sort": query.sort, "totals": totals}

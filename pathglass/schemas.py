@@ -68,6 +68,8 @@ async_event boolean
 transaction boolean
 interrupt boolean
 syscall boolean
+from_location long
+to_location long
 """)
 
 SPANS = _schema("""
@@ -168,6 +170,23 @@ outcome string
 bytes_hex string
 """)
 
+_FRAME = StructType().add("function", StringType()).add("file", StringType()).add("line", IntegerType())
+
+IMAGES = _schema("""
+path string
+image_id string
+build_id string
+""")
+
+SEGMENTS = _schema("""
+image_id string
+file_off long
+file_size long
+vaddr long
+""")
+
+INLINE_RANGES = StructType().add("image_id", StringType()).add("lo", LongType()).add("hi", LongType()).add("frames", ArrayType(_FRAME))
+
 TABLES = {
     "events": EVENTS,
     "spans": SPANS,
@@ -178,4 +197,7 @@ TABLES = {
     "mappings": MAPPINGS,
     "inline_rows": INLINE_ROWS,
     "instructions": INSTRUCTIONS,
+    "images": IMAGES,
+    "segments": SEGMENTS,
+    "inline_ranges": INLINE_RANGES,
 }
