@@ -152,12 +152,28 @@ def _renamed(salt: str) -> str:
 _STEP = "time_ns - lag(time_ns) OVER (PARTITION BY tid ORDER BY seq)"
 
 _RECORDS_ONLY = RECORDS[: RECORDS.index("points AS")].rstrip().rstrip(",")
+#: Instructions: blocks of 256 bytes from 0x1000 on, mapped to offset 256 up to 0x1600; a segment holds 1024 bytes behind it.
+_CODE = f"""WITH {_RECORDS_ONLY}, x AS (SELECT rec.*, event_type = 'error' AS bad, CASE event_type WHEN 'click' THEN '740e' WHEN 'view' THEN '90' WHEN 'purchase' THEN 'ffd0' WHEN 'signup' THEN 'c3' END AS hex FROM rec JOIN events ON event_id = seq),
+y AS (SELECT *, len(hex) // 2 AS len, CASE hex WHEN '740e' THEN 'conditional' WHEN '90' THEN 'sequential' WHEN 'ffd0' THEN 'indirect_call' WHEN 'c3' THEN 'return' END AS kind, CASE WHEN hex = '740e' THEN ip + 16 END AS branch_target,
+  row_number() OVER p AS sequence, lead(ip) OVER p AS next_ip, lead(bad) OVER p AS next_bad, CASE WHEN ip < 5632 THEN '/bin/star' ELSE '/bin/old' END AS path, CASE WHEN ip < 5632 THEN 'i' END AS image_id,
+  CASE WHEN ip < 5120 THEN 4194304 + ip - 4096 WHEN ip < 5632 THEN ip - 4096 + 256 END AS image_offset FROM x WINDOW p AS (PARTITION BY tid ORDER BY seq)),
+located AS (SELECT *, CASE WHEN image_offset >= 4194304 AND image_offset % 256 < 12 THEN 'f' || (image_offset % 4194304) // 256 END AS symbol, CASE WHEN image_offset >= 4194304 AND image_offset % 256 BETWEEN 4 AND 7 THEN 'g' || (image_offset % 4194304) // 256 % 2 END AS inlined,
+  CASE WHEN image_offset >= 4194304 AND image_offset % 256 BETWEEN 4 AND 7 THEN CAST((image_offset % 4194304) // 256 AS INTEGER) END AS line FROM y)
+"""
 _BITS = """flags = 'tr strt' AS trace_begin, flags = 'tr end call' AS trace_end, flags = 'async' AS async_event, false AS "transaction", false AS interrupt, false AS syscall"""
 
 ORACLE_SQL = {
     "reconstruct_spans": stacks_sql(_RECORDS_ONLY) + """SELECT key AS id, thread, "function", parent_key AS parent, start_ns, end_ns, completeness, start_event, end_event, call_site FROM machine WHERE "row" = 'span'""",
     "reconstruct_gaps": stacks_sql(_RECORDS_ONLY) + """SELECT thread, kind, start_ns, end_ns, extent_known, reason FROM machine WHERE "row" = 'gap'""",
     "stream_reconstruct": stacks_sql(_RECORDS_ONLY, first_of_cpu=False, closed=False) + "SELECT * FROM machine",
+    "reconstruct_gaps_by_kind": stacks_sql(_RECORDS_ONLY) + """SELECT kind, count(*) AS n FROM machine WHERE "row" = 'gap' GROUP BY kind""",
+    "reconstruct_quality": stacks_sql(_RECORDS_ONLY) + f"""SELECT count(*) FILTER ("row" = 'span' AND completeness <> 'complete') AS incomplete_spans, count(*) FILTER (mismatch) AS unwind_mismatches, count(*) FILTER ("row" = 'gap') AS gaps,
+  count(*) FILTER (kind = 'decoder_error') AS decoder_errors, count(*) FILTER (kind = 'missing_image') AS missing_images, count(*) FILTER (kind = 'ring_truncation') AS ring_holes,
+  CAST(0 AS BIGINT) AS lost_records, (SELECT count(*) FROM rec) AS samples, (SELECT count(*) FROM rec WHERE time_ns IS NULL) AS unknown_times,
+  (SELECT min(step) FROM (SELECT {_STEP} AS step FROM rec) WHERE step > 0) AS min_time_step_ns, CAST(0 AS BIGINT) AS foreign_samples, CAST(0 AS BIGINT) AS foreign_pids FROM machine""",
+    "instruction_rows": _CODE + """SELECT seq AS id, 't_' || tid AS thread, sequence, time_ns, CAST(NULL AS BIGINT) AS location, ip AS virt_ip, symbol, inlined, image_offset, CAST(len AS INTEGER) AS len, kind, branch_target, CASE WHEN kind <> 'return' THEN ip + len END AS fallthrough,
+  CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) THEN 'unknown' WHEN next_ip = branch_target THEN 'taken' WHEN next_ip = ip + len THEN 'not_taken' ELSE 'unknown' END END AS outcome, hex AS bytes_hex FROM located WHERE NOT bad""",
+    "located_instructions": _CODE + """SELECT path, image_id, symbol, inlined, count(*) AS n, min(image_offset) AS low, max(image_offset) AS high, max(line) AS line FROM located GROUP BY ALL""",
     "retained_events": f"""WITH {_RECORDS_ONLY}, n AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS id, nullif((ip >> 8) - 15, 7) AS src, nullif((addr >> 8) - 15, 7) AS dst FROM rec)
 SELECT id, 't_' || tid AS thread, seq AS sequence, time_ns, ip AS from_ip, addr AS to_ip, CASE flags WHEN 'tr strt' THEN 'trace_begin' WHEN 'tr end call' THEN 'trace_end' WHEN 'async' THEN 'async_boundary' WHEN 'call' THEN 'call' WHEN 'return' THEN 'return' ELSE 'conditional' END AS kind, {_BITS}
 FROM n WHERE NOT (flags = 'jcc' AND src IS NOT DISTINCT FROM dst)""",

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-import csv
 import io
+import json
 
 #: Columns that stand last and are quoted in CSV whatever they hold.
 LAST = ("function", "path")
 
 
+# The columns of each kind's CSV, in the order of the format.
+CSV_COLUMNS = {
+    "summary": ("covered_start_ns", "covered_end_ns", "duration_estimate_ns", "max_thread_covered_ns", "thread_count", "function_count", "span_count", "event_count", "sample_count", "decode_wall_ms", "trigger_hit_ns", "detail", "quality", "threads", "analyses"),
+    "timeline": ("start_ns", "end_ns", "thread_id", "span_id", "parent", "completeness", "clipped", "evidence", "call_site", "call_site_inline", "function"),
+    "hotpaths": ("self_sum_ns", "inclusive_sum_ns", "complete_calls", "observed_entries", "instructions", "p50_ns", "p95_ns", "p99_ns", "excluded_incomplete", "n_eligible", "path"),
+    "instructions": ("sequence", "time", "len", "kind", "outcome", "branch_target", "fallthrough", "bytes_hex", "id", "thread", "location", "virt_ip", "image_offset", "inlined", "symbol"),
+    "branches": ("taken", "not_taken", "unknown", "taken_fraction", "indirect_targets", "site", "symbol"),
+    "images": ("archived", "missing", "content_hash", "build_id", "path"),
+    "inline_profile": ("instructions", "fraction", "distinct_addresses", "first_address", "symbol", "inlined"),
+    "at_instant": ("elapsed_in_innermost_ns", "innermost_start_ns", "innermost_end_ns", "innermost_completeness", "innermost_span_id", "innermost_call_site_inline", "stack", "thread_id"),
+    "comparison": ("absolute_delta", "relative_delta", "unit", "normalization", "match_kind", "baseline", "candidate", "baseline_evidence", "candidate_evidence", "path"),
+    "source": ("image_offset", "virt_ip", "location_id", "function_id", "file", "line", "inlined", "note", "image_id", "image_path", "function"),
+    "quality": ("timing", "gap_count", "incomplete_span_count", "missing_image_count", "decoder_error_count", "ring_truncation", "undecodable_prefix", "gaps_by_kind", "notes"),
+}
+#: What the rows of pages call some of these columns.
+CSV_SOURCES = {
+    "summary": {"duration_estimate_ns": "duration_ns", "span_count": "spans_count", "event_count": "events_count", "threads": "top_threads"},
+    "timeline": {"thread_id": "thread", "span_id": "id"},
+    "hotpaths": {"p50_ns": "p50", "p95_ns": "p95", "p99_ns": "p99"},
+    "instructions": {"time": "time_ns"},
+    "at_instant": {"elapsed_in_innermost_ns": "elapsed_ns", "innermost_start_ns": "start_ns", "innermost_end_ns": "end_ns", "innermost_span_id": "span", "innermost_call_site_inline": "call_site_inline", "thread_id": "thread"},
+    "source": {"location_id": "id", "function_id": "function", "image_path": "path", "function": "symbol"},
+}
+
+
 def _text(value) -> str:
     if value is None:
         return ""
@@ -18,6 +43,8 @@ def _text(value) -> str:
         return f"{value:.6f}"
     if isinstance(value, (list, tuple)):
         return ";".join(_text(v) for v in value)
+    if isinstance(value, dict):
+        return json.dumps(value, sort_keys=True)
     return str(value)
 
 
@@ -38,18 +65,25 @@ def as_lines(page: dict) -> str:
 
 
 def as_csv(page: dict) -> str:
-    """A header and a line for each row; the cursor's column stands before the names."""
-    rows = page["data"]
-    order = _columns(rows)
-    names = [k for k in order if k in LAST]
-    order = [k for k in order if k not in LAST] + ["next_cursor"] + names
+    """A header and a line for each row, the columns fixed for each kind and otherwise as in the rows.
+
+    The cursor's column stands before the names, which are quoted whatever they hold.
+    """
+    rows = page["data"] if isinstance(page["data"], list) else [page["data"]] if page["data"] else []
+    kind = page.get("kind")
+    order = list(CSV_COLUMNS.get(kind) or _columns(rows))
+    named = [k for k, c in enumerate(order) if c in LAST]
+    order.insert(named[0] if named else len(order), "next_cursor")
+    sources = CSV_SOURCES.get(kind, {})
     out = io.StringIO()
     out.write(",".join(order) + "\n")
-    plain = csv.writer(out, lineterminator="")
     for r in rows:
-        r = r | {"next_cursor": page.get("next_cursor")}
-        plain.writerow([_text(r.get(k)) for k in order if k not in LAST])
-        out.write("".join(f',"{_text(r.get(k)).replace(chr(34), chr(34) * 2)}"' for k in names) + "\n")
+        cells = []
+        for c in order:
+            text = _text(page.get("next_cursor") if c == "next_cursor" else r.get(sources.get(c, c)))
+            quoted = c in LAST or any(x in text for x in ',"\n\r')
+            cells.append('"' + text.replace('"', '""') + '"' if quoted else text)
+        out.write(",".join(cells) + "\n")
     return out.getvalue()
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from pathglass.functions import scalars
 from pathglass.functions.flags import BOUNDARIES, boundary, flag_set, flow_kind
-from pathglass.operators import branches, call_paths, compare, hotpaths, reconstruct, records, symbols
+from pathglass.operators import branches, call_paths, compare, hotpaths, locate, reconstruct, records, symbols
 from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
 from pathglass.operators.timeline import selected, timeline, timeline_order
 from pathglass.sources import star
-from pathglass.storage import shared_dir, stored
+from pathglass.storage import cut, shared_dir, stored
 from pathglass.streaming.call_stacks import run_to_end, stream_stacks
 
 #: A window and an instant inside the star tables' span of time.
@@ -345,6 +345,30 @@ def stream_reconstruct(spark, sf):
     return run_to_end(stream_stacks(rows), f"{shared_dir(spark)}/pathglass/stream-{uuid.uuid4().hex}")
 
 
+def instruction_rows(spark, sf):
+    mappings, images = star.code(spark)
+    return locate.instruction_rows(star.executed(spark, sf), images, mappings)
+
+
+def located_instructions(spark, sf):
+    """By image and function: addresses found, their range and the frames' lines."""
+    mappings, images = star.code(spark)
+    rows = star.executed(spark, sf)
+    at = locate.locate(rows.select(F.col("seq").alias("id"), "pid", "ip", "seq"), mappings, images)
+    return at.groupBy("path", "image_id", "symbol", "inlined").agg(F.count(F.lit(1)).alias("n"), F.min("image_offset").alias("low"), F.max("image_offset").alias("high"), F.max(F.get("frames", F.lit(0))["line"]).alias("line"))
+
+
+def reconstruct_quality(spark, sf):
+    """The counters of the reconstructed event stream."""
+    rows = cut(reconstruct.with_event_ids(_symbolic(spark, sf)), "numbered")
+    spans, gaps = reconstruct.reconstruct(rows, counted=True)
+    return records.quality_counters(spans, gaps, rows, rows)
+
+
+def gaps_of_stream(spark, sf):
+    return records.gaps_by_kind(reconstruct.reconstruct(_symbolic(spark, sf))[1])
+
+
 def retained_events(spark, sf):
     return reconstruct.retained_events(_symbolic(spark, sf))
 
@@ -399,6 +423,10 @@ QUERIES = {
     "cache_key": cache_key,
     "reconstruct_spans": reconstruct_spans,
     "reconstruct_gaps": reconstruct_gaps,
+    "reconstruct_quality": reconstruct_quality,
+    "reconstruct_gaps_by_kind": gaps_of_stream,
+    "instruction_rows": instruction_rows,
+    "located_instructions": located_instructions,
     "retained_events": retained_events,
     "stream_reconstruct": stream_reconstruct,
 }

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathglass.operators.locate import Images
+
 #: 1995-01-01 in nanoseconds since the epoch: the snapshot's origin.
 ORIGIN_NS = 788_918_400_000_000_000
 
@@ -130,6 +132,40 @@ def records_of(e: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes of the instruction that an event type stands for; an error is one that could not be read.
+EVENT_BYTES = {"click": "74 0e", "view": "90", "purchase": "ff d0", "signup": "c3"}
+
+
+def executed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as instruction samples and decoder errors of one process, a thread for each user."""
+    rows = records(spark, sf_dir)
+    e = star(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    bytes_ = F.create_map(*(F.lit(x) for pair in EVENT_BYTES.items() for x in pair))
+    rows = rows.drop("event").join(e, "seq").withColumn("insn", F.try_element_at(bytes_, F.col("event_type")))
+    return rows.select(
+        "seq", "pid", "tid", "time_ns", "ip", "insn",
+        F.concat(F.lit("t_"), F.col("tid").cast("string")).alias("thread"),
+        F.when(F.col("insn").isNull(), "decoder_error").otherwise("sample").alias("record_type"),
+        F.lit("instructions").alias("event"),
+        F.floor((F.length("insn") + 1) / 3).cast("int").alias("insn_len"),
+    )
+
+
+def code(spark: SparkSession) -> tuple[DataFrame, Images]:
+    """Where the event stream runs: (mappings, images).
+
+    An old mapping of an unknown image, replaced by one of a known image whose segment
+    covers the first four of seven blocks; a function and an inlined range a block.
+    """
+    mappings = spark.createDataFrame([(1, 4096, 8192, 0, "r-xp", "/bin/old", -2, 0, 0), (1, 4096, 5632, 256, "r-xp", "/bin/star", -1, 1, 0)], "pid int, start long, end long, pgoff long, prot string, path string, seq long, generation long, valid_from long")
+    block = lambda width, size: F.lit(0x400000) + F.col("id") * width + size
+    blocks = spark.range(7)
+    functions = blocks.select(F.lit("i").alias("image_id"), "id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), block(256, 0).alias("start"), block(256, 12).alias("end"))
+    frame = F.struct(F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias("function"), F.lit("g.c").alias("file"), F.col("id").cast("int").alias("line"))
+    inline = blocks.select(F.lit("i").alias("image_id"), block(256, 4).alias("lo"), block(256, 8).alias("hi"), F.array(frame).alias("frames"))
+    return mappings, Images(spark.createDataFrame([("/bin/star", "i")], "path string, image_id string"), spark.createDataFrame([("i", 256, 1024, 0x400000)], "image_id string, file_off long, file_size long, vaddr long"), functions, inline)
+
+
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as instruction rows: sites from ``props``, outcomes from ``value``."""
     e = star(spark, sf_dir, "events")
