@@ -318,7 +318,7 @@ def cache_key(spark, sf):
     return part.select("p_partkey", scalars.content_key(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("key"))
 
 
-def _with_functions(records: DataFrame) -> DataFrame:
+def with_functions(records: DataFrame) -> DataFrame:
     """Records classified, with functions: one for each 256 bytes, one of them unknown."""
     nothing = {"task_kind": "string", "code": "int", "message": "string"}
     rows = reconstruct.classify(records.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}))
@@ -327,7 +327,7 @@ def _with_functions(records: DataFrame) -> DataFrame:
 
 
 def _symbolic(spark, sf):
-    return _with_functions(star.records(spark, sf))
+    return with_functions(star.records(spark, sf))
 
 
 def reconstruct_spans(spark, sf):
@@ -341,7 +341,7 @@ def reconstruct_gaps(spark, sf):
 def stream_reconstruct(spark, sf):
     """The event stream as a stream, its stacks in state; spans and gaps as they close."""
     events = spark.readStream.schema(star.star(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")  # a pattern names a file or a folder
-    rows = _with_functions(star.records_of(events)).withColumn("cpu_first_ns", F.lit(0).cast("long"))
+    rows = with_functions(star.records_of(events)).withColumn("cpu_first_ns", F.lit(0).cast("long"))
     return run_to_end(stream_stacks(rows), f"{shared_dir(spark)}/pathglass/stream-{uuid.uuid4().hex}")
 
 

@@ -41,9 +41,11 @@ def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> Da
     """``make()`` written once for each application, shared folder and key, as a store holds its tables."""
     at = (spark.sparkContext.applicationId, shared_dir(spark), *key)
     if at not in _STORED:
-        _STORED[at] = cut(make(), str(key[0]))
-    df = _STORED[at]
-    return spark.read.schema(df.schema).parquet(*{f.rsplit("/", 1)[0] for f in df.inputFiles()}) if df.sparkSession is not spark else df
+        df, path = make(), f"{shared_dir(spark)}/pathglass/{key[0]}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _STORED[at] = (path, df.schema)
+    path, schema = _STORED[at]
+    return spark.read.schema(schema).parquet(path)
 
 
 def counted(df: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Operators on small known inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pathglass.operators import branches, call_paths, compare, hotpaths, records, symbols
+from pathglass.operators.call_paths import row_rank
 from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
 from pathglass.operators.timeline import timeline
@@ -178,3 +181,25 @@ def test_records(spark):
 
 def test_function_schema_names_the_columns(spark):
     assert spark.createDataFrame([], FUNCTIONS).columns == ["id", "name", "demangled", "image_id", "start", "end"]
+
+
+@pytest.mark.parametrize("group", [2, 7, 50_000])
+def test_self_times_of_many_overlapping_children(spark, group):
+    r = random.Random(23)
+    rows = [(k, None, 1000 * k, 1000 * k + 900, "complete") for k in range(4)]
+    for k in range(4):
+        for _ in range((0, 1, 12, 60)[k]):
+            start = 1000 * k + r.randint(-50, 900)
+            rows.append((len(rows), k, start, start + r.choice([0, 5, 80, 700, 2000]), "complete"))
+    df = spark.createDataFrame(rows, "id long, parent long, start_ns long, end_ns long, completeness string")
+    got = {x.id: x.self_ns for x in self_times(df, group).collect()}
+    for k in range(4):
+        covered = {t for _, p, s, e, _ in rows if p == k for t in range(max(s, 1000 * k), min(e, 1000 * k + 900))}
+        assert got[k] == 900 - len(covered)
+
+
+def test_ranks_come_from_sorted_ranges(spark):
+    df = spark.range(500).selectExpr("id", "pmod(id * 37, 101) as v")
+    got = sorted(row_rank(df, F.desc("v"), "id").collect(), key=lambda x: x.ord)
+    assert [x.ord for x in got] == list(range(1, 501))
+    assert [(x.v, x.id) for x in got] == sorted(((x.v, x.id) for x in df.collect()), key=lambda x: (-x[0], x[1]))
