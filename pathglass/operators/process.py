@@ -39,7 +39,7 @@ def traced(records: DataFrame, root_pid: int | None = None, target: str | None =
         nobody = tasks.select("pid", "tid").limit(0)
         return Traced(tree.withColumns({"exec_seq": F.lit(None).cast("long"), "exec_ns": F.lit(None).cast("long")}), nobody, False)
     name = target.rsplit("/", 1)[-1][:COMM_LENGTH]
-    runs = tasks.filter((F.col("comm") == name) & (F.col("task_kind") == "comm")).join(tree, "pid").groupBy("pid").agg(F.min("seq").alias("exec_seq"), F.max_by("time_ns", "seq").alias("exec_ns"))
+    runs = tasks.filter((F.col("comm") == name) & F.col("task_kind").isin("comm", "exec")).join(tree, "pid").groupBy("pid").agg(F.min("seq").alias("exec_seq"), F.max_by("time_ns", "seq").alias("exec_ns"))
     done = cut(runs, "executed")
     front = done
     while True:
