@@ -15,6 +15,8 @@ from pathglass.functions.scalars import parse_address, trace_time_ns
 from pathglass.schemas import RECORDS
 
 _PREFIX = r"^.*?([0-9]+)/([0-9]+)\s*(?:\[\s*([0-9]+)\s*\])?\s*(?:([0-9]+\.[0-9]+):?)?\s*"
+#: Parts of a line while it is taken apart; no text holds it.
+_BAR = "\x1f"
 _HEX = r"^(?:0[xX])?[0-9a-fA-F]{1,16}$"
 
 
@@ -38,18 +40,21 @@ def parse_records(lines: DataFrame) -> DataFrame:
     """Rows (stream, seq, value) as RECORDS; see the module for what becomes of bad lines."""
     kept = lines.select("stream", "seq", F.rtrim("value").alias("value")).filter("value != '' and not startswith(value, '#') and not startswith(value, 'failed to read')")
     kind = record_type(F.col("value"))
-    # What stands behind the prefix of a sample: event, modifiers, payload, instruction.
-    body = _PREFIX + r"([^:]*):\s*(?:[A-Za-z]{1,8}:)?\s*(.*)$"
-    rows = kept.withColumn("kind", kind)
-    for name, column in {
-        "p_pid": _get(_PREFIX, 1).try_cast("int"),
-        "p_tid": _get(_PREFIX, 2).try_cast("int"),
-        "p_cpu": _get(_PREFIX, 3).try_cast("int"),
-        "p_time": trace_time_ns(_get(_PREFIX, 4)),
-        "event": F.trim(_get(body, 5)),
-        "rest": _get(body, 6),
-    }.items():
-        rows = rows.withColumn(name, column)
+    # The prefix, and what stands behind it in a sample: event, modifiers, payload,
+    # instruction. One pass over the line takes them all; without a prefix there is one part.
+    whole = _PREFIX + r"(?:([^:]*):\s*(?:[A-Za-z]{1,8}:)?\s*(.*)|.*)$"
+    parts = F.split(F.regexp_replace("value", whole, _BAR.join(f"${k}" for k in range(1, 7))), _BAR)
+    rows = kept.withColumn("kind", kind).withColumn("parts", parts)
+    part = lambda k: F.when(F.size("parts") > 1, F.nullif(F.get("parts", F.lit(k)), F.lit("")))
+    rows = rows.select(
+        "stream", "seq", "value", "kind",
+        part(0).try_cast("int").alias("p_pid"),
+        part(1).try_cast("int").alias("p_tid"),
+        part(2).try_cast("int").alias("p_cpu"),
+        trace_time_ns(part(3)).alias("p_time"),
+        F.trim(part(4)).alias("event"),
+        part(5).alias("rest"),
+    )
     rows = rows.withColumn("payload", F.trim(F.regexp_extract("rest", r"^(.*?)(?:\s*(?:insn|ilen|insnlen):.*)?$", 1)))
     arrow = F.col("payload").contains("=>")
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
