@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, mtree, ring_shards, suffix_dedup, token_counts, token_store, warc
+from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, mtree, ranked_search, ring_shards, suffix_dedup, token_alignment, token_counts, token_store, warc
 from pathglass.llm.common import table
 
 #: Where the public vocabulary files lie; a parameter, the files are never copied.
@@ -51,7 +51,31 @@ def op10_chosen_path(spark, sf_dir):
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree, op2_ring_shards, op3_token_files, op4_bpe_codec, op5_suffix_lpf, op6_spaced_seeds, op7_lang_profiles, op8_token_counts, op9_warc, op10_chosen_path)}
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mtree,
+        op2_ring_shards,
+        op3_token_files,
+        op4_bpe_codec,
+        op5_suffix_lpf,
+        op6_spaced_seeds,
+        op7_lang_profiles,
+        op8_token_counts,
+        op9_warc,
+        op10_chosen_path,
+        op11_ranked_search,
+        op12_token_alignment,
+    )
+}
 
 OP1_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -61,4 +85,4 @@ s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_z
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5"""
 
-ORACLE_SQL = {"op1_mtree": OP1_SQL, "op6_spaced_seeds": decontaminate.contamination_sql()}
+ORACLE_SQL = {"op1_mtree": OP1_SQL, "op6_spaced_seeds": decontaminate.contamination_sql(), "op11_ranked_search": ranked_search.search_sql()}
