@@ -251,16 +251,21 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(links.sparkSession)
     edges = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
-    labels = scratch.table(labels, "labels")
+    total = edges.count()
+    labels = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("ends"))
+    labels = scratch.table(labels.select(F.col("a").alias("id"), "ends", F.least("a", "m").alias("component")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        joined = labels.join(near, "id").select("id", F.col("component").alias("before"), F.least("component", "m").alias("component"))
+        # Neither an end of very many links nor a label of very many ends meets in one task.
+        near = join_spread(edges, labels.withColumnRenamed("id", "b"), "b", "ends", total).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        joined = labels.join(near, "id").select("id", "ends", F.col("component").alias("before"), F.least("component", "m").alias("component"))
+        joined = scratch.table(joined, "labels-near")
         own = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = scratch.table(joined.join(own, "component").select("id", "before", F.least("component", "further").alias("component")), "labels")
-        labels = new.select("id", "component")
+        hops = joined.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(own, "component").filter("further < component")
+        further = join_spread(joined, scratch.table(hops, "hops"), "component", "size", total, "left")
+        new = scratch.table(further.select("id", "ends", "before", F.coalesce("further", "component").alias("component")), "labels")
+        labels = new.select("id", "ends", "component")
         if new.filter("before != component").isEmpty():
-            return labels
+            return labels.select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:

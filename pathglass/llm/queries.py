@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, mtree, ranked_search, ring_shards, suffix_dedup, token_alignment, token_counts, token_store, warc
+from pathglass.llm import bpe_codec, chosen_path, decontaminate, lang_profiles, mtree, ngram_join, ranked_search, ring_shards, suffix_dedup, token_alignment, token_counts, token_store, warc
 from pathglass.llm.common import table
 
 #: Where the public vocabulary files lie; a parameter, the files are never copied.
@@ -59,6 +59,10 @@ def op12_token_alignment(spark, sf_dir):
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES = {
         op10_chosen_path,
         op11_ranked_search,
         op12_token_alignment,
+        op13_ngram_join,
     )
 }
 
@@ -85,4 +90,4 @@ s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_z
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5"""
 
-ORACLE_SQL = {"op1_mtree": OP1_SQL, "op6_spaced_seeds": decontaminate.contamination_sql(), "op11_ranked_search": ranked_search.search_sql()}
+ORACLE_SQL = {"op1_mtree": OP1_SQL, "op6_spaced_seeds": decontaminate.contamination_sql(), "op11_ranked_search": ranked_search.search_sql(), "op13_ngram_join": ngram_join.components_sql()}
