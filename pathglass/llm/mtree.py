@@ -33,6 +33,8 @@ ROOT, ROOT_MOST, ROOT_BYTES = 64, 65_536, 64 << 20
 #: Rows of a block, on average; larger cells have several. Also the queries that a
 #: task searches a block for.
 BLOCK = 8_192
+#: Further cells that a query looks into in the first round, and the growth of the next rounds.
+CELLS_FIRST, CELLS_MORE = 16, 8
 #: Entries of a leaf page and of an inner node.
 PAGE, FANOUT = 128, 16
 
@@ -106,6 +108,7 @@ class MTree:
         self.x, self.ids, self.space = vectors, ids, space
         self.points = space.rows(vectors)
         self.computed = 0  # distances to queries
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.routes, self.radii, self.to_parent, self.children, self.pages = [], [], [], [], []
         self.root = self._build(np.arange(len(ids)), None)
         self.routes, self.radii, self.to_parent = np.array(self.routes), np.array(self.radii), np.array(self.to_parent)
@@ -139,11 +142,13 @@ class MTree:
         self.children[node] = np.array(self.children[node])
         return node
 
-    def search(self, q: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
+    def search(self, q: np.ndarray, k: int, floor: int | None, each: int | None = None) -> list[tuple[int, int]]:
         """The best (score, id) in the tree: at most k, highest first, ties to smaller ids.
 
-        Rows under ``floor`` (k rows elsewhere reach it) may be left out.
+        Rows under ``floor`` (k rows elsewhere reach it) may be left out. At most ``each``
+        rows of one id are taken, its best.
         """
+        each = k if each is None or not self.repeats else each
         point, best = self.space.query(q), []  # a heap with the worst on top: (score, -id)
         radius = self.space.radius(point, floor)
         d = float(np.sqrt(((self.routes[self.root] - point) ** 2).sum()))
@@ -171,10 +176,17 @@ class MTree:
             if len(best) == k:
                 better = scores >= best[0][0]
                 scores, ids = scores[better], ids[better]
-            # Only the k best of the page can enter.
-            order = np.lexsort((ids, -scores))[:k]
+            # Only the k best of the page can enter, unless ids repeat.
+            order = np.lexsort((ids, -scores))[: k if each == k else None]
             for s, i in zip(scores[order].tolist(), ids[order].tolist(), strict=True):
-                if len(best) < k:
+                if len(best) == k and s < best[0][0]:
+                    break
+                if each < k and len(own := [b for b in best if b[1] == -i]) >= each:
+                    if (s, -i) > min(own):
+                        best.remove(min(own))
+                        best.append((s, -i))
+                        heapq.heapify(best)
+                elif len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
                     heapq.heapreplace(best, (s, -i))
@@ -272,7 +284,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, root: int = ROOT, blo
 
     asked = rows.filter(F.col("id") % every == 0).select("id", "v", "n").distinct()
     queries = materialise(asked.groupBy("v").agg(F.count(F.lit(1)).alias("asked"), F.first("n").alias("n"), F.min("id").alias("id")).mapInArrow(lambda x: _with_cell(x, tops), "v binary, asked long, n int, cell long"), "queries")
-    most = 2 * k  # a query's own rows take up to k places
+    # Of one id at most k rows are kept, so that k others are left whichever id asks.
+    most = 2 * k
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list = []
@@ -280,13 +293,12 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, root: int = ROOT, blo
             packed = left.column("v").to_pylist()
             tree = MTree(_stack(packed, len(packed[0]) // 8), left.column("id").to_numpy(), space)
             for v, floor in zip(right.column("v").to_pylist(), right.column("floor").to_pylist(), strict=True):
-                out += [(v, i, s) for s, i in tree.search(np.frombuffer(v, np.int64), most, floor)]
+                out += [(v, i, s) for s, i in tree.search(np.frombuffer(v, np.int64), most, floor, k)]
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table({name: pa.array(c, t) for name, c, t in zip(("v", "vec_id", "score"), columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)})
 
     def searched(targets: DataFrame) -> DataFrame:
-        """Targets (v, cell, floor) against every block of their cell, a bounded number of both in a group."""
-        targets = materialise(targets, "targets")
+        """Written targets (v, cell, floor) against every block of their cell, a bounded number of both in a group."""
         sizes = targets.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")).join(cells.select("cell", "blocks", "rows"), "cell")
         sizes = materialise(sizes.withColumn("parts", F.ceil(F.col("asked") / block).cast("int")), "target-sizes")
         trees = join_spread(blocked.select("id", "v", "cell", "block"), sizes.select("cell", "parts", "rows"), "cell", "rows", total)
@@ -296,31 +308,51 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, root: int = ROOT, blo
         keys = ("cell", "block", "part")
         return trees.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(search, "v binary, vec_id long, score long")
 
-    near = materialise(searched(queries.select("v", "cell", F.lit(None).cast("long").alias("floor"))), "near")
     best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")
-    floors = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") == most).select("v", F.col("score").alias("floor"))
-
-    def further(batches):
-        """The other cells whose ball reaches into the query's."""
-        for b in batches:
-            take, cell = [], []
-            for i, (v, home, floor) in enumerate(zip(*(b.column(c).to_pylist() for c in ("v", "home", "floor")), strict=True)):
-                q = np.frombuffer(v, np.int64)
-                if len(q) not in tops.routes:
-                    continue
-                number, at = tops.routes[len(q)]
-                reach = np.array([radii.get(c, -np.inf) for c in range(number, number + len(at))])
-                point = space.query(q)
-                hit = number + np.flatnonzero(_distances(at, point) - reach <= space.radius(point, floor))
-                for c in hit[hit != home].tolist():
-                    take.append(i)
-                    cell.append(c)
-            take = pa.array(take, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("v").take(take), pa.array(cell, pa.int64()), b.column("floor").take(take)], ["v", "cell", "floor"])
-
-    bounded = queries.select("v", F.col("cell").alias("home")).join(floors, "v", "left")
-    both = near.unionByName(searched(bounded.mapInArrow(further, "v binary, cell long, floor long")))
-    found = both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most)
+    of_id_best = Window.partitionBy("v", "vec_id").orderBy(F.desc("score"))
+
+    def kept(found: DataFrame) -> DataFrame:
+        """(v, vec_id, score, r): the best rows found so far, numbered."""
+        own = found.select("v", "vec_id", "score", F.row_number().over(of_id_best).alias("r")).filter(F.col("r") <= k)
+        return materialise(own.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most), "near")
+
+    def further(done: int, width: int):
+        """The next cells of each query whose ball reaches into the query's, nearest first."""
+
+        def run(batches):
+            for b in batches:
+                take, cell = [], []
+                for i, (v, home, floor) in enumerate(zip(*(b.column(c).to_pylist() for c in ("v", "home", "floor")), strict=True)):
+                    q = np.frombuffer(v, np.int64)
+                    if len(q) not in tops.routes:
+                        continue
+                    number, at = tops.routes[len(q)]
+                    reach = np.array([radii.get(c, -np.inf) for c in range(number, number + len(at))])
+                    reach[home - number : home - number + 1] = -np.inf
+                    point = space.query(q)
+                    low = _distances(at, point) - reach
+                    order = np.argsort(low, kind="stable")[done : done + width]
+                    for c in (number + order[low[order] <= space.radius(point, floor)]).tolist():
+                        if c in radii:
+                            take.append(i)
+                            cell.append(c)
+                take = pa.array(take, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("v").take(take), pa.array(cell, pa.int64()), b.column("floor").take(take)], ["v", "cell", "floor"])
+
+        return run
+
+    first = queries.select("v", "cell", F.lit(None).cast("long").alias("floor"))
+    found = kept(searched(materialise(first, "targets")))
+    # Nearest cells first, more of them each round, under the bound that the last one left.
+    done, width = 0, CELLS_FIRST
+    while True:
+        floors = found.filter(F.col("r") == most).select("v", F.col("score").alias("floor"))
+        bounded = queries.select("v", F.col("cell").alias("home")).join(floors, "v", "left")
+        targets = materialise(bounded.mapInArrow(further(done, width), "v binary, cell long, floor long"), "targets")
+        if targets.isEmpty():
+            break
+        found = kept(found.select("v", "vec_id", "score").unionByName(searched(targets)))
+        done, width = done + width, width * CELLS_MORE
     found = materialise(found.groupBy("v").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")).join(queries.select("v", "asked"), "v"), "found")
     lists = join_spread(asked.select(F.col("id").alias("query_id"), "v"), found, "v", "asked", total)
     pairs = lists.select("query_id", F.explode("found").alias("f")).select("query_id", "f.*").filter("vec_id <> query_id")

@@ -36,6 +36,22 @@ def test_top_k_equals_brute_force(spark, root, block):
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top_k(rows, 50, 5)
 
 
+@pytest.mark.parametrize("root,block", [(1, 10_000), (8, 10)])
+def test_ids_that_repeat_with_many_vectors(spark, root, block):
+    """An id's own rows, however many, take no place of others; as candidates each counts."""
+    r = random.Random(6)
+    vector = lambda far: [float(r.randint(-8, 8)) + far for _ in range(4)]
+    rows = [(50, vector(3.0)) for _ in range(12)] + [(i, vector(0.0)) for i in range(1, 40)] + [(7, vector(4.0)) for _ in range(30)] + [(100, v := vector(3.0)), (150, v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, mtree.top_k(df, root=root, block=block).select("query_id", "rank", "vec_id", "score").collect()))
+    scaled = [(i, [256 * int(c) for c in v]) for i, v in rows]
+    want = []
+    for q in (50, 100, 150):
+        scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for j, x in scaled if j == q for i, y in scaled if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:5], 1)]
+    assert got == want
+
+
 def test_top_k_of_few_or_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert mtree.top_k(spark.createDataFrame([], schema)).count() == 0
