@@ -35,22 +35,37 @@ _UNIT = re.compile("^[^ ]+| +[^ ]*")
 
 
 class Side(NamedTuple):
-    """A tokenizer: ``encode`` gives the ids of space + text, ``tokens`` the bytes of each id."""
+    """A tokenizer: ``encode`` packs the ids of space + text, MISSPELT for a part that they do not
+    spell back; ``tokens`` are the bytes of each id."""
 
     encode: object
     tokens: list[bytes]
 
 
+#: Stands for a part of a text whose tokens have other bytes.
+MISSPELT = np.uint32(0xFFFFFFFF)
+
+
+def _packed(ids, part: bytes, tokens: list[bytes]) -> bytes:
+    fits = b"".join(map(tokens.__getitem__, ids)) == part
+    return np.array(ids if fits else [MISSPELT], np.uint32).tobytes()
+
+
 def _byte_level(path: str) -> Side:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     letters = byte_letters()
     shown = "".join(sorted(letters, key=letters.get))
-    piece = PieceTable(lambda p: tuple(x.id for x in t.model.tokenize(p.encode().decode("latin-1").translate(shown))), 200_000)
-    size = t.get_vocab_size(with_added_tokens=True)
-    tokens = [bytes(letters[c] for c in t.id_to_token(i)) if all(c in letters for c in t.id_to_token(i) or "") and t.id_to_token(i) else b"" for i in range(size)]
-    return Side(lambda text: [i for p in map(piece.__getitem__, split_as_library(" " + text)) for i in p], tokens)
+    names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
+    tokens = [bytes(letters[c] for c in name) if all(c in letters for c in name) else b"" for name in names]
+
+    def make(piece: str) -> bytes:
+        raw = piece.encode()
+        return _packed([x.id for x in t.model.tokenize(raw.decode("latin-1").translate(shown))], raw, tokens)
+
+    pieces = PieceTable(make, 200_000)
+    return Side(lambda text: b"".join(map(pieces.__getitem__, split_as_library(" " + text))), tokens)
 
 
 def _pieces(path: str) -> Side:
@@ -61,14 +76,18 @@ def _pieces(path: str) -> Side:
     # No piece has a space behind another character, so words with the spaces before
     # them never merge with each other. The library adds the first space itself.
     apart = not any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in tokens)
-    whole = lambda text: sp.encode(text, num_threads=1)
-    # A lone space at the end of a text; before an empty text the library adds none.
-    unit = PieceTable(lambda u: tuple(whole(u[1:])) if u != " " else (sp.piece_to_id("▁"),), 200_000)
 
-    def encode(text: str) -> list[int]:
+    def make(part: str) -> bytes:
+        # A lone space at the end of a text; before an empty text the library adds none.
+        ids = sp.encode(part[1:], num_threads=1) if part != " " else [sp.piece_to_id("▁")]
+        return _packed(ids, part.encode(), tokens)
+
+    units = PieceTable(make, 200_000)
+
+    def encode(text: str) -> bytes:
         if not apart or "▁" in text:
-            return whole(text)
-        return [i for u in map(unit.__getitem__, _UNIT.findall(" " + text)) for i in u]
+            return make(" " + text)
+        return b"".join(map(units.__getitem__, _UNIT.findall(" " + text)))
 
     return Side(encode, tokens)
 
@@ -84,10 +103,15 @@ def lengths(path: str) -> np.ndarray:
     return np.fromiter(map(len, side(path).tokens), np.int64)
 
 
-def checked(text: str, s: Side) -> list[int] | None:
+def id_type(path: str) -> np.dtype:
+    """Of the ids in an event block: the fewest bytes that hold them."""
+    return np.dtype("<u2" if len(lengths(path)) <= 1 << 16 else "<u4")
+
+
+def checked(text: str, s: Side) -> np.ndarray | None:
     """The ids of space + text, or None if their bytes are others."""
-    ids = s.encode(text)
-    return ids if b"".join(map(s.tokens.__getitem__, ids)) == (" " + text).encode() else None
+    ids = np.frombuffer(s.encode(text), np.uint32)
+    return None if (ids == MISSPELT).any() else ids
 
 
 EVENT = "row long, id long, side int, first long, known boolean, ids binary"
@@ -100,7 +124,7 @@ def _side_events(docs: DataFrame, path: str, number: int, events: int) -> DataFr
     def run(batches):
         with task_tables("alignment"):
             release_with("alignment", side.cache_clear)
-            s, width = side(path), lengths(path)
+            s, width, small = side(path), lengths(path), id_type(path)
 
             def batch(rows):
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["row", "id", "side", "first", "known", "ids"])
@@ -110,9 +134,8 @@ def _side_events(docs: DataFrame, path: str, number: int, events: int) -> DataFr
                 for row, key, text in zip(b.column("row").to_pylist(), b.column("id").to_pylist(), text_stream(b, "__text"), strict=True):
                     ids = checked(text, s) if text else None
                     out.append((row, key, number, -1, ids is not None, None))
-                    if ids:
-                        ids = np.array(ids, np.uint32)
-                        ends = np.cumsum(width[ids])
+                    if ids is not None:
+                        ends, ids = np.cumsum(width[ids]), ids.astype(small)
                         for k in range(0, len(ids), events):
                             out.append((row, key, number, int(ends[k]), True, ids[k : k + events].tobytes()))
                             held += min(events, len(ids) - k)
@@ -136,13 +159,13 @@ def end_events(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col
 
 
 class Groups(NamedTuple):
-    """Closed groups in order: the ids of both sides, and the number of each one's group from 0 on; ``ends`` are offsets."""
+    """Closed groups in order: their ``ends``, the ids of both sides, and how many of them each group has."""
 
     ends: np.ndarray
     a: np.ndarray
-    a_group: np.ndarray
+    n_a: np.ndarray
     b: np.ndarray
-    b_group: np.ndarray
+    n_b: np.ndarray
 
 
 class Sweep:
@@ -150,24 +173,31 @@ class Sweep:
 
     def __init__(self, widths: tuple[np.ndarray, np.ndarray]):
         self.widths, none = widths, np.empty(0, np.int64)
-        self.ids, self.ends = [none.astype(np.uint32)] * 2, [none] * 2
+        self.ids, self.ends = [none] * 2, [none] * 2
 
     def feed(self, number: int, first: int, ids: np.ndarray) -> Groups | None:
         """A block of one side; the groups that it closes."""
         ends = np.cumsum(self.widths[number][ids])
-        self.ids[number] = np.concatenate([self.ids[number], ids])
-        self.ends[number] = np.concatenate([self.ends[number], ends + (first - ends[0])])
-        common = np.intersect1d(*self.ends, assume_unique=True)
-        if not len(common):
+        ends += first - ends[0]
+        left = len(self.ids[number])
+        self.ids[number] = np.concatenate([self.ids[number], ids]) if left else ids
+        self.ends[number] = ends = np.concatenate([self.ends[number], ends]) if left else ends
+        (a, b), (end_a, end_b) = self.ids, self.ends
+        if not len(end_a) or not len(end_b):
+            return None
+        at_b = np.searchsorted(end_b, end_a)
+        both = np.flatnonzero(end_b[np.minimum(at_b, len(end_b) - 1)] == end_a)
+        if not len(both):
             return None
-        cut = [int(np.searchsorted(e, common[-1], "right")) for e in self.ends]
-        out = Groups(common, self.ids[0][: cut[0]], np.searchsorted(common, self.ends[0][: cut[0]]), self.ids[1][: cut[1]], np.searchsorted(common, self.ends[1][: cut[1]]))
-        self.ids = [x[n:].copy() for x, n in zip(self.ids, cut, strict=True)]
-        self.ends = [x[n:].copy() for x, n in zip(self.ends, cut, strict=True)]
+        at_b = at_b[both]
+        cut_a, cut_b = both[-1] + 1, at_b[-1] + 1
+        out = Groups(end_a[both], a[:cut_a], np.diff(both, prepend=-1), b[:cut_b], np.diff(at_b, prepend=-1))
+        self.ids = [x[n:].copy() for x, n in ((a, cut_a), (b, cut_b))]
+        self.ends = [x[n:].copy() for x, n in ((end_a, cut_a), (end_b, cut_b))]
         return out
 
 
-def sweep(batches, widths):
+def sweep(batches, widths, types):
     """(row, id, known, groups) over sorted event batches: first (.., None), then what closes; None as row at the end."""
     row = machine = None
     known = True
@@ -180,25 +210,26 @@ def sweep(batches, widths):
                 if not fine and known:
                     known = False
                     yield row, key, False, None
-            elif known and (closed := machine.feed(number, first, np.frombuffer(ids, np.uint32))) is not None:
+            elif known and (closed := machine.feed(number, first, np.frombuffer(ids, types[number]))) is not None:
                 yield row, key, True, closed
     yield None, None, True, None
 
 
-def links(g: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, times): all pairs within the groups; equal pairs may come more than once."""
-    n = len(g.ends)
-    na, nb = np.bincount(g.a_group, minlength=n), np.bincount(g.b_group, minlength=n)
-    usual = na * nb <= PAIRED
-    at_b = np.cumsum(nb) - nb
-    take = usual[g.a_group]
-    reps = nb[g.a_group[take]]
-    a = np.repeat(g.a[take], reps)
-    step = np.arange(len(a)) - np.repeat(np.cumsum(reps) - reps, reps)
-    b = g.b[np.repeat(at_b[g.a_group[take]], reps) + step]
+def links(g: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(a, b, times): all pairs within the groups; equal pairs may come more than once. None: once each."""
+    at_a, at_b = np.cumsum(g.n_a) - g.n_a, np.cumsum(g.n_b) - g.n_b
+    large = np.flatnonzero(g.n_a * g.n_b > PAIRED)
+    each, start = np.repeat(g.n_b, g.n_a), np.repeat(at_b, g.n_a)
+    for k in large.tolist():
+        each[at_a[k] : at_a[k] + g.n_a[k]] = 0
+    before = np.cumsum(each) - each
+    a = np.repeat(g.a, each)
+    b = g.b[np.repeat(start - before, each) + np.arange(len(a))]
+    if not len(large):
+        return a, b, None
     out = [(a, b, np.ones(len(a), np.int64))]
-    for k in np.flatnonzero(~usual).tolist():
-        (ua, ca), (ub, cb) = (np.unique(x[group == k], return_counts=True) for x, group in ((g.a, g.a_group), (g.b, g.b_group)))
+    for k in large.tolist():
+        (ua, ca), (ub, cb) = (np.unique(x[at[k] : at[k] + n[k]], return_counts=True) for x, at, n in ((g.a, at_a, g.n_a), (g.b, at_b, g.n_b)))
         out.append((np.repeat(ua, len(ub)), np.tile(ub, len(ua)), np.outer(ca, cb).ravel()))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -210,12 +241,14 @@ def _spelled(n_a: int, n_b: int) -> list[str]:
 
 def spell(g: Groups, n_a: int, n_b: int) -> str:
     """``a1,a2|b1;`` for every group."""
-    n = len(g.ends)
-    na, nb = np.bincount(g.a_group, minlength=n), np.bincount(g.b_group, minlength=n)
+    end_a, end_b = np.cumsum(g.n_a), np.cumsum(g.n_b)
     word = np.empty(len(g.a) + len(g.b), np.int64)
-    last = lambda group: np.append(group[1:] != group[:-1], True)
-    word[np.arange(len(g.a)) + (np.cumsum(nb) - nb)[g.a_group]] = g.a + n_a * last(g.a_group)
-    word[np.arange(len(g.b)) + np.cumsum(na)[g.b_group]] = g.b.astype(np.int64) + 2 * n_a + n_b * last(g.b_group)
+    place_a = np.arange(len(g.a)) + np.repeat(end_b - g.n_b, g.n_a)
+    place_b = np.arange(len(g.b)) + np.repeat(end_a, g.n_b)
+    word[place_a], word[place_b] = g.a, g.b
+    word[place_b] += 2 * n_a
+    word[place_a[end_a - 1]] += n_a
+    word[place_b[end_b - 1]] += n_b
     return "".join(map(_spelled(n_a, n_b).__getitem__, word.tolist()))
 
 
@@ -228,13 +261,13 @@ def aligned_groups(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text
     def run(batches):
         widths, at = (lengths(a), lengths(b)), 0
         with task_tables("alignment"):
-            for row, key, _, g in sweep(batches, widths):
+            for row, key, _, g in sweep(batches, widths, (id_type(a), id_type(b))):
                 if g is None:
                     at = 0
                     continue
-                parts = lambda ids, group: pa.ListArray.from_arrays(pa.array(np.searchsorted(group, np.arange(len(g.ends) + 1)), pa.int32()), pa.array(ids, pa.int32()))  # noqa: B023, E731
+                parts = lambda ids, n: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
                 n = len(g.ends)
-                columns = [pa.array([row] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(np.arange(at, at + n)), pa.array(g.ends), parts(g.a, g.a_group), parts(g.b, g.b_group)]
+                columns = [pa.array([row] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(np.arange(at, at + n)), pa.array(g.ends), parts(g.a, g.n_a), parts(g.b, g.n_b)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "id", "number", "end", "a_ids", "b_ids"])
                 at += n
 
@@ -260,6 +293,9 @@ def _totals(events: DataFrame, a: str, b: str) -> DataFrame:
             def merged():
                 if not pairs:
                     return np.empty(0, np.int64), np.empty(0, np.int64)
+                if all(t is None for t in times):
+                    return np.unique(pairs[0] if len(pairs) == 1 else np.concatenate(pairs), return_counts=True)
+                times[:] = [np.ones(len(p), np.int64) if t is None else t for p, t in zip(pairs, times, strict=True)]
                 found, at = np.unique(np.concatenate(pairs), return_inverse=True)
                 # Sums of whole numbers in doubles are exact below 2**53.
                 return found, np.bincount(at, np.concatenate(times)).astype(np.int64)
@@ -269,7 +305,7 @@ def _totals(events: DataFrame, a: str, b: str) -> DataFrame:
                 out.append((*doc, *(count if known else [0] * 4), digest.hexdigest() if known and count[2] else "", found, n))
                 return len(found)
 
-            for row, key, fine, g in sweep(batches, widths):
+            for row, key, fine, g in sweep(batches, widths, (id_type(a), id_type(b))):
                 if doc is None or row != doc[0]:
                     if doc is not None:
                         held += 8 + close()
@@ -285,7 +321,7 @@ def _totals(events: DataFrame, a: str, b: str) -> DataFrame:
                 text = spell(g, n_a, n_b)[:-1]
                 digest.update((";" + text if count[2] else text).encode())
                 x, y, n = links(g)
-                for k, more in enumerate((len(g.a), len(g.b), len(g.ends), int(n.sum()))):
+                for k, more in enumerate((len(g.a), len(g.b), len(g.ends), len(x) if n is None else int(n.sum()))):
                     count[k] += more
                 pairs.append(x.astype(np.int64) * n_b + y)
                 times.append(n)

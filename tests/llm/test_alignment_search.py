@@ -166,5 +166,5 @@ def test_sweep_holds_the_open_group_alone():
     machine = token_alignment.Sweep(widths)
     assert machine.feed(0, 2, np.array([2, 2, 2], np.uint32)) is None
     got = machine.feed(1, 3, np.array([2, 1], np.uint32))
-    assert (got.ends.tolist(), got.a.tolist(), got.b.tolist()) == ([4], [2, 2], [2, 1])
+    assert (got.ends.tolist(), got.a.tolist(), got.n_a.tolist(), got.b.tolist(), got.n_b.tolist()) == ([4], [2, 2], [2], [2, 1], [2])
     assert [len(x) for x in machine.ids] == [1, 0]
