@@ -78,10 +78,11 @@ def outcomes(samples: DataFrame) -> DataFrame:
     conditional is taken if the thread's next sample is at its target, not taken if
     at the fallthrough; unknown at the end, across a decoder error, at any other
     address, or if target and fallthrough are one. Error rows count in the sequence
-    and are dropped.
+    behind the thread's first sample, and are dropped.
     """
     order = Window.partitionBy("pid", "tid").orderBy("seq")
-    rows = samples.withColumn("sequence", F.row_number().over(order).cast("long"))
+    begun = F.max(~F.col("is_error")).over(order)
+    rows = samples.withColumn("begun", begun.cast("long")).withColumn("sequence", F.sum("begun").over(order)).drop("begun")
     rows = rows.withColumn("next_ip", F.lead("ip").over(order)).withColumn("next_error", F.lead("is_error").over(order))
     lost = F.coalesce("next_error", F.lit(True)) | F.coalesce(F.col("branch_target") == F.col("fallthrough"), F.lit(False))
     outcome = F.when(lost, "unknown").when(F.col("next_ip") == F.col("branch_target"), "taken").when(F.col("next_ip") == F.col("fallthrough"), "not_taken").otherwise("unknown")
@@ -95,41 +96,6 @@ def windowed_outcomes(samples: DataFrame, start_ns: int, end_ns: int, slack_ns:
     return outcomes(near).filter(F.col("time_ns") < end_ns)
 
 
-def classify(insn: Column, ip: Column, length: Column) -> Column:
-    """struct(kind, branch_target, fallthrough) of an instruction's bytes in hex (PRJ9).
-
-    Covers the control-flow opcodes of 64-bit x86; prefixes 66, f2, f3, 2e, 3e and
-    REX are skipped, everything else is sequential.
-    """
-    code = F.regexp_replace(F.lower(F.coalesce(insn, F.lit(""))), r"\s+", "")
-    code = F.regexp_replace(code, "^(?:66|f2|f3|2e|3e)*(?:4[0-9a-f])?", "")
-    byte = lambda k: F.conv(F.substring(code, 2 * k + 1, 2), 16, 10).try_cast("long")
-    first, second = F.substring(code, 1, 2), F.substring(code, 3, 2)
-    reg = F.shiftright(byte(1), 3).bitwiseAND(7)
-
-    def signed(at: int, bytes_: int) -> Column:
-        raw = F.lit(0).cast("long")
-        for k in range(bytes_):
-            raw = raw + byte(at + k) * (1 << 8 * k)
-        return F.when(raw >= 1 << 8 * bytes_ - 1, raw - (1 << 8 * bytes_)).otherwise(raw)
-
-    after = ip + length
-    near = first.rlike("^(?:7[0-9a-f]|e[0-3]|eb)$")
-    far = (first == "0f") & second.rlike("^8[0-9a-f]$")
-    kind = (
-        F.when(first.rlike("^(?:7[0-9a-f]|e[0-3])$") | far, "conditional")
-        .when(first.isin("eb", "e9"), "jump")
-        .when(first == "e8", "call")
-        .when(first.isin("c2", "c3", "ca", "cb"), "return")
-        .when((first == "ff") & reg.isin(2, 3), "indirect_call")
-        .when((first == "ff") & reg.isin(4, 5), "indirect_jump")
-        .when(first.isin("cc", "cd", "cf", "f4") | ((first == "0f") & second.isin("05", "07", "34", "35", "0b")), "other")
-        .otherwise("sequential")
-    )
-    target = F.when(near, after + signed(1, 1)).when(far, after + signed(2, 4)).when(first.isin("e8", "e9"), after + signed(1, 4))
-    return F.struct(kind.alias("kind"), target.alias("branch_target"), F.when(kind != "return", after).alias("fallthrough"))
-
-
 def straight_blocks(branches: DataFrame) -> DataFrame:
     """Blocks run between branches (WIN3): (thread, start, end, elapsed_ns).
 

@@ -1,4 +1,4 @@
-"""Addresses of a process to image, function and inline frames, and the instruction rows made of them (JN4 to JN8, STR2)."""
+"""Addresses of a process to image, function and inline frames (JN4 to JN8)."""
 
 from __future__ import annotations
 
@@ -7,19 +7,20 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.operators import branches, symbols
-from pathglass.schemas import INSTRUCTIONS
+from pathglass.operators import symbols
 from pathglass.storage import counted, cut
 
 
 class Images(NamedTuple):
     """What is known of the images: ``images`` (path, image_id), ``segments`` (image_id, file_off, file_size,
-    vaddr), ``functions`` (image_id, id, name, start, end) and ``inline`` (image_id, lo, hi, frames)."""
+    vaddr), ``functions`` (image_id, id, name, start, end), ``inline`` (image_id, lo, hi, frames) and, where
+    contents are kept, ``code`` (image_id, page, bytes)."""
 
     images: DataFrame
     segments: DataFrame
     functions: DataFrame
     inline: DataFrame
+    code: DataFrame | None = None
 
 
 def mappings_of(records: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def mappings_of(records: DataFrame) -> DataFrame:
 
 
 def locate(probes: DataFrame, mappings: DataFrame, images: Images, keys: tuple[str, ...] = ("pid",)) -> DataFrame:
-    """``probes`` (id, keys, ip, seq) with path, image_id, image_offset, function, symbol, frames and inlined.
+    """``probes`` (id, keys, ip, seq) with path, image_id, file_offset, image_offset, function, symbol, frames and inlined.
 
     The newest mapping before the probe that holds the address (JN4) names the image
     (JN7; an unknown image leaves the rest null). The image's segment turns the offset
@@ -43,23 +44,4 @@ def locate(probes: DataFrame, mappings: DataFrame, images: Images, keys: tuple[s
     found = symbols.file_offset_address(hits.filter("image_id is not null"), images.segments).withColumn("address", F.coalesce("address", "file_offset"))
     named = symbols.symbolize(found.select("id", "image_id", "address"), images.functions)
     rows = symbols.inline_frames(named, images.inline)
-    return hits.select("id", "path", "image_id").join(rows.select("id", F.col("address").alias("image_offset"), "function", "symbol", "frames", "inlined"), "id", "left")
-
-
-def instruction_rows(records: DataFrame, images: Images, mappings: DataFrame | None = None) -> DataFrame:
-    """The instruction samples of records as INSTRUCTIONS (STR2): kind and targets from the bytes (PRJ9),
-    outcomes and sequence from what the thread ran next (WIN1, WIN2), place from :func:`locate`.
-
-    ``records`` carry ``thread``. Decoder errors of a thread take a number in its
-    sequence, so that nothing is read across them.
-    """
-    mappings = mappings_of(records) if mappings is None else mappings
-    rows = records.filter("(record_type = 'sample' and event = 'instructions') or (record_type = 'decoder_error' and pid is not null and tid is not null)")
-    flow = branches.classify(F.col("insn"), F.col("ip"), F.coalesce("insn_len", F.lit(0)))
-    rows = rows.withColumn("is_error", F.col("record_type") == "decoder_error").withColumn("flow", flow)
-    samples = rows.select("pid", "tid", "thread", "seq", "time_ns", "is_error", "ip", "insn", "insn_len", "flow.*")
-    ran = cut(branches.outcomes(samples), "outcomes")
-    at = locate(ran.select(F.col("seq").alias("id"), "pid", "ip", "seq"), mappings, images)
-    out = ran.withColumnRenamed("seq", "id").join(at, "id", "left")
-    columns = {"location": F.lit(None), "virt_ip": F.col("ip"), "len": F.col("insn_len"), "bytes_hex": F.regexp_replace(F.coalesce("insn", F.lit("")), " ", "")}
-    return out.select(*(columns.get(f.name, F.col(f.name) if f.name not in columns else None).cast(f.dataType).alias(f.name) for f in INSTRUCTIONS))
+    return hits.join(rows.select("id", F.col("address").alias("image_offset"), "function", "symbol", "frames", "inlined"), "id", "left")

@@ -16,11 +16,13 @@ LAUNCHER, COMM_LENGTH = "perf-exec", 15
 
 
 class Traced(NamedTuple):
-    """``processes``: (pid, exec_seq, exec_ns), of which both may be null; ``excluded``: (pid, tid)."""
+    """``processes``: (pid, exec_seq, exec_ns), of which both may be null; ``excluded``: (pid, tid); ``tree``: (pid),
+    all that was forked, whether or not it has executed the target."""
 
     processes: DataFrame
     excluded: DataFrame
     gated: bool
+    tree: DataFrame
 
 
 def traced(records: DataFrame, root_pid: int | None = None, target: str | None = None) -> Traced:
@@ -37,7 +39,7 @@ def traced(records: DataFrame, root_pid: int | None = None, target: str | None =
     tree = process_tree(forks.select("parent", "child"), roots).select("pid")
     if target is None:
         nobody = tasks.select("pid", "tid").limit(0)
-        return Traced(tree.withColumns({"exec_seq": F.lit(None).cast("long"), "exec_ns": F.lit(None).cast("long")}), nobody, False)
+        return Traced(tree.withColumns({"exec_seq": F.lit(None).cast("long"), "exec_ns": F.lit(None).cast("long")}), nobody, False, tree)
     name = target.rsplit("/", 1)[-1][:COMM_LENGTH]
     runs = tasks.filter((F.col("comm") == name) & F.col("task_kind").isin("comm", "exec")).join(tree, "pid").groupBy("pid").agg(F.min("seq").alias("exec_seq"), F.max_by("time_ns", "seq").alias("exec_ns"))
     done = cut(runs, "executed")
@@ -52,20 +54,23 @@ def traced(records: DataFrame, root_pid: int | None = None, target: str | None =
     early = made.filter("exec_seq is null or seq < exec_seq").groupBy("pid", "tid").agg(F.max("seq").alias("made"))
     left = tasks.filter("task_kind = 'exit'").groupBy("pid", "tid").agg(F.max("seq").alias("left"))
     excluded = early.join(left, ["pid", "tid"], "left").filter("left is null or left < made").select("pid", "tid")
-    return Traced(done, excluded, True)
+    return Traced(done, excluded, True, tree)
 
 
 def live(records: DataFrame, what: Traced) -> tuple[DataFrame, DataFrame]:
-    """(records, foreign): without samples of other tasks and mappings from before the target; foreign counts samples by pid.
+    """(records, foreign): without samples and errors of other tasks, task records of other processes and mappings
+    from before the target; foreign counts samples by pid.
 
-    Records without a task, of lost data or errors, stay.
+    Records of lost data, and errors that name no process, stay; an error that names a
+    process but no thread of it goes.
     """
     processes, excluded = counted(cut(what.processes, "traced")), counted(cut(what.excluded, "excluded"))
-    marked = records.join(processes.withColumn("in_tree", F.lit(True)), "pid", "left").join(excluded.withColumn("early", F.lit(True)), ["pid", "tid"], "left")
-    sample, mapping = F.col("record_type") == "sample", F.col("record_type") == "mmap"
+    tree = counted(cut(what.tree.select("pid"), "tree-pids")).withColumn("forked", F.lit(True))
+    marked = records.join(processes.withColumn("in_tree", F.lit(True)), "pid", "left").join(excluded.withColumn("early", F.lit(True)), ["pid", "tid"], "left").join(tree, "pid", "left")
+    sample, mapping, error, task = (F.col("record_type") == t for t in ("sample", "mmap", "decoder_error", "task"))
     belongs = F.coalesce("in_tree", F.lit(False))
     runs = belongs & F.col("early").isNull()
     mapped = belongs if not what.gated else belongs & (F.col("exec_ns").isNull() | F.coalesce(F.col("time_ns") >= F.col("exec_ns"), F.lit(False)))
-    keep = F.when(sample, runs).when(mapping, mapped).otherwise(True)
+    keep = F.when(sample, runs).when(mapping, mapped).when(error, F.col("pid").isNull() | (F.col("tid").isNotNull() & runs)).when(task, F.coalesce("forked", F.lit(False))).otherwise(True)
     foreign = marked.filter(sample & ~runs).groupBy("pid").agg(F.count(F.lit(1)).alias("samples"))
-    return marked.filter(keep).drop("in_tree", "early", "exec_seq", "exec_ns"), foreign
+    return marked.filter(keep).drop("in_tree", "early", "forked", "exec_seq", "exec_ns"), foreign

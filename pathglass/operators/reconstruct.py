@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pathglass.functions.flags import BOUNDARIES, boundary, flag_set, flow_kind
 from pathglass.functions.scalars import thread_name
-from pathglass.operators.records import first_times
+from pathglass.operators.records import first_times, in_ranges
 from pathglass.storage import cut
 
 UNKNOWN_THREAD = "t_unknown"
@@ -175,9 +175,11 @@ def _over_earlier(what: Column) -> Column:
     return what.over(Window.partitionBy("pid", "tid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
 
 
-def prepare(records: DataFrame, everything: DataFrame | None = None) -> DataFrame:
+def prepare(records: DataFrame, everything: DataFrame | None = None, mark: bool = False) -> DataFrame:
     """What the state machine reads, from classified records with ``from_fn`` and ``to_fn``.
 
+    Samples that cannot matter are left out; with ``mark`` they stay, marked by ``moot``.
+
     ``records`` is what :func:`with_event_ids` gives. Optional columns ``from_map``
     and ``to_map`` name the mappings of both ends. ``everything`` holds records of
     other processes too, whose samples say when a cpu's history begins.
@@ -227,7 +229,8 @@ def prepare(records: DataFrame, everything: DataFrame | None = None) -> DataFram
     inside = F.col("from_fn").isNotNull() | (F.col("from_map").eqNullSafe(F.col("to_map")) & ((F.col("kind") == "conditional") | F.col("from_map").isNull()))
     plain = sample & F.col("kind").isin("jump", "conditional") & unbound & same & inside
     moot = plain & F.col("regressed_from").isNull() & ~F.coalesce(known("last_end"), F.lit(False))
-    rows = rows.withColumn("retained", sample & ~plain).withColumn("segment", F.col("resets_in") + F.col("resets")).filter(~moot)
+    rows = rows.withColumns({"retained": sample & ~plain, "segment": F.col("resets_in") + F.col("resets"), "moot": moot})
+    rows = rows if mark else rows.filter(~F.col("moot")).drop("moot")
     return rows.drop("closes", "closed", "closed_in", "reset", "resets", "resets_in", *last, *(f"{name}_in" for name in last))
 
 
@@ -270,11 +273,10 @@ def _segments(prepared: DataFrame) -> DataFrame:
 def with_event_ids(records: DataFrame) -> DataFrame:
     """``records`` with ``part``, their range of the stream, and ``event_id``, the 0-based rank of a sample in it.
 
-    Records are written once, sorted into ranges; each range numbers its own samples
-    from one number for each range on. No global window.
+    Records are written once, sorted into ranges, several streams as one; each range
+    numbers its own samples from one number for each range on. No global window.
     """
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(records.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id()), "stream-order")
+    ranged = in_ranges(records)
     sample = F.col("record_type") == "sample"
     sizes = ranged.groupBy("part").agg(F.count_if(sample).alias("n"))
     base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -283,16 +285,20 @@ def with_event_ids(records: DataFrame) -> DataFrame:
     return numbered.drop("base")
 
 
-def reconstruct(records: DataFrame, counted: bool = False, everything: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def reconstruct(records: DataFrame, counted: bool = False, everything: DataFrame | None = None, prepared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(spans, gaps) of classified records with functions; seq must be unique.
 
     Spans carry ``key``, twice the opening event plus which of two it opened, in
     place of a number: keys sort as spans open, and ``parent`` is a key too. Records
     without a task stand for losses on an unknown thread. With ``counted`` spans
     say whether their return landed outside of the function open below (``mismatch``),
-    and gaps which event showed them (``event``).
+    and gaps which event showed them (``event``). ``prepared`` is what :func:`prepare`
+    gave for the records, if that is at hand.
     """
-    found = cut(_segments(prepare(records if "event_id" in records.columns else with_event_ids(records), everything)), "reconstructed")
+    if prepared is None:
+        records = records if "event_id" in records.columns else with_event_ids(records)
+        prepared = prepare(records, everything)
+    found = cut(_segments(prepared), "reconstructed")
     spans = found.filter("row = 'span'").select(F.col("key").alias("id"), "thread", "function", F.col("parent_key").alias("parent"), "start_ns", "end_ns", "completeness", "start_event", "end_event", "call_site", *(["mismatch"] if counted else []))
     lost = records.filter("record_type = 'lost' or (record_type = 'decoder_error' and (pid is null or tid is null))")
     is_lost = F.col("record_type") == "lost"

@@ -29,6 +29,43 @@ def merge_streams(streams: list[DataFrame]) -> DataFrame:
     return out.withColumn("at", F.coalesce("time_ns", F.lit(0).cast("long")))
 
 
+#: Records that every stream repeats; only the first stream's count.
+SIDE_RECORDS = ("mmap", "task", "switch", "lost")
+
+
+def in_ranges(records: DataFrame) -> DataFrame:
+    """``records`` in one order of ``seq``, written in ranges of it with their number ``part`` (JN15, STR3).
+
+    Several streams are merged by time as their heads would be: a record without a time, or with an earlier
+    one than those before it in its stream, follows directly behind them. Equal times go by stream. Side
+    records count in the first stream only. ``seq`` is numbered anew then; of a single stream it stays.
+    """
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranged(rows: DataFrame, what: str, *order: str) -> DataFrame:
+        return cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), what)
+
+    if "stream" not in records.columns:
+        return ranged(records, "stream-order", "seq")
+    rows = ranged(records, "stream-order", "stream", "seq")
+    streams = [r["stream"] for r in rows.select("stream").distinct().limit(2).collect()]
+    if len(streams) < 2:
+        return rows
+    # The latest time so far, within ranges and over their borders by one row a range and stream.
+    at = F.coalesce("time_ns", F.lit(0).cast("long"))
+    inner = F.max(at).over(Window.partitionBy("part", "stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy("part", "stream").agg(F.max(at).alias("latest"))
+    ends = ends.select("part", "stream", F.max("latest").over(Window.partitionBy("stream").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.withColumn("at", inner).join(F.broadcast(ends), ["part", "stream"]).withColumn("at", F.greatest("at", "carried"))
+    first = rows.agg(F.min("stream")).first()[0]
+    rows = rows.filter((F.col("stream") == first) | ~F.col("record_type").isin(*SIDE_RECORDS)).drop("part", "carried")
+    merged = ranged(rows, "merged", "at", "stream", "seq")
+    sizes = merged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("at", "stream", "seq")) - 1
+    return merged.withColumn("rank", rank).join(F.broadcast(base), "part").withColumn("seq", F.col("base") + F.col("rank")).drop("at", "rank", "base")
+
+
 def process_tree(forks: DataFrame, roots: DataFrame) -> DataFrame:
     """(pid, depth) of everything reachable from the roots over FORK records (STR8).
 

@@ -21,12 +21,15 @@ def map_addresses(samples: DataFrame, mappings: DataFrame, keys: tuple[str, ...]
     A mapping (keys, start, end, generation, seq, path...) applies to samples behind
     it; of several the newest generation wins. Ranges are cut into pages and meet
     the samples' page by an equi-join; very wide ranges, which would take too many
-    pages, are looked up among themselves by their keys alone.
+    pages, are looked up among themselves by their keys alone. With a column ``upto``
+    a mapping must hold that address too.
     """
     own = [c for c in mappings.columns if c not in (*keys, "start", "end", "seq", "generation")]
     m = mappings.select(*keys, F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.col("seq").alias("m_seq"), "generation", *own).filter("m_end > m_start")
     wide = F.shiftright(F.col("m_end") - F.col("m_start"), PAGE_BITS) > WIDE_PAGES
     fits = (F.col("ip") >= F.col("m_start")) & (F.col("ip") < F.col("m_end")) & (F.col("m_seq") <= F.col("seq"))
+    if "upto" in samples.columns:
+        fits &= F.col("upto") < F.col("m_end")
     paged = m.filter(~wide).withColumn("page", F.explode(_pages(F.col("m_start"), F.col("m_end") - 1)))
     by_page = samples.withColumn("page", F.shiftright("ip", PAGE_BITS)).join(paged, [*keys, "page"]).filter(fits)
     by_key = samples.join(m.filter(wide), list(keys)).filter(fits)

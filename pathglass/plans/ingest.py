@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.errors import TraceError
-from pathglass.operators import process, reconstruct, records as stream
+from pathglass.functions.scalars import thread_name
+from pathglass.operators import code, process, reconstruct, records as stream
 from pathglass.operators.call_paths import row_rank
-from pathglass.operators.locate import Images, instruction_rows, locate, mappings_of
+from pathglass.operators.instructions import instruction_rows
+from pathglass.operators.locate import Images, locate, mappings_of
 from pathglass.plans.store import Store
 from pathglass.schemas import EVENTS, GAPS, LOCATIONS, MAPPINGS, SPANS, THREADS
 from pathglass.storage import cut
@@ -43,10 +45,19 @@ def rebased(table: DataFrame, origin_ns: int, *columns: str) -> DataFrame:
     return table.withColumns({c: F.when(F.col(c) < origin_ns, early).otherwise(F.col(c) - origin_ns) for c in columns})
 
 
+def final_names(prepared: DataFrame) -> DataFrame:
+    """(pid, tid, thread): the name that a task's inline rows go by, that of its last generation, or of the first if the last has ended."""
+    leaves = F.col("record_type") == "task"
+    last = prepared.groupBy("pid", "tid").agg(F.max_by(leaves, "seq").alias("ended"), F.max(F.when(F.col("record_type") == "sample", F.col("generation"))).alias("latest"))
+    return last.filter("latest is not null").select("pid", "tid", F.when(F.col("ended"), thread_name(F.col("tid"), F.lit(0))).otherwise(thread_name(F.col("tid"), F.col("latest"))).alias("thread"))
+
+
 def analyze(store: Store, analysis: str, records: DataFrame, images: Images, root_pid: int | None = None, target: str | None = None, budget: int | None = None, manifest: dict | None = None) -> dict:
     """Publish the calls, and the instructions if there are any, of RECORDS as an analysis; returns its manifest.
 
     Records of other processes are left out if a root process or a target is given.
+    Several streams are merged by time. Where the images' contents are known, blocks
+    of code are charged to inline chains.
     """
     spark = store.spark
     records, part = within_budget(records, budget)
@@ -69,15 +80,11 @@ def analyze(store: Store, analysis: str, records: DataFrame, images: Images, roo
     rows = reconstruct.classify(records.filter("event is null or event <> 'instructions'")).join(side(0, "from"), "event_id", "left").join(side(1, "to"), "event_id", "left")
     rows = cut(rows, "located")
 
-    spans, gaps = (cut(t, n) for t, n in zip(reconstruct.reconstruct(rows, counted=True, everything=everything), ("spans", "gaps"), strict=True))
-    prepared = reconstruct.prepare(rows, everything)
+    whole = cut(reconstruct.prepare(rows, everything, mark=True), "prepared")
+    prepared = whole.filter("not moot")
+    spans, gaps = (cut(t, n) for t, n in zip(reconstruct.reconstruct(rows, counted=True, prepared=prepared), ("spans", "gaps"), strict=True))
     events = reconstruct.retained_of(prepared).join(rows.select(F.col("event_id").alias("id"), "from_location", "to_location"), "id")
-    samples = rows.filter("record_type = 'sample' and pid is not null and tid is not null")
-    named = samples.join(prepared.select("seq", "thread"), "seq", "left")
-    # Samples that were not kept belong to the thread of the kept one before them.
-    own = Window.partitionBy("part", "pid", "tid").orderBy("seq")
-    named = named.withColumn("thread", F.coalesce("thread", F.last("thread", ignorenulls=True).over(own), F.first("thread", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing)), F.concat(F.lit("t_"), F.col("tid").cast("string"))))
-    named = cut(named.select("thread", "pid", "tid", "seq", "part", "time_ns", "event_id"), "thread-samples")
+    named = whole.filter("record_type = 'sample'").select("thread", "pid", "tid", "seq", "part", "time_ns", "event_id")
     origin = named.agg(F.min("time_ns")).first()[0] or 0
 
     holes = gaps.filter("kind = 'ring_truncation'").select("thread", F.col("event").alias("event_id"), F.lit(True).alias("hole"))
@@ -86,8 +93,8 @@ def analyze(store: Store, analysis: str, records: DataFrame, images: Images, roo
     counts = named.groupBy("thread").agg(F.min("pid").alias("pid"), F.min("tid").alias("tid"), F.count(F.lit(1)).alias("branch_count"))
     for name, table in (("event_count", events), ("span_count", spans), ("gap_count", gaps)):
         counts = counts.join(table.groupBy("thread").agg(F.count(F.lit(1)).alias(name)), "thread", "left").fillna(0, [name])
-    comm = records.filter("record_type = 'task' and comm is not null").groupBy("tid").agg(F.max_by("comm", "seq").alias("comm"))
-    threads = stream.thread_lifetimes(segments, counts).join(comm, "tid", "left").withColumnRenamed("thread", "id")
+    comm = records.filter("record_type = 'task' and comm is not null").groupBy("pid", "tid").agg(F.max_by("comm", "seq").alias("comm"))
+    threads = stream.thread_lifetimes(segments, counts).join(comm, ["pid", "tid"], "left").withColumnRenamed("thread", "id")
     threads = rebased(threads, origin, "start_ns", "end_ns").withColumn("segments", F.transform("segments", lambda s: F.struct((s["start"] - origin).alias("start"), (s["end"] - origin).alias("end"))))
 
     quality = stream.quality(spans, gaps, named, records, foreign)
@@ -109,9 +116,12 @@ def analyze(store: Store, analysis: str, records: DataFrame, images: Images, roo
     }
     covered = named.agg(F.max("time_ns")).first()[0]
     out = {"detail": "calls", "ir_version": IR_VERSION, "decode_mode": "full", "origin_ns": origin, "covered_start_ns": 0, "covered_end_ns": (covered or origin) - origin, "quality": quality} | (manifest or {})
+    if images.code is not None:
+        tables["code"] = images.code
+        tables["inline_rows"] = code.inline_rows(rows, mappings, images, final_names(whole))
     if not records.filter("record_type = 'sample' and event = 'instructions'").isEmpty():
-        executed = records.withColumn("thread", F.concat(F.lit("t_"), F.col("tid").cast("string")))
-        tables["instructions"] = rebased(instruction_rows(executed, images, mappings), origin, "time_ns") if origin else instruction_rows(executed, images, mappings)
+        ran = instruction_rows(records, images, mappings)
+        tables["instructions"] = rebased(ran, origin, "time_ns") if origin else ran
         out["detail"] = (manifest or {}).get("detail", "calls")
     store.publish(analysis, tables, out)
     return store.manifest(analysis)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathglass.plans.oracle_stacks import stacks_sql
 from pathglass.plans.star_queries import DEEP_INSTANT, INSTANT, PAGE, WINDOW
-from pathglass.sources.star import ORIGIN_NS
+from pathglass.sources.star import LINE, ORIGIN_NS
 
 SPANS = f"""
 fn AS (SELECT DISTINCT CAST(o_orderpriority[1] AS BIGINT) AS id, 'order::' || o_orderpriority AS name FROM orders WHERE o_orderpriority[1] <> '4'
@@ -153,13 +153,39 @@ _STEP = "time_ns - lag(time_ns) OVER (PARTITION BY tid ORDER BY seq)"
 
 _RECORDS_ONLY = RECORDS[: RECORDS.index("points AS")].rstrip().rstrip(",")
 #: Instructions: blocks of 256 bytes from 0x1000 on, mapped to offset 256 up to 0x1600; a segment holds 1024 bytes behind it.
-_CODE = f"""WITH {_RECORDS_ONLY}, x AS (SELECT rec.*, event_type = 'error' AS bad, CASE event_type WHEN 'click' THEN '740e' WHEN 'view' THEN '90' WHEN 'purchase' THEN 'ffd0' WHEN 'signup' THEN 'c3' END AS hex FROM rec JOIN events ON event_id = seq),
+_CODE = f"""WITH {_RECORDS_ONLY}, x AS (SELECT rec.*, event_type = 'error' AS bad, CASE event_type WHEN 'click' THEN '740e' WHEN 'view' THEN '90' WHEN 'purchase' THEN 'ffd0' WHEN 'signup' THEN 'c3' END AS hex, min(seq) FILTER (event_type <> 'error') OVER (PARTITION BY tid) AS begun FROM rec JOIN events ON event_id = seq),
 y AS (SELECT *, len(hex) // 2 AS len, CASE hex WHEN '740e' THEN 'conditional' WHEN '90' THEN 'sequential' WHEN 'ffd0' THEN 'indirect_call' WHEN 'c3' THEN 'return' END AS kind, CASE WHEN hex = '740e' THEN ip + 16 END AS branch_target,
-  row_number() OVER p AS sequence, lead(ip) OVER p AS next_ip, lead(bad) OVER p AS next_bad, CASE WHEN ip < 5632 THEN '/bin/star' ELSE '/bin/old' END AS path, CASE WHEN ip < 5632 THEN 'i' END AS image_id,
+  sum(CASE WHEN seq >= begun THEN 1 ELSE 0 END) OVER p AS sequence, lead(ip) OVER p AS next_ip, lead(bad) OVER p AS next_bad, CASE WHEN ip < 5632 THEN '/bin/star' ELSE '/bin/old' END AS path, CASE WHEN ip < 5632 THEN 'i' END AS image_id,
   CASE WHEN ip < 5120 THEN 4194304 + ip - 4096 WHEN ip < 5632 THEN ip - 4096 + 256 END AS image_offset FROM x WINDOW p AS (PARTITION BY tid ORDER BY seq)),
 located AS (SELECT *, CASE WHEN image_offset >= 4194304 AND image_offset % 256 < 12 THEN 'f' || (image_offset % 4194304) // 256 END AS symbol, CASE WHEN image_offset >= 4194304 AND image_offset % 256 BETWEEN 4 AND 7 THEN 'g' || (image_offset % 4194304) // 256 % 2 END AS inlined,
   CASE WHEN image_offset >= 4194304 AND image_offset % 256 BETWEEN 4 AND 7 THEN CAST((image_offset % 4194304) // 256 AS INTEGER) END AS line FROM y)
 """
+#: LINE taken apart by hand: at each of its 16 bytes the length, the kind, and how far behind the address a target lies.
+_LINE = """(VALUES (0, 2, 'conditional', 4), (1, 6, 'sequential', NULL), (2, 1, 'sequential', NULL), (3, 3, 'sequential', NULL), (4, 2, 'sequential', NULL), (5, 2, 'sequential', NULL), (6, 5, 'call', 5), (7, 2, 'sequential', NULL),
+  (8, 2, 'sequential', NULL), (9, 2, 'sequential', NULL), (10, 2, 'sequential', NULL), (11, 2, 'indirect_call', NULL), (12, 2, 'sequential', NULL), (13, 1, 'return', NULL), (14, 2, 'jump', -110), (15, 1, 'sequential', NULL)) AS l(spot, n, k, far)"""
+#: Every third error names no task, every third is an exit; what goes on behind an exit is a new generation.
+_FROM_IMAGE = f"""WITH {_RECORDS_ONLY}, x AS (SELECT rec.*, CASE WHEN event_type <> 'error' THEN 's' WHEN seq % 3 = 0 THEN 'n' WHEN seq % 3 = 1 THEN 'x' ELSE 'e' END AS what FROM rec JOIN events ON event_id = seq),
+lost AS (SELECT seq, tid, what, ip, time_ns, count(*) FILTER (what = 'n') OVER (ORDER BY seq) AS nowhere FROM x),
+own AS (SELECT *, nowhere + count(*) FILTER (what = 'e') OVER p AS errors, count(*) FILTER (what = 'x') OVER p AS exits FROM lost WHERE what <> 'n' WINDOW p AS (PARTITION BY tid ORDER BY seq)),
+s AS (SELECT *, row_number() OVER p AS n, CASE WHEN exits > coalesce(lag(exits) OVER p, 0) THEN 1 ELSE 0 END AS fresh, lead(ip) OVER p AS next_ip, lead(errors) OVER p AS next_errors FROM own WHERE what = 's' WINDOW p AS (PARTITION BY tid ORDER BY seq)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY tid ORDER BY seq) AS generation FROM s),
+h AS (SELECT *, 1 + n - min(n) OVER q + errors - min(errors) OVER q AS sequence FROM g WINDOW q AS (PARTITION BY tid, generation)),
+placed AS (SELECT *, ip >= 5632 AS outside, CASE WHEN ip < 5120 THEN 4194304 + ip - 4096 WHEN ip < 5632 THEN ip - 4096 + 256 END AS image_offset FROM h),
+y AS (SELECT p.*, spot, l.n AS size, k, far, outside AND seq % 2 = 1 AS blind, substr(repeat('{LINE.replace(" ", "")}', 2), 2 * spot + 1, 30) AS hex FROM placed p JOIN {_LINE} ON spot = ip % 16),
+z AS (SELECT *, CASE WHEN blind THEN 'other' ELSE k END AS kind, CASE WHEN blind THEN 0 ELSE size END AS len FROM y)
+"""
+#: Runs between branches of a thread, as far as one mapping holds them, and the instructions of each: those that begin in it.
+_RAN = f"""WITH {_RECORDS_ONLY}, b AS (SELECT seq, tid, ip, time_ns, flags, lag(CASE WHEN flags NOT IN ('tr end call', 'async') THEN addr + seq % 2 * 4 END) OVER p AS start, time_ns - lag(time_ns) OVER p AS dt FROM rec WINDOW p AS (PARTITION BY tid ORDER BY seq)),
+ran AS (SELECT tid, start, ip AS stop, dt FROM b WHERE start IS NOT NULL AND flags <> 'tr strt' AND ip >= start AND ip < 5632),
+distinct_runs AS (SELECT DISTINCT start, stop FROM ran),
+counted AS (SELECT start, stop, CAST(len(list_filter(range(start, stop + 1), lambda a: a = start OR a % 16 IN (0, 2, 3, 6, 11, 13, 14))) AS BIGINT) AS n FROM distinct_runs),
+inline_sums AS (SELECT 't_' || tid AS thread, CASE WHEN start < 5120 THEN (start - 4096) // 256 END AS "function", CASE WHEN start < 5120 AND start % 256 >= 4 THEN 'g' || (start - 4096) // 256 % 2 ELSE '' END AS chain,
+  CAST(sum(n) AS BIGINT) AS instructions, count(*) AS blocks, CAST(sum(greatest(dt, 0)) AS BIGINT) AS elapsed_ns FROM ran JOIN counted USING (start, stop) GROUP BY ALL)
+"""
+#: Two streams merged by their latest times so far.
+_MERGED = _RECORDS_ONLY.replace("rec AS", "every AS") + """, early AS (SELECT * REPLACE (time_ns - CASE WHEN seq % 31 = 0 THEN 7200000000000 ELSE 0 END AS time_ns) FROM every),
+latest AS (SELECT *, max(time_ns) OVER (PARTITION BY cpu % 2 ORDER BY seq) AS latest FROM early),
+rec AS MATERIALIZED (SELECT * REPLACE (row_number() OVER (ORDER BY latest, cpu % 2, seq) - 1 AS seq) FROM latest)"""
 _BITS = """flags = 'tr strt' AS trace_begin, flags = 'tr end call' AS trace_end, flags = 'async' AS async_event, false AS "transaction", false AS interrupt, false AS syscall"""
 
 ORACLE_SQL = {
@@ -171,8 +197,17 @@ ORACLE_SQL = {
   count(*) FILTER (kind = 'decoder_error') AS decoder_errors, count(*) FILTER (kind = 'missing_image') AS missing_images, count(*) FILTER (kind = 'ring_truncation') AS ring_holes,
   CAST(0 AS BIGINT) AS lost_records, (SELECT count(*) FROM rec) AS samples, (SELECT count(*) FROM rec WHERE time_ns IS NULL) AS unknown_times,
   (SELECT min(step) FROM (SELECT {_STEP} AS step FROM rec) WHERE step > 0) AS min_time_step_ns, CAST(0 AS BIGINT) AS foreign_samples, CAST(0 AS BIGINT) AS foreign_pids FROM machine""",
-    "instruction_rows": _CODE + """SELECT seq AS id, 't_' || tid AS thread, sequence, time_ns, CAST(NULL AS BIGINT) AS location, ip AS virt_ip, symbol, inlined, image_offset, CAST(len AS INTEGER) AS len, kind, branch_target, CASE WHEN kind <> 'return' THEN ip + len END AS fallthrough,
-  CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) THEN 'unknown' WHEN next_ip = branch_target THEN 'taken' WHEN next_ip = ip + len THEN 'not_taken' ELSE 'unknown' END END AS outcome, hex AS bytes_hex FROM located WHERE NOT bad""",
+    "instruction_rows": _CODE + """SELECT seq AS id, 't_' || tid AS thread, CAST(sequence AS BIGINT) AS sequence, time_ns, CAST(NULL AS BIGINT) AS location, ip AS virt_ip, symbol, inlined, image_offset, CAST(len AS INTEGER) AS len, kind, branch_target, CASE WHEN kind <> 'return' THEN ip + len END AS fallthrough,
+  CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) THEN 'unknown' WHEN next_ip = branch_target THEN 'taken' WHEN next_ip = ip + len THEN 'not_taken' ELSE 'unknown' END END AS outcome, rtrim(regexp_replace(hex, '(..)', '\1 ', 'g')) AS bytes_hex FROM located WHERE NOT bad""",
+    "instruction_rows_from_image": _FROM_IMAGE + """SELECT seq AS id, 't_' || tid || CASE WHEN generation > 0 THEN '_g' || generation ELSE '' END AS thread, CAST(sequence AS BIGINT) AS sequence, time_ns, CAST(NULL AS BIGINT) AS location, ip AS virt_ip,
+  CASE WHEN ip < 5120 AND ip % 256 < 12 THEN 'f' || (ip - 4096) // 256 END AS symbol, CASE WHEN ip < 5120 AND ip % 256 BETWEEN 4 AND 7 THEN 'g' || (ip - 4096) // 256 % 2 END AS inlined, image_offset, CAST(len AS INTEGER) AS len, kind,
+  CASE WHEN NOT blind THEN ip + far END AS branch_target, CASE WHEN NOT blind AND kind <> 'return' THEN ip + len END AS fallthrough,
+  CASE WHEN kind = 'conditional' THEN CASE WHEN next_ip IS NULL OR next_errors > errors THEN 'unknown' WHEN next_ip = ip + far THEN 'taken' WHEN next_ip = ip + len THEN 'not_taken' ELSE 'unknown' END END AS outcome,
+  CASE WHEN blind THEN '' ELSE rtrim(regexp_replace(hex, '(..)', '\\1 ', 'g')) END AS bytes_hex FROM z""",
+    "inline_attribution": _RAN + "SELECT * FROM inline_sums",
+    "hotpaths_inline_attributed": _RAN + """SELECT coalesce('f' || "function", '<unknown>') || CASE WHEN chain <> '' THEN ' > ' || chain ELSE '' END AS path, CAST(sum(blocks) AS BIGINT) AS observed_entries, CAST(sum(elapsed_ns) AS BIGINT) AS self_sum_ns, CAST(sum(instructions) AS BIGINT) AS instructions FROM inline_sums GROUP BY path""",
+    "merged_streams_spans": stacks_sql(_MERGED) + """SELECT key AS id, thread, "function", parent_key AS parent, start_ns, end_ns, completeness, start_event, end_event, call_site FROM machine WHERE "row" = 'span'""",
+    "merged_streams_gaps": stacks_sql(_MERGED) + """SELECT thread, kind, start_ns, end_ns, extent_known, reason FROM machine WHERE "row" = 'gap'""",
     "located_instructions": _CODE + """SELECT path, image_id, symbol, inlined, count(*) AS n, min(image_offset) AS low, max(image_offset) AS high, max(line) AS line FROM located GROUP BY ALL""",
     "retained_events": f"""WITH {_RECORDS_ONLY}, n AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS id, nullif((ip >> 8) - 15, 7) AS src, nullif((addr >> 8) - 15, 7) AS dst FROM rec)
 SELECT id, 't_' || tid AS thread, seq AS sequence, time_ns, ip AS from_ip, addr AS to_ip, CASE flags WHEN 'tr strt' THEN 'trace_begin' WHEN 'tr end call' THEN 'trace_end' WHEN 'async' THEN 'async_boundary' WHEN 'call' THEN 'call' WHEN 'return' THEN 'return' ELSE 'conditional' END AS kind, {_BITS}
@@ -209,8 +244,9 @@ FROM o QUALIFY row_number() OVER (PARTITION BY thread ORDER BY depth DESC, start
     "deep_at_instant": _deep(f"start_ns <= {DEEP_INSTANT}") + f"""SELECT thread, id AS span, names[-1] AS function, CAST(least(n - 1, 65) AS BIGINT) AS depth, start_ns, CAST(NULL AS BIGINT) AS end_ns, {DEEP_INSTANT} - start_ns AS elapsed_ns, array_to_string(names, ' > ') AS stack
   FROM r QUALIFY row_number() OVER (PARTITION BY thread ORDER BY least(n - 1, 65) DESC, start_ns DESC, id) = 1""",
     "instruction_outcome": f"""WITH {RECORDS}, s AS (SELECT seq, tid, flags = 'async' AS bad, ip - ip % 256 AS pl, CASE WHEN flags = 'jcc' THEN 'conditional' ELSE 'other' END AS kind, addr AS target, ip + 512 AS fall FROM rec),
-w AS (SELECT *, row_number() OVER p AS sequence, lead(pl) OVER p AS next_at, lead(bad) OVER p AS next_bad FROM s WINDOW p AS (PARTITION BY tid ORDER BY seq))
-SELECT seq, tid, sequence, kind, CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) OR target = fall THEN 'unknown' WHEN next_at = target THEN 'taken' WHEN next_at = fall THEN 'not_taken' ELSE 'unknown' END END AS outcome FROM w WHERE NOT bad""",
+b AS (SELECT *, min(seq) FILTER (NOT bad) OVER (PARTITION BY tid) AS begun FROM s),
+w AS (SELECT *, sum(CASE WHEN seq >= begun THEN 1 ELSE 0 END) OVER p AS sequence, lead(pl) OVER p AS next_at, lead(bad) OVER p AS next_bad FROM b WINDOW p AS (PARTITION BY tid ORDER BY seq))
+SELECT seq, tid, CAST(sequence AS BIGINT) AS sequence, kind, CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) OR target = fall THEN 'unknown' WHEN next_at = target THEN 'taken' WHEN next_at = fall THEN 'not_taken' ELSE 'unknown' END END AS outcome FROM w WHERE NOT bad""",
     "straight_blocks": f"""WITH {RECORDS}, w AS (SELECT 't_' || tid AS thread, lag(addr) OVER p AS s, ip AS e, time_ns - lag(time_ns) OVER p AS dt, lag(flags IN ('async', 'tr end call')) OVER p AS broken FROM rec WINDOW p AS (PARTITION BY tid ORDER BY seq))
 SELECT thread, s >> 8 AS function, 'all' AS chain, CAST(sum(1 + e - s) AS BIGINT) AS instructions, count(*) AS blocks, CAST(sum(greatest(0, coalesce(dt, 0))) AS BIGINT) AS elapsed_ns FROM w WHERE NOT broken AND e >= s AND e - s <= 1048576 GROUP BY ALL""",
     "coverage_segments": f"WITH {RECORDS} SELECT * FROM segments",

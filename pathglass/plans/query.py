@@ -46,7 +46,7 @@ def hints(query: Query, whole: DataFrame) -> list[str]:
 
 def image_tables(store: Store, analysis: str) -> locate.Images:
     names = store.read(analysis, "functions").select("image_id", "id", F.coalesce("demangled", "name").alias("name"), "start", "end")
-    return locate.Images(store.read(analysis, "images"), store.read(analysis, "segments"), names, store.read(analysis, "inline_ranges"))
+    return locate.Images(store.read(analysis, "images"), store.read(analysis, "segments"), names, store.read(analysis, "inline_ranges"), store.read(analysis, "code"))
 
 
 def by_evidence(store: Store, analysis: str, evidence: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pathglass.functions import scalars
 from pathglass.functions.flags import BOUNDARIES, boundary, flag_set, flow_kind
-from pathglass.operators import branches, call_paths, compare, hotpaths, locate, reconstruct, records, symbols
+from pathglass.operators import branches, call_paths, code, compare, hotpaths, locate, reconstruct, records, symbols
+from pathglass.operators.instructions import instruction_rows as rows_of_instructions
 from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
 from pathglass.operators.timeline import selected, timeline, timeline_order
@@ -345,9 +346,40 @@ def stream_reconstruct(spark, sf):
     return run_to_end(stream_stacks(rows), f"{shared_dir(spark)}/pathglass/stream-{uuid.uuid4().hex}")
 
 
+def merged_streams_spans(spark, sf):
+    """Calls of two overlapping streams with steps back in time, merged."""
+    return reconstruct.reconstruct(with_functions(star.two_streams(spark, sf)))[0]
+
+
+def merged_streams_gaps(spark, sf):
+    return reconstruct.reconstruct(with_functions(star.two_streams(spark, sf)))[1]
+
+
 def instruction_rows(spark, sf):
     mappings, images = star.code(spark)
-    return locate.instruction_rows(star.executed(spark, sf), images, mappings)
+    return rows_of_instructions(star.executed(spark, sf), images, mappings)
+
+
+def instruction_rows_from_image(spark, sf):
+    """Bytes stated or read from the image, across exits and errors with and without a task."""
+    mappings, images = star.code_with_bytes(spark)
+    return rows_of_instructions(star.executed_with_exits(spark, sf), images, mappings)
+
+
+def inline_attribution(spark, sf):
+    """Blocks of code between branches, counted in the image's bytes and charged to inline chains."""
+    mappings, images = star.code_with_bytes(spark)
+    # Half of the branches go into an inlined part of their block.
+    rows = star.records(spark, sf).withColumn("addr", F.col("addr") + F.col("seq") % 2 * 4).withColumn("task_kind", F.lit(None).cast("string"))
+    out = code.inline_rows(reconstruct.classify(reconstruct.with_event_ids(rows)), mappings, images)
+    return out.withColumn("chain", F.array_join("chain", " > "))
+
+
+def hotpaths_inline_attributed(spark, sf):
+    mappings, images = star.code_with_bytes(spark)
+    rows = star.records(spark, sf).withColumn("addr", F.col("addr") + F.col("seq") % 2 * 4).withColumn("task_kind", F.lit(None).cast("string"))
+    rows = code.inline_rows(reconstruct.classify(reconstruct.with_event_ids(rows)), mappings, images)
+    return hotpaths.hotpaths_inline(rows, images.functions.select("id", "name")).select("path", "observed_entries", "self_sum_ns", "instructions")
 
 
 def located_instructions(spark, sf):
@@ -426,6 +458,11 @@ QUERIES = {
     "reconstruct_quality": reconstruct_quality,
     "reconstruct_gaps_by_kind": gaps_of_stream,
     "instruction_rows": instruction_rows,
+    "instruction_rows_from_image": instruction_rows_from_image,
+    "inline_attribution": inline_attribution,
+    "hotpaths_inline_attributed": hotpaths_inline_attributed,
+    "merged_streams_spans": merged_streams_spans,
+    "merged_streams_gaps": merged_streams_gaps,
     "located_instructions": located_instructions,
     "retained_events": retained_events,
     "stream_reconstruct": stream_reconstruct,

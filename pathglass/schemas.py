@@ -3,7 +3,7 @@ longs; a column that a producer may leave out is nullable."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructType
 
 _SEGMENT = StructType().add("start", LongType()).add("end", LongType())
 _TYPES = {
@@ -11,6 +11,7 @@ _TYPES = {
     "int": IntegerType(),
     "string": StringType(),
     "boolean": BooleanType(),
+    "binary": BinaryType(),
     "strings": ArrayType(StringType()),
     "segments": ArrayType(_SEGMENT),
 }
@@ -185,6 +186,12 @@ file_size long
 vaddr long
 """)
 
+CODE = _schema("""
+image_id string
+page long
+bytes binary
+""")
+
 INLINE_RANGES = StructType().add("image_id", StringType()).add("lo", LongType()).add("hi", LongType()).add("frames", ArrayType(_FRAME))
 
 TABLES = {
@@ -200,4 +207,5 @@ TABLES = {
     "images": IMAGES,
     "segments": SEGMENTS,
     "inline_ranges": INLINE_RANGES,
+    "code": CODE,
 }

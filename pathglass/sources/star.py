@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathglass.operators.code import code_pages
 from pathglass.operators.locate import Images
 
 #: 1995-01-01 in nanoseconds since the epoch: the snapshot's origin.
@@ -146,6 +147,7 @@ def executed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", "pid", "tid", "time_ns", "ip", "insn",
         F.concat(F.lit("t_"), F.col("tid").cast("string")).alias("thread"),
         F.when(F.col("insn").isNull(), "decoder_error").otherwise("sample").alias("record_type"),
+        F.lit(None).cast("string").alias("task_kind"),
         F.lit("instructions").alias("event"),
         F.floor((F.length("insn") + 1) / 3).cast("int").alias("insn_len"),
     )
@@ -166,6 +168,42 @@ def code(spark: SparkSession) -> tuple[DataFrame, Images]:
     return mappings, Images(spark.createDataFrame([("/bin/star", "i")], "path string, image_id string"), spark.createDataFrame([("i", 256, 1024, 0x400000)], "image_id string, file_off long, file_size long, vaddr long"), functions, inline)
 
 
+#: The 16 bytes that the image /bin/star repeats: jz +2; nop; mov rbp,rsp; call +0; call rax; ret; jmp -112.
+LINE = "74 02 90 48 89 e5 e8 00 00 00 00 ff d0 c3 eb 90"
+
+
+def code_with_bytes(spark: SparkSession) -> tuple[DataFrame, Images]:
+    """:func:`code`, with the contents of the known image: LINE from its first byte on, 2048 bytes."""
+    mappings, images = code(spark)
+    content = spark.createDataFrame([("i", bytearray(bytes.fromhex(LINE) * 128))], "image_id string, content binary")
+    return mappings, images._replace(code=code_pages(content))
+
+
+def executed_with_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as instruction samples, errors and exits. Half of the samples state the bytes
+    that the image holds at their address; errors name their task or, every third, none."""
+    rows = records(spark, sf_dir)
+    e = star(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    k = F.col("seq") % 3
+    error = F.col("event_type") == "error"
+    nowhere, leaves = error & (k == 0), error & (k == 1)
+    line = LINE.replace(" ", "") * 2
+    stated = F.substring(F.lit(line), 2 * (F.col("ip") % 16).cast("int") + 1, F.lit(30))
+    return rows.drop("event", "record_type").join(e, "seq").select(
+        "seq", F.when(~nowhere, F.col("pid")).alias("pid"), F.when(~nowhere, F.col("tid")).alias("tid"), "time_ns", F.when(~error, F.col("ip")).alias("ip"),
+        F.when(leaves, "task").when(error, "decoder_error").otherwise("sample").alias("record_type"),
+        F.when(leaves, "exit").alias("task_kind"), F.when(~error, "instructions").alias("event"),
+        F.when(~error & (F.col("seq") % 2 == 0), F.rtrim(F.regexp_replace(stated, "(..)", "$1 "))).alias("insn"),
+    )
+
+
+def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as two, of the even and of the odd cpus; some times lie two hours early."""
+    rows = records(spark, sf_dir)
+    late = F.when(F.col("seq") % 31 == 0, 7_200_000_000_000).otherwise(0)
+    return rows.withColumns({"stream": (F.col("cpu") % 2).cast("int"), "time_ns": F.col("time_ns") - late})
+
+
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as instruction rows: sites from ``props``, outcomes from ``value``."""
     e = star(spark, sf_dir, "events")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pathglass.errors import TraceError
 from pathglass.functions import scalars
 from pathglass.functions.flags import BOUNDARIES, boundary, flag_set, flow_kind
-from pathglass.operators.branches import classify
 from pathglass.plans import page, render, request
 
 
@@ -54,13 +53,6 @@ def test_unknown_flag_words(spark):
     assert flags("call nonsense!") == {"call", "unknown"} and flags("bcx") == {"call", "unknown"} and flags("hw") == set()
 
 
-@pytest.mark.parametrize("code,kind,target", [("75 0e", "conditional", 0x110), ("0f 84 00 01 00 00", "conditional", 0x206), ("e8 fb ff ff ff", "call", 0x100), ("eb fe", "jump", 0x100), ("c3", "return", None), ("ff d0", "indirect_call", None), ("41 ff e3", "indirect_jump", None), ("48 89 e7", "sequential", None), ("0f 05", "other", None), ("f2 e9 00 00 00 00", "jump", 0x106)])
-def test_instruction_kinds(spark, code, kind, target):
-    n = len(code.split())
-    got = one(spark, classify(F.col("c"), F.col("ip"), F.col("n")), c=code, ip=0x100, n=n)
-    assert got.kind == kind and got.branch_target == target and got.fallthrough == (None if kind == "return" else 0x100 + n)
-
-
 def test_requests_are_checked():
     for body in ({"kind": "nothing"}, {"kind": "timeline", "x": 1}, {"kind": "timeline", "selection": {"start_ns": 5, "end_ns": 5}}, {"kind": "timeline", "limit": 0}, {"kind": "timeline", "limit": 201}, {"kind": "timeline", "cursor": "x"}, {"kind": "at_instant"}, {"kind": "source"}, {"kind": "hotpaths", "group": "inline", "selection": {"start_ns": 1}}, {"kind": "timeline", "selection": {"end_ns": 1 << 53}}, {}):
         with pytest.raises(TraceError) as e:
