@@ -8,6 +8,12 @@ resets) is found within ranges of the stream and carried over their borders by o
 row a range and thread, so a thread that holds most records spreads over tasks.
 Threads are cut into segments behind every record that unwinds the stack for good.
 Each segment is fed in order from a sorted stream: a long one takes time, not memory.
+
+A segment of very many records is cut further, at plain calls, into pieces that are fed
+at once, each without knowing the stack that it is given. A piece matches its own calls
+and returns; what reaches below its first frame is left over, with the frames that stay
+open: the piece's effect on any stack. What the pieces of a thread leave over, one after
+the other, has the same effect as all their records, and is fed as usual.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from pyspark.sql import functions as F
 from pathglass.functions.flags import BOUNDARIES, boundary, flag_set, flow_kind
 from pathglass.functions.scalars import thread_name
 from pathglass.operators.records import first_times, in_ranges
+from pathglass.storage import counted as counted_rows
 from pathglass.storage import cut
 
 UNKNOWN_THREAD = "t_unknown"
@@ -100,6 +107,15 @@ class CallStack:
             self._open(event, 0, entered, now, "open_start")
         return True
 
+    def push(self, key, function, parent, start, opened, state, site) -> None:
+        """A frame that a piece has left open; without a parent of its own it stands on what is open here."""
+        self.frames.append([key, function, parent if parent is not None or not self.frames else self.frames[-1][0], start, opened, state, site])
+
+    def mark(self, ref) -> None:
+        """Say what is open where a piece's frames were put."""
+        top = self.frames[-1] if self.frames else (None, None)
+        self.out.append(("ref", self.thread, ref, top[1], top[0], *[None] * 10))
+
     def feed(self, record) -> None:
         """One record, a tuple of READ: a sample, a decoder error or the thread's exit."""
         record_type, now, cpu, cpu_first, code, message, regressed, event, source, target, ip, kind, begins, ends, async_event, transaction, interrupt, syscall = record
@@ -151,6 +167,79 @@ class CallStack:
             self.frames[-1][1] = target
 
 
+class Piece:
+    """Records between two plain calls of a thread, fed without the stack that they are given.
+
+    Frames that the piece has opened are treated as usual. A record that would look
+    at the stack below them, or change it, is left over, for the stack that is given; so
+    are open frames at the end. The parent of a piece's outermost frames is what is
+    open below them then: they carry a reference in its place, the key of the
+    first frame that was opened since the last record left over.
+    """
+
+    def __init__(self, thread: str):
+        self.stack, self.left, self.out, self.ref, self.ended = CallStack(thread), [], [], None, None
+        #: Whether the stack below waits for what follows the end of tracing.
+        self.waits = False
+
+    def _leave(self, record, ended=None) -> None:
+        self.left += [("record", r) for r in (ended, record) if r is not None]
+        self.ref = None
+        if record[0] == "sample":
+            self.waits = record[READ.index("trace_end")]
+        else:
+            self.waits = record[0] != "task" and (self.waits or ended is not None)
+
+    def _give(self, target=None) -> None:
+        """The stack's rows; what has no parent in the piece refers to what is below it, which a return's target is compared with."""
+        for row in self.stack.out:
+            lowest = row[0] == "span" and row[4] is None
+            self.out.append((*row, self.ref if lowest else None, target if lowest else None))
+        self.stack.out = []
+
+    def feed(self, record) -> None:
+        stack = self.stack
+        record_type, now, cpu, cpu_first, _, _, regressed, event, source, target, _, kind, begins, ends, async_event, transaction, interrupt, syscall = record
+        sample = record_type == "sample"
+        plain = sample and regressed is None and not (begins or ends or async_event or transaction or interrupt or syscall)
+        if not stack.frames:
+            if not plain or kind != "call" or self.waits:
+                self._leave(record)
+                return
+            if self.ref is None:
+                self.ref = 2 * event
+                self.left.append(("mark", self.ref))
+            stack.feed(record)
+            return
+        cuts = not sample or regressed is not None
+        if not cuts and stack.pending is None:
+            cuts = not ends and (async_event or interrupt or transaction)
+        elif not cuts:
+            function, left, left_cpu, _ = stack.pending
+            moved = cpu is not None and cpu != left_cpu and left is not None and (cpu_first is None or cpu_first > left)
+            cuts = moved or not begins or function is None or target != function
+        if not cuts:
+            self.ended = record if ends else self.ended
+            stack.feed(record)
+            self._give(target if plain and kind == "return" else None)
+            return
+        ended = self.ended if stack.pending is not None else None
+        stack.pending = None
+        if record_type == "task":
+            stack.finish(now)
+        else:
+            stack.interrupt()
+        self._give()
+        self._leave(record, ended)
+
+    def finish(self) -> None:
+        """Leave over what is still open."""
+        self.left += [("push", tuple(frame)) for frame in self.stack.frames]
+        if self.stack.pending is not None:
+            self._leave(self.ended)
+        self.stack.frames, self.stack.pending = [], None
+
+
 def classify(records: DataFrame) -> DataFrame:
     """Records with kind and boundary bits from their flags."""
     rows = records.withColumn("set", flag_set(F.col("flags")))
@@ -229,7 +318,7 @@ def prepare(records: DataFrame, everything: DataFrame | None = None, mark: bool
     inside = F.col("from_fn").isNotNull() | (F.col("from_map").eqNullSafe(F.col("to_map")) & ((F.col("kind") == "conditional") | F.col("from_map").isNull()))
     plain = sample & F.col("kind").isin("jump", "conditional") & unbound & same & inside
     moot = plain & F.col("regressed_from").isNull() & ~F.coalesce(known("last_end"), F.lit(False))
-    rows = rows.withColumns({"retained": sample & ~plain, "segment": F.col("resets_in") + F.col("resets"), "moot": moot})
+    rows = rows.withColumns({"retained": sample & ~plain, "segment": F.col("resets_in") + F.col("resets"), "moot": moot, "fresh": sample & unbound & (F.col("kind") == "call") & F.col("regressed_from").isNull() & ~F.coalesce(known("last_end"), F.lit(False))})
     rows = rows if mark else rows.filter(~F.col("moot")).drop("moot")
     return rows.drop("closes", "closed", "closed_in", "reset", "resets", "resets_in", *last, *(f"{name}_in" for name in last))
 
@@ -237,14 +326,28 @@ def prepare(records: DataFrame, everything: DataFrame | None = None, mark: bool
 SEGMENT = ("pid", "tid", "generation", "segment")
 
 
-def _segments(prepared: DataFrame) -> DataFrame:
+#: Records of a segment from which it is cut into pieces.
+LONG = 50_000
+
+#: What a piece gives: its rows with ``at`` 0, where ``ref`` stands for a parent below the piece, whose function
+#: ``target`` is compared with; then, numbered, what it leaves over.
+FED = (
+    f"pid int, tid int, generation int, segment long, piece int, at long, of_thread string, item string, {OUTPUT}, ref long, target long, "
+    + ", ".join(f"r_{name} {kind}" for name, kind in zip(READ, ["string", "long", "long", "long", "long", "string"] + ["long"] * 5 + ["string"] + ["boolean"] * 6, strict=True))
+)
+
+
+def _batch(rows: list, schema: str):
     import pyarrow as pa
 
-    schema = pa.schema([(n, pa.string() if t == "string" else pa.bool_() if t == "boolean" else pa.int64()) for n, t in (p.split() for p in OUTPUT.split(", "))])
+    types = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32()}
+    fields = [(n, types[t]) for n, t in (part.split() for part in schema.split(", "))]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+
 
-    def given(out) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * len(schema)
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _fed(prepared: DataFrame) -> DataFrame:
+    """OUTPUT of segments, each fed whole."""
 
     def run(batches):
         stack, current = None, None
@@ -261,15 +364,112 @@ def _segments(prepared: DataFrame) -> DataFrame:
             if stack is not None:
                 out += stack.out
                 stack.out = []
-            yield given(out)
+            yield _batch(out, OUTPUT)
         if stack is not None:
             stack.finish()
-            yield given(stack.out)
+            yield _batch(stack.out, OUTPUT)
 
     rows = prepared.select(*SEGMENT, "thread", "seq", *READ).repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "seq")
     return rows.select(*SEGMENT, "thread", *READ).mapInArrow(run, OUTPUT)
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """``rows`` of long segments with ``piece``: each range of the stream begins one with its first plain call, if it has any."""
+    firsts = rows.groupBy(*SEGMENT, "part").agg(F.min(F.when(F.col("fresh"), F.col("seq"))).alias("first"))
+    begun = F.when(F.col("first").isNotNull(), F.col("part"))
+    earlier = Window.partitionBy(*SEGMENT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("before", F.coalesce(F.last(begun, ignorenulls=True).over(earlier), F.lit(-1)))
+    met = rows.join(counted_rows(cut(firsts, "pieces")), [*SEGMENT, "part"])
+    return met.withColumn("piece", F.when(F.col("seq") >= F.col("first"), F.col("part")).otherwise(F.col("before"))).drop("first", "before")
+
+
+def _fed_in_pieces(rows: DataFrame) -> DataFrame:
+    """OUTPUT of long segments: pieces at once, then what they leave over."""
+    keys, frame = (*SEGMENT, "piece"), ("key", "function", "parent_key", "start_ns", "start_event", "completeness", "call_site")
+    nothing, no_record = (None,) * len(NAMES), (None,) * len(READ)
+
+    def run(batches):
+        piece, current, at = None, None, 0
+
+        def given() -> list:
+            nonlocal at
+            out = [(*current, 0, None, None, *row, *no_record) for row in piece.out]
+            for what, value in piece.left:
+                at += 1
+                head = (*current, at, piece.stack.thread, what)
+                if what == "record":
+                    out.append((*head, *nothing, None, None, *value))
+                elif what == "mark":
+                    out.append((*head, *nothing, value, None, *no_record))
+                else:
+                    fields = dict(zip(frame, value, strict=True))
+                    out.append((*head, *(fields.get(n) for n in NAMES), None, None, *no_record))
+            piece.out, piece.left = [], []
+            return out
+
+        for b in batches:
+            out: list = []
+            columns = [b.column(c).to_pylist() for c in (*keys, "thread", *READ)]
+            for row in zip(*columns, strict=True):
+                if row[:5] != current:
+                    if piece is not None:
+                        piece.finish()
+                        out += given()
+                    piece, current, at = Piece(row[5]), row[:5], 0
+                piece.feed(row[6:])
+            if piece is not None:
+                out += given()
+            yield _batch(out, FED)
+        if piece is not None:
+            piece.finish()
+            yield _batch(given(), FED)
+
+    dealt = rows.select(*keys, "thread", "seq", *READ).repartition(*keys).sortWithinPartitions(*keys, "seq")
+    fed = cut(dealt.select(*keys, "thread", *READ).mapInArrow(run, FED), "pieces-fed")
+
+    def rest(batches):
+        stack, current = None, None
+        for b in batches:
+            out: list = []
+            names = (*SEGMENT, "of_thread", "item", "ref", *frame, *(f"r_{n}" for n in READ))
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if row[:4] != current:
+                    if stack is not None:
+                        stack.finish()
+                        out += stack.out
+                    stack, current = CallStack(row[4]), row[:4]
+                if row[5] == "record":
+                    stack.feed(row[7 + len(frame) :])
+                elif row[5] == "mark":
+                    stack.mark(row[6])
+                else:
+                    stack.push(*row[7 : 7 + len(frame)])
+            if stack is not None:
+                out += stack.out
+                stack.out = []
+            yield _batch(out, OUTPUT)
+        if stack is not None:
+            stack.finish()
+            yield _batch(stack.out, OUTPUT)
+
+    left = fed.filter("at > 0").repartition(*SEGMENT).sortWithinPartitions(*keys, "at")
+    below = cut(left.mapInArrow(rest, OUTPUT), "pieces-left")
+    refs = below.filter("row = 'ref'").select(F.col("key").alias("ref"), F.col("function").alias("ref_function"), F.col("parent_key").alias("ref_key"))
+    above = fed.filter("at = 0").select(*NAMES, "ref", "target").join(counted_rows(cut(refs, "pieces-refs")), "ref", "left")
+    astray = F.coalesce(F.col("target") != F.col("ref_function"), F.lit(False))
+    above = above.withColumns({"parent_key": F.coalesce("parent_key", "ref_key"), "mismatch": F.col("mismatch") | astray})
+    return above.select(*NAMES).unionByName(below.filter("row <> 'ref'").select(*NAMES))
+
+
+def _segments(prepared: DataFrame) -> DataFrame:
+    sizes = prepared.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LONG).drop("n")
+    sizes = cut(sizes, "long-segments")
+    if sizes.isEmpty():
+        return _fed(prepared)
+    few = counted_rows(sizes)
+    return _fed(prepared.join(few, list(SEGMENT), "left_anti")).unionByName(_fed_in_pieces(pieces(prepared.join(few, list(SEGMENT), "left_semi"))))
+
+
 def with_event_ids(records: DataFrame) -> DataFrame:
     """``records`` with ``part``, their range of the stream, and ``event_id``, the 0-based rank of a sample in it.
 

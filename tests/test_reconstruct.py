@@ -141,6 +141,55 @@ def test_segments_equal_one_pass_over_each_thread(records, seed):
     assert len(kept) < len(full) and len({(r.tid, r.generation, r.segment) for r in prepared}) > 20
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_equal_whole_segments(spark, records, monkeypatch, seed):
+    """Long segments cut at plain calls, where stacks, ends of tracing and errors reach over the cuts."""
+    df = reconstruct.with_event_ids(records(*noise(1200, seed=100 + seed, threads=1 + seed % 2)))
+    show = lambda: [sorted(map(tuple, t.collect()), key=repr) for t in reconstruct.reconstruct(df, counted=True)]
+    whole = show()
+    cuts = []
+    monkeypatch.setattr(reconstruct, "LONG", 1)
+    monkeypatch.setattr(reconstruct, "pieces", lambda rows, cut=reconstruct.pieces: cuts.append(cut(rows)) or cuts[-1])
+    assert show() == whole
+    assert cuts[0].select(*reconstruct.SEGMENT, "piece").distinct().count() > cuts[0].select(*reconstruct.SEGMENT).distinct().count()
+
+
+def test_what_a_piece_leaves_over_is_its_effect_on_any_stack():
+    """Plain values: a stack fed with all records, and one fed with what random pieces of them leave over."""
+    for seed in range(300):
+        r = random.Random(seed)
+        rows, words = [], ["call"] * 6 + ["return"] * 6 + ["jump", "tail", "end", "begin", "begin", "async", "syscall", "error", "regressed"]
+        for k in range(80):
+            word, f = r.choice(words), lambda: r.choice([1, 2, 3, None])
+            flags = {"end": (False, True), "begin": (True, False)}.get(word, (False, False))
+            record = ["decoder_error" if word == "error" else "sample", 10 * k, r.choice([0, 0, 0, 1]), r.choice([0, 500]), None, "bad", 10 * k + 5 if word == "regressed" else None, k, f(), f(), 7]
+            rows.append((*record, word if word in ("call", "return") else "jump", *flags, word == "async", False, False, word == "syscall"))
+        whole = reconstruct.CallStack("t")
+        for row in rows:
+            whole.feed(row)
+        whole.finish()
+        fresh = [k for k in range(1, 80) if rows[k][11] == "call" and rows[k][0] == "sample" and not any(rows[k][12:]) and rows[k][6] is None and not next((x[13] for x in reversed(rows[:k]) if x[0] == "sample"), False)]
+        cuts = sorted(r.sample(fresh, min(len(fresh), r.randint(1, 6))))
+        below, out = reconstruct.CallStack("t"), []
+        for a, b in zip([0, *cuts], [*cuts, 80], strict=True):
+            piece = reconstruct.Piece("t")
+            for row in rows[a:b]:
+                piece.feed(row)
+            piece.finish()
+            out += piece.out
+            for what, value in piece.left:
+                below.feed(value) if what == "record" else below.mark(value) if what == "mark" else below.push(*value)
+        below.finish()
+        refs = {o[2]: o for o in below.out if o[0] == "ref"}
+        given = [o for o in below.out if o[0] != "ref"]
+        for *o, ref, target in out:
+            if ref is not None:
+                o[4] = refs[ref][4]
+                o[14] = bool(o[14]) or (target is not None and refs[ref][3] is not None and refs[ref][3] != target)
+            given.append(tuple(o))
+        assert sorted(map(repr, given)) == sorted(map(repr, whole.out))
+
+
 def test_streaming_equals_batch(spark, records, tmp_path):
     rows = noise(400, seed=3, exits=False) + [{"record_type": "task", "task_kind": "exit", "time_ns": 9999, "tid": t} for t in (1, 2, 3)]
     df = records(*rows).withColumn("cpu", F.lit(0)).withColumn("cpu_first_ns", F.lit(0).cast("long"))
