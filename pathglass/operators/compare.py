@@ -25,9 +25,13 @@ def comparable(baseline: dict, candidate: dict) -> dict[str, bool]:
 
 def _explicit(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """(pair, row number) of the first row, in hot-path order, that each pair's id names (JN10)."""
-    ids = pairs.select("pair", F.col(side).alias("wanted"))
-    # A request names a few pairs; they are broadcast as they come from the request itself.
-    hits = rows.join(F.broadcast(ids), F.col("path").endswith(F.col("wanted")))
+    ids = pairs.select("pair", F.col(side).alias("ending"))
+    # A path ends with an id if its ending of that length is the id. A request names a few pairs, so a few lengths.
+    lengths = sorted(r["n"] for r in ids.select(F.length("ending").alias("n")).distinct().collect())
+    if not lengths:
+        return rows.select(F.lit(0).alias("pair"), "place").limit(0)
+    ended = rows.select("path", "place", F.explode(F.array(*map(F.lit, lengths))).alias("n")).withColumn("ending", F.expr("right(path, n)"))
+    hits = ended.join(F.broadcast(ids), "ending")
     return hits.groupBy("pair").agg(F.min("place").alias("place"))
 
 

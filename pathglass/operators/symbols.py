@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Range joins meet on pages of 2**PAGE_BITS bytes.
+from pathglass.storage import cut
+
+#: Ranges are covered, and as-of joins carried over, by pages of 2**PAGE_BITS bytes.
 PAGE_BITS = 20
-#: A range over more pages than this is matched without them.
-WIDE_PAGES = 4_096
+#: Blocks of a cover double up to the whole address space.
+LEVELS = 64 - PAGE_BITS
+
+
+def cover(low: Column, high: Column) -> Column:
+    """The pages of [low, high) as aligned blocks of 2**level pages, at most two a level: structs (level, block)."""
+    first, behind = F.shiftright(low, PAGE_BITS), F.shiftright(high - 1, PAGE_BITS) + 1
+
+    def at(level: Column) -> Column:
+        left = -F.call_function("shiftright", -first, level)
+        right = F.call_function("shiftright", behind, level)
+        odd = lambda x: x.bitwiseAND(1) == 1
+        block = lambda x: F.struct(level.alias("level"), x.alias("block"))
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        return F.when(left >= right, none).otherwise(F.concat(F.when(odd(left), F.array(block(left))).otherwise(none), F.when(odd(right), F.array(block(right - 1))).otherwise(none)))
 
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
 
-def _pages(low, high):
-    return F.sequence(F.shiftright(low, PAGE_BITS), F.shiftright(high, PAGE_BITS))
+
+def within(probes: DataFrame, ranges: DataFrame, keys: tuple[str, ...], at: str, low: str, high: str) -> DataFrame:
+    """``probes`` joined with every range [low, high) of their keys that holds ``at``.
+
+    A range of any width is covered by a few aligned blocks, and a probe lies in one
+    block of each level, so both meet by an equi-join: a row for each level that the
+    ranges use and probe, of which there are at most LEVELS.
+    """
+    covers = ranges.filter(F.col(high) > F.col(low)).withColumn("__c", F.explode(cover(F.col(low), F.col(high))))
+    covers = cut(covers.select(*ranges.columns, F.col("__c.level").alias("__level"), F.col("__c.block").alias("__block")), "covers")
+    levels = sorted(r["__level"] for r in covers.select("__level").distinct().collect())
+    rows = probes.withColumn("__level", F.explode(F.array(*map(F.lit, levels or [0]))))
+    rows = rows.withColumn("__block", F.expr(f"shiftright({at}, __level + {PAGE_BITS})"))
+    met = rows.join(covers, [*keys, "__level", "__block"])
+    return met.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__level", "__block")
 
 
 def map_addresses(samples: DataFrame, mappings: DataFrame, keys: tuple[str, ...] = ("pid",)) -> DataFrame:
     """``samples`` (id, keys, ip, seq) with the mapping that holds them (JN4).
 
     A mapping (keys, start, end, generation, seq, path...) applies to samples behind
-    it; of several the newest generation wins. Ranges are cut into pages and meet
-    the samples' page by an equi-join; very wide ranges, which would take too many
-    pages, are looked up among themselves by their keys alone. With a column ``upto``
-    a mapping must hold that address too.
+    it; of several the newest generation wins. With a column ``upto`` a mapping must
+    hold that address too.
     """
     own = [c for c in mappings.columns if c not in (*keys, "start", "end", "seq", "generation")]
-    m = mappings.select(*keys, F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.col("seq").alias("m_seq"), "generation", *own).filter("m_end > m_start")
-    wide = F.shiftright(F.col("m_end") - F.col("m_start"), PAGE_BITS) > WIDE_PAGES
-    fits = (F.col("ip") >= F.col("m_start")) & (F.col("ip") < F.col("m_end")) & (F.col("m_seq") <= F.col("seq"))
+    m = mappings.select(*keys, F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.col("seq").alias("m_seq"), "generation", *own)
+    found = within(samples, m, keys, "ip", "m_start", "m_end").filter(F.col("m_seq") <= F.col("seq"))
     if "upto" in samples.columns:
-        fits &= F.col("upto") < F.col("m_end")
-    paged = m.filter(~wide).withColumn("page", F.explode(_pages(F.col("m_start"), F.col("m_end") - 1)))
-    by_page = samples.withColumn("page", F.shiftright("ip", PAGE_BITS)).join(paged, [*keys, "page"]).filter(fits)
-    by_key = samples.join(m.filter(wide), list(keys)).filter(fits)
-    found = by_page.drop("page").unionByName(by_key)
+        found = found.filter(F.col("upto") < F.col("m_end"))
     best = F.max_by(F.struct("m_start", "m_end", "generation", *own), F.col("generation")).alias("m")
     hits = found.groupBy("id").agg(best)
     out = samples.join(hits, "id", "left")
@@ -75,8 +97,7 @@ def inline_frames(addresses: DataFrame, ranges: DataFrame, keys: tuple[str, ...]
     ``ranges`` is (keys, lo, hi, frames), frames innermost first; the shortest range
     that holds an address wins. The innermost is null if it is the symbol itself.
     """
-    paged = ranges.filter("hi > lo").withColumn("page", F.explode(_pages(F.col("lo"), F.col("hi") - 1)))
-    rows = addresses.withColumn("page", F.shiftright("address", PAGE_BITS)).join(paged, [*keys, "page"]).filter("address >= lo and address < hi")
+    rows = within(addresses.select("id", *keys, "address"), ranges.select(*keys, "lo", "hi", "frames"), keys, "address", "lo", "hi")
     best = rows.groupBy("id").agg(F.min_by("frames", F.struct(F.col("hi") - F.col("lo"), "lo")).alias("frames"))
     out = addresses.join(best, "id", "left")
     inner = F.get(F.col("frames"), F.lit(0))["function"]
@@ -85,6 +106,7 @@ def inline_frames(addresses: DataFrame, ranges: DataFrame, keys: tuple[str, ...]
 
 def file_offset_address(probes: DataFrame, segments: DataFrame) -> DataFrame:
     """``probes`` (id, image_id, file_offset) with the image address of their segment (JN6), the first that holds them."""
-    rows = probes.join(segments, "image_id").filter("file_offset >= file_off and file_offset < file_off + file_size")
+    held = segments.select("image_id", "file_off", (F.col("file_off") + F.col("file_size")).alias("file_end"), "vaddr")
+    rows = within(probes.select("id", "image_id", "file_offset"), held, ("image_id",), "file_offset", "file_off", "file_end")
     first = rows.groupBy("id").agg(F.min_by(F.col("file_offset") - F.col("file_off") + F.col("vaddr"), "file_off").alias("address"))
     return probes.join(first, "id", "left")

@@ -198,7 +198,7 @@ ORACLE_SQL = {
   CAST(0 AS BIGINT) AS lost_records, (SELECT count(*) FROM rec) AS samples, (SELECT count(*) FROM rec WHERE time_ns IS NULL) AS unknown_times,
   (SELECT min(step) FROM (SELECT {_STEP} AS step FROM rec) WHERE step > 0) AS min_time_step_ns, CAST(0 AS BIGINT) AS foreign_samples, CAST(0 AS BIGINT) AS foreign_pids FROM machine""",
     "instruction_rows": _CODE + """SELECT seq AS id, 't_' || tid AS thread, CAST(sequence AS BIGINT) AS sequence, time_ns, CAST(NULL AS BIGINT) AS location, ip AS virt_ip, symbol, inlined, image_offset, CAST(len AS INTEGER) AS len, kind, branch_target, CASE WHEN kind <> 'return' THEN ip + len END AS fallthrough,
-  CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) THEN 'unknown' WHEN next_ip = branch_target THEN 'taken' WHEN next_ip = ip + len THEN 'not_taken' ELSE 'unknown' END END AS outcome, rtrim(regexp_replace(hex, '(..)', '\1 ', 'g')) AS bytes_hex FROM located WHERE NOT bad""",
+  CASE WHEN kind = 'conditional' THEN CASE WHEN coalesce(next_bad, true) THEN 'unknown' WHEN next_ip = branch_target THEN 'taken' WHEN next_ip = ip + len THEN 'not_taken' ELSE 'unknown' END END AS outcome, rtrim(regexp_replace(hex, '(..)', '\\1 ', 'g')) AS bytes_hex FROM located WHERE NOT bad""",
     "instruction_rows_from_image": _FROM_IMAGE + """SELECT seq AS id, 't_' || tid || CASE WHEN generation > 0 THEN '_g' || generation ELSE '' END AS thread, CAST(sequence AS BIGINT) AS sequence, time_ns, CAST(NULL AS BIGINT) AS location, ip AS virt_ip,
   CASE WHEN ip < 5120 AND ip % 256 < 12 THEN 'f' || (ip - 4096) // 256 END AS symbol, CASE WHEN ip < 5120 AND ip % 256 BETWEEN 4 AND 7 THEN 'g' || (ip - 4096) // 256 % 2 END AS inlined, image_offset, CAST(len AS INTEGER) AS len, kind,
   CASE WHEN NOT blind THEN ip + far END AS branch_target, CASE WHEN NOT blind AND kind <> 'return' THEN ip + len END AS fallthrough,
