@@ -54,7 +54,7 @@ class CallStack:
     """The stack of one thread, fed with its records in order; plain values, so it can be stored."""
 
     def __init__(self, thread: str, frames=None, pending=None):
-        self.thread, self.frames, self.pending, self.out = thread, frames or [], pending, []
+        self.thread, self.frames, self.pending, self.out = thread, [] if frames is None else frames, pending, []
 
     def _emit(self, frame, end, event, completeness, mismatch=False) -> None:
         key, function, parent, start, opened, _, site = frame

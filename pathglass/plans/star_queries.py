@@ -31,8 +31,8 @@ def _spans(spark, sf):
 
 
 def _derived(spark, sf):
-    """The spans as a written table, as a store holds them: written once, read by every plan."""
-    return stored(spark, ("spans", sf), lambda: star.spans(spark, sf)), star.functions(spark, sf)
+    """The spans as a written table, as a store holds them: written once, and anew when the star tables change."""
+    return stored(spark, ("spans", sf), lambda: star.spans(spark, sf), [f"{sf}/{t}.parquet" for t in ("orders", "lineitem", "part")]), star.functions(spark, sf)
 
 
 def hotpaths_function(spark, sf):

@@ -17,7 +17,7 @@ _TYPES = {
 }
 
 
-def _schema(text: str) -> StructType:
+def schema_of(text: str) -> StructType:
     """A name and a type in each line; needs no session, unlike Spark's own DDL."""
     out = StructType()
     for line in text.strip().splitlines():
@@ -26,7 +26,7 @@ def _schema(text: str) -> StructType:
     return out
 
 
-RECORDS = _schema("""
+RECORDS = schema_of("""
 stream int
 seq long
 record_type string
@@ -55,7 +55,7 @@ code int
 message string
 """)
 
-EVENTS = _schema("""
+EVENTS = schema_of("""
 id long
 thread string
 sequence long
@@ -73,7 +73,7 @@ from_location long
 to_location long
 """)
 
-SPANS = _schema("""
+SPANS = schema_of("""
 id long
 thread string
 function long
@@ -86,7 +86,7 @@ end_event long
 call_site long
 """)
 
-GAPS = _schema("""
+GAPS = schema_of("""
 thread string
 kind string
 start_ns long
@@ -95,7 +95,7 @@ extent_known boolean
 reason string
 """)
 
-THREADS = _schema("""
+THREADS = schema_of("""
 id string
 pid int
 tid int
@@ -111,7 +111,7 @@ segment_count long
 segments segments
 """)
 
-FUNCTIONS = _schema("""
+FUNCTIONS = schema_of("""
 id long
 name string
 demangled string
@@ -120,7 +120,7 @@ start long
 end long
 """)
 
-LOCATIONS = _schema("""
+LOCATIONS = schema_of("""
 id long
 image_id string
 image_offset long
@@ -131,7 +131,7 @@ line long
 inlined string
 """)
 
-MAPPINGS = _schema("""
+MAPPINGS = schema_of("""
 generation long
 pid int
 start long
@@ -144,7 +144,7 @@ valid_from long
 valid_to long
 """)
 
-INLINE_ROWS = _schema("""
+INLINE_ROWS = schema_of("""
 thread string
 function long
 chain strings
@@ -153,7 +153,7 @@ blocks long
 elapsed_ns long
 """)
 
-INSTRUCTIONS = _schema("""
+INSTRUCTIONS = schema_of("""
 id long
 thread string
 sequence long
@@ -173,20 +173,20 @@ bytes_hex string
 
 _FRAME = StructType().add("function", StringType()).add("file", StringType()).add("line", IntegerType())
 
-IMAGES = _schema("""
+IMAGES = schema_of("""
 path string
 image_id string
 build_id string
 """)
 
-SEGMENTS = _schema("""
+SEGMENTS = schema_of("""
 image_id string
 file_off long
 file_size long
 vaddr long
 """)
 
-CODE = _schema("""
+CODE = schema_of("""
 image_id string
 page long
 bytes binary

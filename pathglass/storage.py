@@ -37,15 +37,40 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 _STORED: dict = {}
 
 
-def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()`` written once for each application, shared folder and key, as a store holds its tables."""
-    at = (spark.sparkContext.applicationId, shared_dir(spark), *key)
-    if at not in _STORED:
-        df, path = make(), f"{shared_dir(spark)}/pathglass/{key[0]}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        _STORED[at] = (path, df.schema)
-    path, schema = _STORED[at]
-    return spark.read.schema(schema).parquet(path)
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fingerprint(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of every file at ``path``, a file or a folder."""
+    at, fs = _hadoop(spark, path)
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], sources: list[str]) -> DataFrame:
+    """``make()`` as a table in the shared folder, as a store holds its tables.
+
+    It is written once for each application and key, and anew when a file of its
+    ``sources`` has changed or the table itself has gone; what it replaces is deleted.
+    """
+    slot = (spark.sparkContext.applicationId, shared_dir(spark), *key)
+    now = [fingerprint(spark, s) for s in sources]
+    seen, path, schema = _STORED.get(slot, (None, None, None))
+    if path is not None:
+        at, fs = _hadoop(spark, path)
+        whole = fs.exists(at.suffix("/_SUCCESS"))
+        if seen == now and whole:
+            return spark.read.schema(schema).parquet(path)
+        fs.delete(at, True)
+    df, path = make(), f"{shared_dir(spark)}/pathglass/{key[0]}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED[slot] = (now, path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def counted(df: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 Rows of a micro-batch are fed by sequence. A record that comes late, behind a
 newer one of its thread, counts as a time regression and interrupts the stack; none
-is dropped. A task's exit closes its frames and starts a new generation of its thread.
+is dropped. A task's exit closes its frames, removes them from the state and starts a
+new generation of its thread. Frames are a map in the state, of which a batch reads and
+writes what it reaches.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from pathglass.operators.reconstruct import NAMES, OUTPUT, CallStack
 from pathglass.operators.reconstruct import READ as FED
+from pathglass.schemas import schema_of
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,32 +33,105 @@ READ = ["record_type", "seq", "time_ns", "cpu", "cpu_first_ns", "code", "message
 LARGE = ["time_ns", "cpu_first_ns", "ip"]
 
 
+#: A task's state but for its frames: generation and whether it was seen in it, its last time, how many frames are
+#: open, and the end of tracing that waits for what follows.
+HEAD = schema_of("""
+generation int
+seen boolean
+last long
+depth int
+waits boolean
+function long
+left long
+cpu int
+reason string
+""")
+FRAME = schema_of("""
+key long
+function long
+parent long
+start long
+opened long
+state string
+site long
+""")
+
+
+class StoredFrames:
+    """A stack of frames that are read from state as they are needed, the innermost first.
+
+    Only frames that were reached are written back: a deep stack costs no more than
+    what a batch does at its top.
+    """
+
+    def __init__(self, state, depth: int):
+        self.state, self.before, self.below, self.top = state, depth, depth, []
+
+    def _reach(self) -> None:
+        if not self.top and self.below:
+            self.below -= 1
+            self.top.append(list(self.state.getValue((self.below,))))
+
+    def __len__(self) -> int:
+        return self.below + len(self.top)
+
+    def __bool__(self) -> bool:
+        return len(self) > 0
+
+    def __getitem__(self, at: int):
+        if at != -1:
+            raise IndexError("only the innermost frame is at hand")
+        self._reach()
+        return self.top[-1]
+
+    def append(self, frame) -> None:
+        self.top.append(frame)
+
+    def pop(self):
+        self._reach()
+        return self.top.pop()
+
+    def store(self) -> int:
+        """Write what was reached, remove what has gone; the depth."""
+        depth = len(self)
+        for k, frame in enumerate(self.top, self.below):
+            self.state.updateValue((k,), tuple(x if x is None or isinstance(x, str) else int(x) for x in frame))
+        for k in range(depth, self.before):
+            self.state.removeKey((k,))
+        self.before = depth
+        return depth
+
+
 class StackProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stack", StructType().add("json", "string"))
+        self.head = handle.getValueState("head", HEAD)
+        self.frames = handle.getMapState("frames", schema_of("place int"), FRAME)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"frames": [], "pending": None, "last": None, "generation": 0, "seen": False}
-        name = lambda: f"t_{key[1]}" + (f"_g{held['generation']}" if held["generation"] else "")
-        stack = CallStack(name(), held["frames"], held["pending"])
+        generation, seen, last, depth, waits, *pending = self.head.get() if self.head.exists() else (0, False, None, 0, False, None, None, None, None)
+        name = lambda: f"t_{key[1]}" + (f"_g{generation}" if generation else "")
+        frames = StoredFrames(self.frames, depth)
+        stack = CallStack(name(), frames, tuple(pending) if waits else None)
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable").astype(object)
         batch = batch.where(batch.notna(), None)
         for r in batch[READ].to_dict("records"):
             r |= {c: None if r[c] is None else int(r[c]) for c in LARGE} | {"event_id": r["seq"], "regressed_from": None}
             if r["record_type"] == "sample":
-                held["seen"] = True
+                seen = True
                 if r["time_ns"] is not None:
-                    if held["last"] is not None and r["time_ns"] < held["last"]:
-                        r["regressed_from"] = held["last"]
-                    held["last"] = r["time_ns"]
-            elif r["record_type"] == "task" and not held["seen"]:
+                    if last is not None and r["time_ns"] < last:
+                        r["regressed_from"] = last
+                    last = r["time_ns"]
+            elif r["record_type"] == "task" and not seen:
                 continue
             stack.feed(tuple(r[c] for c in FED))
             if r["record_type"] == "task":
-                held.update(generation=held["generation"] + 1, seen=False, last=None)
+                generation, seen, last = generation + 1, False, None
                 stack.thread = name()
-        held.update(frames=stack.frames, pending=stack.pending)
-        self.state.update((json.dumps(held),))
+        plain = lambda x: None if x is None else int(x)
+        function, left, cpu, reason = stack.pending or (None,) * 4
+        # Of a task that has exited its generation stays, so that it is a new thread if it returns.
+        self.head.update((int(generation), bool(seen), plain(last), frames.store(), stack.pending is not None, plain(function), plain(left), plain(cpu), reason))
         if stack.out:
             yield pd.DataFrame(stack.out, columns=NAMES, dtype=object)
 

@@ -9,7 +9,7 @@ from pathglass.operators import reconstruct
 from pathglass.operators.reconstruct import CallStack
 from pathglass.schemas import RECORDS
 from pathglass.sources.trace_text import parse_records, parse_statistics, read_trace_text
-from pathglass.streaming.call_stacks import run_to_end, stream_stacks
+from pathglass.streaming.call_stacks import StoredFrames, run_to_end, stream_stacks
 
 FN = {0x10: 1, 0x20: 2, 0x30: 3, 0x40: 4}
 
@@ -202,6 +202,28 @@ def test_streaming_equals_batch(spark, records, tmp_path):
     want = sorted(((r.thread, r.function, r.start_ns, r.end_ns, r.completeness, r.call_site) for r in spans.collect()), key=repr)
     assert sorted(((r.thread, r.function, r.start_ns, r.end_ns, r.completeness, r.call_site) for r in got.filter("row = 'span'").collect()), key=repr) == want
     assert sorted(((r.thread, r.kind, r.start_ns, r.reason) for r in got.filter("row = 'gap'").collect()), key=repr) == sorted(((r.thread, r.kind, r.start_ns, r.reason) for r in gaps.collect()), key=repr)
+    # The tasks have exited: no frame is left in the state, and one row for each task.
+    held = lambda name: spark.read.format("statestore").option("path", f"file://{tmp_path}/out/progress").option("stateVarName", name).load().count()
+    assert held("frames") == 0 and held("head") == 3
+
+
+def test_frames_in_state_are_read_as_needed():
+    class State(dict):
+        getValue, updateValue, read = dict.__getitem__, dict.__setitem__, 0
+
+        def removeKey(self, key):
+            del self[key]
+
+    state = State({(k,): (k, k, k - 1, 0, k, "open_end", None) for k in range(50)})
+    frames = StoredFrames(state, 50)
+    stack = CallStack("t", frames)
+    stack._open(900, 0, 7, 5, "open_end")
+    assert len(frames) == 51 and frames[-1][2] == 49 and frames.below == 49
+    for _ in range(3):
+        frames.pop()
+    assert frames.store() == 48 and len(state) == 48 and frames.below == 48
+    stack.finish(9)
+    assert frames.store() == 0 and not state and len(stack.out) == 48
 
 
 TEXT = """# a comment
