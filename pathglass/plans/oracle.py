@@ -186,6 +186,14 @@ inline_sums AS (SELECT 't_' || tid AS thread, CASE WHEN start < 5120 THEN (start
 _MERGED = _RECORDS_ONLY.replace("rec AS", "every AS") + """, early AS (SELECT * REPLACE (time_ns - CASE WHEN seq % 31 = 0 THEN 7200000000000 ELSE 0 END AS time_ns) FROM every),
 latest AS (SELECT *, max(time_ns) OVER (PARTITION BY cpu % 2 ORDER BY seq) AS latest FROM early),
 rec AS MATERIALIZED (SELECT * REPLACE (row_number() OVER (ORDER BY latest, cpu % 2, seq) - 1 AS seq) FROM latest)"""
+#: All that can befall a stack, by the number of an event that was asynchronous.
+_KINDS = _RECORDS_ONLY.replace("rec AS", "every AS") + """, rec AS MATERIALIZED (SELECT * EXCLUDE flags REPLACE (time_ns - CASE WHEN seq % 31 = 0 THEN 7200000000000 ELSE 0 END AS time_ns),
+  CASE WHEN flags = 'async' AND seq % 6 = 1 THEN 'hw int' WHEN flags = 'async' AND seq % 6 = 2 THEN 'syscall' WHEN flags = 'tr end call' AND seq % 4 = 0 THEN 'tr end syscall' ELSE flags END AS flags,
+  CASE WHEN flags = 'async' THEN CASE seq % 6 WHEN 3 THEN 'm' WHEN 4 THEN 'e' WHEN 5 THEN 'x' ELSE 's' END ELSE 's' END AS what FROM every)"""
+#: Records of four processes.
+_PROCESSES = """WITH p AS (SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'decoder_error' WHEN 'signup' THEN 'task' WHEN 'purchase' THEN 'mmap' ELSE 'sample' END AS record_type,
+  CASE WHEN NOT (event_type = 'error' AND event_id % 4 = 0) THEN CAST(user_id % 4 + 1 AS INTEGER) END AS pid, CASE WHEN NOT (event_type = 'error' AND event_id % 4 IN (0, 1)) THEN CAST(user_id AS INTEGER) END AS tid FROM events)
+"""
 _BITS = """flags = 'tr strt' AS trace_begin, flags = 'tr end call' AS trace_end, flags = 'async' AS async_event, false AS "transaction", false AS interrupt, false AS syscall"""
 
 ORACLE_SQL = {
@@ -206,6 +214,10 @@ ORACLE_SQL = {
   CASE WHEN blind THEN '' ELSE rtrim(regexp_replace(hex, '(..)', '\\1 ', 'g')) END AS bytes_hex FROM z""",
     "inline_attribution": _RAN + "SELECT * FROM inline_sums",
     "hotpaths_inline_attributed": _RAN + """SELECT coalesce('f' || "function", '<unknown>') || CASE WHEN chain <> '' THEN ' > ' || chain ELSE '' END AS path, CAST(sum(blocks) AS BIGINT) AS observed_entries, CAST(sum(elapsed_ns) AS BIGINT) AS self_sum_ns, CAST(sum(instructions) AS BIGINT) AS instructions FROM inline_sums GROUP BY path""",
+    "every_kind_spans": stacks_sql(_KINDS, kinds=True) + """SELECT key AS id, thread, "function", parent_key AS parent, start_ns, end_ns, completeness, start_event, end_event, call_site FROM machine WHERE "row" = 'span'""",
+    "every_kind_gaps": stacks_sql(_KINDS, kinds=True) + """SELECT thread, kind, start_ns, end_ns, extent_known, reason FROM machine WHERE "row" = 'gap'""",
+    "live_records": _PROCESSES + "SELECT seq, record_type, pid, tid FROM p WHERE pid IN (1, 3) AND (record_type <> 'decoder_error' OR tid IS NOT NULL) OR (record_type = 'decoder_error' AND pid IS NULL)",
+    "foreign_samples": _PROCESSES + "SELECT pid, count(*) AS samples FROM p WHERE record_type = 'sample' AND pid NOT IN (1, 3) GROUP BY pid",
     "merged_streams_spans": stacks_sql(_MERGED) + """SELECT key AS id, thread, "function", parent_key AS parent, start_ns, end_ns, completeness, start_event, end_event, call_site FROM machine WHERE "row" = 'span'""",
     "merged_streams_gaps": stacks_sql(_MERGED) + """SELECT thread, kind, start_ns, end_ns, extent_known, reason FROM machine WHERE "row" = 'gap'""",
     "located_instructions": _CODE + """SELECT path, image_id, symbol, inlined, count(*) AS n, min(image_offset) AS low, max(image_offset) AS high, max(line) AS line FROM located GROUP BY ALL""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathglass.functions import scalars
 from pathglass.functions.flags import BOUNDARIES, boundary, flag_set, flow_kind
-from pathglass.operators import branches, call_paths, code, compare, hotpaths, locate, reconstruct, records, symbols
+from pathglass.operators import branches, call_paths, code, compare, hotpaths, locate, process, reconstruct, records, symbols
 from pathglass.operators.instructions import instruction_rows as rows_of_instructions
 from pathglass.operators.quantiles import nearest_ranks
 from pathglass.operators.self_time import self_times
@@ -322,7 +322,7 @@ def cache_key(spark, sf):
 def with_functions(records: DataFrame) -> DataFrame:
     """Records classified, with functions: one for each 256 bytes, one of them unknown."""
     nothing = {"task_kind": "string", "code": "int", "message": "string"}
-    rows = reconstruct.classify(records.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}))
+    rows = reconstruct.classify(records.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items() if c not in records.columns}))
     of = lambda c: F.nullif(F.shiftright(c, 8) - 15, F.lit(7).cast("long"))
     return rows.withColumn("from_fn", of(F.col("ip"))).withColumn("to_fn", of(F.col("addr")))
 
@@ -346,6 +346,27 @@ def stream_reconstruct(spark, sf):
     return run_to_end(stream_stacks(rows), f"{shared_dir(spark)}/pathglass/stream-{uuid.uuid4().hex}")
 
 
+def every_kind_spans(spark, sf):
+    """Calls across interrupts, system calls, errors, exits and steps back in time."""
+    return reconstruct.reconstruct(with_functions(star.records_of_every_kind(spark, sf)))[0]
+
+
+def every_kind_gaps(spark, sf):
+    return reconstruct.reconstruct(with_functions(star.records_of_every_kind(spark, sf)))[1]
+
+
+def live_records(spark, sf):
+    """What is kept of four processes if the first is traced, with what it forks."""
+    rows = cut(star.records_of_processes(spark, sf), "processes")
+    kept, _ = process.live(rows, process.traced(rows, root_pid=1))
+    return kept.select("seq", "record_type", "pid", "tid")
+
+
+def foreign_samples(spark, sf):
+    rows = cut(star.records_of_processes(spark, sf), "processes")
+    return process.live(rows, process.traced(rows, root_pid=1))[1]
+
+
 def merged_streams_spans(spark, sf):
     """Calls of two overlapping streams with steps back in time, merged."""
     return reconstruct.reconstruct(with_functions(star.two_streams(spark, sf)))[0]
@@ -461,6 +482,10 @@ QUERIES = {
     "instruction_rows_from_image": instruction_rows_from_image,
     "inline_attribution": inline_attribution,
     "hotpaths_inline_attributed": hotpaths_inline_attributed,
+    "every_kind_spans": every_kind_spans,
+    "every_kind_gaps": every_kind_gaps,
+    "live_records": live_records,
+    "foreign_samples": foreign_samples,
     "merged_streams_spans": merged_streams_spans,
     "merged_streams_gaps": merged_streams_gaps,
     "located_instructions": located_instructions,

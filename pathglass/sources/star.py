@@ -197,6 +197,40 @@ def executed_with_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records_of_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream with all that can befall a stack: what was an asynchronous transfer is, in turn, that, a
+    hardware interrupt, a system call, an error with and without a missing image, or an exit; some times lie two
+    hours early, and some tracing ends at a system call."""
+    rows = two_streams(spark, sf_dir).withColumn("stream", F.lit(0))
+    k, was, end = F.col("seq") % 6, F.col("flags") == "async", F.col("flags") == "tr end call"
+    error, leaves = was & k.isin(3, 4), was & (k == 5)
+    flags = F.when(was & (k == 1), "hw int").when(was & (k == 2), "syscall").when(end & (F.col("seq") % 4 == 0), "tr end syscall").otherwise(F.col("flags"))
+    return rows.withColumns({
+        "record_type": F.when(error, "decoder_error").when(leaves, "task").otherwise("sample"),
+        "task_kind": F.when(leaves, "exit"),
+        "code": F.when(error & (k == 3), 5),
+        "message": F.when(error, "bad"),
+        "flags": F.when(~error & ~leaves, flags),
+        "ip": F.when(~error & ~leaves, F.col("ip")),
+        "addr": F.when(~error & ~leaves, F.col("addr")),
+    })
+
+
+def records_of_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream over four processes, of which the first is forked by none and has forked the third:
+    signups are forks, purchases mappings, errors name their thread, their process alone, or nothing."""
+    rows = records(spark, sf_dir)
+    e = star(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    pid, kind, k = F.col("tid") % 4 + 1, F.col("event_type"), F.col("seq") % 4
+    error = kind == "error"
+    return rows.drop("record_type", "pid", "event").join(e, "seq").select(
+        "seq", "time_ns",
+        F.when(error, "decoder_error").when(kind == "signup", "task").when(kind == "purchase", "mmap").otherwise("sample").alias("record_type"),
+        F.when(~(error & (k == 0)), pid).alias("pid"), F.when(~(error & k.isin(0, 1)), F.col("tid")).alias("tid"),
+        F.when(kind == "signup", "fork").alias("task_kind"), F.when((kind == "signup") & (pid > 1), pid - 2).alias("ppid"), F.lit(None).cast("string").alias("comm"),
+    )
+
+
 def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as two, of the even and of the odd cpus; some times lie two hours early."""
     rows = records(spark, sf_dir)
