@@ -25,8 +25,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathglass.llm.bitmaps import bitmap, candidate_groups
 from pathglass.llm.bpe_fst import PieceTable
-from pathglass.llm.common import Scratch, join_spread, release_with, task_tables, text_stream
+from pathglass.llm.common import HOT_KEYS, Scratch, join_spread, release_with, task_tables, text_stream
 
 WORDS = 5
 TREES = 10
@@ -85,25 +86,26 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text_hash, n_shingles, key, sig, packed): key names the set, packed is the compressed text."""
+    """(id, text_hash, n_shingles, key, sig, packed, bits): key names the set, packed is the compressed text."""
 
     def run(batches):
         with task_tables("shingles"):
             release_with("shingles", word_hashes.cache_clear)
             hashes, zip_ = word_hashes(), zstandard.ZstdCompressor(level=1)
             for b in batches:
-                n, key, sig, packed = [], [], [], []
+                n, key, sig, packed, bits = [], [], [], [], []
                 for text in text_stream(b, "__text"):
                     found = shingles(text, hashes, words)
                     n.append(len(found))
                     key.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     sig.append(signature(found).tobytes() if len(found) else None)
                     packed.append(zip_.compress(text.encode()) if len(found) else None)
-                columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, sig, packed))]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), *columns], ["id", "text_hash", "n_shingles", "key", "sig", "packed"])
+                    bits.append(bitmap(found) if len(found) else None)
+                columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, sig, packed, bits))]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), *columns], ["id", "text_hash", "n_shingles", "key", "sig", "packed", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, key binary, sig binary, packed binary")
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, key binary, sig binary, packed binary, bits binary")
 
 
 def places_below(node: int, level: int, free: list[int]) -> list[int]:
@@ -194,9 +196,7 @@ def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list
             out = out.unionByName(lists(_blocks(large, leaf)))
         else:
             level = _branch(large.join(reps.select("key", "sig"), "key"), depth, free=free)
-    out = out.filter(F.size("members") > 1)
-    node = F.sha2(F.array_join(F.transform("members", F.hex), ""), 256)
-    return out.groupBy(node.alias("node")).agg(F.first("members").alias("members"))
+    return _once(out)
 
 
 def link_node(keys: list, sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[tuple]:
@@ -227,6 +227,27 @@ def link_node(keys: list, sets: list[np.ndarray], sigs: np.ndarray, percent: int
     return out
 
 
+def _pruned(leaves: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """What is left of (node, members) by ``facts`` (key, n, bits, component): groups of members that may link over components."""
+    rows = facts.join(leaves.select("node", F.explode("members").alias("key")), "key")
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)[order]
+        component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1][order]
+        found = [[keys[order[k]] for k in g.tolist()] for g in candidate_groups(table.column("n").to_numpy()[order], bits, component, percent)]
+        return pa.table({"members": pa.array(found, pa.list_(pa.binary()))})
+
+    return _once(rows.groupBy("node").applyInArrow(run, "members array<binary>"))
+
+
+def _once(lists: DataFrame) -> DataFrame:
+    """(node, members): equal lists once."""
+    node = F.sha2(F.array_join(F.transform("members", F.hex), ""), 256)
+    return lists.filter(F.size("members") > 1).groupBy(node.alias("node")).agg(F.first("members").alias("members"))
+
+
 def _links(leaves: DataFrame, reps: DataFrame, percent: int, words: int) -> DataFrame:
     """(a, b): confirmed links that connect all linked sets of each leaf."""
     rows = reps.join(leaves.select("node", F.explode("members").alias("key")), "key").select("node", "key", "packed")
@@ -254,6 +275,14 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     total = edges.count()
     labels = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("ends"))
     labels = scratch.table(labels.select(F.col("a").alias("id"), "ends", F.least("a", "m").alias("component")), "labels")
+    while total <= HOT_KEYS:  # as many rows as a broadcast may have: no task is too much
+        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        joined = labels.join(near, "id").select("id", "ends", F.col("component").alias("before"), F.least("component", "m").alias("component"))
+        own = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        new = scratch.table(joined.join(own, "component").select("id", "ends", "before", F.least("component", "further").alias("component")), "labels")
+        labels = new.select("id", "ends", "component")
+        if new.filter("before != component").isEmpty():
+            return labels.select("id", "component")
     while True:
         # Neither an end of very many links nor a label of very many ends meets in one task.
         near = join_spread(edges, labels.withColumnRenamed("id", "b"), "b", "ends", total).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
@@ -284,17 +313,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, tree
     # A row for each set, but for rows that repeat an id with its set. The id is part
     # of the join, so the copies of a set do not meet in one task.
     first = classes.select(F.col("key").alias("set"), "first")
-    reps = with_set.join(first, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed")
+    reps = with_set.join(first, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed", "n_shingles", "bits")
+    facts = scratch.table(reps.select("key", F.col("n_shingles").alias("n"), "bits"), "facts")
     places = [k * PLACES // trees for k in range(trees)]
     # The first trees find most components; the others skip what these have settled.
-    early = scratch.table(_links(_leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels), reps, percent, words), "links")
+    leaves = _leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels)
+    leaves = scratch.table(_pruned(leaves, facts.withColumn("component", F.col("key")), percent), "leaves")
+    early = scratch.table(_links(leaves, reps, percent, words), "links")
     # The first ones grow on below roots that were only looked at in chunks.
     settled = components(early, scratch)
     free = [k for k in range(PLACES) if k not in places] or places
     grown = _leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels, settled, free, seen=True)
     if places[FIRST_TREES:]:
         grown = grown.unionByName(_leaves(scratch, with_set, reps, places[FIRST_TREES:], leaf, levels, settled, free))
-    late = _links(grown, reps, percent, words)
+    own = facts.join(settled.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    late = _links(scratch.table(_pruned(grown, own, percent), "leaves"), reps, percent, words)
     labels = components(early.unionByName(late), scratch).withColumnRenamed("id", "key")
     labelled = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -33,20 +33,29 @@ class Scratch:
     """Tables that are deleted once an operator's result is written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.n = spark, new_path(spark, "scratch"), 0
+        self.spark, self.path, self.n, self.paths = spark, new_path(spark, "scratch"), 0, {}
 
     def table(self, df: DataFrame, what: str) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{what}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that nothing reads any more."""
+        self._delete(self.paths.pop(id(table))[1])
+
+    def _delete(self, name: str) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
     def result(self, df: DataFrame, what: str) -> DataFrame:
         """``df`` written to a folder of its own; the scratch tables go."""
         out = materialise(df, what)
-        context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.path)
         return out
 
 

@@ -9,7 +9,9 @@ whose subsets are too many, scan the inverted lists of their single prefix shing
 The size that parts them is where the estimated work is least. A list too long to
 compare grows its subsets by a further shingle, by which no link is lost.
 
-Comparisons are exact, on full sets. A list yields a spanning forest of its links, and
+Before texts are fetched, bitmaps of the sets rule out pairs that differ in too many
+shingles; that is a bound, not an estimate. What is left of a list is compared exactly,
+on full sets. A list yields a spanning forest of its links, and
 lists within one component are dropped, so that a group of copies costs no pairs.
 """
 
@@ -25,21 +27,42 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.chosen_path import WORDS, _mix, components, shingles, word_hashes
-from pathglass.llm.common import Scratch, join_spread, release_with, task_tables, text_stream
+from pathglass.llm.bitmaps import bitmap, candidate_groups
+from pathglass.llm.chosen_path import WORDS, _mix, components
+from pathglass.llm.common import HOT_KEYS, Scratch, join_spread, task_tables, text_stream
 
 #: Lists of at most so many sets are compared as they are.
-LEAF = 500
+LEAF = 256
 #: Cells of the table of counts that orders shingles, and the slices it is summed in: a fixed size.
 CELLS, SLICES = 1 << 22, 64
 #: Shingles of a subset at most, beyond which a long list is compared block by block.
 DEEPEST = 4
-#: One list in so many is compared first, to find most components.
-FIRST = 8
+#: Lists of each set that are compared first, and how often, to find most components before all others are looked at.
+CHOSEN, ROUNDS = 3, 2
+#: What a row of a subset costs, in entries of lists scanned.
+ROW = 8
 #: Sizes told apart when the boundary is chosen; larger sets count as this size.
 SIZES = 4_096
 
 
+#: Odd factors of the words of a shingle.
+_PLACES = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The distinct hashed shingles of a text, ascending; with fewer words the whole sequence as one."""
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, text.encode().lower().split()), np.uint64)
+    if not len(w):
+        return w
+    size = min(len(w), words)
+    n = len(w) - size + 1
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h += w[k : k + n] * _PLACES[k % len(_PLACES)] + np.uint64(k // len(_PLACES))
+    h = np.sort(_mix(h))
+    return h[np.append(True, h[1:] != h[:-1])]
+
+
 def needed(n: int, percent: int) -> int:
     """Shingles that a set of ``n`` shares with any set it links with, at least."""
     return -(-percent * n // 100)
@@ -56,17 +79,14 @@ def _described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
     def run(batches):
         with task_tables("shingles"):
-            release_with("shingles", word_hashes.cache_clear)
-            hashes, zip_ = word_hashes(), zstandard.ZstdCompressor(level=1)
+            zip_ = zstandard.ZstdCompressor(level=1)
             total = np.zeros(CELLS, np.uint32)
             names = ["id", "n", "key", "packed", "slice", "counts"]
             for b in batches:
                 n, key, packed = [], [], []
                 for text in text_stream(b, "__text"):
-                    found = shingles(text, hashes, words)
-                    total += np.bincount(found & np.uint64(CELLS - 1), minlength=CELLS).astype(np.uint32) if len(found) > CELLS // 8 else 0
-                    if 0 < len(found) <= CELLS // 8:
-                        np.add.at(total, (found & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+                    found = shingles(text, words)
+                    np.add.at(total, (found & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
                     n.append(len(found))
                     key.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     packed.append(zip_.compress(text.encode()) if len(found) else None)
@@ -99,26 +119,26 @@ def _summed(tables: DataFrame) -> np.ndarray:
 
 
 def _ordered(sets: DataFrame, steps: np.ndarray, percent: int, words: int) -> DataFrame:
-    """``sets`` with the prefix for DEEPEST shared shingles in the common order, and the work of scanning its lists."""
+    """``sets`` with the prefix for DEEPEST shared shingles in the common order, the work of scanning its lists, and a bitmap."""
     table = sets.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches):
         with task_tables("shingles"):
-            release_with("shingles", word_hashes.cache_clear)
-            hashes, unzip = word_hashes(), zstandard.ZstdDecompressor()
+            unzip = zstandard.ZstdDecompressor()
             usual = 2.0 ** (float(np.mean(table.value)) / 8)
             for b in batches:
-                first, work = [], []
+                first, work, bits = [], [], []
                 for n, packed in zip(b.column("n").to_pylist(), b.column("packed").to_pylist(), strict=True):
-                    found = shingles(unzip.decompress(packed).decode(), hashes, words)
+                    found = shingles(unzip.decompress(packed).decode(), words)
                     step = table.value[(found & np.uint64(CELLS - 1)).astype(np.int64)]
                     order = np.lexsort((found, step))[: prefix(n, DEEPEST, percent)]
                     first.append(found[order].tobytes())
+                    bits.append(bitmap(found))
                     alone = prefix(n, 1, percent)
-                    work.append(int((1 + np.maximum(0, 2.0 ** (step[order[:alone]] / 8) - usual) * alone / n).sum()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("num", "key", "first", "copies", "n", "packed")), pa.array(first, pa.binary()), pa.array(work, pa.int64())], ["num", "key", "first", "copies", "n", "packed", "prefix", "work"])
+                    work.append(int((ROW + np.maximum(0, 2.0 ** (step[order[:alone]] / 8) - usual) * alone / n).sum()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("num", "key", "first", "copies", "n", "packed")), pa.array(first, pa.binary()), pa.array(work, pa.int64()), pa.array(bits, pa.binary())], ["num", "key", "first", "copies", "n", "packed", "prefix", "work", "bits"])
 
-    return sets.mapInArrow(run, "num long, key binary, first long, copies long, n long, packed binary, prefix binary, work long")
+    return sets.mapInArrow(run, "num long, key binary, first long, copies long, n long, packed binary, prefix binary, work long, bits binary")
 
 
 def boundary(sizes: list[tuple[int, int, int]], percent: int) -> int:
@@ -131,46 +151,46 @@ def boundary(sizes: list[tuple[int, int, int]], percent: int) -> int:
     light, heavy = 0, sum(w for _, _, w in sizes)
     best = (heavy, 0)
     for n, sets, work in sizes:
-        light += sets * comb(prefix(n, 2, percent), 2)
+        light += ROW * sets * comb(prefix(n, 2, percent), 2)
         heavy -= work
         best = min(best, (light + heavy, n))
     return best[1]
 
 
 def _grow(rows: DataFrame, percent: int, bound: int | None = None) -> DataFrame:
-    """(node, num, at, share, scan) of subsets. Without ``bound`` one shingle more than those of ``rows`` (node, at,
-    share, scan, num, n, prefix); with it the first ones of sets: pairs of light sets, singles for heavy ones."""
+    """(node, num, tag) of subsets. Without ``bound`` one shingle more than those of ``rows`` (node, tag, num, n,
+    prefix); with it the first ones of sets: pairs of light sets, singles for heavy ones. The tag holds the place
+    of a subset's last shingle, how many it has, and whether it is a list that heavy sets scan."""
 
     def run(batches):
         for b in batches:
-            nodes, at, take, share, scan = [], [], [], [], []
-            known = [b.column(c).to_pylist() for c in ("node", "at", "share", "scan")] if bound is None else None
+            nodes, take, tags = [], [], []
+            known = [b.column(c).to_pylist() for c in ("node", "tag")] if bound is None else None
             for k, (n, data) in enumerate(zip(b.column("n").to_pylist(), b.column("prefix").to_pylist(), strict=True)):
                 p = np.frombuffer(data, np.uint64)
                 made = []
                 if bound is None:
-                    i, s = known[1][k], known[2][k] + 1
-                    j = np.arange(i + 1, prefix(n, s, percent))
-                    made.append((_mix(p[j] ^ _mix(np.full(len(j), known[0][k], np.int64).view(np.uint64))), j, s, known[3][k]))
+                    tag = known[1][k]
+                    s = (tag >> 1 & 7) + 1
+                    j = np.arange((tag >> 4) + 1, prefix(n, s, percent))
+                    made.append((_mix(p[j] ^ _mix(np.full(len(j), known[0][k], np.int64).view(np.uint64))), j, s, tag & 1))
                 else:
                     if n <= bound:
                         i, j = np.triu_indices(prefix(n, 2, percent), 1)
-                        made.append((_mix(p[j] ^ _mix(_mix(p[i]))), j, 2, False))
+                        made.append((_mix(p[j] ^ _mix(_mix(p[i]))), j, 2, 0))
                     if 100 * n >= percent * (bound + 1):
                         j = np.arange(prefix(n, 1, percent))
-                        made.append((_mix(p[j]), j, 1, True))
+                        made.append((_mix(p[j]), j, 1, 1))
                 for node, j, s, scans in made:
                     nodes.append(node.view(np.int64))
-                    at.append(j.astype(np.int32))
                     take.append(np.full(len(j), k, np.int32))
-                    share.append(np.full(len(j), s, np.int32))
-                    scan.append(np.full(len(j), scans, bool))
+                    tags.append((j << 4 | s << 1 | scans).astype(np.int32))
                 if sum(map(len, nodes)) >= 1 << 18 or k == b.num_rows - 1:
                     if nodes:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), b.column("num").take(pa.array(np.concatenate(take))), *(pa.array(np.concatenate(x)) for x in (at, share, scan))], ["node", "num", "at", "share", "scan"])
-                    nodes, at, take, share, scan = [], [], [], [], []
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), b.column("num").take(pa.array(np.concatenate(take))), pa.array(np.concatenate(tags))], ["node", "num", "tag"])
+                    nodes, take, tags = [], [], []
 
-    return rows.mapInArrow(run, "node long, num long, at int, share int, scan boolean")
+    return rows.mapInArrow(run, "node long, num long, tag int")
 
 
 def link_sets(nums: list[int], sets: list[np.ndarray], pivots: list[bool], percent: int) -> list[tuple[int, int]]:
@@ -195,18 +215,38 @@ def link_sets(nums: list[int], sets: list[np.ndarray], pivots: list[bool], perce
     return out
 
 
+def _once(lists: DataFrame) -> DataFrame:
+    """Equal lists once, under a name: sets that are alike share very many subsets."""
+    name = F.sha2(F.array_join(F.transform("members", lambda x: x.cast("string")), ","), 256)
+    return lists.filter(F.size("members") > 1).groupBy(name.alias("list")).agg(F.first("members").alias("members"), F.bool_and("scan").alias("scan"))
+
+
+def _pruned(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """What is left of lists (members, scan) by ``facts`` (num, n, bits, component): groups of members that may link."""
+    rows = facts.join(_once(lists).select("list", "scan", F.explode("members").alias("num")), "num")
+
+    def run(table: pa.Table) -> pa.Table:
+        num = np.array(table.column("num").to_pylist(), np.int64)
+        order = np.argsort(num)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(num), -1)[order]
+        size, component = (table.column(c).to_numpy()[order] for c in ("n", "component"))
+        found = [num[order][g].tolist() for g in candidate_groups(size, bits, component, percent)]
+        scan = table.column("scan")[0].as_py()
+        return pa.table({"members": pa.array(found, pa.list_(pa.int64())), "scan": pa.array([scan] * len(found), pa.bool_())})
+
+    return rows.groupBy("list").applyInArrow(run, "members array<long>, scan boolean")
+
+
 def _compared(lists: DataFrame, sets: DataFrame, bound: int, percent: int, words: int) -> DataFrame:
     """(a, b): links that join all linked sets of each list (members, scan); in scanned ones an end is heavy."""
-    # Equal lists once: sets that are alike share very many subsets.
-    name = F.sha2(F.array_join(F.transform("members", lambda x: x.cast("string")), ","), 256)
-    lists = lists.filter(F.size("members") > 1).groupBy(name.alias("list")).agg(F.first("members").alias("members"), F.bool_and("scan").alias("scan"))
+    lists = _once(lists)
     rows = sets.select("num", "packed").join(lists.select("list", "scan", F.explode("members").alias("num")), "num").select("list", "scan", "num", "packed")
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, unzip = word_hashes(), zstandard.ZstdDecompressor()
+        unzip = zstandard.ZstdDecompressor()
         texts = dict(zip(table.column("num").to_pylist(), table.column("packed").to_pylist(), strict=True))
         nums = sorted(texts)
-        found = [shingles(unzip.decompress(texts[k]).decode(), hashes, words) for k in nums]
+        found = [shingles(unzip.decompress(texts[k]).decode(), words) for k in nums]
         scan = table.column("scan")[0].as_py()
         got = link_sets(nums, found, [not scan or len(x) > bound for x in found], percent)
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
@@ -214,23 +254,35 @@ def _compared(lists: DataFrame, sets: DataFrame, bound: int, percent: int, words
     return rows.groupBy("list").applyInArrow(run, "a long, b long").distinct()
 
 
-_lists = lambda rows: rows.groupBy("node").agg(F.sort_array(F.collect_set("num")).alias("members"), F.bool_and("scan").alias("scan")).select("members", "scan")
+_lists = lambda rows: rows.groupBy("node").agg(F.sort_array(F.collect_set("num")).alias("members"), F.bool_and(F.col("tag") % 2 == 1).alias("scan")).select("members", "scan")
 
 
 def _shared(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, int]:
     """Written rows of the nodes that several sets are in, with their ``size``; and the number of ``rows``."""
     total = rows.count()
     counts = scratch.table(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "list-sizes")
-    return scratch.table(join_spread(rows, counts, "node", "size", total), "lists"), total
+    # Rows and sizes meet by a shuffle whatever their number; only the longest lists' sizes are broadcast.
+    long = counts.filter(F.col("size") >= max(1_000, total // HOT_KEYS))
+    usual = rows.join(F.broadcast(long.select("node")), "node", "left_anti").join(counts.hint("merge"), "node")
+    return scratch.table(usual.unionByName(rows.join(F.broadcast(long), "node")), "lists"), total
+
+
+def _chosen(rows: DataFrame, round_: int) -> DataFrame:
+    """Of each set's ``rows`` the CHOSEN with the smallest hashes: sets that share many lists choose the same ones."""
+    pick = lambda k: F.min_by(F.struct("node", "tag"), F.xxhash64("node", F.lit(CHOSEN * round_ + k)))
+    taken = rows.groupBy("num").agg(F.array_distinct(F.array(*map(pick, range(CHOSEN)))).alias("c"))
+    taken = taken.select("num", F.explode("c").alias("c")).select("num", "c.node", "c.tag")
+    sizes = taken.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    return taken.join(sizes.hint("merge"), "node").select("node", "num", "tag", "size").filter("size > 1")
 
 
 def _chunked(rows: DataFrame, leaf: int) -> DataFrame:
     """Long lists in chunks, each with the list's smallest set: a first, linear look at them."""
     n = F.ceil(F.col("size") / leaf).cast("int")
-    own = rows.select("node", "num", "scan", F.pmod(F.xxhash64("num", "node"), n).cast("int").alias("chunk"))
-    pivots = rows.groupBy("node").agg(F.min("num").alias("num"), F.bool_and("scan").alias("scan"), F.max(n).alias("n"))
-    pivots = pivots.select("node", "num", "scan", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-    return own.unionByName(pivots).select(F.xxhash64("node", "chunk").alias("node"), "num", "scan")
+    own = rows.select("node", "num", "tag", F.pmod(F.xxhash64("num", "node"), n).cast("int").alias("chunk"))
+    pivots = rows.groupBy("node").agg(F.min("num").alias("num"), F.min("tag").alias("tag"), F.max(n).alias("n"))
+    pivots = pivots.select("node", "num", "tag", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
+    return own.unionByName(pivots).select(F.xxhash64("node", "chunk").alias("node"), "num", "tag")
 
 
 def _rest(rows: DataFrame, leaf: int) -> DataFrame:
@@ -238,8 +290,8 @@ def _rest(rows: DataFrame, leaf: int) -> DataFrame:
     n = F.ceil((F.col("size") - F.col("rest")) / leaf).cast("int")
     own = F.pmod(F.xxhash64("num", "node"), n).cast("int")
     chunk = F.explode(F.when(F.col("component") == F.col("most"), F.array(own)).otherwise(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("node", "num", "scan", chunk.alias("chunk"))
-    return rows.select(F.xxhash64("node", "chunk").alias("node"), "num", "scan")
+    rows = rows.select("node", "num", "tag", chunk.alias("chunk"))
+    return rows.select(F.xxhash64("node", "chunk").alias("node"), "num", "tag")
 
 
 def _paired(rows: DataFrame, leaf: int) -> DataFrame:
@@ -247,18 +299,22 @@ def _paired(rows: DataFrame, leaf: int) -> DataFrame:
     n = F.ceil(F.col("size") / max(1, leaf // 2)).cast("int")
     rows = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("num", "node"), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "num", "scan")
+    return rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "num", "tag")
 
 
 def _open(scratch: Scratch, shared: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     """Rows of the lists that hold several components, with the largest one and what is outside of it."""
-    at = shared.join(labels.select(F.col("id").alias("num"), "component"), "num", "left").withColumn("component", F.coalesce("component", "num"))
-    at = scratch.table(at, "labelled")
+    at = scratch.table(_with_labels(shared, labels), "labelled")
     parts = at.groupBy("node", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("component", "m").alias("most"))
     several = parts.filter("parts > 1").select("node", "most", "all", (F.col("all") - F.col("m")).alias("rest"))
     return scratch.table(join_spread(at, scratch.table(several, "several"), "node", "all", total), "open")
 
 
+def _with_labels(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``facts`` with the component of each set, itself if it has no link."""
+    return facts.join(labels.select(F.col("id").alias("num"), "component"), "num", "left").withColumn("component", F.coalesce("component", "num"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text", light: int | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row.
 
@@ -273,40 +329,50 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, l
         raise ValueError("percent lies from 76 to 100")
     scratch = Scratch(docs.sparkSession)
     described = scratch.table(_described(docs, id_col, text_col, words), "described")
-    documents = described.filter("slice is null")
+    documents = scratch.table(described.filter("slice is null").select("id", "n", "key"), "documents")
     with_set = documents.filter("key is not null")
     classes = scratch.table(with_set.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     # A row for each set. Sets of three shingles or fewer link with equal ones alone.
     steps = _summed(described.filter("slice is not null").select("slice", "counts"))
     named = classes.select(F.col("key").alias("set"), "first", "copies")
-    reps = with_set.filter(F.col("n") >= DEEPEST).join(named, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first")))
+    reps = described.filter("key is not null").filter(F.col("n") >= DEEPEST).join(named, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first")))
     reps = reps.select(F.monotonically_increasing_id().alias("num"), "key", "first", "copies", "n", "packed")
     sets = scratch.table(_ordered(reps, steps, percent, words), "sets")
+    scratch.drop(described)
     if light is None:
         # A row for each size up to SIZES.
         sizes = sets.groupBy(F.least("n", F.lit(SIZES)).alias("n")).agg(F.count(F.lit(1)).alias("sets"), F.sum("work").alias("work")).collect()
         light = boundary([tuple(r) for r in sizes], percent)
     rows = scratch.table(_grow(sets.select("num", "n", "prefix"), percent, light), "subsets")
     shared, total = _shared(scratch, rows)
-
-    first = shared.filter(F.pmod("node", F.lit(FIRST)) == 0)
-    early = _lists(first.filter(F.col("size") <= leaf)).unionByName(_lists(_chunked(first.filter(F.col("size") > leaf), leaf)))
-    links = scratch.table(_compared(early, sets, light, percent, words), "links")
-    labels = components(links, scratch)
-    later = None
-    rest = shared.filter((F.pmod("node", F.lit(FIRST)) != 0) | (F.col("size") > leaf))
+    scratch.drop(rows)
+
+    facts = sets.select("num", "n", "bits")
+    links = labels = None
+    for round_ in range(ROUNDS):
+        # A dense group is joined by a few of its lists, in chunks where they are long; the others are dropped then.
+        known = facts.withColumn("component", F.col("num")) if labels is None else _with_labels(facts, labels)
+        lists = scratch.table(_chosen(shared if labels is None else _open(scratch, shared, labels, total), round_), "chosen")
+        lists = _lists(lists.filter(F.col("size") <= leaf)).unionByName(_lists(_chunked(lists.filter(F.col("size") > leaf), leaf)))
+        lists = scratch.table(_pruned(lists, known, percent), "pruned")
+        found = scratch.table(_compared(lists, sets, light, percent, words), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links, scratch)
+    later, rest = None, shared
     while True:
         open_ = _open(scratch, rest, labels, total)
         near = [_lists(open_.filter(F.col("size") <= leaf)), _lists(_rest(open_.filter((F.col("size") > leaf) & (F.col("rest") <= leaf)), leaf))]
         long = open_.filter((F.col("size") > leaf) & (F.col("rest") > leaf))
-        near.append(_lists(_paired(long.filter(F.col("share") >= DEEPEST), leaf)))
+        deepest = F.shiftright("tag", 1).bitwiseAND(7) >= DEEPEST
+        near.append(_lists(_paired(long.filter(deepest), leaf)))
         for x in near:
             later = x if later is None else later.unionByName(x)
-        long = long.filter(F.col("share") < DEEPEST)
+        long = long.filter(~deepest)
         if long.isEmpty():
             break
-        grown = long.select("node", "num", "at", "share", "scan").join(sets.select("num", "n", "prefix"), "num")
+        grown = long.select("node", "num", "tag").join(sets.select("num", "n", "prefix"), "num")
         rest, total = _shared(scratch, scratch.table(_grow(grown, percent), "subsets"))
+    later = scratch.table(_pruned(later, _with_labels(facts, labels), percent), "pruned")
     links = links.unionByName(_compared(later, sets, light, percent, words))
     labels = components(links, scratch).withColumnRenamed("id", "num")
     labelled = sets.select("num", "key", "first").join(labels, "num")

@@ -5,8 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from pathglass.llm import chosen_path, ngram_join
-from pathglass.llm.bpe_fst import PieceTable
+from pathglass.llm import bitmaps, ngram_join
 
 
 def brute_sets(rows, words=5):
@@ -64,7 +63,7 @@ def families():
     return list(enumerate(texts, 1000))
 
 
-@pytest.mark.parametrize("light", [None, 0, 20, 10**9])
+@pytest.mark.parametrize("light", [None, 20])
 def test_components_equal_brute_force(spark, frame, prose, families, light):
     rows = [*prose, *families, (None, prose[3][1]), (None, families[5][1] + " z"), (None, None), (None, "alone here"), (3, prose[9][1]), (7, prose[9][1]), (7, prose[9][1])]
     got = ngram_join.jaccard_components(frame(rows), light=light)
@@ -136,6 +135,24 @@ def test_forest_joins_what_links():
                     assert root(i) == root(j)
 
 
-def test_shingles_are_those_of_the_near_duplicates():
-    hashes = PieceTable(chosen_path.xxhash.xxh3_64_intdigest)
-    assert len(ngram_join.shingles("a b c d e f g", hashes)) == 3 and len(ngram_join.shingles("a b", hashes)) == 1
+def test_bitmaps_rule_out_no_linked_pair():
+    r = np.random.default_rng(7)
+    for _ in range(40):
+        base = r.integers(0, 1 << 64, int(r.integers(5, 400)), np.uint64)
+        family = [np.unique(np.append(r.choice(base, int(len(base) * r.uniform(0.8, 1)), replace=False), r.integers(0, 1 << 64, int(r.integers(0, 6)), np.uint64))) for _ in range(6)]
+        sets = family + [np.unique(r.integers(0, 1 << 64, len(s), np.uint64)) for s in family]
+        bits = np.stack([np.frombuffer(bitmaps.bitmap(s), np.uint64) for s in sets])
+        component = r.integers(0, 4, len(sets))
+        groups = bitmaps.candidate_groups(np.array([len(s) for s in sets]), bits, component, 80)
+        assert all(len(g) > 1 for g in groups) and len(np.concatenate([*groups, []])) == len({k for g in groups for k in g.tolist()})
+        for i in range(len(sets)):
+            for j in range(i):
+                x = len(np.intersect1d(sets[i], sets[j]))
+                if component[i] != component[j] and 100 * x >= 80 * (len(sets[i]) + len(sets[j]) - x):
+                    assert any({i, j} <= set(g.tolist()) for g in groups)
+
+
+def test_shingles():
+    assert len(ngram_join.shingles("a b c d e f g")) == 3 and len(ngram_join.shingles("a b")) == 1 and not len(ngram_join.shingles(" \x0b\n"))
+    assert ngram_join.shingles("A B c d e").tolist() == ngram_join.shingles("a b\tC d e").tolist() != ngram_join.shingles("b a c d e").tolist()
+    assert len(ngram_join.shingles("x " * 50)) == 1 and len(ngram_join.shingles("é " * 4 + "É")) == 1
