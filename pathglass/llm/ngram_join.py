@@ -240,7 +240,7 @@ def _pruned(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 def _compared(lists: DataFrame, sets: DataFrame, bound: int, percent: int, words: int) -> DataFrame:
     """(a, b): links that join all linked sets of each list (members, scan); in scanned ones an end is heavy."""
     lists = _once(lists)
-    rows = sets.select("num", "packed").join(lists.select("list", "scan", F.explode("members").alias("num")), "num").select("list", "scan", "num", "packed")
+    rows = sets.select("num", "packed").join(lists.select("list", "scan", F.explode("members").alias("num")).hint("merge"), "num").select("list", "scan", "num", "packed")
 
     def run(table: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
@@ -335,7 +335,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, l
     # A row for each set. Sets of three shingles or fewer link with equal ones alone.
     steps = _summed(described.filter("slice is not null").select("slice", "counts"))
     named = classes.select(F.col("key").alias("set"), "first", "copies")
-    reps = described.filter("key is not null").filter(F.col("n") >= DEEPEST).join(named, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first")))
+    reps = described.filter("key is not null").filter(F.col("n") >= DEEPEST).join(named.hint("merge"), (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first")))
     reps = reps.select(F.monotonically_increasing_id().alias("num"), "key", "first", "copies", "n", "packed")
     sets = scratch.table(_ordered(reps, steps, percent, words), "sets")
     scratch.drop(described)
