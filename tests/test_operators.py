@@ -203,3 +203,15 @@ def test_ranks_come_from_sorted_ranges(spark):
     got = sorted(row_rank(df, F.desc("v"), "id").collect(), key=lambda x: x.ord)
     assert [x.ord for x in got] == list(range(1, 501))
     assert [(x.v, x.id) for x in got] == sorted(((x.v, x.id) for x in df.collect()), key=lambda x: (-x[0], x[1]))
+
+
+def test_chains_meet_by_a_shuffle_at_every_size(spans, names, monkeypatch):
+    plans, cut = [], call_paths.cut
+    monkeypatch.setattr(call_paths, "cut", lambda df, what: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, what))[1])
+    odd = ["a\x00b", "c\x01,d", "e/f", "\x01.", None]
+    chain = spans(*((k, k - 1 if k else None, 0, 1, "complete", k % 5) for k in range(70)))
+    got = {r.id: r for r in call_paths.call_paths(chain, names(*enumerate(odd))).collect()}
+    shown = [x or "<unknown>" for x in odd] * 14
+    assert [got[k].path for k in (0, 9, 63)] == ["/".join(shown[: k + 1]) for k in (0, 9, 63)]
+    assert got[69].path == "/".join(["...", *shown[6:70]]) and (got[63].depth, got[64].depth, got[69].depth) == (63, 64, 64)
+    assert len(plans) == 8 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans[1:])
