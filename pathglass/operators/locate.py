@@ -36,12 +36,16 @@ def locate(probes: DataFrame, mappings: DataFrame, images: Images, keys: tuple[s
     (JN7; an unknown image leaves the rest null). The image's segment turns the offset
     in the file into an address of the image; without one the offset itself stands
     (JN6, PRJ11). There the nearest function (JN5) and the inline frames (JN8) are.
+    Distinct places of images are looked up, however often they ran.
     """
     hits = symbols.map_addresses(probes.select("id", *keys, "ip", "seq"), mappings.select(*keys, "start", "end", "seq", "generation", "pgoff", "path"), keys)
     known = counted(cut(images.images.groupBy("path").agg(F.min("image_id").alias("image_id")), "images"))
     hits = hits.join(known, "path", "left").withColumn("file_offset", F.col("ip") - F.col("map_start") + F.col("pgoff"))
     hits = cut(hits.select("id", "path", "image_id", "file_offset"), "mapped")
-    found = symbols.file_offset_address(hits.filter("image_id is not null"), images.segments).withColumn("address", F.coalesce("address", "file_offset"))
-    named = symbols.symbolize(found.select("id", "image_id", "address"), images.functions)
-    rows = symbols.inline_frames(named, images.inline)
-    return hits.join(rows.select("id", F.col("address").alias("image_offset"), "function", "symbol", "frames", "inlined"), "id", "left")
+    places = cut(hits.filter("image_id is not null").select("image_id", "file_offset").distinct(), "places")
+    found = symbols.file_offset_address(places.withColumn("id", F.struct("image_id", "file_offset")), images.segments).withColumn("address", F.coalesce("address", "file_offset"))
+    named = symbols.symbolize(cut(found, "offsets"), images.functions)
+    rows = symbols.inline_frames(cut(named, "named"), images.inline)
+    facts = rows.select("image_id", "file_offset", F.col("address").alias("image_offset"), "function", "symbol", "frames", "inlined")
+    out = hits.join(counted(cut(facts, "located")), ["image_id", "file_offset"], "left")
+    return out.select(*hits.columns, "image_offset", "function", "symbol", "frames", "inlined")

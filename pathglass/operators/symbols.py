@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathglass.storage import cut
+from pathglass.storage import counted, cut
 
-#: Ranges are covered, and as-of joins carried over, by pages of 2**PAGE_BITS bytes.
-PAGE_BITS = 20
+#: Ranges are covered by pages of 2**PAGE_BITS bytes: a probe is compared with what begins or ends in its own.
+PAGE_BITS = 12
 #: Blocks of a cover double up to the whole address space.
 LEVELS = 64 - PAGE_BITS
+#: As-of joins are carried over pages of 2**CARRY_BITS bytes, and so of as many addresses at most.
+CARRY_BITS = 16
 
 
 def cover(low: Column, high: Column) -> Column:
@@ -40,7 +42,7 @@ def within(probes: DataFrame, ranges: DataFrame, keys: tuple[str, ...], at: str,
     levels = sorted(r["__level"] for r in covers.select("__level").distinct().collect())
     rows = probes.withColumn("__level", F.explode(F.array(*map(F.lit, levels or [0]))))
     rows = rows.withColumn("__block", F.expr(f"shiftright({at}, __level + {PAGE_BITS})"))
-    met = rows.join(covers, [*keys, "__level", "__block"])
+    met = rows.join(counted(covers), [*keys, "__level", "__block"])
     return met.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__level", "__block")
 
 
@@ -68,27 +70,31 @@ def symbolize(probes: DataFrame, functions: DataFrame, keys: tuple[str, ...] = (
     As of the address: the last function that starts there or before, if the address
     lies before its end. An address behind the end of the nearest one has none,
     though an earlier, longer one may span it. Both sides become one sequence in
-    which each probe carries on the last start seen; long sequences are cut at
-    pages, with the last start before a page carried over.
+    which each address carries on the last start seen; long sequences are cut at
+    pages, with the last start before a page carried over. Addresses are made
+    distinct first, so no page holds more than it has bytes.
     """
+    asked = cut(probes.select(*keys, "address").filter("address is not null").distinct(), "asked")
     pages = (*keys, "page")
     starts = functions.select(*keys, F.col("start").alias("at"), F.lit(0).alias("side"), F.struct("start", "id", "name", "end").alias("f"))
     # Of functions at one address the smallest id goes.
     starts = starts.groupBy(*keys, "at", "side").agg(F.min_by("f", "f.id").alias("f"))
-    starts = starts.withColumn("page", F.shiftright("at", PAGE_BITS))
-    rows = probes.withColumn("at", F.col("address")).withColumn("side", F.lit(1)).withColumn("page", F.shiftright("address", PAGE_BITS))
+    starts = starts.withColumn("page", F.shiftright("at", CARRY_BITS))
+    rows = asked.withColumn("at", F.col("address")).withColumn("side", F.lit(1)).withColumn("page", F.shiftright("address", CARRY_BITS))
     used = rows.select(*pages).distinct()
     ends = starts.groupBy(*pages).agg(F.max_by("f", "at").alias("f"))
     # For every page in use, the last start of an earlier page: over pages, not rows.
     along = used.withColumn("f", F.lit(None).cast(starts.schema["f"].dataType)).unionByName(ends)
     before = Window.partitionBy(*keys).orderBy("page").rangeBetween(Window.unboundedPreceding, -1)
     carried = along.withColumn("f", F.last("f", ignorenulls=True).over(before)).select(*pages, "f").filter("f is not null").dropDuplicates(list(pages))
-    heads = carried.withColumn("at", F.shiftleft(F.col("page"), PAGE_BITS)).withColumn("side", F.lit(-1))
+    heads = carried.withColumn("at", F.shiftleft(F.col("page"), CARRY_BITS)).withColumn("side", F.lit(-1))
     both = rows.withColumn("f", F.lit(None).cast(starts.schema["f"].dataType)).unionByName(starts, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
     order = Window.partitionBy(*pages).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("g", F.last("f", ignorenulls=True).over(order)).filter("side = 1")
     hit = F.col("address") < F.col("g.end")
-    return both.select(*probes.columns, F.when(hit, F.col("g.id")).alias("function"), F.when(hit, F.col("g.name")).alias("symbol"), F.when(hit, F.col("address") - F.col("g.start")).alias("offset"))
+    found = both.filter(hit).select(*keys, "address", F.col("g.id").alias("function"), F.col("g.name").alias("symbol"), (F.col("address") - F.col("g.start")).alias("offset"))
+    out = probes.join(counted(cut(found, "symbols")), [*keys, "address"], "left")
+    return out.select(*probes.columns, "function", "symbol", "offset")
 
 
 def inline_frames(addresses: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -96,10 +102,12 @@ def inline_frames(addresses: DataFrame, ranges: DataFrame, keys: tuple[str, ...]
 
     ``ranges`` is (keys, lo, hi, frames), frames innermost first; the shortest range
     that holds an address wins. The innermost is null if it is the symbol itself.
+    Distinct addresses are looked up, however many rows have them.
     """
-    rows = within(addresses.select("id", *keys, "address"), ranges.select(*keys, "lo", "hi", "frames"), keys, "address", "lo", "hi")
-    best = rows.groupBy("id").agg(F.min_by("frames", F.struct(F.col("hi") - F.col("lo"), "lo")).alias("frames"))
-    out = addresses.join(best, "id", "left")
+    asked = cut(addresses.select(*keys, "address").filter("address is not null").distinct(), "asked")
+    rows = within(asked, ranges.select(*keys, "lo", "hi", "frames"), keys, "address", "lo", "hi")
+    best = rows.groupBy(*keys, "address").agg(F.min_by("frames", F.struct(F.col("hi") - F.col("lo"), "lo")).alias("frames"))
+    out = addresses.join(counted(cut(best, "inlined")), [*keys, "address"], "left").select(*addresses.columns, "frames")
     inner = F.get(F.col("frames"), F.lit(0))["function"]
     return out.withColumn("inlined", F.when(~inner.eqNullSafe(F.col("symbol")), inner))
 

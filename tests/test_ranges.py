@@ -47,3 +47,24 @@ def test_explicit_pairs_meet_by_equality(spark, pairs):
         want = {k: min((n for n, p in enumerate(paths) if p.endswith(pair[at])), default=None) for k, pair in enumerate(pairs)}
         assert {x.pair: x.place for x in got.collect()} == {k: v for k, v in want.items() if v is not None}
         assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_share_an_address_are_looked_up_once(spark, monkeypatch):
+    held, cut = {}, symbols.cut
+
+    def spy(df, what):
+        held[what] = cut(df, what)
+        return held[what]
+
+    monkeypatch.setattr(symbols, "cut", spy)
+    probes = spark.range(3000).selectExpr("id", "'i' AS image_id", "id % 10 * 32 AS address", "'f1' AS symbol")
+    functions = spark.range(5).selectExpr("'i' AS image_id", "id", "concat('f', id) AS name", "id * 64 AS start", "id * 64 + 32 AS end")
+    got = symbols.symbolize(probes.drop("symbol"), functions)
+    assert got.columns == ["id", "image_id", "address", "function", "symbol", "offset"]
+    assert {(r.address, r.symbol, r.offset) for r in got.collect()} == {(k * 32, f"f{k // 2}" if k % 2 == 0 else None, 0 if k % 2 == 0 else None) for k in range(10)}
+    assert got.count() == 3000 and held["asked"].count() == 10
+    ranges = spark.range(100_000).selectExpr("'i' AS image_id", "id * 32 AS lo", "id * 32 + 4 AS hi", "array(named_struct('function', concat('f', id), 'line', id)) AS frames")
+    framed = symbols.inline_frames(probes, ranges)
+    assert {(r.address, r.inlined, r.frames[0].line) for r in framed.collect()} == {(k * 32, f"f{k}" if k != 1 else None, k) for k in range(10)}
+    # An address is compared with the ranges of its own page alone.
+    assert framed.count() == 3000 and held["asked"].count() == 10 and held["covers"].filter("__level = 0 and __block = 0").count() <= 256
