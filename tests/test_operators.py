@@ -215,3 +215,11 @@ def test_chains_meet_by_a_shuffle_at_every_size(spans, names, monkeypatch):
     assert [got[k].path for k in (0, 9, 63)] == ["/".join(shown[: k + 1]) for k in (0, 9, 63)]
     assert got[69].path == "/".join(["...", *shown[6:70]]) and (got[63].depth, got[64].depth, got[69].depth) == (63, 64, 64)
     assert len(plans) == 8 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans[1:])
+
+
+def test_stacks_at_an_instant_double_like_they_climb(spans, names):
+    r = random.Random(3)
+    rows = [(k, r.choice([None, 999, *range(max(0, k - 2), k)]) if k < 100 else k - 1, k, r.choice([None, 500, 50]), "complete", k % 4, f"t_{r.randint(0, 2) if k < 100 else 3}") for k in range(180)]
+    df, functions = spans(*rows), names((0, "a/b"), (1, "c\x00d"), (2, "e"))
+    climbed, doubled = (sorted(map(tuple, call_paths.at_instant(df, functions, 190, few=few).collect())) for few in (1000, 0))
+    assert doubled == climbed and [x[3] for x in doubled if x[0] == "t_3"] == [65]
