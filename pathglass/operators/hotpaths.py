@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathglass.functions.scalars import UNKNOWN, duration, shorten_path
 from pathglass.operators.call_paths import call_paths, named
 from pathglass.operators.quantiles import nearest_ranks
-from pathglass.operators.self_time import self_times
+from pathglass.operators.self_time import with_self_times
 from pathglass.storage import cut
 
 #: A 99th percentile needs this many calls.
@@ -27,13 +27,15 @@ def contained(start_ns: int | None, end_ns: int | None) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def hotpaths(spans: DataFrame, functions: DataFrame, group: str = "function", depth: int = 0, thread: str | None = None, contains: str | None = None, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+def hotpaths(spans: DataFrame, functions: DataFrame, group: str = "function", depth: int = 0, thread: str | None = None, contains: str | None = None, start_ns: int | None = None, end_ns: int | None = None, own: bool = True) -> DataFrame:
     """A row for each function or call path: entries, calls, sums, percentiles.
 
     Every span of the thread with a matching name is an entry, in the window or
     not. Complete spans within the window are calls and carry the sums; sums
-    over nothing are null. ``contains`` looks at the path as shown.
+    over nothing are null. ``contains`` looks at the path as shown. Without ``own``
+    neither self times nor percentiles are computed nor given.
     """
+    spans = spans.select("id", *([] if thread is None else ["thread"]), "function", "parent", "start_ns", "end_ns", "completeness")
     kept = spans if thread is None else spans.filter(F.col("thread") == thread)
     if group == "path":
         rows = call_paths(spans, functions)
@@ -42,20 +44,23 @@ def hotpaths(spans: DataFrame, functions: DataFrame, group: str = "function", de
         rows = named(kept, functions).withColumn("path", F.coalesce("name", F.lit(UNKNOWN)))
     if contains is not None:
         rows = rows.filter(F.col("path").contains(contains))
-    # Self times look at all children, also those of other names.
-    rows = rows.join(self_times(spans), "id", "left")
     called = F.col("completeness").eqNullSafe("complete") & contained(start_ns, end_ns)
-    rows = rows.select("path", called.alias("called"), F.when(called, duration(F.col("start_ns"), F.col("end_ns"))).alias("inclusive"), F.when(called, F.col("self_ns")).alias("own"))
+    sums = {
+        "observed_entries": F.count(F.lit(1)),
+        "complete_calls": F.count_if("called"),
+        "inclusive_sum_ns": F.sum("inclusive"),
+        "self_sum_ns": F.sum("own"),
+        "excluded_incomplete": F.count_if(~F.col("called")),
+        "n_eligible": F.count("inclusive"),
+    }
+    measures = {"called": called, "inclusive": F.when(called, duration(F.col("start_ns"), F.col("end_ns")))}
+    if not own:
+        return rows.select("path", *(c.alias(n) for n, c in measures.items())).groupBy("path").agg(*(c.alias(n) for n, c in sums.items() if n != "self_sum_ns"))
+    # Self times look at all children, also those of other names.
+    rows = with_self_times(rows.select("id", "path", "completeness", "start_ns", "end_ns"), spans)
     # Three aggregations read these few columns.
-    rows = cut(rows, "calls")
-    sums = rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("observed_entries"),
-        F.count_if("called").alias("complete_calls"),
-        F.sum("inclusive").alias("inclusive_sum_ns"),
-        F.sum("own").alias("self_sum_ns"),
-        F.count_if(~F.col("called")).alias("excluded_incomplete"),
-        F.count("inclusive").alias("n_eligible"),
-    )
+    rows = cut(rows.select("path", *(c.alias(n) for n, c in measures.items()), F.when(called, F.col("self_ns")).alias("own")), "calls")
+    sums = rows.groupBy("path").agg(*(c.alias(n) for n, c in sums.items()))
     ranks = nearest_ranks(rows.select("path", F.col("inclusive").alias("value")), "path", (50, 95, 99))
     out = sums.join(ranks, "path", "left")
     return out.withColumn("p99", F.when(F.col("n_eligible") >= P99_CALLS, F.col("p99")))

@@ -223,3 +223,16 @@ def test_stacks_at_an_instant_double_like_they_climb(spans, names):
     df, functions = spans(*rows), names((0, "a/b"), (1, "c\x00d"), (2, "e"))
     climbed, doubled = (sorted(map(tuple, call_paths.at_instant(df, functions, 190, few=few).collect())) for few in (1000, 0))
     assert doubled == climbed and [x[3] for x in doubled if x[0] == "t_3"] == [65]
+
+
+def test_hotpaths_for_a_comparison_leave_self_times_out(spans, names):
+    rows, functions = spans((1, None, 0, 10), (2, 1, 1, 2, "open_end"), (3, 1, 2, 4)), names((1, "a"), (2, "b"), (3, "c"))
+    whole, lean = hotpaths.hotpaths(rows, functions), hotpaths.hotpaths(rows, functions, own=False)
+    assert set(whole.columns) - set(lean.columns) == {"self_sum_ns", "p50", "p95", "p99"}
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, whole.select(lean.columns).collect()))
+
+
+def test_self_times_meet_their_children_in_one_shuffle(spans):
+    rows = spans((1, None, 0, 100), (2, 1, 10, 20), (3, 1, 15, 30))
+    plan = self_times(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
