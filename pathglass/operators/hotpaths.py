@@ -70,6 +70,7 @@ def hotpaths_inline(inline_rows: DataFrame, functions: DataFrame, depth: int = 0
     """A row for each symbol with its inline chain, outermost first: blocks, instructions, time.
 
     ``contains`` looks at the whole chain, before it is shortened to ``depth`` names.
+    A sum that no long holds is null; the other sums and rows stand.
     """
     rows = inline_rows if thread is None else inline_rows.filter(F.col("thread") == thread)
     rows = named(rows, functions)
@@ -80,11 +81,11 @@ def hotpaths_inline(inline_rows: DataFrame, functions: DataFrame, depth: int = 0
     # The symbol and that many names of its chain.
     short = F.array_join(F.slice(names, 1, depth + 1), " > ") if depth > 0 else F.col("full")
     return rows.withColumn("path", short).groupBy("path").agg(
-        F.sum("blocks").alias("observed_entries"),
+        F.try_sum("blocks").alias("observed_entries"),
         F.lit(0).cast("long").alias("complete_calls"),
-        F.sum("elapsed_ns").alias("self_sum_ns"),
-        F.sum("blocks").alias("n_eligible"),
-        F.sum("instructions").alias("instructions"),
+        F.try_sum("elapsed_ns").alias("self_sum_ns"),
+        F.try_sum("blocks").alias("n_eligible"),
+        F.try_sum("instructions").alias("instructions"),
     )
 
 

@@ -236,3 +236,9 @@ def test_self_times_meet_their_children_in_one_shuffle(spans):
     rows = spans((1, None, 0, 100), (2, 1, 10, 20), (3, 1, 15, 30))
     plan = self_times(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_time_beyond_a_long_leaves_the_rest_of_an_inline_profile(spark, names):
+    rows = spark.createDataFrame([("t", k % 2, ["x"], 4, 1, (1 << 62) if k % 2 else 5) for k in range(6)], "thread string, function long, chain array<string>, instructions long, blocks long, elapsed_ns long")
+    got = {r.path: (r.observed_entries, r.self_sum_ns, r.instructions) for r in hotpaths.hotpaths_inline(rows, names((0, "a"), (1, "b"))).collect()}
+    assert got == {"a > x": (3, 15, 12), "b > x": (3, None, 12)}
