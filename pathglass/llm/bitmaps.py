@@ -6,6 +6,8 @@ import numpy as np
 
 #: Bits of a set's bitmap.
 BITS = 1_024
+#: Sets that bitmaps are looked at together, for each set that texts are compared together.
+WIDE = 4
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -29,3 +31,11 @@ def candidate_groups(size: np.ndarray, bits: np.ndarray, component: np.ndarray,
             for g in np.unique(group[near]).tolist():
                 group[group == g] = group[i]
     return [np.flatnonzero(met & (group == g)) for g in np.unique(group[met]).tolist()]
+
+
+def in_blocks(group: np.ndarray, most: int) -> list[np.ndarray]:
+    """``group`` as it is, or every pair of blocks of it where it has more than ``most`` members."""
+    if len(group) <= most:
+        return [group]
+    blocks = np.array_split(group, -(-len(group) // max(1, most // 2)))
+    return [np.concatenate([a, b]) for k, a in enumerate(blocks) for b in blocks[k + 1 :]]

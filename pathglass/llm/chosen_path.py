@@ -3,7 +3,7 @@
 Documents become sets of hashed word shingles and short minwise signatures. Trees
 branch the documents by the minwise token at chosen signature places: documents
 with the same token go to the same child. Small nodes are compared exhaustively;
-larger ones branch on, along several more places at each level, so that a similar
+larger ones by bitmaps first, and the largest branch on, along several more places at each level, so that a similar
 pair all but surely stays together on some path. A group so dense that
 branching cannot part it is linked by chunks in the first trees; all trees then
 grow on, but leave out what lies within one component. Independent trees repeat
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.bitmaps import bitmap, candidate_groups
+from pathglass.llm.bitmaps import WIDE, bitmap, candidate_groups, in_blocks
 from pathglass.llm.bpe_fst import PieceTable
 from pathglass.llm.common import HOT_KEYS, Scratch, join_spread, release_with, task_tables, text_stream
 
@@ -33,7 +33,8 @@ WORDS = 5
 TREES = 10
 #: Trees whose links settle components before the others are grown.
 FIRST_TREES = 2
-#: Nodes of at most so many documents are compared exhaustively.
+#: Nodes of at most so many documents are compared exhaustively; once components are known, of
+#: WIDE times as many by bitmaps, as each level costs a document BRANCHES rows.
 LEAF = 1_000
 #: Levels of a tree; nodes that are still larger are compared block by block.
 LEVELS = 4
@@ -113,20 +114,21 @@ def places_below(node: int, level: int, free: list[int]) -> list[int]:
     return random.Random(xxhash.xxh3_64_intdigest(f"{node}:{level}")).sample(free, min(BRANCHES, len(free)))
 
 
-def _branch(rows: DataFrame, level: int, roots: list[int] | None = None, free: list[int] | None = None) -> DataFrame:
-    """(node, key) one level below rows of (node, key, sig): a place for each tree
-    at the root, BRANCHES chosen for each node below."""
+def _branch(rows: DataFrame, level: int, roots: list[int] | None = None, free: list[int] | None = None, seen: tuple[int, ...] = ()) -> DataFrame:
+    """(node, key, seen) one level below rows of (node, key, sig): a place for each tree
+    at the root, BRANCHES chosen for each node below. Nodes at ``seen`` places are marked."""
     def run(batches):
         for b in batches:
-            nodes, at = [], []
+            nodes, at, known = [], [], []
             for k, (node, s) in enumerate(zip(b.column("node").to_pylist(), b.column("sig").to_pylist(), strict=True)):
                 tokens = np.frombuffer(s, np.uint32)
                 for place in roots or places_below(node, level, free):
                     nodes.append(xxhash.xxh3_64_intdigest(f"{node}:{place}:{tokens[place]}") - (1 << 63))
                     at.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column("key").take(pa.array(at, pa.int32()))], ["node", "key"])
+                    known.append(place in seen)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column("key").take(pa.array(at, pa.int32())), pa.array(known, pa.bool_())], ["node", "key", "seen"])
 
-    return rows.select("node", "key", "sig").mapInArrow(run, "node long, key binary").distinct()
+    return rows.select("node", "key", "sig").mapInArrow(run, "node long, key binary, seen boolean").distinct()
 
 
 def _chunks(large: DataFrame, leaf: int) -> DataFrame:
@@ -157,16 +159,17 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     return rows.select(node.alias("node"), "key")
 
 
-def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list[int], leaf: int, levels: int, labels: DataFrame | None = None, free: list[int] | None = None, seen: bool = False) -> DataFrame:
+def _leaves(scratch: Scratch, reps: DataFrame, roots: list[int], leaf: int, levels: int, labels: DataFrame | None = None, free: list[int] | None = None, seen: tuple[int, ...] = ()) -> DataFrame:
     """(node, members): sets to compare exhaustively; equal member lists once.
 
     Without ``labels`` (the first trees) large nodes are only looked at in chunks,
     which is enough to join a dense group. With the components (id, component) that
     this has shown, nodes within one component are finished; large ones that one
     component nearly fills compare the rest with everything, others branch on
-    along ``free`` places. Small roots that were ``seen`` before are left out.
+    along ``free`` places. Small roots at places ``seen`` before are left out.
     """
-    level = _branch(described.withColumn("node", F.lit(0).cast("long")), 0, roots)
+    level = _branch(reps.withColumn("node", F.lit(0).cast("long")), 0, roots, seen=seen)
+    wide = leaf if labels is None else WIDE * leaf
     lists = lambda rows: rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("members")).select("members")
     out = None
     for depth in range(1, levels + 1):
@@ -177,23 +180,23 @@ def _leaves(scratch: Scratch, described: DataFrame, reps: DataFrame, roots: list
         shared = join_spread(level, counts, "node", "size", rows)
         if labels is not None:
             at = shared.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
-            at = at.select("node", "key", "size", "c")
+            at = at.select("node", "key", "seen", "size", "c")
             at = scratch.table(at, "tree-at")
             parts = at.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("c", "m").alias("most"))
             open_ = parts.filter("parts > 1").select("node", "most", "all", (F.col("all") - F.col("m")).alias("rest"))
             shared = join_spread(at, scratch.table(open_, "tree-open"), "node", "all", rows).drop("all")
         shared = scratch.table(shared, "tree-shared")
-        small, large = shared.filter((F.col("size") <= leaf) & F.lit(depth > 1 or not seen)), shared.filter(F.col("size") > leaf)
+        small, large = shared.filter((F.col("size") <= wide) & ~(F.col("seen") & (F.col("size") <= leaf))), shared.filter(F.col("size") > wide)
         out = lists(small) if out is None else out.unionByName(lists(small))
         if large.isEmpty():
             break
         if labels is None:
             out = out.unionByName(lists(_chunks(large, leaf)))
             break
-        out = out.unionByName(lists(_rest_against_all(large.filter(F.col("rest") <= leaf), leaf)))
-        large = large.filter(F.col("rest") > leaf)
+        out = out.unionByName(lists(_rest_against_all(large.filter(F.col("rest") <= wide // 2), max(1, wide // 2))))
+        large = large.filter(F.col("rest") > wide // 2)
         if depth == levels:
-            out = out.unionByName(lists(_blocks(large, leaf)))
+            out = out.unionByName(lists(_blocks(large, wide)))
         else:
             level = _branch(large.join(reps.select("key", "sig"), "key"), depth, free=free)
     return _once(out)
@@ -227,16 +230,17 @@ def link_node(keys: list, sets: list[np.ndarray], sigs: np.ndarray, percent: int
     return out
 
 
-def _pruned(leaves: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def _pruned(leaves: DataFrame, facts: DataFrame, percent: int, leaf: int) -> DataFrame:
     """What is left of (node, members) by ``facts`` (key, n, bits, component): groups of members that may link over components."""
-    rows = facts.join(leaves.select("node", F.explode("members").alias("key")), "key")
+    rows = facts.join(leaves.select("node", F.explode("members").alias("key")).hint("merge"), "key")
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
         order = sorted(range(len(keys)), key=keys.__getitem__)
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)[order]
         component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1][order]
-        found = [[keys[order[k]] for k in g.tolist()] for g in candidate_groups(table.column("n").to_numpy()[order], bits, component, percent)]
+        groups = candidate_groups(table.column("n").to_numpy()[order], bits, component, percent)
+        found = [[keys[order[k]] for k in part.tolist()] for g in groups for part in in_blocks(g, leaf)]
         return pa.table({"members": pa.array(found, pa.list_(pa.binary()))})
 
     return _once(rows.groupBy("node").applyInArrow(run, "members array<binary>"))
@@ -250,7 +254,8 @@ def _once(lists: DataFrame) -> DataFrame:
 
 def _links(leaves: DataFrame, reps: DataFrame, percent: int, words: int) -> DataFrame:
     """(a, b): confirmed links that connect all linked sets of each leaf."""
-    rows = reps.join(leaves.select("node", F.explode("members").alias("key")), "key").select("node", "key", "packed")
+    # What fetches texts shuffles at every size.
+    rows = reps.select("key", "packed").join(leaves.select("node", F.explode("members").alias("key")).hint("merge"), "key").select("node", "key", "packed")
 
     def run(table: pa.Table) -> pa.Table:
         hashes, unzip = word_hashes(), zstandard.ZstdDecompressor()
@@ -308,32 +313,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, tree
     """
     scratch = Scratch(docs.sparkSession)
     described = scratch.table(_describe(docs, id_col, text_col, words), "shingled")
-    with_set = described.filter(F.col("key").isNotNull())
+    rows = scratch.table(described.select("id", "text_hash", "n_shingles", "key"), "rows")
+    with_set = rows.filter(F.col("key").isNotNull())
     classes = scratch.table(with_set.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "set-classes")
     # A row for each set, but for rows that repeat an id with its set. The id is part
     # of the join, so the copies of a set do not meet in one task.
-    first = classes.select(F.col("key").alias("set"), "first")
-    reps = with_set.join(first, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed", "n_shingles", "bits")
-    facts = scratch.table(reps.select("key", F.col("n_shingles").alias("n"), "bits"), "facts")
+    first = classes.select(F.col("key").alias("set"), "first").hint("merge")
+    reps = described.join(first, (F.col("key") == F.col("set")) & F.col("id").eqNullSafe(F.col("first"))).select("key", "sig", "packed", "n_shingles", "bits")
+    reps = scratch.table(reps, "sets")
+    scratch.drop(described)
+    facts = reps.select("key", F.col("n_shingles").alias("n"), "bits")
     places = [k * PLACES // trees for k in range(trees)]
     # The first trees find most components; the others skip what these have settled.
-    leaves = _leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels)
-    leaves = scratch.table(_pruned(leaves, facts.withColumn("component", F.col("key")), percent), "leaves")
+    leaves = _leaves(scratch, reps, places[:FIRST_TREES], leaf, levels)
+    leaves = scratch.table(_pruned(leaves, facts.withColumn("component", F.col("key")), percent, leaf), "leaves")
     early = scratch.table(_links(leaves, reps, percent, words), "links")
     # The first ones grow on below roots that were only looked at in chunks.
     settled = components(early, scratch)
     free = [k for k in range(PLACES) if k not in places] or places
-    grown = _leaves(scratch, with_set, reps, places[:FIRST_TREES], leaf, levels, settled, free, seen=True)
-    if places[FIRST_TREES:]:
-        grown = grown.unionByName(_leaves(scratch, with_set, reps, places[FIRST_TREES:], leaf, levels, settled, free))
+    grown = _leaves(scratch, reps, places, leaf, levels, settled, free, seen=tuple(places[:FIRST_TREES]))
     own = facts.join(settled.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    late = _links(scratch.table(_pruned(grown, own, percent), "leaves"), reps, percent, words)
+    late = _links(scratch.table(_pruned(grown, own, percent, leaf), "leaves"), reps, percent, words)
     labels = components(early.unionByName(late), scratch).withColumnRenamed("id", "key")
     labelled = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_key = scratch.table(labelled.join(names, "component").select("key", "copies", "component_id"), "named")
     keyed = join_spread(with_set.select("id", "text_hash", "n_shingles", "key"), by_key, "key", "copies", with_set.count())
-    out = keyed.select("id", "text_hash", "n_shingles", "component_id").unionByName(described.filter("key is null").select("id", "text_hash", "n_shingles", F.col("id").alias("component_id")))
+    out = keyed.select("id", "text_hash", "n_shingles", "component_id").unionByName(rows.filter("key is null").select("id", "text_hash", "n_shingles", F.col("id").alias("component_id")))
     component = F.col("component_id")
     out = out.select(F.col("id").alias(id_col), "n_shingles", component, F.coalesce(component == F.col("id"), component.isNull()).alias("kept"), *(["text_hash"] if text_hash else []))
     return scratch.result(out, "components")

@@ -310,6 +310,25 @@ def test_first_trees_grow_below_large_roots(spark, frame):
     assert sum(named[2 * k] == named[2 * k + 1] == 2 * k for k in range(30)) >= 28
 
 
+def test_a_component_among_other_sets_is_not_branched(spark, frame, monkeypatch):
+    r = random.Random(10)
+    make = lambda n: " ".join(str(r.randint(0, 10**9)) for _ in range(n))
+    line, own = make(40), make(12).split()
+    rows = [(k, f"{line} {' '.join(own[:k % 12] + ['x%d' % k] + own[k % 12 + 1 :])}") for k in range(60)]
+    rows += [(100 + k, f"{line} {make(25)}") for k in range(60)]
+    entries = []
+
+    def pruned(leaves, *rest, of=chosen_path._pruned):
+        entries.append(leaves.selectExpr("sum(size(members))").first()[0] or 0)
+        return of(leaves, *rest)
+
+    monkeypatch.setattr(chosen_path, "_pruned", pruned)
+    got = chosen_path.near_duplicates(frame(rows), leaf=30)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr) == brute_components(rows)
+    # A set is in one list of each tree at most.
+    assert entries[-1] <= chosen_path.TREES * len(rows)
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 102), (101, 102)], "a long, b long")
     assert dict(map(tuple, chosen_path.components(links).collect())) == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
