@@ -27,11 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.bitmaps import bitmap, candidate_groups
+from pathglass.llm.bitmaps import WIDE, bitmap, candidate_groups, in_blocks
 from pathglass.llm.chosen_path import WORDS, _mix, components
 from pathglass.llm.common import HOT_KEYS, Scratch, join_spread, task_tables, text_stream
 
-#: Lists of at most so many sets are compared as they are.
+#: Lists of at most so many sets are compared as they are; once components are known, of 4 * WIDE
+#: times as many by bitmaps, as a further shingle costs a set a row for each shingle of its prefix.
 LEAF = 256
 #: Cells of the table of counts that orders shingles, and the slices it is summed in: a fixed size.
 CELLS, SLICES = 1 << 22, 64
@@ -221,7 +222,7 @@ def _once(lists: DataFrame) -> DataFrame:
     return lists.filter(F.size("members") > 1).groupBy(name.alias("list")).agg(F.first("members").alias("members"), F.bool_and("scan").alias("scan"))
 
 
-def _pruned(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def _pruned(lists: DataFrame, facts: DataFrame, percent: int, leaf: int) -> DataFrame:
     """What is left of lists (members, scan) by ``facts`` (num, n, bits, component): groups of members that may link."""
     rows = facts.join(_once(lists).select("list", "scan", F.explode("members").alias("num")), "num")
 
@@ -230,7 +231,7 @@ def _pruned(lists: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(num)
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(num), -1)[order]
         size, component = (table.column(c).to_numpy()[order] for c in ("n", "component"))
-        found = [num[order][g].tolist() for g in candidate_groups(size, bits, component, percent)]
+        found = [num[order][part].tolist() for g in candidate_groups(size, bits, component, percent) for part in in_blocks(g, leaf)]
         scan = table.column("scan")[0].as_py()
         return pa.table({"members": pa.array(found, pa.list_(pa.int64())), "scan": pa.array([scan] * len(found), pa.bool_())})
 
@@ -354,17 +355,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, l
         known = facts.withColumn("component", F.col("num")) if labels is None else _with_labels(facts, labels)
         lists = scratch.table(_chosen(shared if labels is None else _open(scratch, shared, labels, total), round_), "chosen")
         lists = _lists(lists.filter(F.col("size") <= leaf)).unionByName(_lists(_chunked(lists.filter(F.col("size") > leaf), leaf)))
-        lists = scratch.table(_pruned(lists, known, percent), "pruned")
+        lists = scratch.table(_pruned(lists, known, percent, leaf), "pruned")
         found = scratch.table(_compared(lists, sets, light, percent, words), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links, scratch)
     later, rest = None, shared
+    wide, half = 4 * WIDE * leaf, 2 * WIDE * leaf
     while True:
         open_ = _open(scratch, rest, labels, total)
-        near = [_lists(open_.filter(F.col("size") <= leaf)), _lists(_rest(open_.filter((F.col("size") > leaf) & (F.col("rest") <= leaf)), leaf))]
-        long = open_.filter((F.col("size") > leaf) & (F.col("rest") > leaf))
+        near = [_lists(open_.filter(F.col("size") <= wide)), _lists(_rest(open_.filter((F.col("size") > wide) & (F.col("rest") <= half)), half))]
+        long = open_.filter((F.col("size") > wide) & (F.col("rest") > half))
         deepest = F.shiftright("tag", 1).bitwiseAND(7) >= DEEPEST
-        near.append(_lists(_paired(long.filter(deepest), leaf)))
+        near.append(_lists(_paired(long.filter(deepest), wide)))
         for x in near:
             later = x if later is None else later.unionByName(x)
         long = long.filter(~deepest)
@@ -372,7 +374,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, l
             break
         grown = long.select("node", "num", "tag").join(sets.select("num", "n", "prefix"), "num")
         rest, total = _shared(scratch, scratch.table(_grow(grown, percent), "subsets"))
-    later = scratch.table(_pruned(later, _with_labels(facts, labels), percent), "pruned")
+    later = scratch.table(_pruned(later, _with_labels(facts, labels), percent, leaf), "pruned")
     links = links.unionByName(_compared(later, sets, light, percent, words))
     labels = components(links, scratch).withColumnRenamed("id", "num")
     labelled = sets.select("num", "key", "first").join(labels, "num")

@@ -98,6 +98,25 @@ def test_hot_keys_beyond_the_broadcast(spark, families, monkeypatch):
     assert found(ngram_join.jaccard_components(docs, percent=90)) == brute_components(families, 90)
 
 
+def test_long_lists_of_components_are_not_grown(spark, frame, monkeypatch):
+    r = random.Random(13)
+    make = lambda n: " ".join(str(r.randint(0, 10**9)) for _ in range(n))
+    line, own = make(6), make(60).split()
+    rows = [(k, f"{line} {' '.join(own[:k % 60] + ['x%d' % k] + own[k % 60 + 1 :])}") for k in range(60)]
+    rows += [(100 + k, f"{line} {make(8)}") for k in range(60)]
+    made = []
+    monkeypatch.setattr(ngram_join, "_grow", lambda rows, percent, bound=None, of=ngram_join._grow: made.append(bound) or of(rows, percent, bound))
+    assert found(ngram_join.jaccard_components(frame(rows), leaf=16, light=0)) == brute_components(rows)
+    assert made == [0]
+
+
+def test_blocks_hold_every_pair():
+    for n, most in ((7, 8), (9, 8), (40, 8), (41, 7), (5, 1), (3, 2)):
+        parts = bitmaps.in_blocks(np.arange(n) + 3, most)
+        assert all(len(x) <= max(2, most) for x in parts)
+        assert {(a, b) for x in parts for a in x.tolist() for b in x.tolist() if a < b} == {(a, b) for a in range(3, n + 3) for b in range(a + 1, n + 3)}
+
+
 def test_prefixes_hold_the_shared_shingles():
     r = np.random.default_rng(6)
     for _ in range(3000):
