@@ -101,12 +101,12 @@ def test_hot_keys_beyond_the_broadcast(spark, families, monkeypatch):
 def test_long_lists_of_components_are_not_grown(spark, frame, monkeypatch):
     r = random.Random(13)
     make = lambda n: " ".join(str(r.randint(0, 10**9)) for _ in range(n))
-    line, own = make(6), make(60).split()
-    rows = [(k, f"{line} {' '.join(own[:k % 60] + ['x%d' % k] + own[k % 60 + 1 :])}") for k in range(60)]
-    rows += [(100 + k, f"{line} {make(8)}") for k in range(60)]
+    parts = [make(8) for _ in range(10)]
+    rows = [(k, " ".join(parts[j] for j in sorted(r.sample(range(10), 4)))) for k in range(120)]
+    rows += [(200 + k, f"{rows[k][1]} more") for k in range(20)]
     made = []
     monkeypatch.setattr(ngram_join, "_grow", lambda rows, percent, bound=None, of=ngram_join._grow: made.append(bound) or of(rows, percent, bound))
-    assert found(ngram_join.jaccard_components(frame(rows), leaf=16, light=0)) == brute_components(rows)
+    assert found(ngram_join.jaccard_components(frame(rows), leaf=4, light=0)) == brute_components(rows)
     assert made == [0]
 
 
