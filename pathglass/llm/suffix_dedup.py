@@ -52,6 +52,8 @@ FLUSH_BYTES = 64 << 20
 
 #: Bytes of text in a group of documents, and in a bucket, about.
 GROUP_BYTES = 64 << 20
+#: Starts that are sorted at once.
+SORTED_STARTS = 1 << 18
 #: Stretches at one anchor from which on it is hot, at least.
 HOT_STRETCHES = 1_000_000
 
@@ -219,6 +221,7 @@ def _shared(lists: DataFrame, buckets: int, hot_from: int | None = None) -> Data
     small = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         tag, batch, count = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("tags", "<u4"), ("batches", small), ("counts", np.uint8)))
         order = np.lexsort((batch, tag))
         tag, batch, count = tag[order], batch[order].astype(np.int64), count[order]
@@ -348,21 +351,44 @@ def _reach(docs: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     return np.where(reach >= least, reach, 0)
 
 
-def longest_previous_factors(data: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def longest_previous_factors(data: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int = LENGTH, at_once: int = SORTED_STARTS) -> np.ndarray:
     """For each start ``at`` in ``data``, its longest match with a start of a smaller document.
 
     Matches are followed up to ``length`` bytes; shorter ones remove nothing and
     read 0. The starts are sorted into suffix order, which their first ``length``
     bytes decide; each one's longest match is with its previous or with its next
-    smaller position there.
+    smaller position there. Starts that match agree in their first 8 bytes, so
+    many starts are dealt by these and sorted about ``at_once`` at a time.
     """
     w = _words(data, ">")
-    keys = [w[at + s] for s in [*range(0, length - 8, 8), length - 8]]
-    order = np.lexsort(keys[::-1])
-    equal = np.ones(len(at), bool)
+    if len(at) <= at_once:
+        return _sorted_factors(w, at, docs, length)
+    parts = min(-(-len(at) // at_once) * 2, 1 << 16)
+    part = w[at]
+    part *= _M1
+    part ^= part >> np.uint64(29)
+    part *= _M2
+    part >>= np.uint64(32)
+    part = (part % np.uint64(parts)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    out = np.empty(len(at), np.min_scalar_type(length))
+    for a, b in pairwise([0, *ends.tolist()]):
+        own = order[a:b]
+        out[own] = _sorted_factors(w, at[own], docs[own], length)
+    return out
+
+
+def _sorted_factors(w: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """:func:`longest_previous_factors` of starts that are sorted together; ``w`` holds the 8 bytes at every place."""
+    steps = [*range(0, length - 8, 8), length - 8]
+    order = np.arange(len(at))
+    for s in reversed(steps):  # a key at a time, the last one first
+        order = order[np.argsort(w[at[order] + s], kind="stable")]
+    equal, ranked = np.ones(len(at), bool), at[order]
     equal[:1] = False
-    for k in keys:
-        k = k[order]
+    for s in steps:
+        k = w[ranked + s]
         equal[1:] &= k[1:] == k[:-1]
     common, docs = np.where(equal, length, 0), docs[order]
     out = np.empty(len(at), np.int64)
@@ -470,6 +496,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     left = docs.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)), F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__doc"), row.alias("__row"), (row % buckets).cast("int").alias("__batch"))
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        give_back()
         unzip = zstandard.ZstdDecompressor()
         got = [np.frombuffer(unzip.decompress(x.as_py()), _MARK) for x in marks.column("marks")]
         got = np.concatenate(got) if got else np.zeros(0, _MARK)

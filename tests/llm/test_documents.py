@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -81,6 +82,23 @@ def test_longest_previous_factors(length):
     assert not len(suffix_dedup.longest_previous_factors(data[:0], at[:0], docs[:0], length))
 
 
+def test_starts_of_a_bucket_are_sorted_in_parts():
+    """Stretches around one passage, all at one anchor: equal to one sort, with a bounded amount of memory."""
+    r = np.random.default_rng(4)
+    n, length = 12_000, 50
+    passage = r.integers(97, 123, length - 8)
+    text = np.concatenate([r.integers(97, 99, (n, 34)), np.broadcast_to(passage, (n, length - 8))], axis=1).astype(np.uint8)
+    at = (np.arange(n)[:, None] * text.shape[1] + np.arange(text.shape[1] - length + 1)).ravel()
+    docs, data = at // text.shape[1], text.ravel()
+    want = suffix_dedup.longest_previous_factors(data, at, docs, length, at_once=len(at))
+    tracemalloc.start()
+    got = suffix_dedup.longest_previous_factors(data, at, docs, length, at_once=len(at) // 10)
+    peak = tracemalloc.get_traced_memory()[1] - 16 * len(data)  # text as words, and padded
+    tracemalloc.stop()
+    assert (got == want).all() and 0 < (want == length).sum() < len(want)
+    assert peak < 60 * len(at)  # sorted at once: 117 bytes a start
+
+
 def test_smaller_positions_equal_a_scan():
     r = np.random.default_rng(3)
     for n in (1, 2, 50, 400):
