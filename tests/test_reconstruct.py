@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from pathglass.operators import reconstruct
 from pathglass.operators.reconstruct import CallStack
 from pathglass.schemas import RECORDS
 from pathglass.sources.trace_text import parse_records, parse_statistics, read_trace_text
-from pathglass.streaming.call_stacks import StoredFrames, run_to_end, stream_stacks
+from pathglass.streaming.call_stacks import READ, StackProcessor, StoredFrames, run_to_end, stream_stacks
 
 FN = {0x10: 1, 0x20: 2, 0x30: 3, 0x40: 4}
 
@@ -262,3 +263,17 @@ def test_trace_text(spark, tmp_path):
     stats = parse_statistics(read_trace_text(spark, f"{tmp_path}/t.txt")).first()
     assert (stats.records, stats.samples, stats.unparsed) == (13, 4, 2)
     assert parse_records(spark.createDataFrame([], "stream int, seq long, value string")).count() == 0
+
+
+def test_a_batch_is_fed_by_columns(monkeypatch):
+    """No dictionary for each record; nulls, order and long integers are kept."""
+    processor, head, frames = StackProcessor(), [], {}
+    processor.head = type("Head", (), {"exists": lambda self: bool(head), "get": lambda self: head[-1], "update": lambda self, x: head.append(x)})()
+    processor.frames = type("Frames", (), {"getValue": lambda self, k: frames[k], "updateValue": lambda self, k, v: frames.update({k: v}), "removeKey": lambda self, k: frames.pop(k)})()
+    monkeypatch.setattr(pd.DataFrame, "to_dict", lambda *_: pytest.fail("a dictionary for each record"))
+    late = 2**60 + 1
+    rows = [("sample", 2, str(late), None, 2.0, 1.0, 33, "return"), ("sample", 1, str(late - 1), None, 1.0, 2.0, 16, "call"), ("sample", 3, None, None, None, 3.0, 34, "call")]
+    batch = pd.DataFrame([(t, seq, now, 0, first, None, None, a, b, str(ip), kind, *[False] * 6) for t, seq, now, first, a, b, ip, kind in rows], columns=READ)
+    (out,) = processor.handleInputRows((1, 7), iter([batch[:1], batch[1:]]), None)
+    assert out[["row", "thread", "key", "function", "start_ns", "end_ns", "completeness"]].values.tolist() == [["span", "t_7", 2, 2.0, late - 1, late, "complete"]]
+    assert frames == {(0,): (6, 3, None, None, 3, "open_end", 34)} and head[-1][:5] == (0, True, late, 1, False)
