@@ -265,6 +265,18 @@ def test_trace_text(spark, tmp_path):
     assert parse_records(spark.createDataFrame([], "stream int, seq long, value string")).count() == 0
 
 
+def test_numbered_records_are_written_once_and_busy_threads_counted_first(spark, records, monkeypatch):
+    """Two streams: their order is not computed for each reader, and segments are not counted where no thread is long."""
+    written, write = [], reconstruct.cut
+    monkeypatch.setattr(reconstruct, "cut", lambda df, what: (written.append(what), write(df, what))[1])
+    rows = records(*[("call", 0x10, 0x20), ("return", 0x21, 0x11)] * 6).withColumn("stream", (F.col("seq") % 2).cast("int"))
+    spans, _ = reconstruct.reconstruct(rows)
+    assert {r.completeness for r in spans.collect()} == {"complete"} and spans.count() == 6
+    assert written.count("numbered") == 1 and "long-segments" not in written
+    monkeypatch.setattr(reconstruct, "LONG", 12)
+    assert sorted(map(tuple, reconstruct.reconstruct(rows)[0].collect())) == sorted(map(tuple, spans.collect())) and "long-segments" in written
+
+
 def test_a_batch_is_fed_by_columns(monkeypatch):
     """No dictionary for each record; nulls, order and long integers are kept."""
     processor, head, frames = StackProcessor(), [], {}
