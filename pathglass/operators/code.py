@@ -87,7 +87,7 @@ def flow(ip: Column) -> dict[str, Column]:
 
 def instruction_code(rows: DataFrame, places: DataFrame, code: DataFrame | None) -> DataFrame:
     """``rows`` (id, insn) with bytes, kind, len, targeted and displacement: the bytes that a row states as hex, or
-    those of its image. ``places`` is (id, image_id, file_offset) of the rows."""
+    those of its image. ``places`` is (id, image_id, file_offset) of the rows, whose other columns pass through."""
     stated = rows.filter("insn is not null").select(F.col("insn").alias("id")).distinct()
     raw = F.unhex(F.regexp_replace("id", r"\s+", ""))
     spelled = decoded(cut(stated.withColumn("bytes", raw), "stated"))

@@ -120,8 +120,7 @@ def instruction_rows(records: DataFrame, images: Images, mappings: DataFrame | N
     ran = ran if thread is None else ran.filter(F.col("thread") == thread)
     ran = cut(ran.select("pid", "seq", "time_ns", "ip", "insn", "thread", "sequence", "next_ip", "next_lost"), "sequenced")
     at = cut(locate(ran.select(F.col("seq").alias("id"), "pid", "ip", "seq"), mappings, images), "instruction-places")
-    code = instruction_code(ran.select(F.col("seq").alias("id"), "insn"), at, images.code)
-    out = ran.withColumnRenamed("seq", "id").drop("insn").join(code, "id").join(at, "id", "left")
+    out = instruction_code(ran.withColumnRenamed("seq", "id"), at, images.code).join(at, "id", "left")
     out = out.withColumns(flow(F.col("ip")))
     shown = F.rtrim(F.regexp_replace(F.lower(F.hex(F.coalesce("bytes", F.lit(b"")))), "(..)", "$1 "))
     columns = {"location": F.lit(None), "virt_ip": F.col("ip"), "outcome": outcome(), "bytes_hex": shown}

@@ -10,6 +10,7 @@ from pathglass.functions import x86
 from pathglass.operators import code, instructions, reconstruct, records
 from pathglass.operators.locate import Images
 from pathglass.schemas import FUNCTIONS, IMAGES, INLINE_RANGES, RECORDS, SEGMENTS
+from pathglass.sources import star
 
 
 def decode(text):
@@ -250,3 +251,14 @@ def test_streams_are_merged_as_their_heads_come(spark, seed):
     assert merged.orderBy("seq").select("part").collect() == merged.orderBy("part", "seq").select("part").collect()
     one = records.in_ranges(rows_of(spark, *streams[1]).filter(F.col("time_ns").isNotNull()))
     assert sorted(x.seq for x in one.collect()) == sorted(row["seq"] for row in streams[1] if row["time_ns"] is not None)
+
+
+@pytest.mark.parametrize("source", [star.executed, star.executed_with_exits, star.records_of_processes])
+def test_an_events_type_comes_along_with_its_record(spark, source):
+    assert "Join" not in source(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_take_their_other_columns_through_decoding(spark):
+    rows = spark.createDataFrame([(1, "74 0e", 5), (2, None, 6), (3, "c3", None)], "id long, insn string, thread long")
+    out = instructions.instruction_code(rows, spark.createDataFrame([], "id long, image_id string, file_offset long"), None)
+    assert sorted((r.id, r.thread, r.kind) for r in out.collect()) == [(1, 5, "conditional"), (2, 6, None), (3, None, "return")]
