@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.bpe_fst import Utf8Decoder, encoder, load_vocabulary
+from pathglass.llm.bpe_fst import Utf8Decoder, encoder, forget, load_vocabulary
 from pathglass.llm.common import release_with, task_tables, text_stream
 
 #: Ids decoded at a time; the decoder carries its state from chunk to chunk.
@@ -32,7 +32,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def run(batches):
         with task_tables("bpe"):
             enc = encoder(vocabulary, scale)
-            release_with("bpe", encoder.cache_clear)
+            release_with("bpe", forget)
             for b in batches:
                 ids = [enc.encode(x) for x in text_stream(b, "__text")]
                 yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(ids, pa.binary())], ["__id", "__ids"])
@@ -48,6 +48,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
     def run(batches):
         with task_tables("bpe"):
             decoder = Utf8Decoder(load_vocabulary(vocabulary))
+            release_with("bpe", forget)
             for b in batches:
                 texts = [decode_text(decoder, x or b"") for x in b.column("__ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(texts, pa.string())], ["__id", "__text"])
@@ -73,7 +74,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     def run(batches):
         with task_tables("bpe"):
             enc, decoder = encoder(vocabulary, scale), Utf8Decoder(load_vocabulary(vocabulary))
-            release_with("bpe", encoder.cache_clear)
+            release_with("bpe", forget)
             for b in batches:
                 n, ids_sha, text_sha = [], [], []
                 for x in text_stream(b, "__text"):

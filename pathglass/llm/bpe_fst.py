@@ -399,6 +399,12 @@ def encoder(path: str, scale: float = 1) -> TextEncoder:
     return TextEncoder(load_vocabulary(path), scale)
 
 
+def forget() -> None:
+    """Let go of this worker's encoders and their vocabularies."""
+    encoder.cache_clear()
+    load_vocabulary.cache_clear()
+
+
 class Utf8Decoder:
     """Turns a stream of token ids into text, however tokens cut characters.
 

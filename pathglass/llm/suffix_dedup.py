@@ -38,13 +38,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.common import give_back, materialise, task_tables
+from pathglass.llm.common import materialise, task_tables
 
 LENGTH = 50
 #: Bytes of an anchor.
 FACTOR = 16
-#: Bytes of text that the array code works on at a time.
-SLICE = 1 << 21
+#: Bytes of text that the array code works on at a time; a few dozen times that is held meanwhile.
+SLICE = 1 << 19
 #: Anchors that a task holds before it hands them on.
 FLUSH_ANCHORS = 6_000_000
 #: Bytes of stretches that a task holds before it hands them on.
@@ -63,13 +63,17 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _words(data: np.ndarray, order: str) -> np.ndarray:
-    """The 8 bytes at every place as one integer; zeros behind the end."""
+    """The 8 bytes at every place as one integer; zeros behind the end.
+
+    The integers overlap in memory, so they take no more than ``data``.
+    """
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    out = np.empty(len(data), np.uint64)
-    for k in range(min(8, len(data))):
-        part = out[k::8]
-        part[:] = np.frombuffer(padded, f"{order}u8", len(part), k)
-    return out
+    return np.ndarray(len(data), f"{order}u8", padded, strides=(1,))
+
+
+def _at(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The integers at some places, in the machine's own byte order."""
+    return words[places].astype(np.uint64, copy=False)
 
 
 def slices(texts: list[bytes], length: int = LENGTH, size: int = SLICE):
@@ -101,7 +105,7 @@ def _packed(parts):
 
 def stretches(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     """(part, first start, number of starts, anchor hash) of the stretches with one anchor, in order."""
-    w = _words(buffer, "<")
+    w = _words(buffer, "<").astype(np.uint64)
     h = w * _M1 + np.concatenate([w[8:], np.zeros(min(8, len(w)), np.uint64)]) * _M2
     h ^= h >> np.uint64(29)
     h *= _M2
@@ -149,14 +153,16 @@ def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """All places of ranges given by their first place and their length."""
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    out = np.repeat(first - (np.cumsum(count) - count), count)
+    out += np.arange(len(out))
+    return out
 
 
 def _whole_strings(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """A hash of the ``length`` bytes at each place."""
     w, h = _words(buffer, "<"), np.full(len(at), length, np.uint64)
     for s in [*range(0, length - 8, 8), length - 8]:
-        h = (h ^ w[at + s]) * _M1
+        h = (h ^ _at(w, at + s)) * _M1
         h ^= h >> np.uint64(29)
     h *= _M2
     return h ^ h >> np.uint64(32)
@@ -221,7 +227,10 @@ def _shared(lists: DataFrame, buckets: int, hot_from: int | None = None) -> Data
     small = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def run(table: pa.Table) -> pa.Table:
-        give_back()
+        with task_tables("suffixes"):
+            return told(table)
+
+    def told(table):
         tag, batch, count = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("tags", "<u4"), ("batches", small), ("counts", np.uint8)))
         order = np.lexsort((batch, tag))
         tag, batch, count = tag[order], batch[order].astype(np.int64), count[order]
@@ -283,7 +292,10 @@ def _cut_stretches(rows: DataFrame, shared: DataFrame, buckets: int, length: int
         return pa.table({c: pa.array(x, t) for c, (x, t) in zip(["bucket", "heads", "texts", "batch", "marks"], columns, strict=True)})
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        give_back()
+        with task_tables("suffixes"):
+            return stretched(docs, shared)
+
+    def stretched(docs, shared):
         known = [_full_keys(k.as_py(), t.as_py()) for k, t in zip(shared.column("bucket"), shared.column("tags"), strict=True)]
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         held, size, out = [], 0, []
@@ -364,14 +376,22 @@ def longest_previous_factors(data: np.ndarray, at: np.ndarray, docs: np.ndarray,
     if len(at) <= at_once:
         return _sorted_factors(w, at, docs, length)
     parts = min(-(-len(at) // at_once) * 2, 1 << 16)
-    part = w[at]
-    part *= _M1
-    part ^= part >> np.uint64(29)
-    part *= _M2
-    part >>= np.uint64(32)
-    part = (part % np.uint64(parts)).astype(np.uint16)
-    order = np.argsort(part, kind="stable")
+    part = np.empty(len(at), np.uint16)
+    for k in range(0, len(at), at_once):
+        h = _at(w, at[k : k + at_once]) * _M1
+        h ^= h >> np.uint64(29)
+        h *= _M2
+        h >>= np.uint64(32)
+        part[k : k + at_once] = h % np.uint64(parts)
     ends = np.cumsum(np.bincount(part, minlength=parts))
+    # The starts in order of their parts, a slice of them at a time.
+    order, place = np.empty(len(at), np.min_scalar_type(len(at))), np.append(0, ends[:-1])
+    for k in range(0, len(at), at_once):
+        own = np.argsort(part[k : k + at_once], kind="stable")
+        n = np.bincount(part[k : k + at_once], minlength=parts)
+        order[_places(place, n)] = own + k
+        place += n
+    del part
     out = np.empty(len(at), np.min_scalar_type(length))
     for a, b in pairwise([0, *ends.tolist()]):
         own = order[a:b]
@@ -382,14 +402,15 @@ def longest_previous_factors(data: np.ndarray, at: np.ndarray, docs: np.ndarray,
 def _sorted_factors(w: np.ndarray, at: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """:func:`longest_previous_factors` of starts that are sorted together; ``w`` holds the 8 bytes at every place."""
     steps = [*range(0, length - 8, 8), length - 8]
-    order = np.arange(len(at))
-    for s in reversed(steps):  # a key at a time, the last one first
-        order = order[np.argsort(w[at[order] + s], kind="stable")]
-    equal, ranked = np.ones(len(at), bool), at[order]
+    keys, order = [_at(w, at + s) for s in steps], np.arange(len(at))
+    for k in reversed(keys):  # a key at a time, the last one first
+        order = order[np.argsort(k[order], kind="stable")]
+    equal = np.ones(len(at), bool)
     equal[:1] = False
-    for s in steps:
-        k = w[ranked + s]
+    for k in keys:
+        k = k[order]
         equal[1:] &= k[1:] == k[:-1]
+    del keys, k
     common, docs = np.where(equal, length, 0), docs[order]
     out = np.empty(len(at), np.int64)
     before = _reach(docs, common, length)
@@ -402,7 +423,10 @@ def _marks(cut: DataFrame, buckets: int, length: int) -> DataFrame:
     """(batch, marks): byte ranges to remove, by row."""
 
     def run(table: pa.Table) -> pa.Table:
-        give_back()
+        with task_tables("suffixes"):
+            return judged(table)
+
+    def judged(table):
         zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         ids: dict[bytes, int] = {}  # distinct stretches of the bucket
         heads, own, firsts, batches, blobs = [], [], [], [], []
@@ -425,11 +449,13 @@ def _marks(cut: DataFrame, buckets: int, length: int) -> DataFrame:
                 np.minimum(first[: len(part)], part, out=first[: len(part)])
             data = np.frombuffer(b"".join(ids), np.uint8)
             n = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids.clear()
             begin, n = np.cumsum(n) - n, n - length + 1
-            # Every start of every distinct stretch, for the first document that has the stretch.
-            hit = longest_previous_factors(data, _places(begin, n), np.repeat(first, n), length) >= length
+            # Every start of every distinct stretch, for the first document that has the stretch; ranks tell documents apart.
+            rank = np.unique(first, return_inverse=True)[1].astype(np.int32)
+            hit = longest_previous_factors(data, _places(begin, n), np.repeat(rank, n), length) >= length
             offset = np.cumsum(n) - n
-            stretch = np.repeat(np.arange(len(n)), n)
+            stretch = np.repeat(np.arange(len(n), dtype=np.int32), n)
             opens, closes = hit.copy(), hit.copy()
             opens[1:] &= ~hit[:-1] | (stretch[1:] != stretch[:-1])
             closes[:-1] &= ~hit[1:] | (stretch[1:] != stretch[:-1])
@@ -496,7 +522,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     left = docs.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(carried)), F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__doc"), row.alias("__row"), (row % buckets).cast("int").alias("__batch"))
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        give_back()
+        with task_tables("suffixes"):
+            return removed_from(docs, marks)
+
+    def removed_from(docs, marks):
         unzip = zstandard.ZstdDecompressor()
         got = [np.frombuffer(unzip.decompress(x.as_py()), _MARK) for x in marks.column("marks")]
         got = np.concatenate(got) if got else np.zeros(0, _MARK)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.bpe_fst import BREAK, TextEncoder, encoder
+from pathglass.llm.bpe_fst import BREAK, TextEncoder, encoder, forget
 from pathglass.llm.common import release_with, task_tables, text_stream
 
 #: Characters in a chunk.
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     def run(batches):
         with task_tables("bpe"):
             enc = encoder(vocabulary, scale)
-            release_with("bpe", encoder.cache_clear)
+            release_with("bpe", forget)
             for b in batches:
                 n, size = [], []
                 for x in text_stream(b, "__text"):

@@ -99,6 +99,23 @@ def test_starts_of_a_bucket_are_sorted_in_parts():
     assert peak < 60 * len(at)  # sorted at once: 117 bytes a start
 
 
+def test_array_code_holds_little_beside_its_text():
+    """An executor's two workers share its memory with Spark: starts take a few bytes each, text is cut a slice at a time."""
+    r = np.random.default_rng(5)
+    text = r.integers(97, 101, 3_000_000).astype(np.uint8)
+    at = np.arange(len(text) - 50)
+    tracemalloc.start()
+    suffix_dedup.longest_previous_factors(text, at, at // 500, 50)
+    factors = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    for buffer, _, _, starts, ends in suffix_dedup.slices([text.tobytes()], 50):
+        suffix_dedup.stretches(buffer, starts, ends, 50)
+    cut = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert factors < 20 * len(at)  # before: the text as words, an order and keys of 8 bytes a start, 34 bytes
+    assert cut < 50 << 20  # before: 114 MB
+
+
 def test_smaller_positions_equal_a_scan():
     r = np.random.default_rng(3)
     for n in (1, 2, 50, 400):

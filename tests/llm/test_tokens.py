@@ -8,13 +8,14 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pathglass.llm import bpe_codec, bpe_fst, token_counts, token_store
+from pathglass.llm import bpe_codec, bpe_fst, common, token_counts, token_store
 from pathglass.llm.bpe_fst import SPLIT_PATTERN, TextEncoder, Transducer, Utf8Decoder, encoder, load_vocabulary
 from pathglass.llm.elias_fano import EliasFano
 
@@ -163,3 +164,17 @@ def test_token_files_round_trip(spark, frame, prose, json_library, tmp_path):
     for k, (key, _, ids) in enumerate(file.documents()):
         assert file.doc_id(k) == key and file.ids(k).tolist() == ids.tolist()
     assert token_store.token_files_digest(frame([]), JSON).count() == 0
+
+
+def test_another_operators_task_frees_the_vocabulary(spark, monkeypatch):
+    """A worker that goes on to another operator keeps neither the encoder's tables nor the vocabulary (35 MB)."""
+    docs, taken = spark.createDataFrame([(1, "some words")], "doc_id long, text string"), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: taken.append(f) or real(self, f, schema))
+    bpe_codec.encode_texts(docs, RANKS)
+    bpe_codec.round_trip_digests(docs, RANKS)
+    for run in taken:
+        batch = pa.RecordBatch.from_pydict({"__id": [1], "__text": ["some words"]})
+        assert len(list(run([batch]))) == 1 and load_vocabulary.cache_info().currsize
+        with common.task_tables("another operator"):
+            assert not load_vocabulary.cache_info().currsize and not encoder.cache_info().currsize
