@@ -18,11 +18,13 @@ def bitmap(found: np.ndarray) -> bytes:
 
 def candidate_groups(size: np.ndarray, bits: np.ndarray, component: np.ndarray, percent: int) -> list[np.ndarray]:
     """Members that may be similar to one of another component, by sizes and bitmaps, in groups that such pairs connect."""
-    n = len(size)
+    n, order = len(size), np.argsort(size, kind="stable")
     group, met = np.arange(n), np.zeros(n, bool)
-    for i in range(n):
-        near = (component[:i] != component[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
-        near = np.flatnonzero(near)
+    size, bits, component = size[order], bits[order], component[order]
+    # In order of sizes, those near enough from below stand side by side.
+    least = np.searchsorted(100 * size, percent * size)
+    for i, low in enumerate(least.tolist()):
+        near = low + np.flatnonzero(component[low:i] != component[i])
         if len(near):
             apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
             near = near[(100 + percent) * apart <= (100 - percent) * (size[near] + size[i])]
@@ -30,7 +32,7 @@ def candidate_groups(size: np.ndarray, bits: np.ndarray, component: np.ndarray,
             met[near] = met[i] = True
             for g in np.unique(group[near]).tolist():
                 group[group == g] = group[i]
-    return [np.flatnonzero(met & (group == g)) for g in np.unique(group[met]).tolist()]
+    return [np.sort(order[met & (group == g)]) for g in np.unique(group[met]).tolist()]
 
 
 def in_blocks(group: np.ndarray, most: int) -> list[np.ndarray]:

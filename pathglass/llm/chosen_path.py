@@ -16,18 +16,19 @@ not all pairs, and components are joined by label propagation on tables.
 from __future__ import annotations
 
 import random
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from itertools import pairwise, tee
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathglass.llm.bitmaps import WIDE, bitmap, candidate_groups, in_blocks
-from pathglass.llm.bpe_fst import PieceTable
-from pathglass.llm.common import HOT_KEYS, Scratch, join_spread, release_with, task_tables, text_stream
+from pathglass.llm.common import HOT_KEYS, Scratch, join_spread, task_tables, text_stream
 
 WORDS = 5
 TREES = 10
@@ -47,10 +48,14 @@ PLACES = 64
 #: the threshold: under 25 of 64 equal places at 0.75, whose chance (about 1e-10) is
 #: far below that of the trees' misses; no tree recovers it.
 SLACK = 0.36
+#: Groups of nodes in each shuffle partition.
+NODE_GROUPS = 16
+#: Bytes of text whose words are hashed at a time; longer words are hashed one by one.
+SLICE, LONG_WORD = 1 << 20, 512
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_DRAWN = np.random.Generator(np.random.PCG64(10)).integers(0, 1 << 64, (2, PLACES), np.uint64)
-_FACTORS, _TERMS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+_DRAWN = np.random.Generator(np.random.PCG64(10)).integers(0, 1 << 32, (2, PLACES), np.uint32)
+_FACTORS, _TERMS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,31 +64,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> PieceTable:
-    """The hash of each word; one table for each Python worker."""
-    return PieceTable(xxhash.xxh3_64_intdigest)
+#: Odd factors of the words of a shingle.
+_ODD = _mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+#: Bytes between words, letters as they count, and the first bytes of eight.
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of lower-cased bytes, and where it starts. Words end at blanks; ``data`` ends with one."""
+    edges = np.flatnonzero(np.diff(_BLANK[data], prepend=True))
+    starts, n = edges[::2], edges[1::2] - edges[::2]
+    padded = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    h = n.astype(np.uint64) * _M1
+    left = np.arange(len(n))
+    for k in range(0, LONG_WORD, 8):  # eight bytes of all words that have as many
+        if k:
+            left = left[n[left] > k]
+        if not len(left):
+            break
+        h[left] = _mix(h[left] * _M2 ^ (eight[starts[left] + k].astype(np.uint64) & _FIRST[np.minimum(n[left] - k, 8)]))
+    for k in np.flatnonzero(n > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(padded[starts[k] : starts[k] + n[k]].tobytes())
+    return h, starts
+
 
+def shingle_sets(texts: Iterable[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct hashed shingles of each text, ascending; with fewer words the whole sequence as one.
 
-def shingles(text: str, hashes: PieceTable, words: int = WORDS) -> np.ndarray:
-    """The distinct hashed shingles of a text, ascending; with fewer words the whole sequence as one."""
-    w = np.fromiter(map(hashes.__getitem__, text.encode().lower().split()), np.uint64)
-    if not len(w):
-        return w
-    n = max(1, len(w) - words + 1)
-    h = np.full(n, min(len(w), words), np.uint64)
-    for k in range(min(len(w), words)):
-        h = _mix(h * np.uint64(0x100000001B3) + w[k : k + n])
-    return np.unique(h)
+    Texts are looked at about SLICE bytes at a time, as arrays over all their words.
+    """
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= SLICE:
+            yield from _sets(held, words)
+            held, size = [], 0
+    if held:
+        yield from _sets(held, words)
+
+
+def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    w, starts = _words(np.frombuffer(b"\n".join([*texts, b""]), np.uint8))
+    first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+    n = np.diff(first)
+    found = {size: _shingled(w, size) for size in {*np.minimum(n, words).tolist()} - {0}}
+    for a, size in zip(first.tolist(), n.tolist(), strict=False):
+        h = np.sort(found[min(size, words)][a : a + max(1, size - words + 1)]) if size else w[:0]
+        yield h[np.append(True, h[1:] != h[:-1])] if size else h
+
+
+def _shingled(w: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` words that follow each other."""
+    h = np.full(len(w) - size + 1, size, np.uint64)
+    for k in range(size):
+        h += w[k : k + len(h)] * _ODD[k % len(_ODD)] + np.uint64(k // len(_ODD))
+    return _mix(h)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """A 32-bit minwise token for each place."""
-    out = np.empty(PLACES, np.uint32)
+    """A 32-bit minwise token for each place.
+
+    A token is a hash of the whole element that is smallest there: smallest values
+    are small numbers, so that cut to 32 bits they would agree by chance all the
+    more often, the more sets there are.
+    """
+    at, least = np.empty(PLACES, np.int64), (found >> np.uint64(32)).astype(np.uint32)
     step = max(1, (1 << 18) // max(1, len(found)))
     for k in range(0, PLACES, step):
-        out[k : k + step] = (found[None, :] * _FACTORS[k : k + step, None] + _TERMS[k : k + step, None]).min(1) >> np.uint64(32)
-    return out
+        at[k : k + step] = (least[None, :] * _FACTORS[k : k + step, None] + _TERMS[k : k + step, None]).argmin(1)
+    return (_mix(found[at]) >> np.uint64(32)).astype(np.uint32)
 
 
 def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -91,16 +144,15 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
     def run(batches):
         with task_tables("shingles"):
-            release_with("shingles", word_hashes.cache_clear)
-            hashes, zip_ = word_hashes(), zstandard.ZstdCompressor(level=1)
+            zip_ = zstandard.ZstdCompressor(level=1)
             for b in batches:
                 n, key, sig, packed, bits = [], [], [], [], []
-                for text in text_stream(b, "__text"):
-                    found = shingles(text, hashes, words)
+                texts, again = tee(x.encode() for x in text_stream(b, "__text"))
+                for text, found in zip(again, shingle_sets(texts, words), strict=True):
                     n.append(len(found))
                     key.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     sig.append(signature(found).tobytes() if len(found) else None)
-                    packed.append(zip_.compress(text.encode()) if len(found) else None)
+                    packed.append(zip_.compress(text) if len(found) else None)
                     bits.append(bitmap(found) if len(found) else None)
                 columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, sig, packed, bits))]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), *columns], ["id", "text_hash", "n_shingles", "key", "sig", "packed", "bits"])
@@ -235,15 +287,32 @@ def _pruned(leaves: DataFrame, facts: DataFrame, percent: int, leaf: int) -> Dat
     rows = facts.join(leaves.select("node", F.explode("members").alias("key")).hint("merge"), "key")
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_pylist()
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)[order]
-        component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1][order]
-        groups = candidate_groups(table.column("n").to_numpy()[order], bits, component, percent)
-        found = [[keys[order[k]] for k in part.tolist()] for g in groups for part in in_blocks(g, leaf)]
+        found = []
+        for node in _nodes(table):
+            keys = node.column("key").to_pylist()
+            order = sorted(range(len(keys)), key=keys.__getitem__)
+            bits = np.frombuffer(b"".join(node.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)[order]
+            component = np.unique(np.array(node.column("component").to_pylist(), object), return_inverse=True)[1][order]
+            groups = candidate_groups(node.column("n").to_numpy()[order], bits, component, percent)
+            found += [[keys[order[k]] for k in part.tolist()] for g in groups for part in in_blocks(g, leaf)]
         return pa.table({"members": pa.array(found, pa.list_(pa.binary()))})
 
-    return _once(rows.groupBy("node").applyInArrow(run, "members array<binary>"))
+    return _once(_dealt(rows).applyInArrow(run, "members array<binary>"))
+
+
+def _dealt(rows: DataFrame):
+    """Rows grouped so that many small nodes share a call; no node is parted."""
+    parts = NODE_GROUPS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
+
+
+def _nodes(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each node of a group."""
+    table = table.sort_by("node")
+    node = table.column("node").combine_chunks()
+    cuts = np.flatnonzero(pc.not_equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False)) + 1
+    for a, b in pairwise([0, *cuts.tolist(), len(node)]):
+        yield table.slice(a, b - a)
 
 
 def _once(lists: DataFrame) -> DataFrame:
@@ -258,14 +327,15 @@ def _links(leaves: DataFrame, reps: DataFrame, percent: int, words: int) -> Data
     rows = reps.select("key", "packed").join(leaves.select("node", F.explode("members").alias("key")).hint("merge"), "key").select("node", "key", "packed")
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, unzip = word_hashes(), zstandard.ZstdDecompressor()
-        packed = dict(zip(table.column("key").to_pylist(), table.column("packed").to_pylist(), strict=True))
-        keys = sorted(packed)
-        sets = [shingles(unzip.decompress(packed[k]).decode(), hashes, words) for k in keys]
-        found = link_node(keys, sets, np.stack([signature(x) for x in sets]), percent)
+        unzip, found = zstandard.ZstdDecompressor(), []
+        for node in _nodes(table):
+            packed = dict(zip(node.column("key").to_pylist(), node.column("packed").to_pylist(), strict=True))
+            keys = sorted(packed)
+            sets = list(shingle_sets((unzip.decompress(packed[k]) for k in keys), words))
+            found += link_node(keys, sets, np.stack([signature(x) for x in sets]), percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
-    return rows.groupBy("node").applyInArrow(run, "a binary, b binary").distinct()
+    return _dealt(rows).applyInArrow(run, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -138,6 +138,28 @@ def test_hot_anchors_are_split_by_whole_strings(spark, frame, prose, hot):
     assert figures(suffix_dedup.remove_repeats(frame(rows), hot=hot)) == brute_removed(rows, 50)
 
 
+def test_tokens_of_unlike_sets_differ():
+    """Sets without a common shingle meet in a node no more often than 32 bits allow; before, 134 times here, and with the square of their number."""
+    r = np.random.default_rng(7)
+    tokens = np.stack([chosen_path.signature(np.sort(r.integers(0, 1 << 64, 2_000, np.uint64))) for _ in range(3_000)])
+    assert sum(len(tokens) - len(np.unique(tokens[:, k])) for k in range(chosen_path.PLACES)) < 5
+
+
+def test_shingle_sets_equal_brute_force(monkeypatch):
+    r = random.Random(2)
+    texts = [b"", b" \t\n", b"one", b"a b", b"A\x0bB", b"a b c d E f\r\x0c", b"a\x85b a\x85b a\x85b a\x85b a\x85b a\x85b", "\u00c9 \u00e9 \u00c9 \u00e9 \u00c9 \u00e9 \u00c9".encode()]
+    texts += [b"x" * n + b" y" for n in (7, 8, 9, 16, 17, 511, 512, 513, 3_000)]
+    texts += [" ".join(r.choice(["a", "B", "b", "lengthy", "lengthier", "lengthiest one"]) for _ in range(r.randint(1, 60))).encode() for _ in range(200)]
+    words = [t.lower().split() for t in texts]
+    for size in (1, 5, 70):
+        want = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+        got = [set(x.tolist()) for x in chosen_path.shingle_sets(texts, size)]
+        assert list(map(len, got)) == list(map(len, want))
+        assert all(len(got[i] & got[k]) == len(want[i] & want[k]) for i in range(0, len(texts), 7) for k in range(len(texts)))
+        monkeypatch.setattr(chosen_path, "SLICE", 100)
+        assert [set(x.tolist()) for x in chosen_path.shingle_sets(iter(texts), size)] == got
+
+
 def brute_contamination(docs, items, window, percent):
     """The rule over every diagonal, without masks; equal items count once, under the smallest id."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
