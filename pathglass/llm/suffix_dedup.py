@@ -11,20 +11,23 @@ buckets by content: every string of ``length`` bytes has an anchor, its 16-byte
 factor with the smallest hash, and equal strings have equal anchors. Neighbouring
 starts with one anchor travel together as one stretch of text.
 
-1. Each task lists its documents' anchors as short hashes; buckets tell which occur
-   in more than one document, and which of them are hot.
-2. Documents are cut into stretches around those anchors only. Of the copies of a
+1. Copies of whole texts go at once, found by their hashes; what follows leaves them out.
+2. Each task lists its documents' anchors, each with the bytes before it and with those
+   behind it, as short hashes; buckets tell which occur in more than one document, and
+   which of them are hot.
+3. Documents are cut into stretches around those anchors only. Of the copies of a
    stretch in one group of documents the first stands for all; the others go at once,
    so a passage that many documents hold sends one row for each group of documents.
-3. A bucket builds the suffix and longest-previous-factor arrays of its stretches.
-4. Marked stretches go back to their documents, whose bytes are removed.
+4. A bucket builds the suffix and longest-previous-factor arrays of its stretches.
+5. Marked stretches go back to their documents, whose bytes are removed.
 
 What surrounds a hot passage still differs from document to document, all at the
 passage's first and last anchors. Starts at hot anchors are therefore dealt by their
 whole string instead, and only those whose string occurs in more than one document.
 
 Tables between the steps are packed arrays in binary rows, not a row for each
-anchor. The number of groups follows the bytes of the input.
+anchor, and texts are shuffled as compressed packs of rows. The number of groups
+follows the bytes of the input.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathglass.llm.common import materialise, task_tables
+from pathglass.llm.common import Scratch, join_spread, task_tables
 
 LENGTH = 50
 #: Bytes of an anchor.
@@ -47,6 +50,8 @@ FACTOR = 16
 SLICE = 1 << 19
 #: Anchors that a task holds before it hands them on.
 FLUSH_ANCHORS = 6_000_000
+#: Bytes of rows that a task holds before it packs them.
+PACKED_BYTES = 32 << 20
 #: Bytes of stretches that a task holds before it hands them on.
 FLUSH_BYTES = 64 << 20
 
@@ -54,7 +59,9 @@ FLUSH_BYTES = 64 << 20
 GROUP_BYTES = 64 << 20
 #: Starts that are sorted at once.
 SORTED_STARTS = 1 << 18
-#: Stretches at one anchor from which on it is hot, at least.
+#: Copies of whole texts that are left out of the search; what is beyond takes part.
+COPIES = 1_000_000
+#: Halves of stretches at one anchor from which on they are hot, at least.
 HOT_STRETCHES = 1_000_000
 
 _PLACE_BITS = np.uint64(22)
@@ -105,6 +112,11 @@ def _packed(parts):
 
 def stretches(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     """(part, first start, number of starts, anchor hash) of the stretches with one anchor, in order."""
+    return _anchored(buffer, starts, ends, length)[:4]
+
+
+def _anchored(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
+    """:func:`stretches`, and the place of each anchor."""
     w = _words(buffer, "<").astype(np.uint64)
     h = w * _M1 + np.concatenate([w[8:], np.zeros(min(8, len(w)), np.uint64)]) * _M2
     h ^= h >> np.uint64(29)
@@ -128,14 +140,36 @@ def stretches(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
-    return np.searchsorted(ends, at[first], "right"), at[first], count, h[anchor[first]]
+    return np.searchsorted(ends, at[first], "right"), at[first], count, h[anchor[first]], anchor[first]
 
 
 def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of an anchor's hash, and the 32 bits that tell anchors of a bucket apart."""
+    """The bucket of a hash, and the 32 bits that tell hashes of a bucket apart."""
     return (h >> np.uint64(34)) % np.uint64(buckets), h & np.uint64(0xFFFFFFFF)
 
 
+def halves(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, buckets: int):
+    """(stretch, part, first start, number of starts, bucket, tag) of the halves of stretches, in order.
+
+    Strings that hold ``side`` bytes at least before their anchor are the first half,
+    and agree in these and the anchor; the others agree in the anchor and what follows.
+    A tag is a hash of that much, as short factors recur by chance, the more often, the
+    more text there is; the bucket is the anchor's.
+    """
+    part, first, count, h, anchor = _anchored(buffer, starts, ends, length)
+    side = (length - FACTOR) // 2
+    before = np.clip(anchor - side - first + 1, 0, count)
+    n = np.column_stack([before, count - before])
+    bucket, tag = np.repeat(_keys(h, buckets)[0], 2).reshape(n.shape), np.zeros(n.shape, np.uint64)
+    for k, (shift, size) in enumerate([(side, FACTOR + side), (0, length - side + 1)]):
+        some = np.flatnonzero(n[:, k])
+        tag[some, k] = _keys(_whole_strings(buffer, anchor[some] - shift, size), buckets)[1]
+    some = np.flatnonzero(n.ravel())
+    stretch = some // 2
+    begin = np.column_stack([first, first + before])
+    return stretch, part[stretch], *(x.ravel()[some] for x in (begin, n, bucket, tag))
+
+
 def _rows(groups: np.ndarray, columns: list[np.ndarray]):
     """For each group (ascending), its number and the packed slice of every column; groups must be sorted."""
     cuts = np.flatnonzero(np.diff(groups)) + 1
@@ -144,6 +178,16 @@ def _rows(groups: np.ndarray, columns: list[np.ndarray]):
             yield int(groups[a]), [c[a:b].tobytes() for c in columns]
 
 
+def _packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed; small ones take little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _numbers(blob: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys stand in the sorted array."""
     if not len(known):
@@ -169,9 +213,10 @@ def _whole_strings(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarra
 
 
 def _lists(rows: DataFrame, buckets: int, length: int, hot: np.ndarray | None = None) -> DataFrame:
-    """(bucket, tags, batches, counts): how many documents of a task's batches hold an anchor.
+    """(bucket, tags, batches, counts): how many documents of a task's batches hold what a tag stands for.
 
-    With ``hot`` (sorted keys of anchors) the same for the whole strings at these.
+    With ``hot`` (sorted keys of halves) the same for the whole strings at these. Tags
+    ascend and stand as steps.
     """
     small = np.uint16 if buckets <= 1 << 16 else np.uint32
 
@@ -183,8 +228,10 @@ def _lists(rows: DataFrame, buckets: int, length: int, hot: np.ndarray | None =
         new[1:] = (tag[1:] != tag[:-1]) | (bucket[1:] != bucket[:-1]) | (batch[1:] != batch[:-1])
         at = np.flatnonzero(new)
         count = np.minimum(np.diff(np.append(at, len(tag))), 255).astype(np.uint8)
-        for number, blobs in _rows(bucket[at], [tag[at], batch[at], count]):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "tags", "batches", "counts"])
+        cuts = np.flatnonzero(np.diff(bucket[at])) + 1
+        for own in np.split(np.arange(len(at)), cuts):
+            blobs = [_packed_numbers(x) for x in (np.diff(tag[at[own]], prepend=tag.dtype.type(0)), batch[at[own]], count[own])]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[at[own[0]]])], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "tags", "batches", "counts"])
 
     def run(batches):
         with task_tables("suffixes"):
@@ -196,8 +243,7 @@ def _lists(rows: DataFrame, buckets: int, length: int, hot: np.ndarray | None =
             texts = [(x.as_py() or "").encode() for x in b.column("text")]
             batch_of = b.column("batch").to_numpy(zero_copy_only=False)
             for buffer, number, _, starts, ends in slices(texts, length):
-                part, first, count, h = stretches(buffer, starts, ends, length)
-                bucket, tag = _keys(h, buckets)
+                _, part, first, count, bucket, tag = halves(buffer, starts, ends, length, buckets)
                 if hot is not None:
                     got = _among(hot, bucket << np.uint64(32) | tag)
                     part = np.repeat(part[got], count[got])
@@ -231,7 +277,8 @@ def _shared(lists: DataFrame, buckets: int, hot_from: int | None = None) -> Data
             return told(table)
 
     def told(table):
-        tag, batch, count = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("tags", "<u4"), ("batches", small), ("counts", np.uint8)))
+        tag = np.concatenate([np.cumsum(_numbers(x.as_py(), "<u4"), dtype=np.uint32) for x in table.column("tags")])
+        batch, count = (np.concatenate([_numbers(x.as_py(), t) for x in table.column(c)]) for c, t in (("batches", small), ("counts", np.uint8)))
         order = np.lexsort((batch, tag))
         tag, batch, count = tag[order], batch[order].astype(np.int64), count[order]
         new = np.ones(len(tag), bool)
@@ -255,6 +302,42 @@ def _full_keys(bucket: int, tags: bytes) -> np.ndarray:
     return np.frombuffer(tags, "<u4").astype(np.uint64) | np.uint64(bucket << 32)
 
 
+def _in_packs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, packed): the rows of one key that a task holds, compressed together, as texts are most of what is shuffled."""
+
+    def flush(held):
+        table = pa.Table.from_batches(held)
+        number = table.column(key).to_numpy()
+        order = np.argsort(number, kind="stable")
+        number, table = number[order], table.take(pa.array(order))
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for a, b in pairwise([0, *cuts.tolist(), len(number)]):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema) as stream:
+                stream.write_table(table.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([int(number[a])], pa.int32()), pa.array([zip_.compress(out.getvalue())], pa.binary())], [key, "packed"])
+
+    def run(batches):
+        with task_tables("suffixes"):
+            held, size = [], 0
+            for b in batches:
+                held.append(b)
+                size += b.nbytes
+                if size >= PACKED_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
+            if size:
+                yield from flush(held)
+
+    return rows.mapInArrow(run, f"{key} int, packed binary")
+
+
+def _unpacked(packs: pa.Table) -> pa.Table:
+    unzip = zstandard.ZstdDecompressor()
+    return pa.concat_tables(pa.ipc.open_stream(unzip.decompress(x.as_py())).read_all() for x in packs.column("packed"))
+
+
 _STRETCH = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("count", "<u2")])
 #: A range of bytes to remove from the rows with this document id and hash.
 _MARK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("end", "<i8")])
@@ -301,6 +384,7 @@ def _cut_stretches(rows: DataFrame, shared: DataFrame, buckets: int, length: int
         held, size, out = [], 0, []
         batch = docs.column("batch")[0].as_py() if docs.num_rows else 0
         if len(known) and docs.num_rows:
+            docs = _unpacked(docs)
             texts = [(x.as_py() or "").encode() for x in docs.column("text")]
             ids, keys = docs.column("id").to_numpy(), docs.column("row").to_numpy()
 
@@ -312,13 +396,15 @@ def _cut_stretches(rows: DataFrame, shared: DataFrame, buckets: int, length: int
                 return bucket.astype(np.int32), heads, [raw[a:b] for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
 
             for buffer, number, places, starts, ends in slices(texts, length):
-                part, first, count, h = stretches(buffer, starts, ends, length)
-                bucket, tag = _keys(h, buckets)
+                stretch, part, first, count, bucket, tag = halves(buffer, starts, ends, length, buckets)
                 full = bucket << np.uint64(32) | tag
                 single = _among(hot, full)
                 got = np.flatnonzero(_among(known, full) & ~single)
-                held.append(cut(buffer, number, places, starts, part[got], first[got], count[got], bucket[got]))
-                size += int(count[got].sum()) + (length - 1) * len(got)
+                if len(got):  # both halves of a stretch travel as one
+                    new = np.flatnonzero(np.diff(stretch[got], prepend=-1))
+                    n, got = np.add.reduceat(count[got], new), got[new]
+                    held.append(cut(buffer, number, places, starts, part[got], first[got], n, bucket[got]))
+                    size += int(n.sum()) + (length - 1) * len(got)
                 if single.any():
                     at, part = _places(first[single], count[single]), np.repeat(part[single], count[single])
                     bucket, tag = _keys(_whole_strings(buffer, at, length), buckets)
@@ -332,7 +418,7 @@ def _cut_stretches(rows: DataFrame, shared: DataFrame, buckets: int, length: int
             out.append(flush(batch, held or [(np.zeros(0, np.int32), np.zeros(0, _STRETCH), [])]))
         return pa.concat_tables(out)
 
-    left = rows.select("batch", "id", "row", "text").groupBy("batch")
+    left = _in_packs(rows.select("batch", "id", "row", "text"), "batch").groupBy("batch")
     return left.cogroup(shared.groupBy("batch")).applyInArrow(run, "bucket int, heads binary, texts binary, batch int, marks binary")
 
 
@@ -479,6 +565,31 @@ def _marks(cut: DataFrame, buckets: int, length: int) -> DataFrame:
     return cut.select("bucket", "heads", "texts", "batch", "marks").groupBy("bucket").applyInArrow(run, "batch int, marks binary")
 
 
+def _copies(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(batch, id, row, n_bytes) of rows whose whole text an earlier document has: all of them goes, without a search."""
+    rows = rows.select("batch", "id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    texts = rows.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"))
+    texts = scratch.table(texts.filter("first < last").drop("last"), "copied")
+    total = texts.agg(F.sum("size")).first()[0] or 0
+    return join_spread(rows, texts, "sha", "size", total).filter("id > first").select("batch", "id", "row", "n_bytes")
+
+
+def _copy_marks(copies: DataFrame) -> DataFrame:
+    """(batch, marks) for whole rows."""
+
+    def run(batches):
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            number, marks = b.column("batch").to_numpy(), np.zeros(b.num_rows, _MARK)
+            for name, c in (("doc", "id"), ("row", "row"), ("end", "n_bytes")):
+                marks[name] = b.column(c).to_numpy()
+            order = np.argsort(number, kind="stable")
+            got = [(k, zip_.compress(blob)) for k, (blob,) in _rows(number[order], [marks[order]])]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["batch", "marks"])
+
+    return copies.mapInArrow(run, "batch int, marks binary")
+
+
 def merged(at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs covered by ranges sorted by ``at``; touching ranges join."""
     if not len(at):
@@ -507,14 +618,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
     rows = rows.withColumn("batch", (F.col("row") % buckets).cast("int"))
     takes_part = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
+    scratch = Scratch(spark)
+    copies = scratch.table(_copies(takes_part, scratch), "copies")
+    searched = takes_part.join(F.broadcast(copies.select("id", "row").limit(COPIES)), ["id", "row"], "left_anti")
     # An anchor spans 18 bytes on average, so the driver takes a bounded number of hot ones.
-    shared = materialise(_shared(_lists(takes_part, buckets, length), buckets, max(hot, size >> 25)), "shared-anchors")
+    shared = scratch.table(_shared(_lists(searched, buckets, length), buckets, max(hot, size >> 25)), "shared-halves")
     found = [_full_keys(r["bucket"], r["tags"]) for r in shared.filter("batch = -1").collect()]
     found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
     shared = shared.filter("batch >= 0")
     if len(found):
-        shared = shared.unionByName(materialise(_shared(_lists(takes_part, buckets, length, found), buckets), "shared-strings"))
-    marks = materialise(_marks(_cut_stretches(takes_part, shared, buckets, length, found), buckets, length), "marks")
+        shared = shared.unionByName(scratch.table(_shared(_lists(searched, buckets, length, found), buckets), "shared-strings"))
+    marks = _marks(_cut_stretches(searched, shared, buckets, length, found), buckets, length)
+    marks = scratch.result(marks.unionByName(_copy_marks(copies)), "marks")
 
     figures = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept_sha256", pa.string())]
     carried = docs.columns if keep_text else [id_col]
@@ -526,6 +641,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             return removed_from(docs, marks)
 
     def removed_from(docs, marks):
+        docs = _unpacked(docs)
         unzip = zstandard.ZstdDecompressor()
         got = [np.frombuffer(unzip.decompress(x.as_py()), _MARK) for x in marks.column("marks")]
         got = np.concatenate(got) if got else np.zeros(0, _MARK)
@@ -551,5 +667,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.table(columns | {f.name: pa.array(x, f.type) for f, x in zip(figures, (size, removed, spans, sha), strict=True)})
 
     schema = ", ".join([*(f"__c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    out = left.groupBy("__batch").cogroup(marks.withColumnRenamed("batch", "__batch").groupBy("__batch")).applyInArrow(run, schema)
+    out = _in_packs(left, "__batch").groupBy("__batch").cogroup(marks.withColumnRenamed("batch", "__batch").groupBy("__batch")).applyInArrow(run, schema)
     return out.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(carried)), *(F.col(f.name).alias(c) for f, c in zip(figures, figures_as, strict=True)))

@@ -139,7 +139,7 @@ def test_hot_anchors_are_split_by_whole_strings(spark, frame, prose, hot):
 
 
 def test_tokens_of_unlike_sets_differ():
-    """Sets without a common shingle meet in a node no more often than 32 bits allow; before, 134 times here, and with the square of their number."""
+    """Sets without a common shingle meet in a node no more often than 32 bits allow; before, 65 times here, and with the square of their number."""
     r = np.random.default_rng(7)
     tokens = np.stack([chosen_path.signature(np.sort(r.integers(0, 1 << 64, 2_000, np.uint64))) for _ in range(3_000)])
     assert sum(len(tokens) - len(np.unique(tokens[:, k])) for k in range(chosen_path.PLACES)) < 5
@@ -160,6 +160,35 @@ def test_shingle_sets_equal_brute_force(monkeypatch):
         assert [set(x.tolist()) for x in chosen_path.shingle_sets(iter(texts), size)] == got
 
 
+def test_factors_that_agree_by_chance_are_not_shared():
+    """Before, texts met that have no more than an anchor in common, all the more of them, the more text there is."""
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    anchors, met = 0, []
+    for n in [24] * 100 + [50] * 100:
+        run = letters(n)
+        both = []
+        for _ in range(2):
+            buffer, _, _, starts, ends = next(suffix_dedup.slices([f"{letters(60)}{run}{letters(60)}".encode()]))
+            _, _, _, _, bucket, tag = suffix_dedup.halves(buffer, starts, ends, 50, 7)
+            both.append((set(zip(bucket.tolist(), tag.tolist(), strict=True)), set(suffix_dedup.stretches(buffer, starts, ends, 50)[3].tolist())))
+        anchors += n == 24 and len(both[0][1] & both[1][1])
+        met.append(len(both[0][0] & both[1][0]))
+    assert not any(met[:100]) and all(met[100:]) and anchors > 20
+
+
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_copies_of_whole_texts_are_not_searched(spark, frame, monkeypatch, most):
+    text = "a text that many documents hold, " * 3 + "and its end"
+    rows = [*((k, text) for k in range(20)), (0, text), (5, text), (None, text), (30, text + "."), (31, "short"), (32, "short"), (3, "x" + text), (33, None)]
+    searched = []
+    monkeypatch.setattr(suffix_dedup, "COPIES", most)
+    monkeypatch.setattr(suffix_dedup, "_lists", lambda found, *x, of=suffix_dedup._lists: (searched.append(found.count()), of(found, *x))[1])
+    got = suffix_dedup.remove_repeats(frame(rows), keep_text=False)
+    assert figures(got) == brute_removed(rows, 50)
+    assert searched == [4 if most > 3 else 21]  # 24 rows of 50 bytes and more have an id, 20 are later copies
+
+
 def brute_contamination(docs, items, window, percent):
     """The rule over every diagonal, without masks; equal items count once, under the smallest id."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
